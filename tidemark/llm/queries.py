@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import substring
+from . import near, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(_table(spark, sf_dir, "documents"), words=5, percent=85)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = substring.cut(docs, substring.repeats(docs, window=50))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op7_substring_dedup": op7_substring_dedup}
+QUERIES = {"op3_minhash_dedup": op3_minhash_dedup, "op7_substring_dedup": op7_substring_dedup}
 
 ORACLE_SQL: dict[str, str] = {}
