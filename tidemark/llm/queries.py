@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import near, substring
+from . import near, packing, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(_table(spark, sf_dir, "documents"), words=5, percent=85)
 
@@ -21,6 +27,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_minhash_dedup": op3_minhash_dedup, "op7_substring_dedup": op7_substring_dedup}
+def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, _vocabulary("byte_bpe_50k.json"), end_id=2))
+
+
+QUERIES = {"op3_minhash_dedup": op3_minhash_dedup, "op7_substring_dedup": op7_substring_dedup, "op9_best_two_fit_packing": op9_best_two_fit_packing}
 
 ORACLE_SQL: dict[str, str] = {}
