@@ -1,27 +1,56 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+All but the last return the columns of documents; n_chars follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidemark.llm import decontaminate, near, packing, quality, store, substring
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model scores below 0.7 go. It learns from the labels of the documents at hand."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).where("score >= 0.7").select(*docs.columns)
 
-from tidemark.llm import store, substring
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more of five-word shingles, the smallest doc_id stays."""
+    found = near.classes(docs, words=5, percent=80)
+    return docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words covered by a 50-word passage that an earlier document has go; documents stay, if need be empty."""
-    cut = substring.cut(docs, substring.repeats(docs, window=50))
-    return cut.select(*docs.columns).withColumns(_measured(docs))
+    """Words covered by a 50-word passage that also starts in a document with a smaller doc_id go; documents stay, if
+    need be empty."""
+    cut = substring.cut(docs, substring.repeats(docs, window=50)).select(*docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage similar to a benchmark item (0.8 or more) go."""
+    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
-def _measured(docs: DataFrame) -> dict:
-    """n_chars follows the text."""
-    from pyspark.sql import functions as F
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's tokens, in pieces that fill sequences of 1024."""
+    import public_tokenizers
 
-    return {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
 
-STAGES = [("substring_dedup", substring_dedup)]
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("pack_sequences", pack_sequences),
+]
 
+#: A trained model and a tokenizer are not SQL; tests/llm holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 

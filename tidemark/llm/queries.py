@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import near, packing, substring
+from . import decontaminate, near, packing, quality, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -21,6 +25,17 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(_table(spark, sf_dir, "documents"), words=5, percent=85)
 
 
+def op5_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder(4) == 2).alias("held_out"))
+    model = quality.fit(docs.where("NOT held_out"), _table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = substring.cut(docs, substring.repeats(docs, window=50))
@@ -32,6 +47,12 @@ def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, _vocabulary("byte_bpe_50k.json"), end_id=2))
 
 
-QUERIES = {"op3_minhash_dedup": op3_minhash_dedup, "op7_substring_dedup": op7_substring_dedup, "op9_best_two_fit_packing": op9_best_two_fit_packing}
+QUERIES = {
+    "op3_minhash_dedup": op3_minhash_dedup,
+    "op5_mil_quality": op5_mil_quality,
+    "op6_simhash_decontamination": op6_simhash_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op9_best_two_fit_packing": op9_best_two_fit_packing,
+}
 
 ORACLE_SQL: dict[str, str] = {}
