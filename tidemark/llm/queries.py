@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, near, packing, quality, substring
+from . import decontaminate, language, near, packing, quality, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,12 +47,19 @@ def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, _vocabulary("byte_bpe_50k.json"), end_id=2))
 
 
+def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_remainder(3) == 1).alias("held_out"))
+    net = language.train(docs.where("NOT held_out"))
+    return language.predict(docs.select("doc_id", "held_out", "text"), net).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op3_minhash_dedup": op3_minhash_dedup,
     "op5_mil_quality": op5_mil_quality,
     "op6_simhash_decontamination": op6_simhash_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_best_two_fit_packing": op9_best_two_fit_packing,
+    "op10_bigru_language": op10_bigru_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
