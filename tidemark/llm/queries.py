@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, near, packing, quality, substring
+from . import ctw, decontaminate, language, near, packing, quality, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return ctw.scores(docs.select("doc_id", "text", (_remainder(7) == 2).alias("held_out")))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(_table(spark, sf_dir, "documents"), words=5, percent=85)
 
@@ -54,6 +59,7 @@ def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ctw_scores": op1_ctw_scores,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op5_mil_quality": op5_mil_quality,
     "op6_simhash_decontamination": op6_simhash_decontamination,
