@@ -5,8 +5,10 @@
    class's rarest retained values need to be looked up (prefix filter): if at least ``least`` of k are shared, two
    classes meet in the inverted list of one of the ``k - least + 1`` rarest values of each.
 3. Links are found in rounds. First every list links its members to its smallest one. Then, in lists whose members are
-   still in different components, the members are compared with each other across components.
-4. A pair goes on if the union sketch estimates enough similarity, and is a link if the exact Jaccard says so.
+   still in different components, the members are compared with each other across components: short lists by a join,
+   long ones in blocks.
+4. A pair goes on if the union sketch estimates enough similarity, and is a link if the exact Jaccard says so (blocks
+   hold the whole sets and need no estimate).
 
 With k = 64 and similarity s >= 0.8, a pair that shares fewer than 34 retained values (expected: 51, deviation: 3.2) is
 one in ten million; sets of up to ``0.8 k`` shingles are kept whole, so for them the filter is exact. Lists are not capped.
@@ -14,8 +16,6 @@ one in ten million; sets of up to ``0.8 k`` shingles are kept whole, so for them
 
 from __future__ import annotations
 
-from math import ceil
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -119,10 +119,9 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 85, k: int = K) -> D
     parts = materialize(parts.join(mixed.select("value", "members", "hub"), "value"), "mixed-lists")
     few = parts.where(f"members <= {SMALL}")
     near = few.alias("x").join(few.alias("y"), "value").where(f"x.id < y.id AND x.part <> y.part AND x.id <> x.hub AND 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)").selectExpr("x.id AS a", "y.id AS b")
-    blocks = _in_blocks(parts.where(f"members > {SMALL}"), reps, k, percent, slack)
-    rest = near.unionByName(blocks).distinct().join(edges, ["a", "b"], "left_anti")
-    more = _confirmed(rest, reps, docs, words, k, percent, slack)
-    final = components(edges.unionByName(more))
+    linked = _in_blocks(parts.where(f"members > {SMALL}"), docs, words, percent)
+    more = _confirmed(near.distinct(), reps, docs, words, k, percent, slack)
+    final = components(edges.unionByName(more).unionByName(linked))
 
     whole_id = same.withColumnRenamed("id", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "fp1", "fp2").join(whole_id, ["fp1", "fp2", "n_shingles"], "left")
@@ -130,40 +129,52 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 85, k: int = K) -> D
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _in_blocks(parts: DataFrame, reps: DataFrame, k: int, percent: int, slack: float) -> DataFrame:
-    """(a, b) pairs of long lists: members of different components whose sketches agree enough.
+def _in_blocks(parts: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) links between members of different components that share a long list.
 
-    A list is dealt into blocks of members; each pair of blocks is one small task in numpy, so no list is ever gathered
-    and only the pairs that pass leave it.
+    A document's home is the smallest id in any of its long lists, so that a cloud of similar documents has one home or a
+    few, however many lists it shares. Homes that meet in a list are compared, in blocks of documents: each pair of blocks
+    is one small task that computes exact similarities in numpy. No list is ever gathered, and of the links between two
+    components a task returns one.
     """
-    parts = parts.select("value", "id", "n_shingles", "part", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    parts = parts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = parts.select("*", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(block, o) AS i, greatest(block, o) AS j))")).alias("at"))
-    dealt = dealt.selectExpr("value", "at.i AS i", "at.j AS j", "block", "id", "n_shingles", "part").join(reps.select("id", "sketch"), "id")
+    homes = materialize(parts.groupBy("id", "n_shingles", "part").agg(F.min("hub").alias("home")), "homes")
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    met = parts.select("value", "id").join(homes.select("id", "home"), "id").select("value", "home").distinct()
+    pairs = met.alias("x").join(met.alias("y"), "value").where("x.home <= y.home").selectExpr("x.home AS h1", "y.home AS h2").distinct()
+    pairs = pairs.join(sizes.selectExpr("home AS h1", "blocks AS n1"), "h1").join(sizes.selectExpr("home AS h2", "blocks AS n2"), "h2")
+    pairs = materialize(pairs, "home-pairs")
+    grams = _sets(docs.join(homes.selectExpr("id AS doc_id"), "doc_id", "left_semi"), words).dropDuplicates(["id"])
+    rows = homes.join(sizes, "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = materialize(rows.join(grams, "id").select("home", "block", "id", "n_shingles", "part", "grams"), "home-sets")
+    one = rows.join(pairs, F.col("home") == F.col("h1")).select("h1", "h2", F.col("block").alias("i"), F.explode(F.sequence(F.when(F.col("h1") == F.col("h2"), F.col("block")).otherwise(F.lit(0)), F.col("n2") - 1)).alias("j"), F.lit(0).alias("side"), "id", "n_shingles", "part", "grams")
+    two = rows.join(pairs, F.col("home") == F.col("h2")).select("h1", "h2", F.explode(F.sequence(F.lit(0), F.when(F.col("h1") == F.col("h2"), F.col("block")).otherwise(F.col("n1") - 1))).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "id", "n_shingles", "part", "grams")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        lengths = rows.sketch.map(len).to_numpy()
-        _, code = np.unique(np.concatenate(rows.sketch.to_list()), return_inverse=True)
-        seen = np.zeros((len(rows), code.max() + 1), dtype=np.float32)
-        seen[np.repeat(np.arange(len(rows)), lengths), code] = 1
-        left = np.flatnonzero(rows.block.to_numpy() == rows.i.iloc[0])
-        right = np.flatnonzero(rows.block.to_numpy() == rows.j.iloc[0])
+        left, right = (np.flatnonzero(rows.side.to_numpy() == s) for s in (0, 1))
         ids, size, part = rows.id.to_numpy(), rows.n_shingles.to_numpy(), rows.part.to_numpy()
-        common = seen[left] @ seen[right].T
-        least = np.minimum(lengths[left][:, None], lengths[right][None])
-        ok = (common >= (percent / 100 - slack) * least * 0.9) & (part[left][:, None] != part[right][None]) & (ids[left][:, None] < ids[right][None] if rows.i.iloc[0] == rows.j.iloc[0] else True)
-        ok &= 100 * np.minimum(size[left][:, None], size[right][None]) >= percent * np.maximum(size[left][:, None], size[right][None])
-        x, y = np.nonzero(ok)
-        a, b = ids[left[x]], ids[right[y]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("value", "i", "j").applyInPandas(compare, "a long, b long")
-
-
-def least_sketch(percent: int, k: int = K) -> int:
-    """Retained values that any similar pair shares, five deviations below what is expected."""
-    s = percent / 100
-    return ceil(k * s - 5.4 * (k * s * (1 - s)) ** 0.5)
+        owner = np.repeat(np.arange(len(rows)), size)
+        _, code, times = np.unique(np.concatenate(rows.grams.to_list()), return_inverse=True, return_counts=True)
+        owner, code = owner[times[code] > 1], code[times[code] > 1]
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], np.unique(code[order], return_inverse=True)[1]
+        common = np.zeros((len(left), len(right)), dtype=np.float32)
+        place = np.zeros(len(rows), dtype=np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        is_left = rows.side.to_numpy()[owner] == 0
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+            lo, hi = np.searchsorted(code, [at, at + 4096])
+            x, y = (np.zeros((n, 4096), dtype=np.float32) for n in (len(left), len(right)))
+            o, c, s = owner[lo:hi], code[lo:hi] - at, is_left[lo:hi]
+            x[place[o[s]], c[s]] = 1
+            y[place[o[~s]], c[~s]] = 1
+            common += x @ y.T
+        whole = size[left][:, None] + size[right][None] - common
+        p, q = np.nonzero((100 * common >= percent * whole) & (part[left][:, None] != part[right][None]))
+        out = pd.DataFrame({"a": ids[left[p]], "b": ids[right[q]], "pa": part[left[p]], "pb": part[right[q]]})
+        return out.drop_duplicates(["pa", "pb"])[["a", "b"]]
+
+    dealt = one.unionByName(two)
+    return dealt.groupBy("h1", "h2", "i", "j").applyInPandas(compare, "a long, b long").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
 
 
 def brute_force(rows: list[tuple[int, str | None]], words: int = 5, percent: int = 85) -> dict[int, tuple[int, int, bool]]:
