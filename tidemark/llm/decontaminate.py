@@ -43,16 +43,20 @@ class _Bits:
 
     @staticmethod
     def _sums(h: np.ndarray) -> np.ndarray:
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1) if len(h) else np.zeros((0, 64), np.uint8)
         out = np.zeros((len(h) + 1, 64), dtype=np.uint16)
-        np.cumsum(bits, axis=0, dtype=np.uint16, out=out[1:])
+        if len(h):
+            # sums wrap, differences of nearby ones do not; running along the rows of the transpose is the fast way
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).T.astype(np.uint16, order="C")
+            out[1:] = np.add.accumulate(bits, axis=1, dtype=np.uint16, out=bits).T
         return out
 
-    def of(self, start: np.ndarray, size: int) -> np.ndarray:
+    def every(self, step: int, size: int) -> np.ndarray:
+        """Fingerprints of the windows that start at every ``step``-th word (also of those across texts)."""
+        n = max(0, -(-(len(self.single) - size + 1) // step))
         if size == 1:
-            return self.single[start]
+            return self.single[::step][:n]
         m = size - 1
-        return np.packbits((self.pairs[start + m] - self.pairs[start]) > m // 2, axis=1).view(U64).ravel()
+        return np.packbits((self.pairs[m::step][:n] - self.pairs[::step][:n] > m // 2).ravel()).view(U64)
 
 
 def _shingles(words: Words, n: int) -> tuple[np.ndarray, int]:
@@ -74,7 +78,7 @@ class Index:
             grams, k = _shingles(words, n)
             step = STRIDE if n >= 2 * STRIDE else 1
             size = _grid(n - step + 1)
-            prints = _Bits(words).of(np.arange(step), size)
+            prints = _Bits(words).every(1, size)[:step]
             sizes.setdefault((size, step), []).extend((int(p), len(self.items), o) for o, p in enumerate(prints))
             self.items.append((item, n, k, Counter(grams.tolist())))
         self.sizes = {}
@@ -91,18 +95,15 @@ class Index:
             return
         bits = _Bits(words)
         for (size, step), (prints, tables, place, offset) in self.sizes.items():
-            start = np.arange(0, len(words.hash) - size + 1, step)
-            if not len(start):
-                continue
-            start = start[words.doc[start] == words.doc[start + size - 1]]
-            got = bits.of(start, size)
+            got = bits.every(step, size)
             blocks = got.view(np.uint16).reshape(-1, 4)
             hit = np.flatnonzero(tables[0][blocks[:, 0]] | tables[1][blocks[:, 1]] | tables[2][blocks[:, 2]] | tables[3][blocks[:, 3]])
+            hit = hit[words.doc[hit * step] == words.doc[hit * step + size - 1]]
             for at in range(0, len(hit), 50_000):
                 some = hit[at : at + 50_000]
                 apart = np.bitwise_count(got[some][:, None] ^ prints[None])
                 w, p = np.nonzero(apart <= RADIUS)
-                yield from zip(place[p].tolist(), (start[some[w]] - offset[p]).tolist(), apart[w, p].tolist(), words.doc[start[some[w]]].tolist())
+                yield from zip(place[p].tolist(), (some[w] * step - offset[p]).tolist(), apart[w, p].tolist(), words.doc[some[w] * step].tolist())
 
     def verify(self, words: Words, threshold: float):
         """(text's place, item_id, first word, words, similarity, distance), the best of overlapping ones."""
