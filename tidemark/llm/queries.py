@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ctw, decontaminate, language, near, packing, quality, substring
+from . import ctw, decontaminate, language, near, packing, quality, search, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op1_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scores(docs.select("doc_id", "text", (_remainder(7) == 2).alias("held_out")))
 
 
+def op2_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every benchmark item whose item_id is divisible by 20, against all documents."""
+    queries = _table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return search.top_k(_table(spark, sf_dir, "documents"), queries, k=10).withColumn("score", F.round("score", 6))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(_table(spark, sf_dir, "documents"), words=5, percent=85)
 
@@ -47,6 +53,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
+SHARD_BYTES = 1 << 20
+
+
+def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(packing.pieces(docs, _vocabulary("byte_bpe_50k.json"), end_id=2))
@@ -60,12 +73,17 @@ def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ctw_scores": op1_ctw_scores,
+    "op2_bm25_search": op2_bm25_search,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op5_mil_quality": op5_mil_quality,
     "op6_simhash_decontamination": op6_simhash_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_extendible_shards": op8_extendible_shards,
     "op9_best_two_fit_packing": op9_best_two_fit_packing,
     "op10_bigru_language": op10_bigru_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_bm25_search": f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({search.oracle(10)})",
+    "op8_extendible_shards": sharding.oracle(SHARD_BYTES),
+}
