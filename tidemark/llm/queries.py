@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ctw, decontaminate, language, near, packing, quality, search, sharding, substring
+from . import coder, ctw, decontaminate, language, near, packing, quality, search, sharding, store, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(_table(spark, sf_dir, "documents"), words=5, percent=85)
 
 
+def op4_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.new_path(spark, "ids")
+    coder.write(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, path=path)
+    return coder.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder(4) == 2).alias("held_out"))
     model = quality.fit(docs.where("NOT held_out"), _table(spark, sf_dir, "labels"))
@@ -75,6 +81,7 @@ QUERIES = {
     "op1_ctw_scores": op1_ctw_scores,
     "op2_bm25_search": op2_bm25_search,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_range_coded_ids": op4_range_coded_ids,
     "op5_mil_quality": op5_mil_quality,
     "op6_simhash_decontamination": op6_simhash_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
