@@ -145,7 +145,7 @@ def minute_simulate(bars: DataFrame, guesses: DataFrame, target: float, stop: fl
         for k, high, low, g in zip(part["k"], part["high"], part["low"], part["direction"]):
             if side:
                 fill = low if side > 0 else high
-                r = side * (fill / entry - 1)
+                r = side * (fill / entry - 1) if entry else 0.0
                 if r >= target or r <= -stop or k - at >= expire or k == last:
                     out.append((part["symbol"].iloc[0], part["day"].iloc[0], at, k, side, entry, fill, r))
                     side = 0

@@ -37,7 +37,7 @@ def value_bars(deals: DataFrame, size: int, start: float = 10.0, stop: float = 1
         F.min("time_msc").alias("smsc"), F.max("time_msc").alias("emsc"), F.min("time").alias("time"), F.min_by("last", "seq").alias("open"),
         F.max("last").alias("high"), F.min("last").alias("low"), F.sum(F.col("cents") * F.col("volume")).alias("m"), F.sum("volume").alias("v"),
         (F.min_by("seq", F.struct(-F.col("last"), "seq")) < F.min_by("seq", F.struct("last", "seq"))).cast("int").alias("highfirst"),
-        F.count("*").alias("nticks"), (F.sum(F.col("flag") * F.col("money")) / F.sum("money")).alias("netvol"), F.max("closes").alias("upto"),
+        F.count("*").alias("nticks"), F.try_divide(F.sum(F.col("flag") * F.col("money")), F.sum("money")).alias("netvol"), F.max("closes").alias("upto"),
         F.array_sort(F.collect_list("vwap")).alias("vwaps"),
     ).where("upto > uid")
     g = g.withColumns({"wprice": F.col("m") / F.col("v") / 100, "wprice10": order_stat(0.1) / 100, "wprice90": order_stat(0.9) / 100}).drop("m", "v", "vwaps")

@@ -74,7 +74,7 @@ def bar_return(by: WindowSpec) -> Column:
     c1 = F.when(F.col("highfirst") == 1, F.col("high")).otherwise(F.col("low"))
     c2 = F.when(F.col("highfirst") == 1, F.col("low")).otherwise(F.col("high"))
     o = F.col("open")
-    return (0.75 * (o / p2 - 1) + 0.85 * (c1 / o - 1) + (c2 / c1 - 1)) / 2.6
+    return (0.75 * (F.try_divide(o, p2) - 1) + 0.85 * (F.try_divide(c1, o) - 1) + (F.try_divide(c2, c1) - 1)) / 2.6
 
 
 def swinging(x: Column, n: int, by: WindowSpec) -> Column:

@@ -24,7 +24,7 @@ def triple_barrier(events: DataFrame, bars: DataFrame, multiple: float, first: i
     c1 = F.when(F.col("highfirst") == 1, F.col("high")).otherwise(F.col("low"))
     c2 = F.when(F.col("highfirst") == 1, F.col("low")).otherwise(F.col("high"))
     pairs = following(e, bars.select("symbol", "uid", F.array("open", c1, c2).alias("prices")), "twhen", "uid", reach, ["symbol"])
-    pairs = pairs.withColumn("rets", F.transform("prices", lambda p: p / F.col("entry") - 1))
+    pairs = pairs.withColumn("rets", F.transform("prices", lambda p: F.try_divide(p, F.col("entry")) - 1))
     hit = F.filter("rets", lambda r: F.abs(r) >= multiple * F.col("width"))
     pairs = pairs.withColumn("hit", F.when(F.col("uid") >= F.col("twhen") + skip, F.get(hit, 0)))
     g = pairs.groupBy("symbol", "twhen").agg(

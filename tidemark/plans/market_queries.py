@@ -411,7 +411,7 @@ def e18(spark, d):
 @query("e19_differences", sql(DEALS_SQL, f"SELECT symbol, seq, last - lag(last) OVER {WS} AS d1, last / lag(last, 5) OVER {WS} - 1 AS r5, lead(last) OVER {WS} AS nxt FROM deals", "seq", "d1 r5 nxt", "symbol"))
 def e19(spark, d):
     x = F.col("last")
-    return shape(market.deals(spark, d).withColumns({"d1": x - F.lag(x).over(W()), "r5": x / F.lag(x, 5).over(W()) - 1, "nxt": F.lead(x).over(W())}), "seq", "d1 r5 nxt", "symbol")
+    return shape(market.deals(spark, d).withColumns({"d1": x - F.lag(x).over(W()), "r5": F.try_divide(x, F.lag(x, 5).over(W())) - 1, "nxt": F.lead(x).over(W())}), "seq", "d1 r5 nxt", "symbol")
 
 
 @query("e20_moving_sum", sql(TICKS_SQL, "SELECT symbol, seq, sum(volume) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM ticks", "seq s", "", "symbol"))
