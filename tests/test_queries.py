@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import market_queries, more_queries  # noqa: F401
+from tidemark.plans import market_queries, more_queries, rest_queries  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"

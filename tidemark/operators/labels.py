@@ -81,6 +81,48 @@ def with_stops(df: DataFrame, amount: float, target: float, stop: float, side: i
     return df.select(*keys, order, "signal", "high", "low").groupBy(*keys).applyInPandas(run, schema)
 
 
+def both_sides(df: DataFrame, amount: float, target: float, stop: float, keys=("symbol", "day"), order: str = "seq") -> DataFrame:
+    """Labels of entries to either side (signal 1 or -1) in net mode: one position at a time, an opposite signal closes it. 1 or -1 where
+    target was reached or the close was a gain, 0 where not, null where it was still open at the day's end."""
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keys, order]), "label int"])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        label: list = [0] * len(rows)
+        side = at = 0
+        entry = size = 0.0
+        for i, (s, hi, lo) in enumerate(zip(rows["signal"], rows["high"], rows["low"])):
+            if side:
+                best, worst = (hi - entry, lo - entry) if side > 0 else (entry - lo, entry - hi)
+                if worst * size <= -stop:
+                    label[at], side = 0, 0
+                elif best * size >= target:
+                    label[at], side = side, 0
+                elif s == -side:
+                    label[at], side = (side if worst > 0 else 0), 0
+            if not side and s in (1, -1):
+                side, at, entry = int(s), i, hi if s > 0 else lo
+                size = round(amount / entry) if entry else 0
+        if side:
+            label[at] = None
+        return rows[[*keys, order]].assign(label=pd.array(label, dtype="Int32"))
+
+    return df.select(*keys, order, "signal", "high", "low").groupBy(*keys).applyInPandas(run, schema)
+
+
+def delayed(rows: DataFrame, where: str, delay: int, reach: int, target: float, stop: float) -> DataFrame:
+    """(symbol, k, label) of signals (rows that meet ``where``) executed ``delay`` rows late, within the day: 1 where the price first passes the
+    target share, 0 where it first passes the stop; where neither is passed, 1 if the last price within reach has half the
+    target. rows: symbol, k, time, last."""
+    e = rows.where(where).select("symbol", F.col("k").alias("at"), F.col("last").alias("entry"), F.to_date("time").alias("day"))
+    j = following(e, rows.select("symbol", "k", "last", F.to_date("time").alias("on")), "at", "k", reach, ["symbol"]).where((F.col("k") >= F.col("at") + delay) & (F.col("day") == F.col("on")))
+    won, lost = F.col("last") >= F.col("entry") * (1 + target), F.col("last") <= F.col("entry") * (1 - stop)
+    g = j.groupBy("symbol", "at").agg(
+        F.min(F.when(won | lost, F.struct("k", won.cast("int").alias("won")))).alias("hit"), (F.max_by("last", "k") >= F.first("entry") * (1 + target / 2)).cast("int").alias("half")
+    )
+    return g.select("symbol", F.col("at").alias("k"), F.coalesce("hit.won", "half").alias("label"))
+
+
 def merge_sides(buy: Column, sell: Column) -> Column:
     """Sell wins unless it is 0 or null; both: 0."""
     return F.when((buy != 0) & (sell != 0), 0).when(F.coalesce(sell, F.lit(0)) != 0, sell).otherwise(buy)
