@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import backtest, bars, features, folds, hygiene, indicators, joins, labels, signals
+from ..operators import bars, hygiene, indicators, joins
 from ..sources import market
 from ..sources.market import DAILY_SQL, DEALS_SQL, RAW_SQL, TICKS_SQL
 from .ordered import row_number, running_sum

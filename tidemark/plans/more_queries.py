@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import recursive
-from ..operators import backtest, bars, features, folds, indicators, joins, labels, signals, stats
+from ..operators import backtest, bars, features, folds, indicators, labels, signals, stats
 from ..sources import files, market
 from ..sources.market import DAILY_SQL, DEALS_SQL, TICKS_SQL
 from ..streaming import live
-from .market_queries import HOURS, MINUTES, NUMBERED, VBARS, VOL, W, WS, WU, _numbered, _rows, _vbars, _volatile, shape, sql
+from .market_queries import NUMBERED, VBARS, VOL, W, WS, _numbered, _rows, _vbars, _volatile, shape, sql
 from .registry import query
 
-HOURLY_W = "(PARTITION BY symbol ORDER BY time)"
 def WT():
     return indicators.by("symbol", order="time")
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import backtest, bars, features, folds, indicators, joins, labels
+from ..operators import backtest, bars, folds, indicators, joins, labels
 from ..sources import files, market
 from ..sources.market import DEALS_SQL, TICKS_SQL
 from ..streaming import live
-from .market_queries import HOURS, NUMBERED, W, WS, _numbered, _rows, shape, sql
+from .market_queries import HOURS, NUMBERED, W, WS, _numbered, shape, sql
 from .more_queries import MULTI, VOL, BARRIER, _drained, _labels, _multi, _volatile
 from .ordered import overlapping
 from .registry import query
