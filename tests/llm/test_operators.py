@@ -121,6 +121,20 @@ def test_search_is_exact(spark, docs, rows, monkeypatch):
     assert got == brute_bm25(rows, asked, 4)
 
 
+def test_search_runs_whole_documents(spark, monkeypatch):
+    """Every 20th document as a query, in several rounds and shards, long and short ones."""
+    monkeypatch.setattr(search, "QUERIES", 4)
+    monkeypatch.setattr(search, "SHARD", 20_000)
+    monkeypatch.setattr(search, "LONG", 150)
+    got = sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in queries.QUERIES["op2_bm25_documents"](spark, SF).collect())
+    table = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    asked = [(i, t) for i, t in table if i % 20 == 0]
+    assert len(asked) >= 10 and {len(set((t or "").lower().split())) > search.LONG for _, t in asked} == {True, False}
+    want = brute_bm25(table, asked, 10)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=2e-6)
+
+
 def test_search_prunes_within_blocks():
     """Block maxima and pivots against scoring every document, over random postings."""
     r = np.random.default_rng(5)

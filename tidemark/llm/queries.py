@@ -32,6 +32,13 @@ def op2_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(_table(spark, sf_dir, "documents"), queries, k=10).withColumn("score", F.round("score", 6))
 
 
+def op2_bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: the whole text of every document whose doc_id is divisible by 20, against all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    queries = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.top_k(docs, queries, k=10).withColumn("score", F.round("score", 6))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(_table(spark, sf_dir, "documents"), words=5, percent=85)
 
@@ -80,6 +87,7 @@ def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ctw_scores": op1_ctw_scores,
     "op2_bm25_search": op2_bm25_search,
+    "op2_bm25_documents": op2_bm25_documents,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_range_coded_ids": op4_range_coded_ids,
     "op5_mil_quality": op5_mil_quality,

@@ -3,7 +3,8 @@
 Documents are indexed in shards of bounded text size. Statistics (documents, lengths, document frequencies of the
 queries' words) are summed over all shards first, so that a shard scores as the whole collection would, and the best k of
 all shards' best k are the best k. Within a shard cursors move by pivots: the upper bounds of words decide which document
-can still enter the top k, the maxima of posting blocks decide whether it is scored or skipped with its blocks.
+can still enter the top k, the maxima of posting blocks decide whether it is scored or skipped with its blocks. Whole texts
+as queries (more than ``LONG`` distinct words) leave nothing to skip: their postings are added up in numpy.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .words import Words, chunks, encoded
 SHARD = 8 << 20  #: bytes of text
 BLOCK = 64  #: postings that share a maximum
 QUERIES = 2_000  #: queries that are broadcast at once
+LONG = 64  #: distinct words of a query beyond which every posting is scored
 _INDEX = "shard long, doc_id binary, length binary, terms binary, starts binary, docs binary, counts binary, n_docs long, n_words long"
 
 
@@ -96,6 +98,24 @@ class _Shard:
             return self.docs[:0], self.counts[:0]
         return self.docs[self.starts[at] : self.starts[at + 1]], self.counts[self.starts[at] : self.starts[at + 1]]
 
+    def parts(self, mean: float, k1: float, b: float) -> np.ndarray:
+        """Each posting's score for a word of weight 1."""
+        return self.counts * (k1 + 1) / (self.counts + k1 * (1 - b + b * self.length[self.docs] / mean))
+
+    def scan(self, terms: np.ndarray, weights: np.ndarray, parts: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """As ``top``, from all postings. Words are added in the order given, so that equal documents score equally."""
+        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        at, weights = at[hit], weights[hit]
+        start = self.starts[at].astype(np.int64)
+        size = self.starts[at + 1] - start
+        place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score = np.round(np.bincount(self.docs[place], parts[place] * np.repeat(weights, size), minlength=len(self.doc_id)), 9)
+        least = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        best = np.flatnonzero((score >= least) & (score > 0))
+        best = best[np.argsort(-score[best], kind="stable")][:k]
+        return list(zip(score[best].tolist(), self.doc_id[best].tolist()))
+
     def top(self, query: list[tuple[int, float]], k: int, mean: float, k1: float, b: float) -> list[tuple[float, int]]:
         """(score, doc_id) of the best k; equal scores by smaller doc_id. query: (word, weight)."""
         lists = []
@@ -162,8 +182,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     out = None
     for r in range(rounds):
         some = queries.where(F.pmod(F.xxhash64("query_id", "text"), F.lit(rounds)) == r) if rounds > 1 else queries
-        rows = [(q, Words(encoded([t]), lower=True).hash) for q, t in some.select(F.col("query_id").cast("long"), "text").collect() if t is not None]
-        asked = np.unique(np.concatenate([h for _, h in rows] or [np.zeros(0, np.uint64)]))
+        rows = [(q, *np.unique(Words(encoded([t]), lower=True).hash, return_counts=True)) for q, t in some.select(F.col("query_id").cast("long"), "text").collect() if t is not None]
+        asked = np.unique(np.concatenate([h for _, h, _ in rows] or [np.zeros(0, np.uint64)]))
 
         def count(batches, asked=asked):
             for batch in batches:
@@ -171,16 +191,27 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
                     df = _Shard(row).df(asked)
                     yield pa.RecordBatch.from_arrays([pa.array(asked.view(np.int64)[df > 0]), pa.array(df[df > 0])], ["term", "df"])
 
-        df = {x["term"] & (2**64 - 1): x["df"] for x in shards.mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}  # words of QUERIES queries
-        weights = {t: float(np.log(1 + (n - f + 0.5) / (f + 0.5))) for t, f in df.items()}
-        plans = [(q, [(int(t), weights[int(t)] * int(c)) for t, c in zip(*np.unique(h, return_counts=True)) if int(t) in weights]) for q, h in rows]
+        df = shards.mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # words of QUERIES queries
+        f = np.zeros(len(asked))
+        f[np.searchsorted(asked, df["term"].to_numpy().view(np.uint64))] = df["df"].to_numpy()
+        worth = np.log(1 + (n - f + 0.5) / (f + 0.5))
+        plans = []
+        for q, h, c in rows:
+            at = np.searchsorted(asked, h)
+            at, c = at[f[at] > 0], c[f[at] > 0]
+            plans.append((q, asked[at], worth[at] * c))
+        plans = docs.sparkSession.sparkContext.broadcast(plans)
         mean = max(1e-9, words / n) if n else 1.0
 
         def search(batches, plans=plans, mean=mean):
             for batch in batches:
                 for row in batch.to_pylist():
                     shard = _Shard(row)
-                    hits = [(q, d, s) for q, plan in plans for s, d in shard.top(plan, k, mean, k1, b)]
+                    parts = shard.parts(mean, k1, b)
+                    hits = []
+                    for q, terms, weights in plans.value:
+                        best = shard.scan(terms, weights, parts, k) if len(terms) > LONG else shard.top(list(zip(terms.tolist(), weights.tolist())), k, mean, k1, b)
+                        hits += [(q, d, s) for s, d in best]
                     if hits:
                         yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "doc_id", "score"])
 
