@@ -85,6 +85,55 @@ def test_ctw_is_a_distribution():
         assert (10 ** ctw._log_chances(keys, tree, top)).sum() == pytest.approx(1)
 
 
+def brute_ctw(learn, texts, depth=6):
+    """log10 of each text's probability by context trees that are walked bit by bit, a node for each (context, bits before)."""
+    close = lambda t: b"".join(w + b" " for w in t.lower().split()) + b"\n"
+    lg = math.lgamma
+
+    def decisions(text):
+        text = bytes(depth - 1) + b" " + close(text)
+        for i in range(depth, len(text)):
+            for bit in range(8):
+                yield [text[i - d : i] for d in range(depth + 1)], (256 | text[i]) >> (8 - bit), (text[i] >> (7 - bit)) & 1
+
+    n = {}
+    for t in learn:
+        for contexts, node, one in decisions(t):
+            for c in contexts:
+                n.setdefault((c, node), [0, 0])[one] += 1
+    own = {x: lg(a + 0.5) + lg(b + 0.5) - lg(a + b + 1) - math.log(math.pi) for x, (a, b) in n.items()}
+    below, whole = Counter(), {}
+    for c, node in sorted(n, key=lambda x: -len(x[0])):
+        x = (c, node)
+        whole[x] = own[x] if len(c) == depth else np.logaddexp(own[x], below[x]) - math.log(2)
+        if c:
+            below[c[1:], node] += whole[x]
+    out = []
+    for t in texts:
+        total = 0.0
+        for contexts, node, one in decisions(t):
+            met = [(c, node) for c in contexts if (c, node) in n]
+            p, rest = 0.0, 1.0
+            for x in met:
+                share = 1.0 if x == met[-1] else math.exp(own[x] - math.log(2) - whole[x])
+                p += rest * share * (n[x][one] + 0.5) / (sum(n[x]) + 1)
+                rest *= 1 - share
+            total += math.log10(p if met else 0.5)
+        out.append(total)
+    return out
+
+
+def test_ctw_contexts_run_over_words(spark):
+    """Scores are those of trees over whole texts, and depend on the order of words."""
+    learn = ["the cat sat on the mat", "A dog  sat\ton a log", "on the mat the cat sat é", "", None]
+    asked = ["the cat sat on a mat", "mat a on sat cat the", "zzz the dog", "", "cat"]
+    rows = [(i, t, False) for i, t in enumerate(learn)] + [(100 + i, t, True) for i, t in enumerate(asked)]
+    found = {r["doc_id"]: r["score"] for r in ctw.scores(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)).collect()}
+    want = brute_ctw([(t or "").encode() for t in learn], [(t or "").encode() for t in learn + asked])
+    assert [found[i] for i, *_ in rows] == pytest.approx(want)
+    assert found[100] > found[101] + 1
+
+
 def test_ctw_learns_nothing_from_held_out_rows(spark, docs):
     a = ctw.scores(docs.withColumn("held_out", F.lit(True))).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in a)

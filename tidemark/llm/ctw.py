@@ -1,14 +1,14 @@
 """Language-model scores by context-tree weighting over bytes.
 
 A text is its words, each closed by a space, and a line feed at the end. Every byte is eight binary decisions; each
-decision has a context tree over the bytes before it, back to the one that opens the word and at most ``DEPTH`` of them.
-A node's counts give a Krichevsky-Trofimov estimate; estimates of all depths are mixed with the weights that the
-training data gives them (the node's own probability of its data against that of its subtrees). Contexts that training
+decision has a context tree over the ``DEPTH`` bytes before it, whatever words they belong to; only the start of the text
+cuts them off. A node's counts give a Krichevsky-Trofimov estimate; estimates of all depths are mixed with the weights that
+the training data gives them (the node's own probability of its data against that of its subtrees). Contexts that training
 never met take no part in a mixture.
 
-Work grows with distinct things: tasks count words in blocks of text; (context, byte) pairs are counted over distinct
-words; subtrees are computed apart for each pair of last bytes; depths 0 and 1 (at most 65,535 nodes) are put together on
-the driver and broadcast. Words get their probability by a join, and blocks get their words' probabilities by another.
+Tasks count words and (context, byte) pairs in blocks of text, and the pairs' counts are summed over blocks; subtrees are
+computed apart for each pair of last bytes; depths 0 and 1 (at most 65,535 nodes) are put together on the driver and
+broadcast. Blocks get the probabilities of their distinct pairs, and the counts of their distinct words, by joins.
 """
 
 from __future__ import annotations
@@ -25,20 +25,24 @@ from .store import materialize, small_batches
 from .words import Words, chunks, encoded
 
 DEPTH = 6  #: bytes of context; a context and the next byte fill seven bytes of a long
-BLOCK = 16 << 20  #: bytes of text whose words are counted together
-WORDS = 150_000  #: distinct words that are spelled and priced together
+BLOCK = 16 << 20  #: bytes of text whose words and contexts are counted together
+_CHUNK = 1 << 20
+_ROWS = 100_000
 _LOG2 = np.log(2.0)
-_TABLES = "block long, doc_id array<long>, held_out array<boolean>, sizes array<int>, places binary, times binary, place int, word binary, n long"
+_TABLES = "block long, doc_id array<long>, held_out array<boolean>, sizes array<int>, places binary, times binary, place int, word binary, n long, text binary, key long"
 
 
 def _blocks(batches):
-    """For each block of text one row of its documents (word numbers and counts, packed) and a row for each of its words."""
+    """For each block of text one row of its documents (word numbers and counts, and texts, packed), a row for each of its
+    words, and a row for each of its (context, byte) pairs."""
     part, nth = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
     ids: list = []
     held: list = []
     hashes: list = []
     docs: list = []
     raw: list = []
+    closed: list = []
+    pairs: list = []  # per chunk: keys of (context, byte), and how often they are learned
     found: list = []  # per chunk: unique hashes, and where the words stand
     size = 0
 
@@ -65,16 +69,23 @@ def _blocks(batches):
         step = place.astype(np.int32)
         step[1:] -= place[:-1].astype(np.int32) * (owner[1:] == owner[:-1])
         packed = [zlib.compress(x.tobytes(), 1) for x in (step, times.astype(np.uint32))]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
-        text = [[block], [list(ids)], [list(held)], [sizes.tolist()], [packed[0]], [packed[1]], [None], [None], [None]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
+        text = [[block], [list(ids)], [list(held)], [sizes.tolist()], [packed[0]], [packed[1]], [None], [None], [None], [b"".join(closed)], [None]]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(text, kinds)], _NAMES)
         # the end of a text is the empty word, numbered -1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(w, block)), *(pa.nulls(w, k) for k in kinds[1:6]), pa.array(np.append(np.arange(w - 1), -1).astype(np.int32)), pa.array([*word, b""], pa.binary()), pa.array(np.append(n, end))],
+            [pa.array(np.full(w, block)), *(pa.nulls(w, k) for k in kinds[1:6]), pa.array(np.append(np.arange(w - 1), -1).astype(np.int32)), pa.array([*word, b""], pa.binary()), pa.array(np.append(n, end)), *(pa.nulls(w, k) for k in kinds[9:])],
             _NAMES,
         )
-        for x in (ids, held, hashes, docs, raw, found):
+        for x in (ids, held, hashes, docs, raw, found, closed):
             x.clear()
+        # chunks have ascending keys: ranges of keys are summed one after the other
+        cuts = max((k for k, _ in pairs), key=len)[_ROWS // 2 :: _ROWS // 2]
+        places = [[0, *np.searchsorted(k, cuts).tolist(), len(k)] for k, _ in pairs]
+        for i in range(len(cuts) + 1):
+            k, m = _summed([(k[at[i] : at[i + 1]], n[at[i] : at[i + 1]]) for (k, n), at in zip(pairs, places)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), *(pa.nulls(len(k), t) for t in kinds[1:8]), pa.array(m), pa.nulls(len(k), kinds[9]), pa.array(k)], _NAMES)
+        pairs.clear()
         size = 0
 
     for batch in batches:
@@ -88,6 +99,12 @@ def _blocks(batches):
             found.append((u, words.start[first], words.end[first]))
             ids.extend(some_ids[at : at + len(texts)])
             held.extend(some_held[at : at + len(texts)])
+            texts = [_closed(t) for t in texts]
+            closed.extend(texts)
+            for i, some in chunks(texts, _CHUNK):
+                key, length = _keys(some)
+                learned = ~np.array(some_held[at + i : at + i + len(some)], dtype=bool)
+                pairs.append(_summed([(key, np.repeat(learned, length).astype(np.int64))]))
             size += len(words.raw)
             if size >= BLOCK:
                 yield from flush()
@@ -98,9 +115,21 @@ def _blocks(batches):
 _NAMES = [c.split()[0] for c in _TABLES.split(", ")]
 
 
-def _keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The (context, byte) keys of words with what closes them: last byte of the context first, the byte itself last."""
-    closed = [w + b" " if w else b"\n" for w in words]
+def _closed(text: bytes) -> bytes:
+    """The text's words, lower-cased, as they are scored."""
+    words = text.lower().split()
+    return b" ".join(words) + b" \n" if words else b"\n"
+
+
+def _summed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, and the sums of their counts."""
+    key, inverse = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
+    return key, np.bincount(inverse, np.concatenate([n for _, n in pairs]), minlength=len(key)).astype(np.int64)
+
+
+def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The (context, byte) keys of texts: last byte of the context first, the byte itself last. A space comes before a text."""
+    closed = [_closed(t) for t in texts]
     length = np.array([len(w) for w in closed])
     buf = np.frombuffer(b"".join(closed), dtype=np.uint8).astype(np.int64)
     start = np.cumsum(length) - length
@@ -232,17 +261,9 @@ def scores(docs: DataFrame) -> DataFrame:
     tables = materialize(rows.mapInArrow(_blocks, _TABLES), "blocks")
     listed = tables.where("word IS NOT NULL").select("block", "place", "word", "n")
     vocabulary = materialize(listed.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count("*")).first()
-    vocabulary = vocabulary.withColumn("chunk", F.pmod(F.xxhash64("word"), F.lit(total[2] // WORDS + 1)))
-
-    def spell(words: pd.DataFrame) -> pd.DataFrame:
-        key, length = _keys(words["word"].to_list())
-        unique, inverse = np.unique(key, return_inverse=True)
-        n = np.bincount(inverse, np.repeat(words["c"].to_numpy(), length), minlength=len(unique)).astype(np.int64)
-        return pd.DataFrame({"chunk": words["chunk"].iloc[0], "key": unique, "n": n})
-
-    spelled = materialize(vocabulary.groupBy("chunk").applyInPandas(spell, "chunk long, key long, n long"), "spelled")
-    grams = materialize(spelled.groupBy("key").agg(F.sum("n").alias("n")).withColumn("tree", F.shiftright("key", 40)), "grams")
+    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    pairs = tables.where("key IS NOT NULL").select("block", "key", "n")
+    grams = materialize(pairs.groupBy("key").agg(F.sum("n").alias("n")).withColumn("tree", F.shiftright("key", 40)), "grams")
 
     def roots(rows: pd.DataFrame) -> pd.DataFrame:
         tree = _Subtree(rows["key"].to_numpy(), rows["n"].to_numpy())
@@ -258,24 +279,21 @@ def scores(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"key": key, "p": _log_chances(key, tree, top.value)})
 
     priced = grams.groupBy("tree").applyInPandas(chances, "key long, p double")
-    worth = spelled.select(F.col("chunk").alias("of"), "key").join(priced, "key").select("of", "key", "p")
-
-    def add(words: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
-        key, length = _keys(words["word"].to_list())
-        known = grams.sort_values("key")
-        p = known["p"].to_numpy()[np.searchsorted(known["key"].to_numpy(), key)]
-        return pd.DataFrame({"word": words["word"], "c": words["c"], "p": np.add.reduceat(p, np.cumsum(length) - length)})
-
-    words = vocabulary.groupBy("chunk").cogroup(worth.groupBy("of")).applyInPandas(add, "word binary, c long, p double")
-    paid = listed.select("block", "place", "word").join(words, "word").select("block", "place", "c", "p")
+    # what a block has to look up: pairs' probabilities by key, words' counts by -2 - place
+    paid = listed.select("block", "place", "word").join(vocabulary, "word").select("block", (-2 - F.col("place")).cast("long").alias("key"), F.col("c").cast("double").alias("value"))
+    worth = pairs.select("block", "key").join(priced, "key").select("block", "key", F.col("p").alias("value"))
     base = np.log10(total[0] + total[1] + 1)
 
-    def add_up(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        at = words["place"].to_numpy() + 1  # the end comes first
-        c, p = np.zeros(len(words)), np.zeros(len(words))
-        c[at], p[at] = words["c"], words["p"]
+    def add_up(texts: pa.Table, found: pa.Table) -> pa.Table:
+        key, value = found.column("key").to_numpy(), found.column("value").to_numpy()
+        words = np.flatnonzero(key < 0)
+        c = np.zeros(len(words))
+        c[-1 - key[words]] = value[words]  # the end comes first
+        order = np.argsort(key)[len(words) :]
+        known, worth = key[order], value[order]
+        del key, value, order
         b = np.log10(c + 1) - base
-        row = texts.iloc[0]
+        row = {x: texts.column(x)[0].as_py() for x in ("doc_id", "held_out", "sizes", "places", "times", "text")}
         size = np.asarray(row["sizes"], dtype=np.int64)
         place, times = (np.frombuffer(zlib.decompress(row[x]), dtype=k).astype(np.int64) for x, k in (("places", np.int32), ("times", np.uint32)))
         run = np.cumsum(place)
@@ -284,12 +302,15 @@ def scores(docs: DataFrame) -> DataFrame:
         place = run - start
         of = np.repeat(np.arange(len(size)), size)
         total_of = lambda v: np.bincount(of, v[place + 1] * times, minlength=len(size)) + v[0]
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array([None if pd.isna(i) else int(i) for i in row["doc_id"]], dtype="Int64"), "held_out": np.asarray(row["held_out"], dtype=bool), "n_tokens": total_of(np.ones(len(c))).astype(np.int64),
-                "n_known": total_of((c > 0).astype(float)).astype(np.int64), "train_tokens": total[0], "base_score": total_of(b), "score": total_of(p),
-            }
-        )
-
-    texts = tables.where("word IS NULL").select(F.col("block").alias("own"), "doc_id", "held_out", "sizes", "places", "times")
-    return texts.groupBy("own").cogroup(paid.groupBy("block")).applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        p = []
+        for _, some in chunks(row["text"].split(b"\n")[:-1], _CHUNK):
+            key, length = _keys(some)
+            p.append(np.add.reduceat(worth[np.searchsorted(known, key)], np.cumsum(length) - length))
+        n = len(size)
+        values = (row["doc_id"], row["held_out"], total_of(np.ones(len(c))).astype(np.int64), total_of((c > 0).astype(float)).astype(np.int64), np.full(n, total[0]), total_of(b), np.concatenate(p))
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table([pa.array(v, k) for v, k in zip(values, kinds)], [x.split()[0] for x in schema.split(", ")])
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    texts = tables.where("text IS NOT NULL").select(F.col("block").alias("own"), "doc_id", "held_out", "sizes", "places", "times", "text")
+    return texts.groupBy("own").cogroup(paid.unionByName(worth).groupBy("block")).applyInArrow(add_up, schema)
