@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 BUY, SELL, CHANGE, BUY_STOP, SELL_STOP, BUY_LIMIT, SELL_LIMIT = 0, 1, 2, 4, 5, 6, 7
+BUCKET = 1_000  #: numbers of ticks that meet scenarios together
 
 
 @dataclass
@@ -118,8 +119,14 @@ def cross_strategy(fast: int, slow: int, volume: float = 1.0) -> Callable:
 
 
 def sweep(ticks: DataFrame, scenarios: DataFrame, money: float, tick_value: float, cost: float) -> DataFrame:
-    """Final equity of each scenario (scenario, fast, slow, lo, hi) over its range of seq: one group per scenario and symbol."""
-    rows = ticks.join(F.broadcast(scenarios), (F.col("seq") >= F.col("lo")) & (F.col("seq") < F.col("hi")))
+    """Final equity of each scenario (scenario, fast, slow, lo, hi) over its range of seq: one group per scenario and symbol.
+
+    Ticks meet scenarios by buckets of seq, so that scenarios may be many."""
+    ends = ticks.agg(F.min("seq").alias("_from"), F.max("seq").alias("_to"))
+    bucket = lambda c: F.floor(c / BUCKET)
+    first, last = F.greatest("lo", "_from"), F.least(F.col("hi") - 1, F.col("_to"))
+    parts = scenarios.join(F.broadcast(ends)).where(first <= last).withColumn("_bucket", F.explode(F.sequence(bucket(first), bucket(last)))).drop("_from", "_to")
+    rows = ticks.withColumn("_bucket", bucket(F.col("seq"))).join(parts, "_bucket").where("seq >= lo AND seq < hi")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")

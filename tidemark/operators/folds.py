@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .joins import overlap_purge
 
 
-def sequential(df: DataFrame, number: str, size: int, step: int = 1) -> DataFrame:
-    """Rows with each fold that covers them: fold f holds numbers f * step + 1 to f * step + size, whole folds only."""
-    last = df.agg(F.max(number).alias("_max"))
+def sequential(df: DataFrame, number: str, size: int, step: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with each fold that covers them: fold f holds numbers f * step + 1 to f * step + size, whole folds only. Rows are
+    numbered for each ``by``."""
+    last = df.groupBy(*by).agg(F.max(number).alias("_max"))
     lo = F.greatest(F.lit(0), F.ceil((F.col(number) - size) / step))
     hi = F.least(F.floor((F.col(number) - 1) / step), F.floor((F.col("_max") - size) / step))
-    d = df.join(F.broadcast(last)).withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi")
+    d = (df.join(last, list(by)) if by else df.join(F.broadcast(last))).withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi")
     return d.withColumn("fold", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi", "_max")
 
 
@@ -50,15 +51,16 @@ def scores(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.agg(F.avg(((F.col(p) >= 0.5).cast("int") == F.col(y)).cast("double")).alias("accuracy"), (-F.avg(F.when(F.col(y) == 1, F.log(q)).otherwise(F.log(1 - q)))).alias("log_loss"))
 
 
-def each_fold(folds: DataFrame, fit_score: Callable[[pd.DataFrame, pd.DataFrame], float], classes: str) -> DataFrame:
-    """(fold, score) of a function of the train and the test rows; null where either holds a single class."""
+def each_fold(folds: DataFrame, fit_score: Callable[[pd.DataFrame, pd.DataFrame], float], classes: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, fold, score) of a function of the train and the test rows; null where either holds a single class."""
+    schema = ", ".join([*(f"`{k}` {folds.schema[k].dataType.simpleString()}" for k in by), "fold long, score double"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         train, test = rows[rows["part"] == "train"], rows[rows["part"] != "train"]
         ok = train[classes].nunique() > 1 and test[classes].nunique() > 1
-        return pd.DataFrame({"fold": [int(rows["fold"].iloc[0])], "score": [float(fit_score(train, test)) if ok else None]})
+        return pd.DataFrame({**{k: rows[k].iloc[:1].tolist() for k in by}, "fold": [int(rows["fold"].iloc[0])], "score": [float(fit_score(train, test)) if ok else None]})
 
-    return folds.groupBy("fold").applyInPandas(run, "fold long, score double")
+    return folds.groupBy(*by, "fold").applyInPandas(run, schema)
 
 
 def forest(df: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 5, seed: int = 1):

@@ -449,8 +449,8 @@ def n1(spark, d):
 
 @query("n2_split")
 def n2(spark, d):
-    f = folds.split(folds.sequential(_numbered(spark, d).where("symbol = 'view'"), "k", 800, 500), "k", 800, 500, 0.75, 40)
-    return shape(f.groupBy("fold", "part").agg(F.count("*").alias("n")), "fold n", "", "part")
+    f = folds.split(folds.sequential(_numbered(spark, d), "k", 800, 500, ("symbol",)), "k", 800, 500, 0.75, 40)
+    return shape(f.groupBy("symbol", "fold", "part").agg(F.count("*").alias("n")), "fold n", "", "symbol part")
 
 
 def _folded(spark, d, k=5):
@@ -503,7 +503,7 @@ def o5(spark, d):
 @query("o6_minute_simulator")
 def o6(spark, d):
     h = _hours(spark, d).withColumns({"day": F.to_date("time"), "k": F.hour("time").cast("long")})
-    g = h.where("k % 5 = 0").select("symbol", "day", "k", F.when(F.col("close") > F.col("open"), 1).otherwise(-1).alias("direction"))
+    g = h.select("symbol", "day", "k", F.when(F.col("close") > F.col("open"), 1).otherwise(-1).alias("direction"))
     return shape(backtest.minute_simulate(h, g, 0.2, 0.3, 6, 3), "opened shut side", "entry fill ret", "symbol day")
 
 
@@ -517,7 +517,7 @@ def o7(spark, d):
 
 @query("o8_cash_replay")
 def o8(spark, d):
-    n = _numbered(spark, d).where("k % 13 = 0")
+    n = _numbered(spark, d)
     e = n.select("symbol", F.col("k").alias("time"), F.col("k").alias("order_id"), F.lit(1).alias("side"), F.col("last").alias("value"))
     s = n.select("symbol", (F.col("k") + 40).alias("time"), F.col("k").alias("order_id"), F.lit(-1).alias("side"), (F.col("last") * 1.01).alias("value"))
     return shape(backtest.cash_replay(e.unionByName(s), 600.0), "order_id accepted", "", "symbol")
@@ -525,8 +525,12 @@ def o8(spark, d):
 
 @query("o9_scenarios")
 def o9(spark, d):
-    grid = spark.createDataFrame([(i, f, s, lo, lo + 800) for i, (f, s, lo) in enumerate((f, s, lo) for f, s in ((3, 10), (5, 20)) for lo in (0, 400))], "scenario long, fast int, slow int, lo long, hi long")
-    return shape(backtest.sweep(market.deals(spark, d), grid, 10_000.0, 0.2, 1.0), "scenario deals", "equity", "symbol")
+    """Stretches of 800 numbers, one for every 400, over all of seq."""
+    deals = market.deals(spark, d)
+    last = deals.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    pairs = spark.createDataFrame([(0, 3, 10), (1, 5, 20)], "nth long, fast int, slow int")
+    grid = spark.range(last // 400 + 1).join(F.broadcast(pairs)).select((F.col("id") * 2 + F.col("nth")).alias("scenario"), "fast", "slow", (F.col("id") * 400).alias("lo"), (F.col("id") * 400 + 800).alias("hi"))
+    return shape(backtest.sweep(deals, grid, 10_000.0, 0.2, 1.0), "scenario deals", "equity", "symbol")
 
 
 @query("o10_trailing_stop", sql(DEALS_SQL, f"SELECT symbol, seq, max(m) OVER (PARTITION BY symbol, seq // 100 ORDER BY seq) - 10 AS stop FROM (SELECT *, avg(last) OVER {_rows(5)} AS m FROM deals)", "seq", "stop", "symbol"))

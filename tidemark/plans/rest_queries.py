@@ -101,7 +101,7 @@ def k3(spark, d):
 
 
 def _model_rows(spark, d):
-    t = _numbered(spark, d).where("symbol = 'view'")
+    t = _numbered(spark, d)
     w = Window.partitionBy("symbol").orderBy("k")
     return t.withColumns({"r": F.col("last") - F.lag("last").over(w), "y": (F.lead("last").over(w) > F.col("last")).cast("int")}).na.drop(subset=["r", "y"])
 
@@ -115,15 +115,15 @@ def _stump(train, test):
 
 @query("n5_walk_forward")
 def n5(spark, d):
-    f = folds.split(folds.sequential(_model_rows(spark, d), "k", 150, 100), "k", 150, 100, 0.7, 20)
-    return shape(folds.each_fold(f, _stump, "y"), "fold", "score")
+    f = folds.split(folds.sequential(_model_rows(spark, d), "k", 150, 100, ("symbol",)), "k", 150, 100, 0.7, 20)
+    return shape(folds.each_fold(f, _stump, "y", ("symbol",)), "fold", "score", "symbol")
 
 
 @query("n6_sliding_predictions")
 def n6(spark, d):
-    f = folds.split(folds.sequential(_model_rows(spark, d), "k", 150, 20), "k", 150, 20, 0.9, 20)
-    s = folds.each_fold(f.where("part <> 'valid'"), _stump, "y")
-    return shape(s.withColumn("act", (F.col("score") >= 0.9).cast("int")), "fold act", "score")
+    f = folds.split(folds.sequential(_model_rows(spark, d), "k", 150, 20, ("symbol",)), "k", 150, 20, 0.9, 20)
+    s = folds.each_fold(f.where("part <> 'valid'"), _stump, "y", ("symbol",))
+    return shape(s.withColumn("act", (F.col("score") >= 0.9).cast("int")), "fold act", "score", "symbol")
 
 
 @query("n7_overlapping_slices", sql(NUMBERED, "SELECT symbol, b AS block, count(*) AS n FROM numbered, (SELECT unnest(range(0, 200)) AS b) WHERE k - 1 >= b * 100 - 10 AND k - 1 < b * 100 + 100 GROUP BY 1, 2", "block n", "", "symbol"))
@@ -135,7 +135,7 @@ def n7(spark, d):
 
 @query("n11_parameter_search")
 def n11(spark, d):
-    grid = spark.createDataFrame([(i, f, s, 0, 100_000) for i, (f, s) in enumerate((f, s) for f in (3, 5, 8) for s in (13, 21))], "scenario long, fast int, slow int, lo long, hi long")
+    grid = spark.createDataFrame([(i, f, s, 0, 2**62) for i, (f, s) in enumerate((f, s) for f in (3, 5, 8) for s in (13, 21))], "scenario long, fast int, slow int, lo long, hi long")
     r = backtest.sweep(market.deals(spark, d), grid, 10_000.0, 0.2, 1.0).groupBy("scenario").agg(F.sum("equity").alias("equity"))
     return shape(r.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("equity"), "scenario"))), "scenario rank", "equity")  # one row per scenario
 
