@@ -329,6 +329,40 @@ def test_leaks(spark):
     assert decontaminate.leaks(d.limit(0), b).collect() == [] and decontaminate.leaks(d, b.limit(0)).collect() == []
 
 
+def test_leaks_of_every_similar_passage(spark):
+    """Recall against brute force: rewritten blocks, scattered edits, insertions and truncation just above 0.8."""
+    r = np.random.default_rng(11)
+    fresh = iter(range(10**6))
+    items, texts = [], []
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    def similar(a, b):
+        a, b = grams(a), grams(b)
+        return (a & b).total() / (a | b).total()
+
+    for n in (20, 59, 100, 150, 200, 300):
+        for nth in range(12):
+            item = [f"i{x}" for x in r.integers(0, 5000, n)]
+            change = {
+                "block": lambda w, m: w[: n // 2 - m // 2] + [f"f{next(fresh)}" for _ in range(m)] + w[n // 2 - m // 2 + m :],
+                "edits": lambda w, m: [f"f{next(fresh)}" if i in set(np.linspace(3, n - 4, m).astype(int)) else x for i, x in enumerate(w)],
+                "insert": lambda w, m: w[: n // 3] + [f"f{next(fresh)}" for _ in range(m)] + w[n // 3 :],
+                "cut": lambda w, m: w[: n - m],
+                "behead": lambda w, m: w[m:],
+            }
+            for kind, f in change.items():
+                passage = next(p for m in range(n // 2, -1, -1) if similar(item, p := f(item, m) if m else item) >= 0.8)
+                alone = kind in ("cut", "behead") and nth % 2
+                texts.append((len(texts), " ".join(passage if alone else [f"a{next(fresh)}" for _ in range(nth * 7)] + passage + [f"b{next(fresh)}" for _ in range(30)]), len(items)))
+            items.append((len(items), " ".join(item)))
+    d = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string").repartition(3)
+    got = decontaminate.leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(i, x) for i, _, x in texts} == {(g["doc_id"], g["item_id"]) for g in got}
+    for g in got:
+        passage = texts[g["doc_id"]][1].split()[g["start_word"] : g["start_word"] + g["n_words"]]
+        assert g["similarity"] == pytest.approx(similar(items[g["item_id"]][1].split(), passage)) and 0 <= g["distance"] <= 64
+
+
 def test_block_tables_find_every_fingerprint_within_the_radius():
     r = np.random.default_rng(4)
     index = decontaminate.Index([(1, prose(40, 50).encode())])

@@ -5,6 +5,10 @@ Every item is fingerprinted over its word pairs, once for each of ``STRIDE`` off
 exact for short ones, in steps of five per cent for longer ones. A fingerprint of 64 bits is four blocks of 16; blocks
 within two bits of an item's are looked up in tables, which by the pigeonhole principle finds every fingerprint within
 11 bits. Those windows, grown to the item's length, are verified by exact weighted-shingle similarity.
+
+Near the threshold a fingerprint may be further off, and a text may be shorter than an item's window. A passage that is similar
+enough lacks at most a known share of an item's shingles, so that it has one of any few more: these are looked up in every
+text, and where one is found all passages are compared. No passage is missed, whatever its fingerprint.
 """
 
 from __future__ import annotations
@@ -67,8 +71,8 @@ def _shingles(words: Words, n: int) -> tuple[np.ndarray, int]:
 class Index:
     """Fingerprints of the items by window size, their block tables, and their shingles."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
-        self.items = []
+    def __init__(self, items: list[tuple[int, bytes]], threshold: float = 0.8):
+        self.items, self.texts = [], []
         sizes: dict[int, list] = {}
         for item, text in items:
             words = Words([text], lower=True)
@@ -81,6 +85,7 @@ class Index:
             prints = _Bits(words).every(1, size)[:step]
             sizes.setdefault((size, step), []).extend((int(p), len(self.items), o) for o, p in enumerate(prints))
             self.items.append((item, n, k, Counter(grams.tolist())))
+            self.texts.append(text)
         self.sizes = {}
         for key, rows in sizes.items():
             prints = np.array([r[0] for r in rows], dtype=U64)
@@ -88,6 +93,22 @@ class Index:
             for b, block in enumerate(prints.view(np.uint16).reshape(-1, 4).T):
                 tables[b, (block[:, None] ^ _BALL).ravel()] = True
             self.sizes[key] = (prints, tables, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+        often = Counter(g for _, _, _, own in self.items for g in own)
+        asked: dict[int, list] = {}
+        for place, (_, _, k, own) in enumerate(self.items):
+            spare = int((1 - threshold) * own.total() + 1e-9)  # so many may be lacking
+            for g in sorted(own, key=lambda g: (often[g], g)):
+                asked.setdefault(k, []).append((g, place))
+                spare -= own[g]
+                if spare < 0:
+                    break
+        self.asked = {}
+        for k, pairs in asked.items():
+            pairs.sort()
+            hashes = np.array([g for g, _ in pairs], dtype=U64)
+            table = np.zeros(1 << 16, dtype=bool)
+            table[hashes & U64(0xFFFF)] = True
+            self.asked[k] = (hashes, np.array([x for _, x in pairs]), table)
 
     def candidates(self, words: Words):
         """(item's place, first word, distance) of windows within the radius."""
@@ -105,6 +126,51 @@ class Index:
                 w, p = np.nonzero(apart <= RADIUS)
                 yield from zip(place[p].tolist(), (some[w] * step - offset[p]).tolist(), apart[w, p].tolist(), words.doc[some[w] * step].tolist())
 
+    def sharing(self, words: Words, grams: dict[int, np.ndarray]) -> set[tuple[int, int]]:
+        """(text's place, item's place) of texts that have a shingle which similar passages cannot all lack."""
+        out: set = set()
+        for k, (hashes, place, table) in self.asked.items():
+            if k not in grams:
+                grams[k] = words.windows(k)[0]
+            hit = np.flatnonzero(table[grams[k] & U64(0xFFFF)])
+            hit = hit[words.doc[hit] == words.doc[hit + k - 1]]
+            lo, hi = np.searchsorted(hashes, grams[k][hit]), np.searchsorted(hashes, grams[k][hit], side="right")
+            for doc, a, b in zip(words.doc[hit[lo < hi]].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist()):
+                out.update((doc, x) for x in place[a:b].tolist())
+        return out
+
+    def passages(self, grams: np.ndarray, place: int, threshold: float):
+        """(similarity, first word, words) of all similar passages of a text that begin and end with shingles of the item:
+        without them at its ends a passage is more similar."""
+        _, _, k, own = self.items[place]
+        total = own.total()
+        at = np.flatnonzero(np.isin(grams, np.fromiter(own, dtype=U64, count=len(own)))).tolist()
+        seen = grams[at].tolist()
+        longest, least = total / threshold + 1e-9, threshold * total - 1e-9
+        until = 0
+        for i, first in enumerate(at):
+            while until < len(at) and at[until] - first + 1 <= longest:
+                until += 1
+            if until - i < least:
+                continue
+            left, common = dict(own), 0
+            for j in range(i, until):
+                if left[seen[j]] > 0:
+                    left[seen[j]] -= 1
+                    common += 1
+                size = at[j] - first + 1
+                similarity = common / (total + size - common)
+                if similarity >= threshold:
+                    yield similarity, first, size + k - 1
+
+    def apart(self, words: Words, first: int, n: int, place: int) -> int:
+        """Distance of the fingerprints of a passage and of the whole item."""
+        of = lambda h: np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0) > len(h) // 2 if len(h) else np.zeros(64, bool)
+        pairs = words.windows(2)[0][first : first + n - 1] if n > 1 else words.hash[first : first + 1]
+        item = Words([self.texts[place]], lower=True)
+        own = item.windows(2)[0] if len(item.hash) > 1 else item.hash
+        return int((of(pairs) != of(own)).sum())
+
     def verify(self, words: Words, threshold: float):
         """(text's place, item_id, first word, words, similarity, distance), the best of overlapping ones."""
         grams: dict[int, np.ndarray] = {}
@@ -124,13 +190,16 @@ class Index:
                     s = common / (own.total() + seen.total() - common)
                     if s >= threshold:
                         best.setdefault((doc, place), []).append((-s, x - lo, y - x, apart))
+        for doc, place in self.sharing(words, grams):
+            lo, hi, k = int(words.first[doc]), int(words.first[doc + 1]), self.items[place][2]
+            best.setdefault((doc, place), []).extend((-s, x, m, 65) for s, x, m in self.passages(grams[k][lo : hi - k + 1], place, threshold))
         for (doc, place), hits in best.items():
             taken: list = []
             for s, x, m, apart in sorted(hits):
                 if all(x + m <= t[1] or t[1] + t[2] <= x for t in taken):
                     taken.append((s, x, m, apart))
             for s, x, m, apart in taken:
-                yield doc, self.items[place][0], int(x), int(m), -s, int(apart)
+                yield doc, self.items[place][0], int(x), int(m), -s, int(apart) if apart <= 64 else self.apart(words, int(words.first[doc]) + x, m, place)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -149,7 +218,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     out = None
     for r in range(rounds):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r) if rounds > 1 else items
-        index = spark.sparkContext.broadcast(Index([(i, encoded([t])[0]) for i, t in some.collect()]))
+        index = spark.sparkContext.broadcast(Index([(i, encoded([t])[0]) for i, t in some.collect()], threshold))
 
         def search(batches, index=index):
             for batch in batches:
