@@ -69,20 +69,22 @@ def test_ctw_base_score_and_probabilities(spark, docs, rows):
 
 def test_ctw_is_a_distribution():
     """The probabilities of all bytes in a context add up to one, known context or not."""
-    key, length = ctw._keys([b"abc", b"abd", b"a", b"", b"xabcabcabc"])
+    key, _ = ctw._keys([b"abc \n", b"abd \n", b"a \n", b"\n", b"xabcabcabc \n"])
     unique, n = np.unique(key, return_counts=True)
-    tree = ctw._Subtree(unique[unique >> 40 == unique[0] >> 40], n[unique >> 40 == unique[0] >> 40])
     import pandas as pd
 
     rows = []
     for g in np.unique(unique >> 40):
-        t = ctw._Subtree(unique[unique >> 40 == g], n[unique >> 40 == g])
-        k, n0, n1, *_ = t.levels[2]
-        rows.append(pd.DataFrame({"last": k >> 16, "node": k & 255, "n0": n0, "n1": n1, "whole": t.whole}))
+        t = ctw._Tree(unique[unique >> 40 == g], n[unique >> 40 == g])
+        m = np.flatnonzero(t.met)
+        rows.append(pd.DataFrame({"last": t.last, "node": m, "n0": t.n0[m], "n1": t.n1[m], "whole": t.whole[m]}))
     top = ctw._top(pd.concat(rows).groupby(["last", "node"], as_index=False).sum())
-    for context in (int(unique[0]) >> 8, (int(unique[0]) >> 40 << 32) | 12345):
-        keys = (context << 8) | np.arange(256)
-        assert (10 ** ctw._log_chances(keys, tree, top)).sum() == pytest.approx(1)
+    met = int(unique[0])
+    for context in (met >> 8, (met >> 40 << 32) | 12345, (int(unique[-1]) >> 48 << 40) | 12345):
+        have = unique >> 40 == context >> 32
+        keys = np.unique(np.concatenate([unique[have], (context << 8) | np.arange(256)]))
+        tree = ctw._Tree(keys, np.array([n[unique == k].sum() for k in keys]))
+        assert (10 ** tree.log_chances(top))[keys >> 8 == context].sum() == pytest.approx(1)
 
 
 def brute_ctw(learn, texts, depth=6):
@@ -130,10 +132,28 @@ def test_ctw_contexts_run_over_words(spark):
     rows = [(i, t, False) for i, t in enumerate(learn)] + [(100 + i, t, True) for i, t in enumerate(asked)]
     found = {r["doc_id"]: r["score"] for r in ctw.scores(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)).collect()}
     want = brute_ctw([(t or "").encode() for t in learn], [(t or "").encode() for t in learn + asked])
-    assert [found[i] for i, *_ in rows] == pytest.approx(want)
+    assert [found[i] for i, *_ in rows] == pytest.approx(want, rel=1e-9)
     assert found[100] > found[101] + 1
 
 
+def test_ctw_slices_and_blocks_change_nothing(spark, rows, monkeypatch):
+    """Small blocks, slices and merges give the scores of the large ones; so do null doc_ids, repeated rows and other columns."""
+    marked = [(i if i % 4 else None, t, i % 3 == 0) for i, t, *_ in rows[:14]] * 2
+    learn = [t for _, t, h in marked if not h]
+    want = Counter(round(x, 6) for x in brute_ctw([(t or "").encode() for t in learn], [(t or "").encode() for _, t, _ in marked]))
+    table = spark.createDataFrame([(*r, "b", 1) for r in marked], "doc_id long, text string, held_out boolean, block string, n int")
+    assert Counter(round(r["score"], 6) for r in ctw.scores(table.repartition(4)).collect()) == want
+    key, _ = ctw._keys([ctw._closed((t or "").encode()) for t in learn])
+    unique, n = np.unique(key, return_counts=True)
+    most = np.bincount(unique >> 40).argmax()
+    unique, n = unique[unique >> 40 == most], n[unique >> 40 == most]
+    top = tuple(np.full((256, 256), x) for x in (0.1, 0.7, 0.5))
+    whole = ctw._Tree(unique, n)
+    monkeypatch.setattr(ctw, "_SLICE", 3)
+    cut = ctw._Tree(unique, n)
+    assert len(cut.slices) > 1 and np.allclose(cut.whole, whole.whole) and np.allclose(cut.log_chances(top), whole.log_chances(top))
+
+
 def test_ctw_learns_nothing_from_held_out_rows(spark, docs):
     a = ctw.scores(docs.withColumn("held_out", F.lit(True))).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in a)

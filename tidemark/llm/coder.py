@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .store import small_batches, spread
+from .store import slices, spread
 from .tokens import PieceEncoder
 
 MAGIC = b"TMK1"
@@ -220,7 +220,6 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, path: str, size: int |
 
     Rows with null doc_id come first, rows that repeat a doc_id one after the other. An empty table gives files without a row.
     """
-    small_batches(docs.sparkSession)
 
     def code(batches):
         encoder = PieceEncoder.of(vocabulary)
@@ -235,7 +234,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, path: str, size: int |
             before += n
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in _FRAME.split(", ")])
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, count = encoder.ids([t or "" for t in batch.column("text").to_pylist()])
             stop = np.cumsum(count)
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), stop - count, stop):
@@ -260,7 +259,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before_part"))
 
     def decoded(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 ids = decode(row["head"], row["payload"])
                 n = np.array(row["sizes"], dtype=np.int64)

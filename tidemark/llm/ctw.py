@@ -6,113 +6,137 @@ cuts them off. A node's counts give a Krichevsky-Trofimov estimate; estimates of
 the training data gives them (the node's own probability of its data against that of its subtrees). Contexts that training
 never met take no part in a mixture.
 
-Tasks count words and (context, byte) pairs in blocks of text, and the pairs' counts are summed over blocks; subtrees are
-computed apart for each pair of last bytes; depths 0 and 1 (at most 65,535 nodes) are put together on the driver and
-broadcast. Blocks get the probabilities of their distinct pairs, and the counts of their distinct words, by joins.
+Blocks of text count their (context, byte) pairs and send them, sorted and packed, to the tree of the last two bytes. A
+tree's task merges what the blocks counted, one block after the other, and works on contexts of three bytes at a time; it
+sends each block the probabilities of the pairs that the block has. Depths 0 and 1 (at most 65,280 nodes) are put together
+on the driver and broadcast. A task so holds one block, or the distinct pairs under two last bytes.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .store import materialize, small_batches
+from .store import materialize, slices
 from .words import Words, chunks, encoded
 
 DEPTH = 6  #: bytes of context; a context and the next byte fill seven bytes of a long
-BLOCK = 16 << 20  #: bytes of text whose words and contexts are counted together
+BLOCK = 32 << 20  #: bytes of text whose words and contexts are counted together
 _CHUNK = 1 << 20
-_ROWS = 100_000
+_SLICE = 1 << 15  #: pairs of a tree that are worked on at once, at least
+_MERGE = 1 << 20  #: pairs that wait to be merged
 _LOG2 = np.log(2.0)
-_TABLES = "block long, doc_id array<long>, held_out array<boolean>, sizes array<int>, places binary, times binary, place int, word binary, n long, text binary, key long"
+_TABLES = "block long, doc_id array<long>, held_out array<boolean>, text binary, word binary, n long, tree int, pairs binary, times binary"
+_KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+_NAMES = [c.split()[0] for c in _TABLES.split(", ")]
+
+
+def _rows(rows: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(rows, k) for c, k in zip(_NAMES, _KINDS)], _NAMES)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, and the sums of their counts."""
+    key, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+class _Sum:
+    """Counts of keys that come in sorted parts; merged whenever much waits."""
+
+    def __init__(self):
+        self.parts: list = []
+        self.waiting = 0
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((key, n))
+        self.waiting += len(key)
+        if self.waiting > _MERGE and self.waiting > len(self.parts[0][0]):
+            self.parts, self.waiting = [self.total()], 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(self.parts)
 
 
-def _blocks(batches):
-    """For each block of text one row of its documents (word numbers and counts, and texts, packed), a row for each of its
-    words, and a row for each of its (context, byte) pairs."""
+def _packed(x: np.ndarray) -> bytes:
+    return zlib.compress(x.tobytes(), 1)
+
+
+def _keys_of(pairs: bytes, tree: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(pairs), dtype=np.int64)) + (tree << 40)
+
+
+def _blocks(batches) -> Iterator[pa.RecordBatch]:
+    """For each block of text one row of its documents, a row for each of its words and how often they are learned, and a
+    row for each tree that it has pairs in."""
     part, nth = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
     ids: list = []
     held: list = []
-    hashes: list = []
-    docs: list = []
-    raw: list = []
     closed: list = []
-    pairs: list = []  # per chunk: keys of (context, byte), and how often they are learned
-    found: list = []  # per chunk: unique hashes, and where the words stand
+    words: dict = {}
+    pairs = _Sum()
     size = 0
 
     def flush():
-        nonlocal nth, size
+        nonlocal nth, pairs, size
         block = (part << 32) | nth
         nth += 1
-        h = np.concatenate(hashes)
-        unique, inverse = np.unique(h, return_inverse=True)
-        word: list = [None] * len(unique)
-        for (u, start, end), text in zip(found, raw):
-            for k, a, b in zip(np.searchsorted(unique, u).tolist(), start.tolist(), end.tolist()):
-                if word[k] is None:
-                    word[k] = text[a:b]
-        doc = np.concatenate(docs)
-        key = doc.astype(np.int64) * len(unique) + inverse
-        pair, times = np.unique(key, return_counts=True)
-        owner, place = np.divmod(pair, max(1, len(unique)))
-        sizes = np.bincount(owner, minlength=len(ids)).astype(np.int32)
-        learned = ~np.array(held, dtype=bool)
-        n = np.bincount(place, times * learned[owner], minlength=len(unique)).astype(np.int64)
-        end = int(learned.sum())
-        w = len(unique) + 1
-        step = place.astype(np.int32)
-        step[1:] -= place[:-1].astype(np.int32) * (owner[1:] == owner[:-1])
-        packed = [zlib.compress(x.tobytes(), 1) for x in (step, times.astype(np.uint32))]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
-        text = [[block], [list(ids)], [list(held)], [sizes.tolist()], [packed[0]], [packed[1]], [None], [None], [None], [b"".join(closed)], [None]]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(text, kinds)], _NAMES)
-        # the end of a text is the empty word, numbered -1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(w, block)), *(pa.nulls(w, k) for k in kinds[1:6]), pa.array(np.append(np.arange(w - 1), -1).astype(np.int32)), pa.array([*word, b""], pa.binary()), pa.array(np.append(n, end)), *(pa.nulls(w, k) for k in kinds[9:])],
-            _NAMES,
-        )
-        for x in (ids, held, hashes, docs, raw, found, closed):
+        words[b""] = len(held) - sum(held)  # the end of a text
+        yield _rows(1, block=[block], doc_id=[ids], held_out=[held], text=[zlib.compress(b"".join(closed), 1)])
+        yield _rows(len(words), block=np.full(len(words), block), word=list(words), n=list(words.values()))
+        for x in (ids, held, closed, words):
             x.clear()
-        # chunks have ascending keys: ranges of keys are summed one after the other
-        cuts = max((k for k, _ in pairs), key=len)[_ROWS // 2 :: _ROWS // 2]
-        places = [[0, *np.searchsorted(k, cuts).tolist(), len(k)] for k, _ in pairs]
-        for i in range(len(cuts) + 1):
-            k, m = _summed([(k[at[i] : at[i + 1]], n[at[i] : at[i + 1]]) for (k, n), at in zip(pairs, places)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), *(pa.nulls(len(k), t) for t in kinds[1:8]), pa.array(m), pa.nulls(len(k), kinds[9]), pa.array(k)], _NAMES)
-        pairs.clear()
-        size = 0
-
-    for batch in batches:
+        key, n = pairs.total()
+        pairs, size = _Sum(), 0
+        tree, first = np.unique(key >> 40, return_index=True)
+        for at in range(0, len(tree), 200):
+            some = [(key[a:b], n[a:b]) for a, b in zip(first[at : at + 200], np.append(first, len(key))[at + 1 :])]
+            yield _rows(
+                len(some), block=np.full(len(some), block), tree=tree[at : at + 200].astype(np.int32),
+                pairs=[_packed(np.diff(k, prepend=int(t) << 40)) for (k, _), t in zip(some, tree[at : at + 200])], times=[_packed(m.astype(np.uint32)) for _, m in some],
+            )
+
+    for batch in slices(batches):
         some_ids, some_held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-        for at, texts in chunks(encoded(batch.column("text").to_pylist())):
-            words = Words(texts, lower=True)
-            hashes.append(words.hash)
-            docs.append(words.doc + len(ids))
-            u, first = np.unique(words.hash, return_index=True)
-            raw.append(words.raw.lower())
-            found.append((u, words.start[first], words.end[first]))
-            ids.extend(some_ids[at : at + len(texts)])
-            held.extend(some_held[at : at + len(texts)])
+        for at, texts in chunks(encoded(batch.column("text").to_pylist()), _CHUNK):
+            own = some_held[at : at + len(texts)]
+            learned = ~np.array(own, dtype=bool)
             texts = [_closed(t) for t in texts]
+            for word, n in zip(*_words(texts, learned)):
+                words[word] = words.get(word, 0) + n
+            key, length = _keys(texts)
+            code, unique = pd.factorize(key)
+            n = np.bincount(code, np.repeat(learned, length), minlength=len(unique)).astype(np.int64)
+            order = np.argsort(unique)
+            pairs.add(unique[order], n[order])
+            ids.extend(some_ids[at : at + len(texts)])
+            held.extend(own)
             closed.extend(texts)
-            for i, some in chunks(texts, _CHUNK):
-                key, length = _keys(some)
-                learned = ~np.array(some_held[at + i : at + i + len(some)], dtype=bool)
-                pairs.append(_summed([(key, np.repeat(learned, length).astype(np.int64))]))
-            size += len(words.raw)
+            size += len(key)
             if size >= BLOCK:
                 yield from flush()
     if ids:
         yield from flush()
 
 
-_NAMES = [c.split()[0] for c in _TABLES.split(", ")]
+def _words(texts: list[bytes], learned: np.ndarray) -> tuple[list[bytes], list[int]]:
+    """The distinct words, and how often learned texts have them."""
+    words = Words(texts, lower=False)
+    code, unique = pd.factorize(words.hash)
+    n = np.bincount(code, learned[words.doc], minlength=len(unique)).astype(np.int64)
+    first = np.zeros(len(unique), dtype=np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    return [words.raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())], n.tolist()
 
 
 def _closed(text: bytes) -> bytes:
@@ -121,24 +145,18 @@ def _closed(text: bytes) -> bytes:
     return b" ".join(words) + b" \n" if words else b"\n"
 
 
-def _summed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in ascending order, and the sums of their counts."""
-    key, inverse = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
-    return key, np.bincount(inverse, np.concatenate([n for _, n in pairs]), minlength=len(key)).astype(np.int64)
-
-
-def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The (context, byte) keys of texts: last byte of the context first, the byte itself last. A space comes before a text."""
-    closed = [_closed(t) for t in texts]
+def _keys(closed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The (context, byte) keys of closed texts, and how many each has: last byte of the context first, the byte itself last.
+    A space comes before a text."""
     length = np.array([len(w) for w in closed])
     buf = np.frombuffer(b"".join(closed), dtype=np.uint8).astype(np.int64)
-    start = np.cumsum(length) - length
-    nth = np.arange(len(buf)) - np.repeat(start, length)
+    first = np.cumsum(length) - length
     key = buf.copy()
     for back in range(1, DEPTH + 1):
         before = np.zeros(len(buf), dtype=np.int64)
-        before[back:] = buf[:-back] if back < len(buf) else 0
-        before = np.where(nth >= back, before, np.where(nth == back - 1, 32, 0))
+        before[back:] = buf[: max(0, len(buf) - back)]
+        for nth in range(back):  # the first bytes of a text have less before them
+            before[(first + nth)[length > nth]] = 32 if nth == back - 1 else 0
         key |= before << (8 * (DEPTH + 1 - back))
     return key, length
 
@@ -165,43 +183,39 @@ def _one(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 class _Subtree:
-    """Nodes of depth DEPTH to 2 under one pair of last bytes, from distinct keys and their counts."""
+    """Nodes of depth DEPTH to ``least`` from distinct keys and their counts."""
 
-    def __init__(self, key: np.ndarray, n: np.ndarray):
+    def __init__(self, key: np.ndarray, n: np.ndarray, least: int):
         byte, context = key & 255, key >> 8
         bit = np.arange(8)
-        node = (context[:, None] << 8) | ((256 | byte[:, None]) >> (8 - bit))
-        ones = (byte[:, None] >> (7 - bit)) & 1
+        node = ((context[:, None] << 8) | ((256 | byte[:, None]) >> (8 - bit))).ravel()
+        ones = ((byte[:, None] >> (7 - bit)) & 1).ravel()
         weight = np.repeat(n.astype(np.float64), 8)
-        node, ones = node.ravel(), ones.ravel()
         keys, inverse = np.unique(node, return_inverse=True)
         n1 = np.bincount(inverse, weight * ones, minlength=len(keys))
-        n0 = np.bincount(inverse, weight * (1 - ones), minlength=len(keys))
-        self.levels = {}
-        own = _kt(n0, n1)
-        whole, share, parent = own, np.ones(len(keys)), None
-        for depth in range(DEPTH, 1, -1):
+        n0 = np.bincount(inverse, weight, minlength=len(keys)) - n1
+        self.least, self.levels = least, {}
+        whole, share, parent = _kt(n0, n1), np.ones(len(keys)), None
+        for depth in range(DEPTH, least - 1, -1):
             self.levels[depth] = [keys, n0, n1, share, None]
             if depth < DEPTH:
                 self.levels[depth + 1][4] = parent
-            if depth == 2:
-                break
-            above, parent = np.unique(((keys >> 16) << 8) | (keys & 255), return_inverse=True)
-            m0, m1, below = (np.bincount(parent, x, minlength=len(above)) for x in (n0, n1, whole))
-            own = _kt(m0, m1)
-            keys, n0, n1, whole = above, m0, m1, np.logaddexp(own, below) - _LOG2
-            share = np.exp(own - _LOG2 - whole)
+            if depth > least:
+                above, parent = np.unique(((keys >> 16) << 8) | (keys & 255), return_inverse=True)
+                n0, n1, below = (np.bincount(parent, x, minlength=len(above)) for x in (n0, n1, whole))
+                own = _kt(n0, n1)
+                keys, whole = above, np.logaddexp(own, below) - _LOG2
+                share = np.exp(own - _LOG2 - whole)
         self.whole = whole
 
     def chances(self, sure: np.ndarray, rest: np.ndarray) -> dict[int, np.ndarray]:
         """Of each node: the probability of a one if it is the deepest that training met. sure and rest: what the depths
-        above have settled, and the weight they leave, by last byte and node."""
-        keys, *_ = self.levels[2]
-        s, r = sure[keys >> 16, keys & 255], rest[keys >> 16, keys & 255]
+        above ``least`` have settled for each of its nodes, and the weight they leave."""
+        s, r = sure, rest
         out = {}
-        for depth in range(2, DEPTH + 1):
-            keys, n0, n1, share, parent = self.levels[depth]
-            if depth > 2:
+        for depth in range(self.least, DEPTH + 1):
+            _, n0, n1, share, parent = self.levels[depth]
+            if depth > self.least:
                 s, r = s[parent], r[parent]
             one = _one(n0, n1)
             out[depth] = s + r * one
@@ -209,6 +223,69 @@ class _Subtree:
         return out
 
 
+def _cut(key: np.ndarray) -> list[tuple[int, int]]:
+    """Slices of a tree's sorted keys that end between contexts of three bytes."""
+    edge = np.append(np.flatnonzero(np.diff(key >> 32)) + 1, len(key))
+    out, at = [], 0
+    while at < len(key):
+        end = int(edge[min(np.searchsorted(edge, at + _SLICE), len(edge) - 1)])
+        out.append((at, end))
+        at = end
+    return out
+
+
+class _Tree:
+    """All nodes under two last bytes: those of depth 2 at once, deeper ones slice by slice."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        self.key, self.n, self.last = key, n, int(key[0] >> 48)
+        self.n0, self.n1, below = (np.zeros(256) for _ in range(3))
+        self.slices = _cut(key)
+        self.only = None
+        for a, b in self.slices:
+            if (sub := self._sub(a, b)) is None:
+                continue
+            keys, n0, n1, _, _ = sub.levels[3]
+            for total, x in ((self.n0, n0), (self.n1, n1), (below, sub.whole)):
+                total += np.bincount(keys & 255, x, minlength=256)
+            self.only = sub if len(self.slices) == 1 else None
+        self.met = self.n0 + self.n1 > 0
+        own = _kt(self.n0, self.n1)
+        self.whole = np.where(self.met, np.logaddexp(own, below) - _LOG2, 0)
+        self.share = np.exp(own - _LOG2 - self.whole)
+
+    def _sub(self, a: int, b: int) -> _Subtree | None:
+        met = self.n[a:b] > 0
+        return _Subtree(self.key[a:b][met], self.n[a:b][met], 3) if met.any() else None
+
+    def log_chances(self, top) -> np.ndarray:
+        """log10 of the probability of each key's byte in its context."""
+        sure, rest, q1 = (x[self.last] for x in top)
+        one = _one(self.n0, self.n1)
+        q2 = np.where(self.met, sure + rest * one, q1)
+        sure, rest = sure + rest * self.share * one, rest * (1 - self.share)
+        out = np.zeros(len(self.key))
+        for a, b in self.slices:
+            sub = self.only or self._sub(a, b)
+            known = sub.chances(sure[sub.levels[3][0] & 255], rest[sub.levels[3][0] & 255]) if sub else {}
+            byte, context = self.key[a:b] & 255, self.key[a:b] >> 8
+            for bit in range(8):
+                m = (256 | byte) >> (8 - bit)
+                p = q2[m]
+                left = np.arange(b - a)
+                for depth in range(DEPTH, 2, -1) if sub else ():
+                    keys = sub.levels[depth][0]
+                    want = ((context[left] >> (8 * (DEPTH - depth))) << 8) | m[left]
+                    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                    hit = keys[at] == want
+                    p[left[hit]] = known[depth][at[hit]]
+                    left = left[~hit]
+                    if not len(left):
+                        break
+                out[a:b] += np.log10(np.where((byte >> (7 - bit)) & 1, p, 1 - p))
+        return out
+
+
 def _top(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From the sums of depth-2 nodes by last byte and node: sure and rest for depth 2, and the probability of a one where
     depth 2 has not met a node."""
@@ -226,25 +303,33 @@ def _top(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sure, (1 - share0) * (1 - share1), q1
 
 
-def _log_chances(key: np.ndarray, tree: _Subtree | None, top) -> np.ndarray:
-    """log10 of the probability of each key's byte in its context."""
-    sure, rest, q1 = top
-    byte, context = key & 255, key >> 8
-    known = tree.chances(sure, rest) if tree else {}
-    out = np.zeros(len(key))
-    for bit in range(8):
-        m = (256 | byte) >> (8 - bit)
-        p = q1[context >> 40, m].copy()
-        open_ = np.ones(len(key), dtype=bool)
-        for depth in range(DEPTH, 1, -1) if tree else ():
-            keys = tree.levels[depth][0]
-            want = ((context >> (8 * (DEPTH - depth))) << 8) | m
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            hit = open_ & (keys[at] == want)
-            p[hit] = known[depth][at[hit]]
-            open_ &= ~hit
-        out += np.log10(np.where((byte >> (7 - bit)) & 1, p, 1 - p))
-    return out
+def _by_tree(batches) -> Iterator[tuple[int, list[tuple[int, bytes, bytes]]]]:
+    """Each tree's rows (block, pairs, times), from batches that are sorted by tree."""
+    tree, rows = None, []
+    for batch in batches:
+        for t, *row in zip(*(batch.column(c).to_pylist() for c in ("tree", "block", "pairs", "times"))):
+            if t != tree and rows:
+                yield tree, rows
+                rows = []
+            tree = t
+            rows.append(row)
+    if rows:
+        yield tree, rows
+
+
+def _merged(tree: int, rows: list) -> _Tree:
+    total = _Sum()
+    for _, pairs, times in rows:
+        total.add(_keys_of(pairs, tree), np.frombuffer(zlib.decompress(times), dtype=np.uint32).astype(np.int64))
+    return _Tree(*total.total())
+
+
+def _roots(batches) -> Iterator[pa.RecordBatch]:
+    """Counts and probabilities of nodes of depth 2, by last byte."""
+    for t, rows in _by_tree(batches):
+        tree = _merged(t, rows)
+        node = np.flatnonzero(tree.met)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), tree.last)), pa.array(node), *(pa.array(x[node]) for x in (tree.n0, tree.n1, tree.whole))], ["last", "node", "n0", "n1", "whole"])
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -252,65 +337,59 @@ def scores(docs: DataFrame) -> DataFrame:
 
     The model and the counts learn from rows whose held_out is false; null counts as true. Tokens are words (runs of bytes
     other than ASCII white space, A-Z lower-cased) and one end. base_score sums log10((c + 1) / (N + V + 1)); score is the
-    context tree's log10 probability of the text. Null, empty and blank texts are the end alone. Repeated rows each
-    count. Without anything to learn from, every bit is even.
+    context tree's log10 probability of the text, lower-cased and with single spaces as tokens have it. Null, empty and
+    blank texts are the end alone. Repeated rows each count, rows with null doc_id as well. Without anything to learn from,
+    every bit is even. Other columns take no part.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(True)).alias("held_out"))
     tables = materialize(rows.mapInArrow(_blocks, _TABLES), "blocks")
-    listed = tables.where("word IS NOT NULL").select("block", "place", "word", "n")
+    listed = tables.where("word IS NOT NULL").select("block", "word", "n")
     vocabulary = materialize(listed.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    pairs = tables.where("key IS NOT NULL").select("block", "key", "n")
-    grams = materialize(pairs.groupBy("key").agg(F.sum("n").alias("n")).withColumn("tree", F.shiftright("key", 40)), "grams")
-
-    def roots(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = _Subtree(rows["key"].to_numpy(), rows["n"].to_numpy())
-        keys, n0, n1, _, _ = tree.levels[2]
-        return pd.DataFrame({"last": keys >> 16, "node": keys & 255, "n0": n0, "n1": n1, "whole": tree.whole})
-
-    found = grams.where("n > 0").groupBy("tree").applyInPandas(roots, "last long, node long, n0 double, n1 double, whole double")
+    dealt = tables.where("tree IS NOT NULL").select("tree", "block", "pairs", "times").repartition("tree").sortWithinPartitions("tree")
+    found = dealt.mapInArrow(_roots, "last long, node long, n0 double, n1 double, whole double")
     top = spark.sparkContext.broadcast(_top(found.groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "whole"))).toPandas()))
 
-    def chances(rows: pd.DataFrame) -> pd.DataFrame:
-        key, n = rows["key"].to_numpy(), rows["n"].to_numpy()
-        tree = _Subtree(key[n > 0], n[n > 0]) if (n > 0).any() else None
-        return pd.DataFrame({"key": key, "p": _log_chances(key, tree, top.value)})
-
-    priced = grams.groupBy("tree").applyInPandas(chances, "key long, p double")
-    # what a block has to look up: pairs' probabilities by key, words' counts by -2 - place
-    paid = listed.select("block", "place", "word").join(vocabulary, "word").select("block", (-2 - F.col("place")).cast("long").alias("key"), F.col("c").cast("double").alias("value"))
-    worth = pairs.select("block", "key").join(priced, "key").select("block", "key", F.col("p").alias("value"))
+    def chances(batches):
+        for t, rows in _by_tree(batches):
+            tree = _merged(t, rows)
+            p = tree.log_chances(top.value)
+            for block, pairs, _ in rows:
+                own = p[np.searchsorted(tree.key, _keys_of(pairs, t))]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([t], pa.int32()), pa.array([pairs], pa.binary()), pa.array([own.tobytes()], pa.binary())], ["block", "tree", "pairs", "p"])
+
+    priced = dealt.mapInArrow(chances, "block long, tree int, pairs binary, p binary")
+    counted = listed.select("block", "word").join(vocabulary, "word").select("block", "word", "c")
+    looked_up = priced.select("block", "tree", "pairs", "p", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"))
+    looked_up = looked_up.unionByName(counted, allowMissingColumns=True)
     base = np.log10(total[0] + total[1] + 1)
 
     def add_up(texts: pa.Table, found: pa.Table) -> pa.Table:
-        key, value = found.column("key").to_numpy(), found.column("value").to_numpy()
-        words = np.flatnonzero(key < 0)
-        c = np.zeros(len(words))
-        c[-1 - key[words]] = value[words]  # the end comes first
-        order = np.argsort(key)[len(words) :]
-        known, worth = key[order], value[order]
-        del key, value, order
-        b = np.log10(c + 1) - base
-        row = {x: texts.column(x)[0].as_py() for x in ("doc_id", "held_out", "sizes", "places", "times", "text")}
-        size = np.asarray(row["sizes"], dtype=np.int64)
-        place, times = (np.frombuffer(zlib.decompress(row[x]), dtype=k).astype(np.int64) for x, k in (("places", np.int32), ("times", np.uint32)))
-        run = np.cumsum(place)
-        first = np.cumsum(size) - size
-        start = np.repeat(np.where(size > 0, (np.append(run, 0) - np.append(place, 0))[first], 0), size)
-        place = run - start
-        of = np.repeat(np.arange(len(size)), size)
-        total_of = lambda v: np.bincount(of, v[place + 1] * times, minlength=len(size)) + v[0]
-        p = []
-        for _, some in chunks(row["text"].split(b"\n")[:-1], _CHUNK):
+        ids, held, closed = (texts.column(c)[0].as_py() for c in ("doc_id", "held_out", "text"))
+        closed = [t + b"\n" for t in zlib.decompress(closed).split(b"\n")[:-1]]
+        words = found.filter(pa.compute.is_valid(found["word"])).select(["word", "c"]).to_pydict()
+        c = dict(zip(words["word"], words["c"]))
+        end = c.pop(b"")
+        known = Words(list(c), lower=False)
+        count = pd.Index(known.hash), np.fromiter(c.values(), dtype=np.int64, count=len(c))
+        trees = found.filter(pa.compute.is_valid(found["tree"])).select(["tree", "pairs", "p"])
+        place = pd.Index(np.concatenate([_keys_of(b, t) for t, b in zip(trees["tree"].to_pylist(), trees["pairs"].to_pylist())]))
+        worth = np.frombuffer(b"".join(trees["p"].to_pylist()), dtype=np.float64)
+        del found, trees, words, c
+        parts = []
+        for _, some in chunks(closed, _CHUNK):
+            w = Words(some, lower=False)
+            n = count[1][count[0].get_indexer(w.hash)]
+            tokens, seen, value = (np.bincount(w.doc, x, minlength=len(some)) for x in (None, n > 0, np.log10(n + 1) - base))
             key, length = _keys(some)
-            p.append(np.add.reduceat(worth[np.searchsorted(known, key)], np.cumsum(length) - length))
-        n = len(size)
-        values = (row["doc_id"], row["held_out"], total_of(np.ones(len(c))).astype(np.int64), total_of((c > 0).astype(float)).astype(np.int64), np.full(n, total[0]), total_of(b), np.concatenate(p))
+            p = np.add.reduceat(worth[place.get_indexer(key)], np.cumsum(length) - length)
+            parts.append((tokens + 1, seen + (end > 0), value + np.log10(end + 1) - base, p))
+        tokens, seen, value, p = (np.concatenate([x[i] for x in parts]) for i in range(4))
+        values = (ids, held, tokens.astype(np.int64), seen.astype(np.int64), np.full(len(ids), total[0]), value, p)
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(v, k) for v, k in zip(values, kinds)], [x.split()[0] for x in schema.split(", ")])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    texts = tables.where("text IS NOT NULL").select(F.col("block").alias("own"), "doc_id", "held_out", "sizes", "places", "times", "text")
-    return texts.groupBy("own").cogroup(paid.unionByName(worth).groupBy("block")).applyInArrow(add_up, schema)
+    texts = tables.where("text IS NOT NULL").select(F.col("block").alias("own"), "doc_id", "held_out", "text")
+    return texts.groupBy("own").cogroup(looked_up.groupBy("block")).applyInArrow(add_up, schema)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import small_batches
+from .store import slices
 from .words import U64, Words, chunks, encoded
 
 STRIDE = 4
@@ -211,7 +211,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     so what is broadcast is bounded whatever the benchmark's size.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
     rounds = max(1, -(-items.count() // ITEMS))
     schema = "doc_id long, item_id long, start_word int, n_words int, similarity double, distance int"
@@ -221,7 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
         index = spark.sparkContext.broadcast(Index([(i, encoded([t])[0]) for i, t in some.collect()], threshold))
 
         def search(batches, index=index):
-            for batch in batches:
+            for batch in slices(batches):
                 ids = batch.column("doc_id").to_pylist()
                 for at, texts in chunks(encoded(batch.column("text").to_pylist()), _CHUNK):
                     rows = [(ids[at + doc], *rest) for doc, *rest in index.value.verify(Words(texts, lower=True), threshold)]

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import small_batches
+from .store import slices
 from .words import _OF_BYTES, BYTE, LOWER, U64, Words, chunks, encoded, mix
 
 SEGMENT = 24  #: bytes
@@ -151,12 +151,11 @@ class Network:
 def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 500) -> Network:
     """A network from (doc_id, text, lang): at most ``sample`` documents, those whose hashed ids are smallest, in equal
     weight for each language. Rows with null text, lang or doc_id are left out. No row at all gives a network without languages."""
-    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     chosen = rows.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id").distinct()
 
     def pick(batches):
-        for batch in batches:
+        for batch in slices(batches):
             langs = batch.column("lang").to_pylist()
             for at, texts in chunks(encoded(batch.column("text").to_pylist())):
                 words = Words(texts, lower=True)
@@ -185,7 +184,6 @@ def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 500) -> Network:
 def predict(docs: DataFrame, net: Network) -> DataFrame:
     """Columns of ``docs``, lang_pred and score (the pooled probability). ``und`` with score 0 where the text is null or
     has no letter, or the network knows no language."""
-    small_batches(docs.sparkSession)
     docs = docs.drop(*({"lang_pred", "score"} & set(docs.columns)))
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double"
@@ -193,7 +191,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
 
     def apply(batches):
         known, value = np.zeros(0, dtype=U64), np.zeros((0, k), dtype=np.float32)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             pooled = np.zeros((len(texts), k))
             for at, some in chunks(encoded(texts)):

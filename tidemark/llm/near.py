@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .store import materialize, small_batches
+from .store import materialize, slices
 from .words import chunks, encoded, shingle_sets
 
 K = 64
@@ -37,10 +37,9 @@ def sketches(docs: DataFrame, words: int = 5, k: int = K) -> DataFrame:
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. Fewer than ``words`` words: the whole
     sequence is the one shingle. Null, empty and blank texts have an empty set.
     """
-    small_batches(docs.sparkSession)
 
     def sketch(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id")
             for at, texts in chunks(encoded(batch.column("text").to_pylist())):
                 rows = []
@@ -57,7 +56,7 @@ def sketches(docs: DataFrame, words: int = 5, k: int = K) -> DataFrame:
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def whole(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id")
             for at, texts in chunks(encoded(batch.column("text").to_pylist())):
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array([s.view(np.int64) for s in shingle_sets(texts, words)], pa.list_(pa.int64()))], ["id", "grams"])

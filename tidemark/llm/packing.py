@@ -14,18 +14,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .store import materialize, small_batches
+from .store import materialize, slices
 from .tokens import PieceEncoder
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and the end id, cut into pieces of ``capacity``;
     the first piece takes the remainder. A null or empty text is the end id alone. ids (array<int>) only if asked for."""
-    small_batches(docs.sparkSession)
 
     def encode(batches):
         encoder = PieceEncoder.of(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             ids, n = encoder.ids([t or "" for t in batch.column("text").to_pylist()])
             n = n + 1
             stop = np.cumsum(n)

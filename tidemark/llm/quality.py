@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import small_batches
+from .store import slices
 from .words import LOWER, SPACE, Words, chunks, encoded
 
 PASSAGE = 40  #: words
@@ -127,13 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     are left out; a document with several labels counts as good if any says so. Without any label, or with one kind
     alone, the model knows nothing more than their share."""
     spark = docs.sparkSession
-    small_batches(spark)
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
 
     def encode(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for at, texts in chunks(encoded(batch.column("text").to_pylist())):
                 x, bags = features(texts)
                 first = np.cumsum(bags) - bags
@@ -152,14 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Columns of ``docs`` and score (0 to 1). Null and empty texts are one empty passage and get a score like others."""
-    small_batches(docs.sparkSession)
     if "score" in docs.columns:
         docs = docs.drop("score")
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double"
 
     def apply(batches):
-        for batch in batches:
+        for batch in slices(batches):
             parts = [model.score(*features(texts)) for _, texts in chunks(encoded(batch.column("text").to_pylist()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts).astype(np.float64) if parts else [], pa.float64())], [*names, "score"])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .store import materialize, small_batches
+from .store import materialize, slices
 from .words import Words, chunks, encoded
 
 SHARD = 8 << 20  #: bytes of text
@@ -42,7 +42,6 @@ def index(docs: DataFrame) -> DataFrame:
     Words are runs of bytes other than ASCII white space, A-Z lower-cased, told apart by 64-bit hashes. Null and empty texts are documents without words; rows with null doc_id are not indexed; repeated rows are documents of
     their own.
     """
-    small_batches(docs.sparkSession)
 
     def build(batches):
         part, nth, hashes, owners, ids, size = TaskContext.get().partitionId(), 0, [], [], [], 0
@@ -64,7 +63,7 @@ def index(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), *[pa.binary()] * 6, pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in _INDEX.split(", ")])
 
-        for batch in batches:
+        for batch in slices(batches):
             found = batch.column("doc_id").to_pylist()
             for at, texts in chunks(encoded(batch.column("text").to_pylist())):
                 words = Words(texts, lower=True)
@@ -186,7 +185,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
         asked = np.unique(np.concatenate([h for _, h, _ in rows] or [np.zeros(0, np.uint64)]))
 
         def count(batches, asked=asked):
-            for batch in batches:
+            for batch in slices(batches, 1):
                 for row in batch.to_pylist():
                     df = _Shard(row).df(asked)
                     yield pa.RecordBatch.from_arrays([pa.array(asked.view(np.int64)[df > 0]), pa.array(df[df > 0])], ["term", "df"])
@@ -204,7 +203,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
         mean = max(1e-9, words / n) if n else 1.0
 
         def search(batches, plans=plans, mean=mean):
-            for batch in batches:
+            for batch in slices(batches, 1):
                 for row in batch.to_pylist():
                     shard = _Shard(row)
                     parts = shard.parts(mean, k1, b)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import materialize, small_batches
+from .store import materialize, slices
 from .words import Words, chunks, encoded
 
 _OCCURRENCE = "doc_id long, anchor long, whole long, pos int, n int, wins array<long>"
@@ -46,11 +46,10 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 20) -> DataFrame:
     if not 0 < gram <= window:
         raise ValueError("the anchor must not be longer than the window")
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
 
     def anchors(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for at, texts in chunks(encoded(batch.column("text").to_pylist())):
                 words = Words(texts, lower=False)
@@ -68,7 +67,7 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 20) -> DataFrame:
     wanted = seeds.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
     def extend(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             listed = batch.column("anchors")
             for at, texts in chunks(encoded(batch.column("text").to_pylist())):
@@ -127,7 +126,6 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Columns of ``docs`` with the words in ``spans`` removed: ``text`` is what is left, each word followed by the white
     space that followed it; a text without a span stays as it is. Adds n_words, n_removed and kept_words (the kept words joined by one
     space). A null text stays null, with no words."""
-    small_batches(docs.sparkSession)
     extra = "n_words long, n_removed long, kept_words string"
     names = docs.columns
     if clash := {"n_words", "n_removed", "kept_words", "spans"} & set(names):
@@ -136,7 +134,7 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + extra
 
     def remove(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, removed = encoded(batch.column("text").to_pylist()), batch.column("spans").to_pylist()
             left, n_words, n_removed, kept = [], [], [], []
             for text, spans in zip(texts, removed):
