@@ -196,10 +196,19 @@ def cash_replay(events: DataFrame, money: float, keys=("symbol",)) -> DataFrame:
     return events.groupBy(*keys).applyInPandas(run, schema)
 
 
-def trailing_stop(df: DataFrame, average: str, distance: float, keys=("symbol", "entry_id"), order: str = "seq") -> DataFrame:
-    """A stop that follows the average up only: distance below its highest since entry."""
+def trailing_stop(df: DataFrame, average: str, stop: str = "stop", side: str = "side", keys=("symbol", "entry_id"), series=("symbol",), order: str = "seq") -> DataFrame:
+    """Moves each position's own first ``stop`` with the average, in its favour only (side 1: up, -1: down).
+
+    From the first row of the position where the average has moved that way since the row before (of the series), the stop is
+    shifted by as much as the average's best value since then differs from the one before that row. A value beyond the best
+    is always a move, so the best is a running maximum."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("stop", F.max(average).over(w) - distance)
+    value = F.col(side) * F.col(average)
+    d = df.withColumn("_before", F.col(side) * F.lag(average).over(Window.partitionBy(*series).orderBy(order)))
+    d = d.withColumn("_base", F.first(F.when(value > F.col("_before"), F.col("_before")), ignorenulls=True).over(w))
+    d = d.withColumn("_best", F.max(F.when(F.col("_base").isNotNull(), value)).over(w))
+    moved = F.coalesce(F.col("_best") - F.col("_base"), F.lit(0.0))
+    return d.withColumn(stop, F.first(stop).over(w) + F.col(side) * moved).drop("_before", "_base", "_best")
 
 
 def guarded(deals: DataFrame, per_day: int, gap: str) -> DataFrame:
@@ -223,9 +232,14 @@ def performance(daily: DataFrame, by: list[str], order: str) -> DataFrame:
     return d.groupBy(*by).agg(F.avg((F.col("result") > 0).cast("double")).alias("hit_rate"), F.sum("result").alias("profit"), F.stddev_pop("result").alias("volatility"), F.max("drop").alias("drawdown"))
 
 
-def downside_ratio(daily: DataFrame, by: list[str], order: str, free: float) -> DataFrame:
-    """Mean excess over a linear risk-free path by the mean negative swing, whose count starts at 1."""
+def downside_ratio(money: DataFrame, by: list[str], order: str, free: Column) -> DataFrame:
+    """ratio: the final return beyond ``free`` (what money invested free of risk has become, as a multiple; it may depend on
+    _n, the number of rows), divided by one plus the mean shortfall below the straight line from 1 to ``free``. The count of
+    shortfalls starts at 1. money: (by, order, money), money as a multiple of what there was at first."""
     w = Window.partitionBy(*by).orderBy(order)
-    d = daily.withColumn("excess", F.col("equity") - F.first("equity").over(w) * (1 + free * (F.row_number().over(w) - 1)))
-    d = d.withColumn("swing", F.col("equity") - F.lag("equity").over(w))
-    return d.groupBy(*by).agg((F.avg("excess") / F.nullif(-F.coalesce(F.sum(F.when(F.col("swing") < 0, F.col("swing"))), F.lit(0.0)) / (1 + F.count_if(F.col("swing") < 0)), F.lit(0.0))).alias("ratio"))
+    d = money.withColumns({"_k": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*by))})
+    line = 1 + (free - 1) * F.coalesce(F.try_divide(F.col("_k"), F.col("_n") - 1), F.lit(0.0))
+    short = F.greatest(line - F.col("money"), F.lit(0.0))
+    d = d.withColumns({"_short": short, "_free": free})
+    total = F.max_by("money", order) / F.min_by("money", order) - F.first("_free")
+    return d.groupBy(*by).agg((total / (1 + F.sum("_short") / (1 + F.count_if(F.col("_short") > 0)))).alias("ratio"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from .joins import following
@@ -40,73 +39,67 @@ def triple_barrier(events: DataFrame, bars: DataFrame, multiple: float, first: i
 
 
 def traverse(df: DataFrame, signal: str = "signal", keys=("symbol", "day"), order: str = "seq") -> DataFrame:
-    """Labels of band signals within a day: buy at the high on 1, sell at the low on the next 2. A profit labels the buy 1 and the sell 2, else
-    both 0; buys while one is open are 0; one left open at the day's end stays null. Rows without a signal are 0."""
+    """Labels of band signals within a day: buy at the high on 1, sell at the low on the next 2. A later buy before that takes the
+    place of the earlier one, which becomes 0. A profit labels the buy 1 and the sell 2, else both are 0; a buy left open at
+    the day's end is null, as are rows that neither buy nor sell."""
     w = Window.partitionBy(*keys).orderBy(order)
     d = df.withColumn("_sells", F.coalesce(F.sum((F.col(signal) == 2).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    run = Window.partitionBy(*keys, "_sells").orderBy(order)
+    whole = Window.partitionBy(*keys, "_sells").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # a stretch ends with its sell; its last buy is the one that is sold
+    d = d.withColumns({"_buy": F.max(F.when(F.col(signal) == 1, F.struct(order, "high"))).over(whole), "_sell": F.max(F.when(F.col(signal) == 2, F.struct(order, "low"))).over(whole)})
+    last, gain = F.col(f"_buy.{order}") == F.col(order), F.col("_sell.low") > F.col("_buy.high")
+    label = F.when((F.col(signal) == 1) & ~last, 0)
+    label = label.when((F.col(signal) == 1) & F.col("_sell").isNotNull(), gain.cast("int"))
+    label = label.when((F.col(signal) == 2) & F.col("_buy").isNotNull(), F.when(gain, 2).otherwise(0))
+    return d.withColumn("label", label).drop("_sells", "_buy", "_sell")
+
+
+def _outcomes(df: DataFrame, value: Column, target: float, stop: float, keys, order: str) -> DataFrame:
+    """Adds, for signals (1 or -1), the signals of the day before and after (_before, _after) and what came of the position
+    that each opens until the next one: 1 target, -1 stop, null neither (_out, _out_before). value: of the position's gain in
+    money, from _side, _entry, high and low."""
+    day = Window.partitionBy(*keys).orderBy(order)
+    some = F.col("signal").isin(1, -1)
+    d = df.withColumn("_run", F.sum(some.cast("int")).over(day.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*keys, "_run").orderBy(order)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = d.withColumns({"_entry": F.min(F.when(F.col(signal) == 1, F.struct(order, "high"))).over(whole), "_exit": F.min(F.when(F.col(signal) == 2, F.struct(order, "low"))).over(whole)})
-    first = F.col(f"_entry.{order}") == F.col(order)
-    gain = F.col("_exit.low") > F.col("_entry.high")
-    label = F.when((F.col(signal) == 1) & first & F.col("_exit").isNull(), F.lit(None).cast("int"))
-    label = label.when((F.col(signal) == 1) & first & gain, 1).when((F.col(signal) == 2) & gain, 2).otherwise(0)
-    return d.withColumn("label", label).drop("_sells", "_entry", "_exit")
+    d = d.withColumns({"_side": F.first("signal").over(run), "_entry": F.first(F.when(F.col("signal") > 0, F.col("high")).otherwise(F.col("low"))).over(run)})
+    out = F.when(~some & (F.col("_run") > 0), F.when(value >= target, 1).when(value <= -stop, -1))
+    d = d.withColumn("_hit", out).withColumn("_out", F.first("_hit", ignorenulls=True).over(whole))
+    here = F.when(some, F.struct(F.col("signal").alias("signal"), F.col("_out").alias("out")))
+    back, on = day.rowsBetween(Window.unboundedPreceding, -1), day.rowsBetween(1, Window.unboundedFollowing)
+    d = d.withColumns({"_prior": F.last(here, ignorenulls=True).over(back), "_next": F.first(here, ignorenulls=True).over(on)})
+    return d.withColumns({"_before": F.col("_prior.signal"), "_out_before": F.col("_prior.out"), "_after": F.col("_next.signal")})
+
+
+_WORK = ("_run", "_side", "_entry", "_hit", "_out", "_prior", "_next", "_before", "_out_before", "_after")
 
 
 def with_stops(df: DataFrame, amount: float, target: float, stop: float, side: int = 1, keys=("symbol", "day"), order: str = "seq") -> DataFrame:
-    """Labels of entries (signal = side's) with target and stop in money, one position at a time, reset each day: side where the
-    target came first, 0 where the stop did, null where neither. A sequential machine per day: (symbol, day) is a group."""
-    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keys, order]), "label int"])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        label: list = [0] * len(rows)
-        entry = at = size = None
-        for i, (s, hi, lo) in enumerate(zip(rows["signal"], rows["high"], rows["low"])):
-            if entry is not None:
-                best, worst = (hi - entry, lo - entry) if side > 0 else (entry - lo, entry - hi)
-                if worst * size <= -stop:
-                    label[at], entry = 0, None
-                elif best * size >= target:
-                    label[at], entry = side, None
-            if entry is None and s == side:
-                entry, at = (hi, i) if side > 0 else (lo, i)
-                size = round(amount / entry) if entry else 0
-        if entry is not None:
-            label[at] = None
-        return rows[[*keys, order]].assign(label=pd.array(label, dtype="Int32"))
-
-    return df.select(*keys, order, "signal", "high", "low").groupBy(*keys).applyInPandas(run, schema)
+    """Labels of entries to one side (signal = side): bought at the high and sold at the low of a later row without a signal (sides
+    mirrored), where the gain times ``amount`` first reaches the target or the loss the stop, within the day.
+
+    An entry is ``side`` if it opened a position that reached the target; 0 if it met the stop, if another entry took its
+    place while it was open, or if the next signal of the day is to the other side, whatever came before that; null if it was
+    open at the day's end, if it took another's place and reached the target, and where there is no entry. All of it follows
+    from the next and previous signals, so it is windows by day and no machine."""
+    exit_ = F.col("low") if side > 0 else F.col("high")
+    d = _outcomes(df, side * (exit_ - F.col("_entry")) * amount, target, stop, keys, order)
+    fresh = F.col("_before").isNull() | (F.col("_before") != side) | F.col("_out_before").isNotNull()
+    label = F.when(F.col("_out") == -1, 0).when(F.col("_after") == -side, 0).when(F.col("_out") == 1, F.when(fresh, side)).when(F.col("_after") == side, 0)
+    return d.withColumn("label", F.when(F.col("signal") == side, label)).drop(*_WORK)
 
 
 def both_sides(df: DataFrame, amount: float, target: float, stop: float, keys=("symbol", "day"), order: str = "seq") -> DataFrame:
-    """Labels of entries to either side (signal 1 or -1) in net mode: one position at a time, an opposite signal closes it. 1 or -1 where
-    target was reached or the close was a gain, 0 where not, null where it was still open at the day's end."""
-    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keys, order]), "label int"])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        label: list = [0] * len(rows)
-        side = at = 0
-        entry = size = 0.0
-        for i, (s, hi, lo) in enumerate(zip(rows["signal"], rows["high"], rows["low"])):
-            if side:
-                best, worst = (hi - entry, lo - entry) if side > 0 else (entry - lo, entry - hi)
-                if worst * size <= -stop:
-                    label[at], side = 0, 0
-                elif best * size >= target:
-                    label[at], side = side, 0
-                elif s == -side:
-                    label[at], side = (side if worst > 0 else 0), 0
-            if not side and s in (1, -1):
-                side, at, entry = int(s), i, hi if s > 0 else lo
-                size = round(amount / entry) if entry else 0
-        if side:
-            label[at] = None
-        return rows[[*keys, order]].assign(label=pd.array(label, dtype="Int32"))
-
-    return df.select(*keys, order, "signal", "high", "low").groupBy(*keys).applyInPandas(run, schema)
+    """Labels of entries to either side (signal 1 or -1) in net mode, round(amount / entry) pieces each: every signal opens a
+    position and takes the place of one that is open. The signal itself where the target was reached first, 0 where the
+    stop was or another signal came before either, null where it was open at the day's end and where there is no signal."""
+    side = F.col("_side")
+    exit_ = F.when(side > 0, F.col("low")).otherwise(F.col("high"))
+    pieces = F.coalesce(F.round(F.try_divide(F.lit(amount), F.col("_entry"))), F.lit(0.0))
+    d = _outcomes(df, side * (exit_ - F.col("_entry")) * pieces, target, stop, keys, order)
+    label = F.when(F.col("_out") == 1, F.col("signal")).when((F.col("_out") == -1) | F.col("_after").isNotNull(), 0)
+    return d.withColumn("label", F.when(F.col("signal").isin(1, -1), label)).drop(*_WORK)
 
 
 def delayed(rows: DataFrame, where: str, delay: int, reach: int, target: float, stop: float) -> DataFrame:
@@ -123,8 +116,8 @@ def delayed(rows: DataFrame, where: str, delay: int, reach: int, target: float,
 
 
 def merge_sides(buy: Column, sell: Column) -> Column:
-    """Sell wins unless it is 0 or null; both: 0."""
-    return F.when((buy != 0) & (sell != 0), 0).when(F.coalesce(sell, F.lit(0)) != 0, sell).otherwise(buy)
+    """Sell wins unless it is 0 or null; a sell beside a buy gives 0."""
+    return F.when((buy == 1) & (sell != 0), 0).when(F.coalesce(sell, F.lit(0)) != 0, sell).otherwise(buy)
 
 
 def ahead(x: Column, span: int, by: WindowSpec) -> Column:

@@ -198,33 +198,52 @@ def g3(spark, d):
     return shape(ev.join(_labels(spark, d).select("symbol", "twhen").distinct(), ["symbol", "twhen"], "left_anti"), "twhen", "", "symbol")
 
 
-TRAVERSED = SIGNALED + """, t1 AS (SELECT symbol, CAST(time AS DATE) AS day, seq, signal, last, coalesce(sum(CASE WHEN signal = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, CAST(time AS DATE) ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM signaled),
-t2 AS (SELECT *, min(CASE WHEN signal = 1 THEN seq END) OVER v AS a, min(CASE WHEN signal = 2 THEN seq END) OVER v AS b FROM t1 WINDOW v AS (PARTITION BY symbol, day, run)),
-t3 AS (SELECT t2.*, x.last AS buy, y.last AS sell FROM t2 LEFT JOIN deals x ON x.symbol = t2.symbol AND x.seq = t2.a LEFT JOIN deals y ON y.symbol = t2.symbol AND y.seq = t2.b)"""
+TRAVERSED = SIGNALED + """, acts AS (SELECT symbol, CAST(time AS DATE) AS day, seq, signal, last FROM signaled WHERE signal <> 0),
+near AS (SELECT *, lag(signal) OVER v AS s0, lag(last) OVER v AS p0, lead(signal) OVER v AS s1, lead(last) OVER v AS p1 FROM acts WINDOW v AS (PARTITION BY symbol, day ORDER BY seq)),
+labelled AS (SELECT symbol, seq, CASE WHEN signal = 1 AND s1 = 1 THEN 0 WHEN signal = 1 AND s1 = 2 THEN CASE WHEN p1 > last THEN 1 ELSE 0 END WHEN signal = 2 AND s0 = 1 THEN CASE WHEN last > p0 THEN 2 ELSE 0 END END AS label FROM near)"""
 
 
-@query("g4_band_labels", sql(TRAVERSED, "SELECT symbol, seq, CASE WHEN signal = 1 AND seq = a AND b IS NULL THEN NULL WHEN signal = 1 AND seq = a AND sell > buy THEN 1 WHEN signal = 2 AND sell > buy THEN 2 ELSE 0 END AS label FROM t3", "seq label", "", "symbol"))
+@query("g4_band_labels", sql(TRAVERSED, "SELECT s.symbol, s.seq, l.label FROM signaled s LEFT JOIN labelled l ON l.symbol = s.symbol AND l.seq = s.seq", "seq label", "", "symbol"))
 def g4(spark, d):
     s = _signaled(spark, d).withColumns({"day": F.to_date("time"), "high": F.col("last"), "low": F.col("last")})
     return shape(labels.traverse(s), "seq label", "", "symbol")
 
 
+def _machine(name: str, side: int) -> str:
+    """The label machine of one side, row by row; a row may be labelled several times, the last time counts."""
+    return f"""{name}_steps AS (
+      SELECT symbol, day, n, CAST(0 AS BIGINT) AS pos, CAST(0 AS DOUBLE) AS price, 0 AS held, CAST(NULL AS BIGINT) AS marked, CAST(NULL AS INTEGER) AS label, 0 AS done FROM sized
+      UNION ALL
+      SELECT symbol, day, n, CASE WHEN sig = {side} THEN k ELSE pos END, CASE WHEN sig = {side} THEN last ELSE price END,
+        CASE WHEN sig = {side} THEN 1 WHEN sig = {-side} THEN 0 WHEN held = 1 AND ({side} * (last - price) >= 15 OR {side} * (last - price) <= -45) THEN 0 ELSE held END,
+        CASE WHEN sig = {side} AND held = 0 THEN k WHEN sig <> 0 OR (held = 1 AND {side} * (last - price) <= -45 AND {side} * (last - price) < 15) THEN nullif(pos, 0) END,
+        CASE WHEN sig = {side} AND held = 0 THEN {side} ELSE 0 END, k
+      FROM (SELECT s.*, r.k, r.sig, r.last FROM {name}_steps s JOIN daily_rows r ON r.symbol = s.symbol AND r.day = s.day AND r.k = s.done + 1)),
+    {name} AS (SELECT r.symbol, r.seq, CASE WHEN o.pos IS NULL THEN m.label END AS label FROM daily_rows r
+      LEFT JOIN (SELECT symbol, day, marked, arg_max(label, done) AS label FROM {name}_steps WHERE marked IS NOT NULL GROUP BY ALL) m ON m.symbol = r.symbol AND m.day = r.day AND m.marked = r.k
+      LEFT JOIN (SELECT symbol, day, pos FROM {name}_steps WHERE done = n AND held = 1) o ON o.symbol = r.symbol AND o.day = r.day AND o.pos = r.k)"""
+
+
+DAILY_ROWS = """, daily_rows AS (SELECT symbol, CAST(time AS DATE) AS day, seq, s1 AS sig, last, row_number() OVER (PARTITION BY symbol, CAST(time AS DATE) ORDER BY seq) AS k FROM multi),
+sized AS (SELECT symbol, day, max(k) AS n FROM daily_rows GROUP BY ALL), """
+
+
 def _sided(spark, d, side):
     s = _multi(spark, d).withColumns({"day": F.to_date("time"), "high": F.col("last"), "low": F.col("last"), "signal": F.col("s1")})
-    return labels.with_stops(s, 10_000.0, 1000.0, 800.0, side)
+    return labels.with_stops(s, 1.0, 15.0, 45.0, side)
 
 
-@query("g5_buy_labels")
+@query("g5_buy_labels", sql("RECURSIVE " + MULTI + DAILY_ROWS + _machine("buys", 1), "SELECT * FROM buys", "seq label", "", "symbol"))
 def g5(spark, d):
     return shape(_sided(spark, d, 1), "seq label", "", "symbol")
 
 
-@query("g6_sell_labels")
+@query("g6_sell_labels", sql("RECURSIVE " + MULTI + DAILY_ROWS + _machine("sells", -1), "SELECT * FROM sells", "seq label", "", "symbol"))
 def g6(spark, d):
     return shape(_sided(spark, d, -1), "seq label", "", "symbol")
 
 
-@query("g7_merged_sides")
+@query("g7_merged_sides", sql("RECURSIVE " + MULTI + DAILY_ROWS + _machine("buys", 1) + ", " + _machine("sells", -1), "SELECT b.symbol, b.seq, CASE WHEN s.label IS NULL OR s.label = 0 THEN b.label WHEN b.label = 1 THEN 0 ELSE s.label END AS merged FROM buys b JOIN sells s ON s.symbol = b.symbol AND s.seq = b.seq", "seq merged", "", "symbol"))
 def g7(spark, d):
     a, b = _sided(spark, d, 1), _sided(spark, d, -1).select("symbol", "seq", F.col("label").alias("sell"))
     return shape(a.join(b, ["symbol", "seq"]).withColumn("merged", labels.merge_sides(F.col("label"), F.col("sell"))), "seq merged", "", "symbol")
@@ -380,10 +399,10 @@ def j11(spark, d):
     return shape(backtest.performance(_day_results(spark, d), ["symbol"], "day"), "", "hit_rate profit volatility drawdown", "symbol")
 
 
-@query("j12_downside_ratio", sql(DAY_RESULTS, "SELECT symbol, avg(excess) / nullif(-coalesce(sum(CASE WHEN swing < 0 THEN swing END), 0) / (1 + count(CASE WHEN swing < 0 THEN 1 END)), 0) AS ratio FROM (SELECT symbol, eq - first_value(eq) OVER v * (1 + 0.00034 * (row_number() OVER v - 1)) AS excess, eq - lag(eq) OVER v AS swing FROM (SELECT symbol, day, 1000 + sum(result) OVER (PARTITION BY symbol ORDER BY day) AS eq FROM dr) WINDOW v AS (PARTITION BY symbol ORDER BY day)) GROUP BY 1", "", "ratio", "symbol"))
+@query("j12_downside_ratio", sql(DAY_RESULTS, "SELECT symbol, (arg_max(money, day) / arg_min(money, day) - any_value(free)) / (1 + coalesce(sum(line - money) FILTER (money < line), 0) / (1 + count(*) FILTER (money < line))) AS ratio FROM (SELECT *, 1 + (free - 1) * k / greatest(n - 1, 1) AS line FROM (SELECT symbol, day, 1 + sum(result) OVER (PARTITION BY symbol ORDER BY day) / 1000 AS money, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n, pow(1.00034, count(*) OVER (PARTITION BY symbol)) AS free FROM dr)) GROUP BY 1", "", "ratio", "symbol"))
 def j12(spark, d):
     w = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return shape(backtest.downside_ratio(_day_results(spark, d).withColumn("equity", 1000 + F.sum("result").over(w)), ["symbol"], "day", 0.00034), "", "ratio", "symbol")
+    return shape(backtest.downside_ratio(_day_results(spark, d).withColumn("money", 1 + F.sum("result").over(w) / 1000), ["symbol"], "day", F.pow(F.lit(1.00034), F.col("_n"))), "", "ratio", "symbol")
 
 
 @query("j13_summary", sql("", "SELECT l_returnflag AS flag, count(l_quantity) AS n, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sd, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1", "n", "mean sd lo hi", "flag"))
@@ -533,10 +552,20 @@ def o9(spark, d):
     return shape(backtest.sweep(deals, grid, 10_000.0, 0.2, 1.0), "scenario deals", "equity", "symbol")
 
 
-@query("o10_trailing_stop", sql(DEALS_SQL, f"SELECT symbol, seq, max(m) OVER (PARTITION BY symbol, seq // 100 ORDER BY seq) - 10 AS stop FROM (SELECT *, avg(last) OVER {_rows(5)} AS m FROM deals)", "seq", "stop", "symbol"))
+TRAILED = DEALS_SQL + f""", moved AS (SELECT symbol, seq, last, m, lag(m) OVER {WS} AS before, seq // 100 AS entry_id, CASE WHEN seq // 100 % 2 = 0 THEN 1 ELSE -1 END AS side,
+  row_number() OVER (PARTITION BY symbol, seq // 100 ORDER BY seq) AS k FROM (SELECT *, avg(last) OVER {_rows(5)} AS m FROM deals)),
+trail AS (
+  SELECT symbol, entry_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS seq, last - 10 * side AS stop, CAST(NULL AS DOUBLE) AS used FROM moved WHERE k = 1
+  UNION ALL
+  SELECT t.symbol, t.entry_id, x.k, x.seq, CASE WHEN go THEN t.stop + x.m - coalesce(t.used, x.before) ELSE t.stop END, CASE WHEN go THEN x.m ELSE t.used END
+  FROM trail t JOIN moved x ON x.symbol = t.symbol AND x.entry_id = t.entry_id AND x.k = t.k + 1, LATERAL (SELECT coalesce(x.side * x.m > x.side * x.before AND (t.used IS NULL OR x.side * x.m > x.side * t.used), false) AS go))"""
+
+
+@query("o10_trailing_stop", sql("RECURSIVE " + TRAILED, "SELECT * FROM trail WHERE k > 0", "seq", "stop", "symbol"))
 def o10(spark, d):
-    t = market.deals(spark, d).withColumns({"m": F.avg("last").over(W().rowsBetween(-4, 0)), "entry_id": F.floor(F.col("seq") / 100)})
-    return shape(backtest.trailing_stop(t, "m", 10.0), "seq", "stop", "symbol")
+    side = F.when(F.floor(F.col("seq") / 100) % 2 == 0, 1).otherwise(-1)
+    t = market.deals(spark, d).withColumns({"m": F.avg("last").over(W().rowsBetween(-4, 0)), "entry_id": F.floor(F.col("seq") / 100), "side": side})
+    return shape(backtest.trailing_stop(t.withColumn("stop", F.col("last") - 10 * F.col("side")), "m"), "seq", "stop", "symbol")
 
 
 @query("o11_guards", sql(DEALS_SQL, "SELECT symbol, seq FROM (SELECT *, row_number() OVER (PARTITION BY symbol, CAST(time AS DATE) ORDER BY time, seq) AS r FROM (SELECT *, lag(time) OVER (PARTITION BY symbol, CAST(time AS DATE) ORDER BY time, seq) AS p FROM deals) WHERE p IS NULL OR time >= p + INTERVAL 10 MINUTE) WHERE r <= 5", "seq", "", "symbol"))

@@ -9,7 +9,7 @@ from ..sources import files, market
 from ..sources.market import DEALS_SQL, TICKS_SQL
 from ..streaming import live
 from .market_queries import HOURS, NUMBERED, W, WS, _numbered, shape, sql
-from .more_queries import MULTI, VOL, BARRIER, _drained, _labels, _multi, _volatile
+from .more_queries import BARRIER, DAILY_ROWS, MULTI, VOL, _drained, _labels, _multi, _volatile
 from .ordered import overlapping
 from .registry import query
 from .scratch import new_path
@@ -52,7 +52,15 @@ def e_blocks(spark, d):
     return shape(b.withColumn("sma", F.when(F.col("k") >= 20, F.avg("last").over(w))).where("NOT warmup"), "k", "sma", "symbol")
 
 
-@query("g8_both_sides")
+NETTED = MULTI + DAILY_ROWS + """net AS (
+  SELECT symbol, day, n, CAST(0 AS BIGINT) AS pos, CAST(0 AS DOUBLE) AS price, 0 AS held, CAST(NULL AS BIGINT) AS marked, CAST(NULL AS INTEGER) AS label, 0 AS done FROM sized
+  UNION ALL
+  SELECT symbol, day, n, CASE WHEN sig <> 0 THEN k ELSE pos END, CASE WHEN sig <> 0 THEN last ELSE price END, CASE WHEN sig <> 0 THEN sig WHEN gain >= 1000 OR gain <= -800 THEN 0 ELSE held END,
+    CASE WHEN held <> 0 AND (sig <> 0 OR gain <= -800 AND gain < 1000 OR gain >= 1000) THEN pos END, CASE WHEN sig = 0 AND gain >= 1000 THEN held ELSE 0 END, k
+  FROM (SELECT s.*, r.k, r.sig, r.last, s.held * (r.last - s.price) * coalesce(round(10000 / nullif(s.price, 0)), 0) AS gain FROM net s JOIN daily_rows r ON r.symbol = s.symbol AND r.day = s.day AND r.k = s.done + 1))"""
+
+
+@query("g8_both_sides", sql("RECURSIVE " + NETTED, "SELECT r.symbol, r.seq, m.label FROM daily_rows r LEFT JOIN net m ON m.symbol = r.symbol AND m.day = r.day AND m.marked = r.k", "seq label", "", "symbol"))
 def g8(spark, d):
     s = _multi(spark, d).withColumns({"day": F.to_date("time"), "high": F.col("last"), "low": F.col("last"), "signal": F.col("s1")})
     return shape(labels.both_sides(s, 10_000.0, 1000.0, 800.0), "seq label", "", "symbol")
