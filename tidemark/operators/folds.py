@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from math import log
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.ordered import row_number
 from .joins import overlap_purge
 
 
@@ -21,16 +20,34 @@ def sequential(df: DataFrame, number: str, size: int, step: int = 1, by: tuple[s
     return d.withColumn("fold", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi", "_max")
 
 
+def chosen(folds: DataFrame, last: int | None = None, sample: int | None = None, by: tuple[str, ...] = (), seed: int = 1) -> DataFrame:
+    """The last n folds, or n folds drawn by a hash of their number, of each ``by``. A table of fold numbers decides; rows are
+    kept by a join with it."""
+    if (last is None) == (sample is None):
+        raise ValueError("give either last or sample")
+    keys = [*by, "fold"]
+    order = F.desc("fold") if last is not None else F.xxhash64("fold", F.lit(seed))
+    w = Window.partitionBy(*by).orderBy(order, "fold")
+    few = folds.select(*keys).distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= (last if last is not None else sample))
+    return folds.join(few.drop("_r"), keys, "left_semi")
+
+
 def split(folds: DataFrame, number: str, size: int, step: int, train: float, predict: int) -> DataFrame:
     """Adds part: train, valid or predict, by place in the fold."""
     place = F.col(number) - F.col("fold") * step
     return folds.withColumn("part", F.when(place > size - predict, "predict").when(place <= F.floor((size - predict) * F.lit(train)), "train").otherwise("valid"))
 
 
-def purged(df: DataFrame, k: int, order: list[str], embargo: int = 0) -> DataFrame:
-    """(fold, part, ...): k contiguous test blocks; train rows of a fold are those whose span of information lies wholly before or
-    after the block's. df: inf_start, inf_end."""
-    d = df.withColumn("block", F.ntile(k).over(Window.orderBy(*order)) - 1)
+def purged(df: DataFrame, k: int, order: list[str], chunk: Column, embargo: int = 0) -> DataFrame:
+    """(fold, part, ...): k contiguous test blocks of as equal size as can be (larger ones first); train rows of a fold are those
+    whose span of information lies wholly before or after the block's. df: inf_start, inf_end. ``chunk`` must not decrease
+    along ``order``: rows are numbered chunk by chunk, never in one task."""
+    d = row_number(df, "_n", [], order, chunk)
+    total = df.agg(F.count("*").alias("_t"))  # one row
+    size, more = F.floor(F.col("_t") / k), F.col("_t") % k
+    late = F.floor((F.col("_n") - 1 - more * (size + 1)) / F.greatest(size, F.lit(1))) + more
+    block = F.when(F.col("_n") <= more * (size + 1), F.floor((F.col("_n") - 1) / (size + 1))).otherwise(late)
+    d = d.join(F.broadcast(total)).withColumn("block", block.cast("int")).drop("_n", "_t")
     spans = d.groupBy(F.col("block").alias("fold")).agg(F.min("inf_start").alias("lo"), F.max("inf_end").alias("hi"))
     train = overlap_purge(d, spans, embargo=embargo).where("block <> fold").withColumn("part", F.lit("train")).drop("lo", "hi")
     test = d.withColumns({"fold": F.col("block"), "part": F.lit("test")})
@@ -51,16 +68,29 @@ def scores(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.agg(F.avg(((F.col(p) >= 0.5).cast("int") == F.col(y)).cast("double")).alias("accuracy"), (-F.avg(F.when(F.col(y) == 1, F.log(q)).otherwise(F.log(1 - q)))).alias("log_loss"))
 
 
-def each_fold(folds: DataFrame, fit_score: Callable[[pd.DataFrame, pd.DataFrame], float], classes: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, fold, score) of a function of the train and the test rows; null where either holds a single class."""
-    schema = ", ".join([*(f"`{k}` {folds.schema[k].dataType.simpleString()}" for k in by), "fold long, score double"])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        train, test = rows[rows["part"] == "train"], rows[rows["part"] != "train"]
-        ok = train[classes].nunique() > 1 and test[classes].nunique() > 1
-        return pd.DataFrame({**{k: rows[k].iloc[:1].tolist() for k in by}, "fold": [int(rows["fold"].iloc[0])], "score": [float(fit_score(train, test)) if ok else None]})
-
-    return folds.groupBy(*by, "fold").applyInPandas(run, schema)
+def majority_score(folds: DataFrame, y: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, fold, score): the share of a fold's test rows that have the class most frequent in its train rows (of equally
+    frequent ones the smallest); null where either part holds a single class."""
+    keys = [*by, "fold"]
+    n = folds.groupBy(*keys, y).agg(F.count_if(F.col("part") == "train").alias("_train"), F.count_if(F.col("part") != "train").alias("_test"))
+    best = F.min_by("_test", F.struct(-F.col("_train"), F.col(y)))
+    g = n.groupBy(*keys).agg((best / F.sum("_test")).alias("score"), F.count_if(F.col("_train") > 0).alias("_a"), F.count_if(F.col("_test") > 0).alias("_b"))
+    return g.select(*keys, F.when((F.col("_a") > 1) & (F.col("_b") > 1), F.col("score")).alias("score"))
+
+
+def split_score(folds: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, fold, score): accuracy on a fold's test rows of a one-split model of y (0 or 1): the side of the train rows' mean of x,
+    turned round where it is wrong more often than right in training; null where either part holds a single class."""
+    keys = [*by, "fold"]
+    mean = folds.where("part = 'train'").groupBy(*keys).agg(F.avg(x).alias("_m"))
+    d = folds.join(mean, keys).withColumn("_hit", ((F.col(x) > F.col("_m")) == (F.col(y) == 1)).cast("double"))
+    train = F.col("part") == "train"
+    g = d.groupBy(*keys).agg(
+        F.avg(F.when(train, F.col("_hit"))).alias("_a"), F.avg(F.when(~train, F.col("_hit"))).alias("_b"),
+        F.min(F.when(train, F.col(y))).alias("_lo"), F.max(F.when(train, F.col(y))).alias("_hi"), F.min(F.when(~train, F.col(y))).alias("_lo2"), F.max(F.when(~train, F.col(y))).alias("_hi2"),
+    )
+    score = F.when(F.col("_a") >= 0.5, F.col("_b")).otherwise(1 - F.col("_b"))
+    return g.select(*keys, F.when((F.col("_lo") < F.col("_hi")) & (F.col("_lo2") < F.col("_hi2")), score).alias("score"))
 
 
 def forest(df: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 5, seed: int = 1):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..plans.ordered import row_number
 
 
 def as_of(left: DataFrame, right: DataFrame, on: str, value: list[str], keys: list[str], forward: bool = False) -> DataFrame:
@@ -28,15 +30,14 @@ def following(events: DataFrame, rows: DataFrame, at: str, number: str, reach: i
     return e.join(r, [*keys, "_b"]).where((F.col(number) >= F.col(at)) & (F.col(number) <= F.col(at) + reach)).drop("_b")
 
 
-def contained(part: DataFrame, whole: DataFrame, cols: list[str], order: str) -> DataFrame:
-    """One row: whether ``part`` is a contiguous run of ``whole`` from the first record with part's first order value."""
-    first = part.agg(F.min(order).alias("_o"))
-    w = Window.orderBy(order, *cols)
-    start = whole.join(F.broadcast(first), F.col(order) >= F.col("_o")).drop("_o")  # one row
-    n = part.count()
-    a = part.withColumn("_n", F.row_number().over(w)).select("_n", F.struct(*cols).alias("a"))
-    b = start.orderBy(order, *cols).limit(n).withColumn("_n", F.row_number().over(w)).select("_n", F.struct(*cols).alias("b"))
-    return a.join(b, "_n", "left").agg(F.coalesce(F.bool_and(F.coalesce(F.col("a") == F.col("b"), F.lit(False))), F.lit(False)).alias("contained"))
+def contained(part: DataFrame, whole: DataFrame, cols: list[str], order: str, keys: list[str], chunk: Column) -> DataFrame:
+    """(keys, contained): whether ``part`` is a contiguous run of ``whole`` from the first record with part's first order value.
+    Both are numbered chunk by chunk (``chunk`` must not decrease along ``order``) and compared number by number."""
+    first = part.groupBy(*keys).agg(F.min(order).alias("_o"))
+    start = whole.join(first, keys).where(F.col(order) >= F.col("_o")).drop("_o")
+    a, b = (row_number(t.select(*keys, order, *cols), "_n", keys, [order, *cols], chunk).select(*keys, "_n", F.struct(order, *cols).alias(n)) for t, n in ((part, "_a"), (start, "_b")))
+    same = F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))
+    return a.join(b, [*keys, "_n"], "left").groupBy(*keys).agg(F.bool_and(same).alias("contained"))
 
 
 def overlap_purge(train: DataFrame, test_spans: DataFrame, start: str = "inf_start", end: str = "inf_end", embargo: int = 0) -> DataFrame:

@@ -204,9 +204,9 @@ def d1(spark, d):
     return shape(_vbars(spark, d).join(F.broadcast(wanted), "uid"), "uid smsc", "", "symbol")
 
 
-@query("d2_first_bar_from", sql(VBARS, "SELECT t.symbol, t.seq, b.smsc FROM (SELECT * FROM ticks WHERE seq % 10 = 0) t ASOF LEFT JOIN (SELECT symbol, time_msc, min(time_msc) AS smsc FROM deals GROUP BY 1, 2) b ON t.symbol = b.symbol AND t.time_msc <= b.time_msc", "seq smsc", "", "symbol"))
+@query("d2_first_bar_from", sql(VBARS, "SELECT t.symbol, t.seq, b.smsc FROM ticks t ASOF LEFT JOIN (SELECT symbol, time_msc, min(time_msc) AS smsc FROM deals GROUP BY 1, 2) b ON t.symbol = b.symbol AND t.time_msc <= b.time_msc", "seq smsc", "", "symbol"))
 def d2(spark, d):
-    t = market.ticks(spark, d).where("seq % 10 = 0").select("symbol", "time_msc", "seq")
+    t = market.ticks(spark, d).select("symbol", "time_msc", "seq")
     right = market.deals(spark, d).select("symbol", "time_msc", F.col("time_msc").alias("smsc"))
     return shape(joins.as_of(t, right, "time_msc", ["smsc"], ["symbol"], forward=True), "seq smsc", "", "symbol")
 
@@ -243,11 +243,18 @@ def d8(spark, d):
     return shape(market.deals(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("seq")))).where("r <= 10"), "seq", "last", "symbol")
 
 
-@query("a3_contained", sql("", "SELECT 'true' AS contained", "", "", "contained"))
+RUNS = TICKS_SQL + """, parts AS (SELECT symbol, 'deals' AS part, time_msc, seq, last FROM ticks WHERE volume > 0 UNION ALL SELECT symbol, 'later', time_msc, seq, last FROM ticks WHERE seq >= 300),
+a AS (SELECT *, row_number() OVER (PARTITION BY symbol, part ORDER BY time_msc, seq, last) AS n FROM parts),
+b AS (SELECT f.part, t.*, row_number() OVER (PARTITION BY t.symbol, f.part ORDER BY t.time_msc, t.seq, t.last) AS n FROM ticks t JOIN (SELECT symbol, part, min(time_msc) AS o FROM parts GROUP BY 1, 2) f ON f.symbol = t.symbol AND t.time_msc >= f.o)"""
+
+
+@query("a3_contained", sql(RUNS, "SELECT a.symbol, a.part, bool_and(coalesce(a.time_msc = b.time_msc AND a.seq = b.seq AND a.last = b.last, false)) AS contained FROM a LEFT JOIN b USING (symbol, part, n) GROUP BY 1, 2", "", "", "symbol part contained"))
 def a3(spark, d):
+    """Whether all deals, and all ticks from number 300 on, are contiguous runs of the ticks."""
     t = market.ticks(spark, d)
-    part = t.where("seq BETWEEN 100 AND 150")
-    return shape(joins.contained(part, t, ["symbol", "last"], "time_msc"), "", "", "contained")
+    parts = (t.where("volume > 0").withColumn("part", F.lit("deals")), t.where("seq >= 300").withColumn("part", F.lit("later")))
+    whole = t.withColumn("part", F.explode(F.array(F.lit("deals"), F.lit("later"))))
+    return shape(joins.contained(parts[0].unionByName(parts[1]), whole, ["seq", "last"], "time_msc", ["symbol", "part"], F.floor(F.col("time_msc") / 86_400_000)), "", "", "symbol part contained")
 
 
 @query("i1_aligned_symbols", sql(HOURS, "SELECT epoch_ms(time) AS msc, min(close) AS lowest, max(close) AS highest FROM hours GROUP BY 1 HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM hours)", "msc", "lowest highest"))
@@ -305,12 +312,21 @@ def e2(spark, d):
     return shape(indicators.ema(market.deals(spark, d), ["symbol"], "seq", "last", 10), "seq", "ema", "symbol")
 
 
-@query("e3_macd")
+def _recursion(name: str, n: int, alpha: str, source: str, value: str) -> str:
+    """An average over ``value`` of ``source`` (symbol, k from 1), seeded with the mean of the first n."""
+    return f"""{name}(symbol, k, v) AS (SELECT symbol, CAST({n} AS BIGINT), avg({value}) FROM {source} WHERE k <= {n} GROUP BY 1 HAVING count(*) = {n} UNION ALL
+      SELECT r.symbol, n.k, r.v + {alpha} * (n.{value} - r.v) FROM {name} r JOIN {source} n ON n.symbol = r.symbol AND n.k = r.k + 1)"""
+
+
+@query("e3_macd", "WITH RECURSIVE " + NUMBERED + ", " + _recursion("fast", 12, "2.0 / 13", "numbered", "last") + ", " + _recursion("slow", 26, "2.0 / 27", "numbered", "last") + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, round(f.v - s.v, 6) AS macd FROM numbered n LEFT JOIN fast f ON f.symbol = n.symbol AND f.k = n.k LEFT JOIN slow s ON s.symbol = n.symbol AND s.k = n.k")
 def e3(spark, d):
     return shape(indicators.macd(market.deals(spark, d), ["symbol"], "seq", "last", 12, 26), "seq", "macd", "symbol")
 
 
-@query("e4_rsi")
+MOVES = NUMBERED + ", moves AS (SELECT symbol, k - 1 AS k, greatest(c, 0) AS gain, greatest(-c, 0) AS loss FROM (SELECT symbol, k, last - lag(last) OVER (PARTITION BY symbol ORDER BY k) AS c FROM numbered) WHERE k > 1)"
+
+
+@query("e4_rsi", "WITH RECURSIVE " + MOVES + ", " + _recursion("ups", 14, "1.0 / 14", "moves", "gain") + ", " + _recursion("downs", 14, "1.0 / 14", "moves", "loss") + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, round(CASE WHEN u.v + d.v > 0 THEN 100 * u.v / (u.v + d.v) WHEN u.v IS NOT NULL THEN 50 END, 6) AS rsi FROM numbered n LEFT JOIN ups u ON u.symbol = n.symbol AND u.k = n.k - 1 LEFT JOIN downs d ON d.symbol = n.symbol AND d.k = n.k - 1")
 def e4(spark, d):
     return shape(indicators.rsi(market.deals(spark, d), ["symbol"], "seq", "last", 14), "seq", "rsi", "symbol")
 
@@ -402,7 +418,13 @@ def e17(spark, d):
     return shape(indicators.cusum(market.deals(spark, d), ["symbol"], "seq", "last", 200.0), "seq event", "", "symbol")
 
 
-@query("e18_masked_cusum")
+MASKED = NUMBERED + """, valid AS (SELECT *, hour(time) BETWEEN 6 AND 18 AS ok FROM numbered), r AS (
+  SELECT symbol, k, last, ok, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, 0 AS event FROM valid WHERE k = 1 UNION ALL
+  SELECT symbol, k, last, ok, CASE WHEN u > 150 THEN 0.0 ELSE u END, CASE WHEN u <= 150 AND v < -150 THEN 0.0 ELSE v END, CASE WHEN u > 150 THEN 1 WHEN v < -150 THEN -1 ELSE 0 END
+  FROM (SELECT n.symbol, n.k, n.last, n.ok, CASE WHEN n.ok AND r.ok THEN greatest(0.0, r.up + n.last - r.last) ELSE 0 END AS u, CASE WHEN n.ok AND r.ok THEN least(0.0, r.dn + n.last - r.last) ELSE 0 END AS v FROM r JOIN valid n ON n.symbol = r.symbol AND n.k = r.k + 1))"""
+
+
+@query("e18_masked_cusum", "WITH RECURSIVE " + MASKED + " SELECT r.symbol, CAST(n.seq AS BIGINT) AS seq, CAST(event AS BIGINT) AS event FROM r JOIN numbered n ON n.symbol = r.symbol AND n.k = r.k")
 def e18(spark, d):
     t = market.deals(spark, d).withColumn("ok", F.hour("time").between(6, 18).cast("double"))
     return shape(indicators.cusum(t, ["symbol"], "seq", "last", 150.0, "ok"), "seq event", "", "symbol")

@@ -9,8 +9,9 @@ from ..operators import backtest, bars, features, folds, indicators, labels, sig
 from ..sources import files, market
 from ..sources.market import DAILY_SQL, DEALS_SQL, TICKS_SQL
 from ..streaming import live
-from .market_queries import NUMBERED, VBARS, VOL, W, WS, _numbered, _rows, _vbars, _volatile, shape, sql
+from .market_queries import CUSUM, NUMBERED, VBARS, VOL, W, WS, _numbered, _rows, _vbars, _volatile, shape, sql
 from .registry import query
+from .scratch import new_path, stored
 
 def WT():
     return indicators.by("symbol", order="time")
@@ -82,7 +83,7 @@ def f6(spark, d):
     return shape(_multi(spark, d).withColumn("s", signals.collapse([F.col(f"s{k}") for k in range(3)])), "seq s", "", "symbol")
 
 
-@query("f7_cusum_events")
+@query("f7_cusum_events", "WITH RECURSIVE " + CUSUM + " SELECT r.symbol, CAST(n.seq AS BIGINT) AS seq, CAST(event AS BIGINT) AS event FROM r JOIN numbered n ON n.symbol = r.symbol AND n.k = r.k WHERE event <> 0")
 def f7(spark, d):
     return shape(indicators.cusum(market.deals(spark, d), ["symbol"], "seq", "last", 200.0).where("event <> 0"), "seq event", "", "symbol")
 
@@ -168,7 +169,7 @@ def f19(spark, d):
 
 # ---- G: labels ------------------------------------------------------------------------------------------------------
 
-BARRIER = VOL + """, ev AS (SELECT symbol, uid AS twhen, wprice AS entry, sigma FROM vol WHERE uid % 7 = 0),
+BARRIER = VOL + """, ev AS (SELECT symbol, uid AS twhen, wprice AS entry, sigma FROM vol),
 probe AS (
   SELECT e.symbol, e.twhen, b.uid, p.pos, p.price / entry - 1 AS r, sigma AS width FROM (SELECT ev.symbol, ev.twhen, ev.entry, ev.sigma AS width FROM ev) e
   JOIN (SELECT symbol, uid, open, high, low, highfirst FROM vol) b ON b.symbol = e.symbol AND b.uid BETWEEN e.twhen AND e.twhen + 30
@@ -183,8 +184,8 @@ BARRIER = BARRIER.replace("sigma AS width FROM (SELECT ev.symbol", "width FROM (
 
 
 def _labels(spark, d):
-    b = _volatile(spark, d)
-    return labels.triple_barrier(b.where("uid % 7 = 0").select("symbol", F.col("uid").alias("twhen")), b, 2.0, 10, 10, 3)
+    b = stored(_volatile(spark, d), "bars")
+    return labels.triple_barrier(b.select("symbol", F.col("uid").alias("twhen")), b, 2.0, 10, 10, 3)
 
 
 @query("g1_triple_barrier", sql(BARRIER, "SELECT *, CASE WHEN ret > 0 THEN 1 ELSE -1 END AS side FROM labels WHERE ret IS NOT NULL", "twhen vertbar side tdone", "ret", "symbol"))
@@ -194,7 +195,7 @@ def g1(spark, d):
 
 @query("g3_pending_events", sql(BARRIER, "SELECT symbol, twhen FROM ev WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.symbol = ev.symbol AND l.twhen = ev.twhen AND ret IS NOT NULL)", "twhen", "", "symbol"))
 def g3(spark, d):
-    ev = _volatile(spark, d).where("uid % 7 = 0").select("symbol", F.col("uid").alias("twhen"))
+    ev = _volatile(spark, d).select("symbol", F.col("uid").alias("twhen"))
     return shape(ev.join(_labels(spark, d).select("symbol", "twhen").distinct(), ["symbol", "twhen"], "left_anti"), "twhen", "", "symbol")
 
 
@@ -435,10 +436,10 @@ def k6(spark, d):
     return shape(market.deals(spark, d).groupBy("symbol", "volume").agg(F.min("seq").alias("seq")), "volume seq", "", "symbol")
 
 
-@query("l1_union", sql(TICKS_SQL, "SELECT symbol, seq FROM ticks WHERE seq < 100 UNION ALL SELECT symbol, seq FROM ticks WHERE seq BETWEEN 50 AND 150", "seq", "", "symbol"))
+@query("l1_union", sql(DEALS_SQL, "SELECT symbol, seq FROM deals UNION ALL SELECT symbol, seq FROM ticks WHERE last > 100", "seq", "", "symbol"))
 def l1(spark, d):
     t = market.ticks(spark, d)
-    return shape(t.where("seq < 100").unionByName(t.where("seq BETWEEN 50 AND 150")), "seq", "", "symbol")
+    return shape(market.deals(spark, d).unionByName(t.where("last > 100")), "seq", "", "symbol")
 
 
 @query("l2_membership", sql(DEALS_SQL, "SELECT symbol, seq FROM deals WHERE symbol IN ('view', 'click')", "seq", "", "symbol"))
@@ -446,10 +447,10 @@ def l2(spark, d):
     return shape(market.deals(spark, d).where(F.col("symbol").isin("view", "click")), "seq", "", "symbol")
 
 
-@query("l3_set_difference", sql(TICKS_SQL, "SELECT seq FROM ticks EXCEPT SELECT seq FROM ticks WHERE volume > 50", "seq"))
+@query("l3_set_difference", sql(TICKS_SQL, "SELECT symbol, volume FROM ticks EXCEPT ALL SELECT symbol, volume FROM ticks WHERE last > 250", "volume", "", "symbol"))
 def l3(spark, d):
     t = market.ticks(spark, d)
-    return shape(t.select("seq").exceptAll(t.where("volume > 50").select("seq")), "seq")
+    return shape(t.select("symbol", "volume").exceptAll(t.where("last > 250").select("symbol", "volume")), "volume", "", "symbol")
 
 
 @query("m1_scalars", sql(DEALS_SQL, "SELECT symbol, seq, floor(last / 0.05) * 0.05 AS tick, sign(last - 250) AS side, sqrt(last) AS root, floor(10000 / last / 100) * 100 AS lot, greatest(least(last, 400), 50) AS clipped FROM deals", "seq", "tick side root lot clipped", "symbol"))
@@ -460,13 +461,16 @@ def m1(spark, d):
 # ---- N: folds -------------------------------------------------------------------------------------------------------
 
 
-@query("n1_sequential_folds", sql(NUMBERED, "SELECT symbol, f AS fold, count(*) AS n, min(k) AS lo, max(k) AS hi FROM numbered, (SELECT unnest(range(0, 3)) AS f) WHERE symbol = 'view' AND k > f * 500 AND k <= f * 500 + 800 AND f * 500 + 800 <= (SELECT max(k) FROM numbered WHERE symbol = 'view') GROUP BY 1, 2", "fold n lo hi", "", "symbol"))
+FOLDS = NUMBERED + ", m AS (SELECT symbol, max(k) AS m FROM numbered GROUP BY 1), folds AS (SELECT symbol, unnest(range(0, CAST(floor((m - 800) / 500.0) AS BIGINT) + 1)) AS fold FROM m WHERE m >= 800), folded AS (SELECT n.symbol, fold, k, k - fold * 500 AS place FROM folds f JOIN numbered n ON n.symbol = f.symbol AND n.k > fold * 500 AND n.k <= fold * 500 + 800)"
+
+
+@query("n1_sequential_folds", sql(FOLDS, "SELECT symbol, fold, count(*) AS n, min(k) AS lo, max(k) AS hi FROM folded GROUP BY 1, 2", "fold n lo hi", "", "symbol"))
 def n1(spark, d):
-    f = folds.sequential(_numbered(spark, d).where("symbol = 'view'"), "k", 800, 500).where("fold < 3")
+    f = folds.sequential(_numbered(spark, d), "k", 800, 500, ("symbol",))
     return shape(f.groupBy("symbol", "fold").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")), "fold n lo hi", "", "symbol")
 
 
-@query("n2_split")
+@query("n2_split", sql(FOLDS, "SELECT symbol, fold, CASE WHEN place > 760 THEN 'predict' WHEN place <= 570 THEN 'train' ELSE 'valid' END AS part, count(*) AS n FROM folded GROUP BY ALL", "fold n", "", "symbol part"))
 def n2(spark, d):
     f = folds.split(folds.sequential(_numbered(spark, d), "k", 800, 500, ("symbol",)), "k", 800, 500, 0.75, 40)
     return shape(f.groupBy("symbol", "fold", "part").agg(F.count("*").alias("n")), "fold n", "", "symbol part")
@@ -474,7 +478,7 @@ def n2(spark, d):
 
 def _folded(spark, d, k=5):
     v = _labels(spark, d).select("symbol", "twhen", "vertbar", "side", F.col("twhen").alias("inf_start"), F.col("tdone").alias("inf_end"))
-    return folds.purged(v, k, ["twhen", "symbol", "vertbar"])
+    return folds.purged(stored(v, "labels"), k, ["twhen", "symbol", "vertbar"], F.floor(F.col("twhen") / 1000))
 
 
 @query("n3_purged_folds", sql(BARRIER + ", f AS (SELECT *, ntile(5) OVER (ORDER BY twhen, symbol, vertbar) - 1 AS b FROM labels WHERE ret IS NOT NULL), s AS (SELECT b AS fold, min(twhen) AS lo, max(tdone) AS hi FROM f GROUP BY 1)", "SELECT fold, 'train' AS part, count(*) AS n FROM f, s WHERE b <> fold AND (tdone < lo OR twhen > hi) GROUP BY 1 UNION ALL SELECT b, 'test', count(*) FROM f GROUP BY 1", "fold n", "", "part"))
@@ -482,12 +486,13 @@ def n3(spark, d):
     return shape(_folded(spark, d).groupBy("fold", "part").agg(F.count("*").alias("n")), "fold n", "", "part")
 
 
-@query("n4_fold_scores")
-def n4(spark, d):
-    def majority(train, test):
-        return float((test["side"] == train["side"].mode().iloc[0]).mean())
+PURGED = BARRIER + """, f AS (SELECT *, CASE WHEN ret > 0 THEN 1 ELSE -1 END AS side, ntile(5) OVER (ORDER BY twhen, symbol, vertbar) - 1 AS b FROM labels WHERE ret IS NOT NULL), s AS (SELECT b AS fold, min(twhen) AS lo, max(tdone) AS hi FROM f GROUP BY 1),
+parted AS (SELECT fold, side, 1 AS train FROM f, s WHERE b <> fold AND (tdone < lo OR twhen > hi) UNION ALL SELECT b, side, 0 FROM f)"""
 
-    return shape(folds.each_fold(_folded(spark, d), majority, "side"), "fold", "score")
+
+@query("n4_fold_scores", sql(PURGED, "SELECT fold, CASE WHEN count(DISTINCT side) FILTER (train = 1) > 1 AND count(DISTINCT side) FILTER (train = 0) > 1 THEN avg(CASE WHEN side = best THEN 1.0 ELSE 0.0 END) FILTER (train = 0) END AS score FROM parted JOIN (SELECT fold, arg_max(side, n * 2 - CASE WHEN side > 0 THEN 1 ELSE 0 END) AS best FROM (SELECT fold, side, count(*) AS n FROM parted WHERE train = 1 GROUP BY ALL) GROUP BY 1) USING (fold) GROUP BY 1", "fold", "score"))
+def n4(spark, d):
+    return shape(folds.majority_score(_folded(spark, d), "side"), "fold", "score")
 
 
 @query("n8_forest")
@@ -526,10 +531,10 @@ def o6(spark, d):
     return shape(backtest.minute_simulate(h, g, 0.2, 0.3, 6, 3), "opened shut side", "entry fill ret", "symbol day")
 
 
-@query("o7_close_orders", sql(NUMBERED, "SELECT symbol, k AS opened, coalesce(h, e) AS shut, CASE WHEN h IS NULL THEN 0 ELSE 1 END AS hit FROM (SELECT a.symbol, a.k, min(CASE WHEN b.last > a.last * 1.3 OR b.last < a.last * 0.7 THEN b.k END) AS h, max(b.k) AS e FROM numbered a JOIN numbered b ON a.symbol = b.symbol AND b.k > a.k AND b.k <= a.k + 15 WHERE a.k % 11 = 0 GROUP BY 1, 2)", "opened shut hit", "", "symbol"))
+@query("o7_close_orders", sql(NUMBERED, "SELECT symbol, k AS opened, coalesce(h, e) AS shut, CASE WHEN h IS NULL THEN 0 ELSE 1 END AS hit FROM (SELECT a.symbol, a.k, min(CASE WHEN b.last > a.last * 1.3 OR b.last < a.last * 0.7 THEN b.k END) AS h, max(b.k) AS e FROM numbered a JOIN numbered b ON a.symbol = b.symbol AND b.k > a.k AND b.k <= a.k + 15 GROUP BY 1, 2)", "opened shut hit", "", "symbol"))
 def o7(spark, d):
     n = _numbered(spark, d)
-    o = n.where("k % 11 = 0").select("symbol", F.col("k").alias("at"), (F.col("last") * 1.3).alias("upper"), (F.col("last") * 0.7).alias("lower"))
+    o = n.select("symbol", F.col("k").alias("at"), (F.col("last") * 1.3).alias("upper"), (F.col("last") * 0.7).alias("lower"))
     b = n.select("symbol", "k", F.col("last").alias("high"), F.col("last").alias("low"), F.col("last").alias("close"))
     return shape(backtest.close_orders(o, b, 15).withColumnRenamed("at", "opened"), "opened shut hit", "", "symbol")
 
@@ -577,8 +582,6 @@ def o11(spark, d):
 
 
 def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    from .scratch import new_path
-
     at, path = new_path(spark, "checkpoint"), new_path(spark, "stream")
     schema = stream.schema
     live.drain(stream, at, path)
@@ -592,7 +595,7 @@ def p1(spark, d):
     return shape(b, "uid nticks", "high low", "symbol")
 
 
-@query("p2_stream_cusum")
+@query("p2_stream_cusum", "WITH RECURSIVE " + CUSUM + " SELECT r.symbol, CAST(n.seq AS BIGINT) AS seq, CAST(event AS BIGINT) AS event FROM r JOIN numbered n ON n.symbol = r.symbol AND n.k = r.k WHERE event <> 0")
 def p2(spark, d):
     return shape(_drained(spark, live.cusum_stream(live.tick_stream(spark, f"{d}/events.parquet*"), 200.0)), "seq event", "", "symbol")
 

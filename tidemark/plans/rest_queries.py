@@ -9,7 +9,7 @@ from ..sources import files, market
 from ..sources.market import DEALS_SQL, TICKS_SQL
 from ..streaming import live
 from .market_queries import HOURS, NUMBERED, W, WS, _numbered, shape, sql
-from .more_queries import BARRIER, DAILY_ROWS, MULTI, VOL, _drained, _labels, _multi, _volatile
+from .more_queries import BARRIER, DAILY_ROWS, FOLDS, MULTI, VOL, _drained, _labels, _multi, _volatile
 from .ordered import overlapping
 from .registry import query
 from .scratch import new_path
@@ -66,9 +66,9 @@ def g8(spark, d):
     return shape(labels.both_sides(s, 10_000.0, 1000.0, 800.0), "seq label", "", "symbol")
 
 
-@query("g9_delayed_labels", sql(NUMBERED, "SELECT a.symbol, a.k, coalesce(arg_min(CASE WHEN b.last >= a.last * 1.1 THEN 1 ELSE 0 END, b.k) FILTER (b.last >= a.last * 1.1 OR b.last <= a.last * 0.9), CASE WHEN arg_max(b.last, b.k) >= a.last * 1.05 THEN 1 ELSE 0 END) AS label FROM numbered a JOIN numbered b ON a.symbol = b.symbol AND b.k BETWEEN a.k + 2 AND a.k + 30 AND CAST(a.time AS DATE) = CAST(b.time AS DATE) WHERE a.k % 9 = 0 GROUP BY a.symbol, a.k, a.last", "k label", "", "symbol"))
+@query("g9_delayed_labels", sql(NUMBERED, "SELECT a.symbol, a.k, coalesce(arg_min(CASE WHEN b.last >= a.last * 1.1 THEN 1 ELSE 0 END, b.k) FILTER (b.last >= a.last * 1.1 OR b.last <= a.last * 0.9), CASE WHEN arg_max(b.last, b.k) >= a.last * 1.05 THEN 1 ELSE 0 END) AS label FROM numbered a JOIN numbered b ON a.symbol = b.symbol AND b.k BETWEEN a.k + 2 AND a.k + 30 AND CAST(a.time AS DATE) = CAST(b.time AS DATE) GROUP BY a.symbol, a.k, a.last", "k label", "", "symbol"))
 def g9(spark, d):
-    return shape(labels.delayed(_numbered(spark, d), "k % 9 = 0", 2, 30, 0.1, 0.1), "k label", "", "symbol")
+    return shape(labels.delayed(_numbered(spark, d), "true", 2, 30, 0.1, 0.1), "k label", "", "symbol")
 
 
 @query("g12_shifted_labels", sql(DEALS_SQL, f"SELECT symbol, seq, lead(CASE WHEN volume > 49 THEN 1 ELSE 0 END, 3) OVER {WS} AS label FROM deals", "seq label", "", "symbol"))
@@ -114,26 +114,34 @@ def _model_rows(spark, d):
     return t.withColumns({"r": F.col("last") - F.lag("last").over(w), "y": (F.lead("last").over(w) > F.col("last")).cast("int")}).na.drop(subset=["r", "y"])
 
 
-def _stump(train, test):
-    """The side of the mean return that was right more often in training."""
-    up = train["r"] > train["r"].mean()
-    follow = (up == (train["y"] == 1)).mean() >= 0.5
-    return float(((test["r"] > train["r"].mean()) == (test["y"] == 1)).eq(follow).mean())
+def _scored(size: int, step: int, parts: str, where: str = "true") -> str:
+    return NUMBERED + f""", rows_ AS (SELECT symbol, k, r, y FROM (SELECT symbol, k, last - lag(last) OVER v AS r, CASE WHEN lead(last) OVER v > last THEN 1 WHEN lead(last) OVER v <= last THEN 0 END AS y FROM numbered WINDOW v AS (PARTITION BY symbol ORDER BY k)) WHERE r IS NOT NULL AND y IS NOT NULL),
+    m AS (SELECT symbol, max(k) AS m FROM rows_ GROUP BY 1), g AS (SELECT symbol, unnest(range(0, CAST(floor((m - {size}) / {step}.0) AS BIGINT) + 1)) AS fold FROM m WHERE m >= {size}),
+    p AS (SELECT * FROM (SELECT n.*, fold, {parts.format(place=f"(k - fold * {step})")} AS part FROM g JOIN rows_ n ON n.symbol = g.symbol AND n.k > fold * {step} AND n.k <= fold * {step} + {size}) WHERE {where}),
+    h AS (SELECT p.*, CASE WHEN (r > a) = (y = 1) THEN 1.0 ELSE 0.0 END AS hit FROM p JOIN (SELECT symbol, fold, avg(r) AS a FROM p WHERE part = 'train' GROUP BY ALL) t USING (symbol, fold)),
+    scored AS (SELECT symbol, fold, CASE WHEN count(DISTINCT y) FILTER (part = 'train') > 1 AND count(DISTINCT y) FILTER (part <> 'train') > 1
+      THEN CASE WHEN avg(hit) FILTER (part = 'train') >= 0.5 THEN avg(hit) FILTER (part <> 'train') ELSE 1 - avg(hit) FILTER (part <> 'train') END END AS score FROM h GROUP BY 1, 2)"""
 
 
-@query("n5_walk_forward")
+@query("n5_walk_forward", sql(_scored(150, 100, "CASE WHEN {place} > 130 THEN 'predict' WHEN {place} <= 91 THEN 'train' ELSE 'valid' END"), "SELECT * FROM scored", "fold", "score", "symbol"))
 def n5(spark, d):
     f = folds.split(folds.sequential(_model_rows(spark, d), "k", 150, 100, ("symbol",)), "k", 150, 100, 0.7, 20)
-    return shape(folds.each_fold(f, _stump, "y", ("symbol",)), "fold", "score", "symbol")
+    return shape(folds.split_score(f, "r", "y", ("symbol",)), "fold", "score", "symbol")
 
 
-@query("n6_sliding_predictions")
+@query("n6_sliding_predictions", sql(_scored(150, 20, "CASE WHEN {place} > 130 THEN 'predict' WHEN {place} <= 117 THEN 'train' ELSE 'valid' END", "part <> 'valid'"), "SELECT *, CASE WHEN score >= 0.9 THEN 1 WHEN score < 0.9 THEN 0 END AS act FROM scored", "fold act", "score", "symbol"))
 def n6(spark, d):
     f = folds.split(folds.sequential(_model_rows(spark, d), "k", 150, 20, ("symbol",)), "k", 150, 20, 0.9, 20)
-    s = folds.each_fold(f.where("part <> 'valid'"), _stump, "y", ("symbol",))
+    s = folds.split_score(f.where("part <> 'valid'"), "r", "y", ("symbol",))
     return shape(s.withColumn("act", (F.col("score") >= 0.9).cast("int")), "fold act", "score", "symbol")
 
 
+@query("n2_last_folds", sql(FOLDS, "SELECT symbol, fold, count(*) AS n FROM folded SEMI JOIN (SELECT symbol, fold FROM folds QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY fold DESC) <= 2) USING (symbol, fold) GROUP BY ALL", "fold n", "", "symbol"))
+def n2_last(spark, d):
+    f = folds.chosen(folds.sequential(_numbered(spark, d), "k", 800, 500, ("symbol",)), last=2, by=("symbol",))
+    return shape(f.groupBy("symbol", "fold").agg(F.count("*").alias("n")), "fold n", "", "symbol")
+
+
 @query("n7_overlapping_slices", sql(NUMBERED, "SELECT symbol, b AS block, count(*) AS n FROM numbered, (SELECT unnest(range(0, 200)) AS b) WHERE k - 1 >= b * 100 - 10 AND k - 1 < b * 100 + 100 GROUP BY 1, 2", "block n", "", "symbol"))
 def n7(spark, d):
     b = overlapping(_numbered(spark, d), "k", 100, 10).groupBy("symbol", "block").agg(F.count("*").alias("n"), F.count_if(~F.col("warmup")).alias("own"))
@@ -148,13 +156,17 @@ def n11(spark, d):
     return shape(r.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("equity"), "scenario"))), "scenario rank", "equity")  # one row per scenario
 
 
-@query("p3_stream_minutes")
+#: a window is given out once the watermark, ten minutes behind the last deal, has passed its end
+SEEN = "(SELECT max(time_msc) - 600000 FROM deals)"
+
+
+@query("p3_stream_minutes", sql(DEALS_SQL, f"SELECT symbol, time_msc // 60000 * 60000 AS msc, max(last) AS high, min(last) AS low, count(*) AS n FROM deals GROUP BY 1, 2 HAVING time_msc // 60000 * 60000 + 60000 <= {SEEN}", "msc n", "high low", "symbol"))
 def p3(spark, d):
     out = _drained(spark, live.minute_stream(live.tick_stream(spark, f"{d}/events.parquet*")))
     return shape(out.withColumn("msc", F.unix_millis("time")), "msc n", "high low", "symbol")
 
 
-@query("p5_stream_sessions")
+@query("p5_stream_sessions", sql(DEALS_SQL, f"SELECT symbol, min(time_msc) AS msc, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY time, seq) AS session FROM (SELECT *, CASE WHEN time > lag(time) OVER (PARTITION BY symbol ORDER BY time, seq) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS fresh FROM deals)) GROUP BY symbol, session HAVING max(time_msc) + 7200000 <= {SEEN}", "msc n", "", "symbol"))
 def p5(spark, d):
     out = _drained(spark, live.session_stream(live.tick_stream(spark, f"{d}/events.parquet*"), gap="2 hours"))
     return shape(out.withColumn("msc", F.unix_millis("start")), "msc n", "", "symbol")

@@ -55,7 +55,7 @@ def value_bar_stream(ticks: DataFrame, size: int) -> DataFrame:
 
 
 def cusum_stream(ticks: DataFrame, h: float) -> DataFrame:
-    """(symbol, seq, event) of the symmetric CUSUM filter, its two sums and the last value as state."""
+    """(symbol, seq, event) of the symmetric CUSUM filter over deals, its two sums and the last value as state."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         has, last, up, down = state.get if state.exists else (False, 0.0, 0.0, 0.0)
@@ -73,7 +73,7 @@ def cusum_stream(ticks: DataFrame, h: float) -> DataFrame:
         state.update((has, last, up, down))
         yield pd.DataFrame(out, columns=["symbol", "seq", "event"])
 
-    return ticks.groupBy("symbol").applyInPandasWithState(step, "symbol string, seq long, event long", "has boolean, last double, up double, down double", "append", GroupStateTimeout.NoTimeout)
+    return ticks.where("volume > 0").groupBy("symbol").applyInPandasWithState(step, "symbol string, seq long, event long", "has boolean, last double, up double, down double", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, checkpoint: str, path: str, mode: str = "append") -> None:
