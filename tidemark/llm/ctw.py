@@ -8,19 +8,20 @@ never met take no part in a mixture.
 
 Blocks of text count their (context, byte) pairs and send them, sorted and packed, to the tree of the last two bytes. A
 tree's task merges what the blocks counted, one block after the other, and works on contexts of three bytes at a time; it
-sends each block the probabilities of the pairs that the block has. Depths 0 and 1 (at most 65,280 nodes) are put together
-on the driver and broadcast. A task so holds one block, or the distinct pairs under two last bytes.
+sends each block the probabilities of the pairs that the block has. Words are counted in the same way, by BUCKETS of their
+hashes. Depths 0 and 1 (at most 65,280 nodes) are put together on the driver and broadcast. A task so holds one block, the
+distinct pairs under two last bytes, or a bucket's distinct words.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,8 +34,9 @@ _CHUNK = 1 << 20
 _SLICE = 1 << 15  #: pairs of a tree that are worked on at once, at least
 _MERGE = 1 << 20  #: pairs that wait to be merged
 _LOG2 = np.log(2.0)
-_TABLES = "block long, doc_id array<long>, held_out array<boolean>, text binary, word binary, n long, tree int, pairs binary, times binary"
-_KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+BUCKETS = 1024  #: of words
+_TABLES = "block long, doc_id array<long>, held_out array<boolean>, text binary, bucket int, words binary, tree int, pairs binary, times binary"
+_KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 _NAMES = [c.split()[0] for c in _TABLES.split(", ")]
 
 
@@ -68,12 +70,36 @@ class _Sum:
         return _summed(self.parts)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return zlib.compress(x.tobytes(), 1)
+def _packed(x: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(x)
+
+
+def _unpacked(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompressobj().decompress(x)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers, packed byte by byte: all lowest bytes first."""
+    return _packed(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unplanes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unpacked(x), dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
 def _keys_of(pairs: bytes, tree: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(pairs), dtype=np.int64)) + (tree << 40)
+    return np.cumsum(_unplanes(pairs)) + (tree << 40)
+
+
+def _fixed(p: np.ndarray) -> bytes:
+    """log10 of probabilities in five bytes each, to 2**-33 (the least is above -256: eight bits, each from counts of a long)."""
+    return np.rint(-p * 2**32).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unfixed(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel() / -(2.0**32)
 
 
 def _blocks(batches) -> Iterator[pa.RecordBatch]:
@@ -82,20 +108,22 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
     part, nth = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
     ids: list = []
     held: list = []
-    closed: list = []
-    words: dict = {}
+    closed: list = []  # packed, but for the end
+    packer = zstandard.ZstdCompressor(level=6).compressobj()
+    words: list = []  # by chunk: hashes, how often they are learned, lengths, bytes
     pairs = _Sum()
     size = 0
 
     def flush():
-        nonlocal nth, pairs, size
+        nonlocal nth, packer, pairs, size
         block = (part << 32) | nth
         nth += 1
-        words[b""] = len(held) - sum(held)  # the end of a text
-        yield _rows(1, block=[block], doc_id=[ids], held_out=[held], text=[zlib.compress(b"".join(closed), 1)])
-        yield _rows(len(words), block=np.full(len(words), block), word=list(words), n=list(words.values()))
-        for x in (ids, held, closed, words):
+        yield _rows(1, block=[block], doc_id=[ids], held_out=[held], text=[b"".join([*closed, packer.flush()])])
+        packer = zstandard.ZstdCompressor(level=6).compressobj()
+        for x in (ids, held, closed):
             x.clear()
+        yield from _listed(block, words)
+        words.clear()
         key, n = pairs.total()
         pairs, size = _Sum(), 0
         tree, first = np.unique(key >> 40, return_index=True)
@@ -103,7 +131,7 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
             some = [(key[a:b], n[a:b]) for a, b in zip(first[at : at + 200], np.append(first, len(key))[at + 1 :])]
             yield _rows(
                 len(some), block=np.full(len(some), block), tree=tree[at : at + 200].astype(np.int32),
-                pairs=[_packed(np.diff(k, prepend=int(t) << 40)) for (k, _), t in zip(some, tree[at : at + 200])], times=[_packed(m.astype(np.uint32)) for _, m in some],
+                pairs=[_planes(np.diff(k, prepend=int(t) << 40)) for (k, _), t in zip(some, tree[at : at + 200])], times=[_planes(m) for _, m in some],
             )
 
     for batch in slices(batches):
@@ -112,8 +140,7 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
             own = some_held[at : at + len(texts)]
             learned = ~np.array(own, dtype=bool)
             texts = [_closed(t) for t in texts]
-            for word, n in zip(*_words(texts, learned)):
-                words[word] = words.get(word, 0) + n
+            words.append(_words(texts, learned))
             key, length = _keys(texts)
             code, unique = pd.factorize(key)
             n = np.bincount(code, np.repeat(learned, length), minlength=len(unique)).astype(np.int64)
@@ -121,7 +148,7 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
             pairs.add(unique[order], n[order])
             ids.extend(some_ids[at : at + len(texts)])
             held.extend(own)
-            closed.extend(texts)
+            closed.append(packer.compress(b"".join(texts)))
             size += len(key)
             if size >= BLOCK:
                 yield from flush()
@@ -129,14 +156,60 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _words(texts: list[bytes], learned: np.ndarray) -> tuple[list[bytes], list[int]]:
-    """The distinct words, and how often learned texts have them."""
+def _gather(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes of some slices, one after the other."""
+    end = np.cumsum(length)
+    return raw[np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - length), length)]
+
+
+def _words(texts: list[bytes], learned: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hashes of the distinct words, how often learned texts have them, their lengths, and their bytes."""
     words = Words(texts, lower=False)
     code, unique = pd.factorize(words.hash)
     n = np.bincount(code, learned[words.doc], minlength=len(unique)).astype(np.int64)
     first = np.zeros(len(unique), dtype=np.int64)
     first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-    return [words.raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())], n.tolist()
+    length = words.end[first] - words.start[first]
+    return unique, n, length, _gather(np.frombuffer(words.raw, dtype=np.uint8), words.start[first], length)
+
+
+def _in_order(h: np.ndarray) -> np.ndarray:
+    """The order of a block's words: by bucket, then by hash. h is sorted."""
+    return np.argsort(h % np.uint64(BUCKETS), kind="stable")
+
+
+def _listed(block: int, words: list) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket of a block's distinct words, with how often they are learned."""
+    h, n, length, raw = (np.concatenate([w[i] for w in words]) for i in range(4))
+    unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    order = _in_order(unique)
+    n = np.bincount(inverse, n, minlength=len(unique)).astype(np.int64)[order]
+    start, length = (np.cumsum(length) - length)[first][order], length[first][order]
+    bucket, at = np.unique(unique[order] % np.uint64(BUCKETS), return_index=True)
+    data = _gather(np.append(raw, np.uint8(10)), np.column_stack([start, np.full(len(start), len(raw))]).ravel(), np.column_stack([length, np.ones_like(length)]).ravel())
+    end = np.append(0, np.cumsum(length + 1))
+    at = np.append(at, len(n))
+    for some in np.array_split(np.arange(len(bucket)), -(-len(bucket) // 200) or 1):
+        yield _rows(
+            len(some), block=np.full(len(some), block), bucket=bucket[some].astype(np.int32),
+            words=[_packed(data[end[at[i]] : end[at[i + 1]]].tobytes()) for i in some], times=[_planes(n[at[i] : at[i + 1]]) for i in some],
+        )
+
+
+def _counts(batches) -> Iterator[pa.RecordBatch]:
+    """(block, bucket, c, n_words, n_known): how often all blocks learn each of a block's words; in one row of each bucket also
+    how often its words are learned in all, and how many are."""
+    for bucket, rows in _grouped(batches, "bucket", "words"):
+        total: dict[bytes, int] = {}
+        for _, words, times in rows:
+            for w, n in zip(_unpacked(words).split(b"\n"), _unplanes(times).tolist()):
+                total[w] = total.get(w, 0) + n
+        sums = [sum(total.values()), sum(n > 0 for n in total.values())]
+        for block, words, _ in rows:
+            split = _unpacked(words).split(b"\n")[:-1]
+            c = np.fromiter(map(total.__getitem__, split), dtype=np.int64, count=len(split))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([_planes(c)], pa.binary()), *(pa.array([x], pa.int64()) for x in sums)], ["block", "bucket", "c", "n_words", "n_known"])
+            sums = [0, 0]
 
 
 def _closed(text: bytes) -> bytes:
@@ -145,6 +218,15 @@ def _closed(text: bytes) -> bytes:
     return b" ".join(words) + b" \n" if words else b"\n"
 
 
+def _split(closed: bytes) -> Iterator[list[bytes]]:
+    """The closed texts of a block, some at a time."""
+    at = 0
+    while at < len(closed):
+        end = closed.find(b"\n", min(len(closed) - 1, at + _CHUNK)) + 1
+        yield [t + b"\n" for t in closed[at : end - 1].split(b"\n")]
+        at = end
+
+
 def _keys(closed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The (context, byte) keys of closed texts, and how many each has: last byte of the context first, the byte itself last.
     A space comes before a text."""
@@ -161,21 +243,26 @@ def _keys(closed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key, length
 
 
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series, after moving arguments beyond 8."""
-    shift = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(8):
-        low = y < 8
-        shift[low] += np.log(y[low])
-        y[low] += 1
-    i = 1 / y
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + i * (1 / 12 - i * i * (1 / 360 - i * i / 1260)) - shift
+_TABLE = 1 << 16
+#: log of gamma(k + 1/2) and gamma(k + 1)
+_HALF = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE - 1) + 0.5))]) + 0.5 * np.log(np.pi)
+_WHOLE = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1.0, _TABLE)))])
+
+
+def _lgamma(k: np.ndarray, table: np.ndarray, plus: float) -> np.ndarray:
+    """log of gamma(k + plus) of counts, by Stirling's series beyond the table."""
+    out = table[np.minimum(k, _TABLE - 1).astype(np.int64)]
+    large = k >= _TABLE
+    if large.any():
+        y = k[large] + plus
+        i = 1 / y
+        out[large] = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + i * (1 / 12 - i * i / 360)
+    return out
 
 
 def _kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of any one sequence with these counts."""
-    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1) - 1.1447298858494002  # log(pi)
+    return _lgamma(n0, _HALF, 0.5) + _lgamma(n1, _HALF, 0.5) - _lgamma(n0 + n1, _WHOLE, 1.0) - np.log(np.pi)
 
 
 def _one(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -303,30 +390,30 @@ def _top(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sure, (1 - share0) * (1 - share1), q1
 
 
-def _by_tree(batches) -> Iterator[tuple[int, list[tuple[int, bytes, bytes]]]]:
-    """Each tree's rows (block, pairs, times), from batches that are sorted by tree."""
-    tree, rows = None, []
+def _grouped(batches, key: str, value: str) -> Iterator[tuple[int, list[tuple[int, bytes, bytes]]]]:
+    """Each key's rows (block, value, times), from batches that are sorted by key."""
+    at, rows = None, []
     for batch in batches:
-        for t, *row in zip(*(batch.column(c).to_pylist() for c in ("tree", "block", "pairs", "times"))):
-            if t != tree and rows:
-                yield tree, rows
+        for k, *row in zip(*(batch.column(c).to_pylist() for c in (key, "block", value, "times"))):
+            if k != at and rows:
+                yield at, rows
                 rows = []
-            tree = t
+            at = k
             rows.append(row)
     if rows:
-        yield tree, rows
+        yield at, rows
 
 
 def _merged(tree: int, rows: list) -> _Tree:
     total = _Sum()
     for _, pairs, times in rows:
-        total.add(_keys_of(pairs, tree), np.frombuffer(zlib.decompress(times), dtype=np.uint32).astype(np.int64))
+        total.add(_keys_of(pairs, tree), _unplanes(times))
     return _Tree(*total.total())
 
 
 def _roots(batches) -> Iterator[pa.RecordBatch]:
     """Counts and probabilities of nodes of depth 2, by last byte."""
-    for t, rows in _by_tree(batches):
+    for t, rows in _grouped(batches, "tree", "pairs"):
         tree = _merged(t, rows)
         node = np.flatnonzero(tree.met)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), tree.last)), pa.array(node), *(pa.array(x[node]) for x in (tree.n0, tree.n1, tree.whole))], ["last", "node", "n0", "n1", "whole"])
@@ -344,43 +431,42 @@ def scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(True)).alias("held_out"))
     tables = materialize(rows.mapInArrow(_blocks, _TABLES), "blocks")
-    listed = tables.where("word IS NOT NULL").select("block", "word", "n")
-    vocabulary = materialize(listed.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    named = tables.where("bucket IS NOT NULL").select("bucket", "block", "words", "times").repartition("bucket").sortWithinPartitions("bucket")
+    counted = materialize(named.mapInArrow(_counts, "block long, bucket int, c binary, n_words long, n_known long"), "counts")
+    end = tables.agg(F.coalesce(F.sum(F.expr("size(filter(held_out, x -> NOT x))")), F.lit(0))).first()[0]  # ends that are learned
+    n, v = counted.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_known"), F.lit(0))).first()
+    total = (n + end, v + (end > 0))
     dealt = tables.where("tree IS NOT NULL").select("tree", "block", "pairs", "times").repartition("tree").sortWithinPartitions("tree")
     found = dealt.mapInArrow(_roots, "last long, node long, n0 double, n1 double, whole double")
     top = spark.sparkContext.broadcast(_top(found.groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "whole"))).toPandas()))
 
     def chances(batches):
-        for t, rows in _by_tree(batches):
+        for t, rows in _grouped(batches, "tree", "pairs"):
             tree = _merged(t, rows)
             p = tree.log_chances(top.value)
             for block, pairs, _ in rows:
                 own = p[np.searchsorted(tree.key, _keys_of(pairs, t))]
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([t], pa.int32()), pa.array([pairs], pa.binary()), pa.array([own.tobytes()], pa.binary())], ["block", "tree", "pairs", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([t], pa.int32()), pa.array([pairs], pa.binary()), pa.array([_fixed(own)], pa.binary())], ["block", "tree", "pairs", "p"])
 
     priced = dealt.mapInArrow(chances, "block long, tree int, pairs binary, p binary")
-    counted = listed.select("block", "word").join(vocabulary, "word").select("block", "word", "c")
-    looked_up = priced.select("block", "tree", "pairs", "p", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"))
-    looked_up = looked_up.unionByName(counted, allowMissingColumns=True)
+    looked_up = priced.unionByName(counted.select("block", "bucket", "c"), allowMissingColumns=True)
     base = np.log10(total[0] + total[1] + 1)
 
     def add_up(texts: pa.Table, found: pa.Table) -> pa.Table:
         ids, held, closed = (texts.column(c)[0].as_py() for c in ("doc_id", "held_out", "text"))
-        closed = [t + b"\n" for t in zlib.decompress(closed).split(b"\n")[:-1]]
-        words = found.filter(pa.compute.is_valid(found["word"])).select(["word", "c"]).to_pydict()
-        c = dict(zip(words["word"], words["c"]))
-        end = c.pop(b"")
-        known = Words(list(c), lower=False)
-        count = pd.Index(known.hash), np.fromiter(c.values(), dtype=np.int64, count=len(c))
+        closed = _unpacked(closed)
+        word = np.unique(np.concatenate([np.unique(Words(some, lower=False).hash) for some in _split(closed)]))
+        buckets = found.filter(pa.compute.is_valid(found["bucket"])).select(["bucket", "c"]).sort_by("bucket")
+        count = np.concatenate([np.zeros(0, np.int64), *map(_unplanes, buckets["c"].to_pylist())])
+        word = pd.Index(word[_in_order(word)])
         trees = found.filter(pa.compute.is_valid(found["tree"])).select(["tree", "pairs", "p"])
         place = pd.Index(np.concatenate([_keys_of(b, t) for t, b in zip(trees["tree"].to_pylist(), trees["pairs"].to_pylist())]))
-        worth = np.frombuffer(b"".join(trees["p"].to_pylist()), dtype=np.float64)
-        del found, trees, words, c
+        worth = _unfixed(b"".join(trees["p"].to_pylist()))
+        del found, trees, buckets
         parts = []
-        for _, some in chunks(closed, _CHUNK):
+        for some in _split(closed):
             w = Words(some, lower=False)
-            n = count[1][count[0].get_indexer(w.hash)]
+            n = count[word.get_indexer(w.hash)]
             tokens, seen, value = (np.bincount(w.doc, x, minlength=len(some)) for x in (None, n > 0, np.log10(n + 1) - base))
             key, length = _keys(some)
             p = np.add.reduceat(worth[place.get_indexer(key)], np.cumsum(length) - length)

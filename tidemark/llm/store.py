@@ -1,4 +1,6 @@
-"""Where intermediate tables go: the shared folder named by ``spark.checkpoint.dir``."""
+"""Where intermediate tables go: the shared folder named by ``spark.checkpoint.dir``, one folder for each application.
+
+A returned DataFrame may read them until the application ends; clear() deletes them all."""
 
 from __future__ import annotations
 
@@ -7,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,15 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tidemark/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back: cuts the lineage, so a lost executor costs only tasks that
     read the table again, and what two later branches share is computed once."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,3 +51,32 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 def spread(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session has them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n", share: int = 1000) -> DataFrame:
+    """Inner join with a table that has each key once, and in ``n`` how many of the rows have it.
+
+    Keys that more than one row in ``share`` has are joined by broadcast (there can be no more than ``share`` of them), so
+    that a hot key's rows stay where they are; all others by a shuffle. Null keys find nothing.
+    """
+    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.broadcast(table.where(F.col(n) * share > total))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(n) * share <= total), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
+def free(name: str, taken: list[str]) -> str:
+    """``name``, or if a column has it, with as many underscores before it as it takes."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; no DataFrame that an operator returned can be read afterwards."""
+    remove(spark, _own(spark))
