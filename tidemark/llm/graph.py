@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .store import materialize
+from .store import materialize, new_path, remove
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -12,7 +12,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     A node's neighbours are never gathered: each step takes their minimum by a partial aggregate and joins it back.
     """
-    edges = materialize(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), name)
+    spark = edges.sparkSession
+    path = new_path(spark, name)
+    edges = materialize(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), name, path)
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
@@ -25,7 +27,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = materialize(small.where("a <> b").distinct(), name)
+        old, path = path, new_path(spark, name)
+        edges = materialize(small.where("a <> b").distinct(), name, path)
+        remove(spark, old)
         after = mark(edges)
         if after == before:
             break

@@ -1,17 +1,19 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
-1. Texts with the same shingle set are one class, represented by its smallest doc_id; copies never meet in pairs.
+1. Texts with the same shingle set are one class, represented by its first row; copies never meet in pairs. Classes that
+   share a doc_id are linked.
 2. A class keeps the k smallest hashes of its set. Two sets with the wanted similarity share most of those, so only a
    class's rarest retained values need to be looked up (prefix filter): if at least ``least`` of k are shared, two
    classes meet in the inverted list of one of the ``k - least + 1`` rarest values of each.
 3. Links are found in rounds. First every list links its members to its smallest one. Then, in lists whose members are
    still in different components, the members are compared with each other across components: short lists by a join,
-   long ones in blocks.
+   long ones in blocks of similar size.
 4. A pair goes on if the union sketch estimates enough similarity, and is a link if the exact Jaccard says so (blocks
    hold the whole sets and need no estimate).
 
-With k = 64 and similarity s >= 0.8, a pair that shares fewer than 34 retained values (expected: 51, deviation: 3.2) is
-one in ten million; sets of up to ``0.8 k`` shingles are kept whole, so for them the filter is exact. Lists are not capped.
+With k = 64 and similarity s >= 0.8, the union sketch of a pair shares fewer than 34 values (expected: 51, deviation: 3.2)
+once in three million; filter and estimate both rest on 34. Sets of up to ``0.8 k`` shingles are kept whole, so for them the
+filter is exact. Lists are not capped.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .store import materialize, slices
+from .store import join_counted, materialize, slices
 from .words import chunks, encoded, shingle_sets
 
 K = 64
@@ -42,38 +44,46 @@ def sketches(docs: DataFrame, words: int = 5, k: int = K) -> DataFrame:
         for batch in slices(batches):
             ids = batch.column("doc_id")
             for at, texts in chunks(encoded(batch.column("text").to_pylist())):
-                rows = []
-                for s in shingle_sets(texts, words):
-                    odd = s | np.uint64(1)
-                    rows.append((len(s), int(s.sum().view(np.int64)) if len(s) else 0, int((s * (odd >> np.uint64(7) | np.uint64(1))).sum().view(np.int64)) if len(s) else 0, s[:k].view(np.int64)))
+                rows = [(*_fingerprint(s), s[:k].view(np.int64)) for s in shingle_sets(texts, words)]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, len(texts)), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
                     ["doc_id", "n_shingles", "fp1", "fp2", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, fp1 long, fp2 long, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, fp1 long, fp2 long, sketch array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _fingerprint(s: np.ndarray) -> tuple[int, int, int]:
+    if not len(s):
+        return 0, 0, 0
+    odd = (s | np.uint64(1)) >> np.uint64(7) | np.uint64(1)
+    return len(s), int(s.sum().view(np.int64)), int((s * odd).sum().view(np.int64))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, grams): the whole sets of the wanted classes (id, doc_id, n_shingles, fp1, fp2), from a document of each."""
+
     def whole(batches):
         for batch in slices(batches):
-            ids = batch.column("doc_id")
-            for at, texts in chunks(encoded(batch.column("text").to_pylist())):
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array([s.view(np.int64) for s in shingle_sets(texts, words)], pa.list_(pa.int64()))], ["id", "grams"])
+            for _, texts in chunks(encoded(batch.column("text").to_pylist())):
+                rows = [(*_fingerprint(s), s.view(np.int64)) for s in shingle_sets(texts, words)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["n_shingles", "fp1", "fp2", "grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(whole, "id long, grams array<long>")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = some.mapInArrow(whole, "n_shingles long, fp1 long, fp2 long, grams array<long>")
+    return sets.join(wanted.select("id", "n_shingles", "fp1", "fp2"), ["n_shingles", "fp1", "fp2"]).select("id", "grams").dropDuplicates(["id"])
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, k: int, percent: int, slack: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, k: int, percent: int) -> DataFrame:
     """Of the (a, b) pairs those with 100 * intersection >= percent * union, after the estimate of the union sketch."""
     side = reps.select("id", "n_shingles", "sketch")
     both = pairs.join(side.selectExpr("id AS a", "n_shingles AS na", "sketch AS sa"), "a").join(side.selectExpr("id AS b", "n_shingles AS nb", "sketch AS sb"), "b")
     both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     both = both.withColumn("u", F.expr(f"slice(array_sort(array_union(sa, sb)), 1, {k})"))
-    near = both.where(F.expr(f"100 * size(array_intersect(u, array_intersect(sa, sb))) >= {percent - 100 * slack} * size(u)"))
+    near = both.where(F.expr(f"{K} * size(array_intersect(u, array_intersect(sa, sb))) >= {LEAST} * size(u)"))
     near = materialize(near.select("a", "b", "na", "nb"), "estimated")
-    needed = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(_sets(docs.join(needed, "doc_id", "left_semi"), words).dropDuplicates(["id"]), "sets")
+    needed = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialize(_sets(docs, reps.join(needed, "id", "left_semi"), words), "sets")
     exact = near.join(sets.selectExpr("id AS a", "grams AS ga"), "a").join(sets.selectExpr("id AS b", "grams AS gb"), "b")
     exact = exact.withColumn("common", F.size(F.array_intersect("ga", "gb")).cast("long"))
     return exact.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
@@ -83,17 +93,21 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 85, k: int = K) -> D
     """(doc_id, n_shingles, component_id, kept) of every document.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the smallest
-    doc_id that links reach, kept says whether that is the document itself. Empty sets link with nothing. Each row
-    gives one row, also where doc_ids repeat: such rows are compared by their texts, and equal ids count as one node.
-    Rows with null doc_id stand alone, with null component_id, and are kept.
+    doc_id that links reach, kept says whether that is the document itself. Empty sets link with nothing. Each row gives one
+    row, also where doc_ids repeat: such rows are compared by their own texts, and those of one doc_id that are not empty
+    count as linked. Rows with null doc_id stand alone, with null component_id, and are kept. Other columns take no part.
     """
     if not 80 <= percent <= 100:
         raise ValueError("the sketch's bounds hold for a similarity of 0.8 or more")
-    found = materialize(sketches(docs, words, k), "sketches")
-    table = found.where("doc_id IS NOT NULL")
-    members = table.select("doc_id", "n_shingles", "fp1", "fp2")
-    same = materialize(members.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    reps = materialize(same.select("id", "n_shingles", "fp1", "fp2").join(table.select(F.col("doc_id").alias("id"), "fp1", "fp2", "sketch"), ["id", "fp1", "fp2"]).dropDuplicates(["id"]).select("id", "n_shingles", "sketch"), "representatives")
+    found = materialize(sketches(docs, words, k).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    key = ["n_shingles", "fp1", "fp2"]
+    members = found.where("doc_id IS NOT NULL AND n_shingles > 0").select("row", "doc_id", *key)
+    same = members.groupBy(*key).agg(F.min(F.struct("row", "doc_id")).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    same = materialize(same.select(*key, F.col("first.row").alias("id"), F.col("first.doc_id").alias("doc_id"), "least", "n"), "classes")
+    reps = materialize(same.select("id", "doc_id", *key).join(found.select(F.col("row").alias("id"), "sketch"), "id"), "representatives")
+    twice = members.select("row", "doc_id", *key).groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    twice = members.join(twice, "doc_id").select("doc_id", *key).distinct().join(same.select("id", *key), key).select("doc_id", "id")
+    twice = twice.join(twice.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a < id").selectExpr("a", "id AS b")
 
     # rarest retained values
     listed = reps.select("id", "n_shingles", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
@@ -108,8 +122,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 85, k: int = K) -> D
     # round 1: each list's smallest member with all others
     hub = lists.groupBy("value").agg(F.min("id").alias("a"))
     star = lists.join(hub, "value").where("a < id").selectExpr("a", "id AS b").distinct()
-    slack = 0.22
-    edges = materialize(_confirmed(star, reps, docs, words, k, percent, slack), "links")
+    edges = materialize(_confirmed(star, reps, docs, words, k, percent).unionByName(twice), "links")
     first = materialize(components(edges), "first-components")
 
     # round 2: members of the same list in different components
@@ -118,31 +131,35 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 85, k: int = K) -> D
     parts = materialize(parts.join(mixed.select("value", "members", "hub"), "value"), "mixed-lists")
     few = parts.where(f"members <= {SMALL}")
     near = few.alias("x").join(few.alias("y"), "value").where(f"x.id < y.id AND x.part <> y.part AND x.id <> x.hub AND 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)").selectExpr("x.id AS a", "y.id AS b")
-    linked = _in_blocks(parts.where(f"members > {SMALL}"), docs, words, percent)
-    more = _confirmed(near.distinct(), reps, docs, words, k, percent, slack)
+    linked = _in_blocks(parts.where(f"members > {SMALL}"), reps, docs, words, percent)
+    more = _confirmed(near.distinct(), reps, docs, words, k, percent)
     final = components(edges.unionByName(more).unionByName(linked))
 
-    whole_id = same.withColumnRenamed("id", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "fp1", "fp2").join(whole_id, ["fp1", "fp2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    joined = same.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    joined = materialize(joined.join(least, "component").select(*key, "component_id", "n"), "components")
+    rest = found.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = join_counted(members.select("doc_id", *key), joined, key).select("doc_id", "n_shingles", "component_id").unionByName(rest)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _in_blocks(parts: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _in_blocks(parts: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) links between members of different components that share a long list.
 
-    A document's home is the smallest id in any of its long lists, so that a cloud of similar documents has one home or a
-    few, however many lists it shares. Homes that meet in a list are compared, in blocks of documents: each pair of blocks
-    is one small task that computes exact similarities in numpy. No list is ever gathered, and of the links between two
-    components a task returns one.
+    A document's home is the smallest id in any of its long lists and its band of sizes, so that a cloud of similar documents
+    has one home or a few, however many lists it shares. Homes of the same or neighbouring bands that meet in a list are
+    compared, in blocks of documents: each pair of blocks is one small task that computes exact similarities in numpy. No
+    list is ever gathered, and of the links between two components a task returns one. The work for documents that share a
+    long list, have similar sizes and are not similar grows with the square of their number.
     """
-    homes = materialize(parts.groupBy("id", "n_shingles", "part").agg(F.min("hub").alias("home")), "homes")
+    band = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(1.2501))).cast("int").alias("band")  # similar sets: next to each other at most
+    homes = materialize(parts.groupBy("id", "n_shingles", "part").agg(F.min("hub").alias("hub")).select("id", "n_shingles", "part", F.struct("hub", band).alias("home")), "homes")
     sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     met = parts.select("value", "id").join(homes.select("id", "home"), "id").select("value", "home").distinct()
-    pairs = met.alias("x").join(met.alias("y"), "value").where("x.home <= y.home").selectExpr("x.home AS h1", "y.home AS h2").distinct()
+    pairs = met.alias("x").join(met.alias("y"), "value").where("x.home <= y.home AND abs(x.home.band - y.home.band) <= 1").selectExpr("x.home AS h1", "y.home AS h2").distinct()
     pairs = pairs.join(sizes.selectExpr("home AS h1", "blocks AS n1"), "h1").join(sizes.selectExpr("home AS h2", "blocks AS n2"), "h2")
     pairs = materialize(pairs, "home-pairs")
-    grams = _sets(docs.join(homes.selectExpr("id AS doc_id"), "doc_id", "left_semi"), words).dropDuplicates(["id"])
+    grams = _sets(docs, reps.join(homes.select("id"), "id", "left_semi"), words)
     rows = homes.join(sizes, "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = materialize(rows.join(grams, "id").select("home", "block", "id", "n_shingles", "part", "grams"), "home-sets")
     one = rows.join(pairs, F.col("home") == F.col("h1")).select("h1", "h2", F.col("block").alias("i"), F.explode(F.sequence(F.when(F.col("h1") == F.col("h2"), F.col("block")).otherwise(F.lit(0)), F.col("n2") - 1)).alias("j"), F.lit(0).alias("side"), "id", "n_shingles", "part", "grams")
