@@ -154,6 +154,12 @@ def test_ctw_slices_and_blocks_change_nothing(spark, rows, monkeypatch):
     assert len(cut.slices) > 1 and np.allclose(cut.whole, whole.whole) and np.allclose(cut.log_chances(top), whole.log_chances(top))
 
 
+def test_ctw_estimates_of_large_counts():
+    n0, n1 = np.array([[0, 5], [70_000, 10**9]]), np.array([[0, 10**7], [3, 10**9]])
+    want = [[math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for a, b in zip(x, y)] for x, y in zip(n0.tolist(), n1.tolist())]
+    assert np.allclose(ctw._kt(n0, n1), want, rtol=1e-9)
+
+
 def test_ctw_learns_nothing_from_held_out_rows(spark, docs):
     a = ctw.scores(docs.withColumn("held_out", F.lit(True))).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in a)
@@ -244,6 +250,16 @@ def test_near_duplicates(docs, rows):
     assert got == want and want[3][1] == 0 and want[11][1] == 10
 
 
+def test_near_repeated_ids(spark):
+    """Rows of one doc_id are compared by their own texts, and link what they are similar to."""
+    a, b = prose(71, 80), prose(72, 80)
+    rows = [(5, a), (5, b), (7, a + " tail"), (8, b + " tail"), (9, b + " tail"), (5, ""), (6, None), (None, a), (None, a), (10, prose(73, 50))]
+    out = near.classes(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "id": F.lit("x")}).repartition(3)).collect()
+    assert len(out) == len(rows)
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in out} == {(5, 5, True), (7, 5, False), (8, 5, False), (9, 5, False), (6, 6, True), (None, None, True), (10, 10, True)}
+    assert sorted(r["n_shingles"] for r in out if r["doc_id"] == 5) == [0, 76, 76]
+
+
 def test_near_long_lists(spark, monkeypatch):
     """A cloud of near copies of which only some are linked, in blocks smaller than the cloud."""
     monkeypatch.setattr(near, "BLOCK", 8)
@@ -424,8 +440,29 @@ def test_substring_random(spark, seed):
 
 def test_substring_keeps_columns(spark, empty, docs):
     assert substring.cut(empty, substring.repeats(empty)).collect() == []
-    clash = docs.withColumns({"spans": F.lit(1), "n_words": F.lit("x"), "anchor": F.lit(2)})
-    assert "anchor" in substring.cut(clash, substring.repeats(clash)).columns
+    clash = docs.withColumns({"spans": F.lit(1), "n_words": F.lit("x"), "text_key": F.lit(3), "anchor": F.lit(2)})
+    cut = substring.cut(clash, substring.repeats(clash))
+    assert cut.columns == [*clash.columns, "_n_words", "n_removed", "kept_words"]
+    plain = {r["doc_id"]: r["n_removed"] for r in substring.cut(docs, substring.repeats(docs)).collect()}
+    for r in cut.collect():
+        assert (r["spans"], r["n_words"], r["text_key"], r["anchor"]) == (1, "x", 3, 2) and r["n_removed"] == plain[r["doc_id"]]
+
+
+def test_substring_repeated_ids(spark):
+    """Of rows with one doc_id each loses its own repeats and nothing else."""
+    passage, unique = prose(81, 70), prose(82, 100)
+    rows = [(1, passage), (5, prose(83, 30) + " " + passage), (5, unique), (5, unique), (None, passage), (7, unique)]
+    out = substring.cut(d := spark.createDataFrame(rows, "doc_id long, text string").repartition(3), substring.repeats(d)).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in out) == sorted([("1", 70, 0), ("5", 100, 70), ("5", 100, 0), ("5", 100, 0), ("None", 70, 0), ("7", 100, 100)])
+
+
+def test_substring_hot_anchors(spark):
+    """A passage in most documents, with many different extensions, goes by the broadcast joins."""
+    passage = prose(84, 60)
+    rows = [(i, prose(900 + i, i % 7) + " " + passage + " " + prose(1900 + i, i % 5)) for i in range(60)]
+    want = {k: v[:2] for k, v in substring.brute_force(rows).items()}
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.cut(d, substring.repeats(d)).collect()} == want
 
 
 # 8

@@ -6,8 +6,8 @@ dropped there and then. Every other occurrence is extended to both sides over th
 extensions are compared: first as a whole (copies agree entirely and need one row each), then window by window
 between the first documents of each distinct extension. Matching windows are united to maximal repeats.
 
-No list of an anchor's documents is ever gathered or paired: comparisons are grouped minima, joined back, so a passage
-that a third of all documents share costs one row per occurrence.
+No list of an anchor's documents is ever gathered or paired: comparisons are grouped minima, joined back (those of hot
+anchors by broadcast), so a passage that a third of all documents share costs one row per occurrence, wherever it stands.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import materialize, slices
+from .store import free, join_counted, materialize, slices
 from .words import Words, chunks, encoded
 
-_OCCURRENCE = "doc_id long, anchor long, whole long, pos int, n int, wins array<long>"
+_OCCURRENCE = "doc_id long, text_key long, anchor long, whole long, pos int, n int, wins array<long>"
 
 
 def _chosen(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,17 +36,21 @@ def _chosen(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarra
     return (np.minimum(low[: len(low) - rest], low[rest:]) if rest else low)[: len(ok)], ok
 
 
+#: tells rows of one doc_id apart: rows with equal texts have equal spans
+TEXT_KEY = "xxhash64(text)"
+
+
 def repeats(docs: DataFrame, window: int = 50, gram: int = 20) -> DataFrame:
-    """Maximal repeats: (doc_id, spans), where spans lists the [start, end) word ranges, sorted and disjoint, that are
-    covered by windows which also start in a document with a smaller doc_id. Documents without one are not listed.
+    """Maximal repeats: (doc_id, text_key, spans), where spans lists the [start, end) word ranges, sorted and disjoint, that
+    are covered by windows which also start in a document with a smaller doc_id. Documents without one are not listed.
 
     Words are kept as they are (case and punctuation count). Null or empty texts and texts shorter than the window
-    have no repeat; rows with null doc_id neither give nor get one. Rows that repeat a doc_id count as that document.
+    have no repeat; rows with null doc_id neither give nor get one. Rows that repeat a doc_id do not repeat each other; each
+    has spans of its own, by TEXT_KEY. Other columns take no part.
     """
     if not 0 < gram <= window:
         raise ValueError("the anchor must not be longer than the window")
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
 
     def anchors(batches):
         for batch in slices(batches):
@@ -63,12 +67,12 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at + key.d]), pa.array(key.a.view(np.int64))], ["doc_id", "anchor"])
 
     seeds = materialize(docs.mapInArrow(anchors, "doc_id long, anchor long"), "anchors")
-    shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    wanted = seeds.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    shared = materialize(seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "n"), "shared-anchors")
+    wanted = join_counted(seeds, shared, ["anchor"]).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
     def extend(batches):
         for batch in slices(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, text_key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
             listed = batch.column("anchors")
             for at, texts in chunks(encoded(batch.column("text").to_pylist())):
                 words = Words(texts, lower=False)
@@ -94,24 +98,29 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 20) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[at + doc[start]]), pa.array(low[start].view(np.int64)), pa.array(whole.view(np.int64)),
+                        pa.array(ids[at + doc[start]]), pa.array(text_key[at + doc[start]]), pa.array(low[start].view(np.int64)), pa.array(whole.view(np.int64)),
                         pa.array((start - words.first[doc[start]]).astype(np.int32)), pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(wins[hit].view(np.int64))),
                     ],
-                    ["doc_id", "anchor", "whole", "pos", "n", "wins"],
+                    ["doc_id", "text_key", "anchor", "whole", "pos", "n", "wins"],
                 )
 
-    found = materialize(docs.join(wanted, "doc_id").mapInArrow(extend, _OCCURRENCE), "occurrences")
-    classes = materialize(found.groupBy("anchor", "whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "extensions")
-    copies = found.select("doc_id", "anchor", "whole", "pos", "n").join(classes.where("least < most").select("anchor", "whole", "least"), ["anchor", "whole"]).where("doc_id > least")
-    several = classes.groupBy("anchor").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select("anchor")
-    firsts = found.join(classes, ["anchor", "whole"]).where("doc_id = least").join(several, "anchor", "left_semi")
-    each = materialize(firsts.select("doc_id", "anchor", F.posexplode("wins").alias("k", "win"), "pos").selectExpr("doc_id", "anchor", "win", "pos + k AS pos"), "windows")
-    source = each.groupBy("anchor", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    single = each.join(source, ["anchor", "win"]).where("doc_id > lo").selectExpr("doc_id", "pos", "1 AS n")
-    covered = copies.select("doc_id", "pos", "n").unionByName(single)
-    return covered.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("hits")).select(
+    found = materialize(docs.join(wanted, "doc_id").withColumn("text_key", F.expr(TEXT_KEY)).mapInArrow(extend, _OCCURRENCE), "occurrences")
+    one = ["anchor", "whole"]
+    classes = materialize(found.groupBy(*one).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("times")), "extensions")
+    copied = classes.where("least < most").select(*one, "least", F.col("times").alias("n"))
+    copies = join_counted(found.select("doc_id", "text_key", *one, "pos", F.col("n").alias("length")), copied, one).where("doc_id > least")
+    several = classes.groupBy("anchor").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "n")
+    several = join_counted(classes, materialize(several, "several"), ["anchor"]).select(*one, "least", F.col("times").alias("n"))
+    firsts = join_counted(found.drop("n"), materialize(several, "first-extensions"), one).where("doc_id = least")
+    each = firsts.select("doc_id", "text_key", "anchor", F.posexplode("wins").alias("k", "win"), "pos").selectExpr("doc_id", "text_key", "anchor", "win", "pos + k AS pos")
+    each = materialize(each, "windows")
+    source = each.groupBy("anchor", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "win", "lo", "n")
+    single = join_counted(each, materialize(source, "first-windows"), ["anchor", "win"]).where("doc_id > lo").selectExpr("doc_id", "text_key", "pos", "1 AS n")
+    covered = copies.select("doc_id", "text_key", "pos", F.col("length").alias("n")).unionByName(single)
+    return covered.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("hits")).select(
         "doc_id",
+        "text_key",
         F.expr(
             f"""aggregate(hits, CAST(array() AS array<struct<start:int,end:int>>), (spans, h) ->
                 CASE WHEN size(spans) > 0 AND element_at(spans, -1).end >= h.pos
@@ -124,18 +133,17 @@ def repeats(docs: DataFrame, window: int = 50, gram: int = 20) -> DataFrame:
 
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Columns of ``docs`` with the words in ``spans`` removed: ``text`` is what is left, each word followed by the white
-    space that followed it; a text without a span stays as it is. Adds n_words, n_removed and kept_words (the kept words joined by one
-    space). A null text stays null, with no words."""
-    extra = "n_words long, n_removed long, kept_words string"
+    space that followed it; a text without a span stays as it is. Adds n_words, n_removed and kept_words (the kept words
+    joined by one space); a column of ``docs`` that has one of these names stays, and the new one gets an underscore
+    before it. A null text stays null, with no words. Repeated rows are each cut by their own spans."""
     names = docs.columns
-    if clash := {"n_words", "n_removed", "kept_words", "spans"} & set(names):
-        docs = docs.drop(*clash)
-        names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + extra
+    added = [free(n, names) for n in ("n_words", "n_removed", "kept_words")]
+    spans_name, key, owner = (free(n, names) for n in ("spans", "text_key", "owner"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{added[0]}` long, `{added[1]}` long, `{added[2]}` string"
 
     def remove(batches):
         for batch in slices(batches):
-            texts, removed = encoded(batch.column("text").to_pylist()), batch.column("spans").to_pylist()
+            texts, removed = encoded(batch.column("text").to_pylist()), batch.column(spans_name).to_pylist()
             left, n_words, n_removed, kept = [], [], [], []
             for text, spans in zip(texts, removed):
                 split = text.split()
@@ -156,9 +164,10 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
             out = [batch.column(c) for c in names]
             k = names.index("text")
             out[k] = pa.array([old if new is None else new for old, new in zip(out[k].to_pylist(), left)], pa.string())
-            yield pa.RecordBatch.from_arrays([*out, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept_words"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*names, *added])
 
-    joined = docs.join(spans.select("doc_id", "spans"), "doc_id", "left").select(*names, "spans")
+    spans = spans.select(F.col("doc_id").alias(owner), F.col("text_key").alias(key), F.col("spans").alias(spans_name))
+    joined = docs.join(spans, (docs["doc_id"] == spans[owner]) & (F.xxhash64(docs["text"]) == spans[key]), "left").select(*(docs[f"`{c}`"] for c in names), spans_name)
     return joined.mapInArrow(remove, schema)
 
 
