@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import slices
+from .store import free, slices
 from .words import LOWER, SPACE, Words, chunks, encoded
 
 PASSAGE = 40  #: words
@@ -150,15 +150,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Columns of ``docs`` and score (0 to 1). Null and empty texts are one empty passage and get a score like others."""
-    if "score" in docs.columns:
-        docs = docs.drop("score")
+    """Columns of ``docs`` and score (0 to 1). Null and empty texts are one empty passage and get a score like others. Repeated
+    rows each get theirs. If ``docs`` has a column score, that stays and the new one gets an underscore before it."""
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double"
+    added = free("score", names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{added}` double"
 
     def apply(batches):
         for batch in slices(batches):
             parts = [model.score(*features(texts)) for _, texts in chunks(encoded(batch.column("text").to_pylist()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts).astype(np.float64) if parts else [], pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts).astype(np.float64) if parts else [], pa.float64())], [*names, added])
 
     return docs.mapInArrow(apply, schema)
