@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import near, substring
@@ -56,6 +57,40 @@ def test_decontamination(spark, docs, folder):
     assert gone == {92}
 
 
+NAMES = ["score", "spans", "n_words", "n_removed", "kept_words", "text_key", "owner", "row", "part", "sequence_id", "ids", "item_id", "kept", "component_id", "held_out", "value", "n"]
+
+
+def test_stages_keep_clashing_columns(spark, docs, folder):
+    """Columns that are called like those of the operators come through with their own values."""
+    more = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in NAMES})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, more, folder)
+        assert out.columns == more.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in NAMES), name
+        assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in stage(spark, docs, folder).collect()}
+
+
+def test_stages_with_repeated_ids_nulls_and_long_texts(spark, docs, folder):
+    """Rows of one doc_id keep their own texts; rows with null doc_id stay; a long text is a text like others."""
+    passage, other = prose(500, 70), prose(501, 100)
+    rows = [(4, passage, "en", None, 1), (5, prose(502, 20) + " " + passage, "en", None, 1), (5, other, None, "x", 1), (5, other, None, "x", 1), (None, passage, None, None, 1), (6, prose(503, 30_000), "en", None, 1), (7, None, None, None, None)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    assert odd.count() == len(corpus_pipeline.near_dedup(spark, odd, folder).collect())
+    cut = [(r["doc_id"], len((r["text"] or "").split())) for r in corpus_pipeline.substring_dedup(spark, odd, folder).collect()]
+    assert sorted(cut, key=str) == sorted([(4, 70), (5, 20), (5, 100), (5, 100), (None, 70), (6, 30_000), (7, 0)], key=str)
+    assert corpus_pipeline.decontamination(spark, odd, folder).count() == len(rows)
+    assert corpus_pipeline.quality_filter(spark, odd, folder).count() <= len(rows)
+    packed = corpus_pipeline.pack_sequences(spark, odd, folder).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"] for r in packed} == {None, 4, 5, 6, 7} and {r["n"] for r in packed if r["doc_id"] == 7} == {1}
+
+
+def test_stages_of_empty_tables(spark, docs, folder):
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, folder).collect() == []
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     ids = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
