@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+BATCH = 500  #: rows with whole texts that Python holds at a time
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set and the session is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -34,18 +37,27 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back: cuts the lineage, so a lost executor costs only tasks that
-    read the table again, and what two later branches share is computed once."""
+    read the table again, and what two later branches share is computed once. While it is written, Arrow batches are small
+    (they may hold whole texts); the session's own limit holds again afterwards."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.parquet(path)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(limit)
+    spark.conf.set(limit, min(int(own), BATCH) if int(own) > 0 else BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(limit, own)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in parts of a few texts, so that only those are Python objects at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of a few texts, so that only those are Python objects at a time. A worker gives back the memory
+    of its batches when it has done its task."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def spread(spark: SparkSession) -> int:
