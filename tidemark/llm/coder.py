@@ -1,12 +1,15 @@
 """Token ids as files of independently reset, checksummed blocks, by an adaptive context-mixing range coder.
 
-Within a block ids are known by the order in which they first appeared. Each id is predicted by what last followed the two
-ids before it (order 2) and the one before it (order 1); an adaptive mixture of two small models, whose weights follow
-which of them did better, says how likely a prediction is to hold. An id that neither predicts is coded by how often the
-block has had it (order 0), or as new. Blocks start from nothing, so each can be decoded alone.
+Within a block ids are known by the order in which they first appeared. What last followed the two ids before (order 2) and
+what most often followed the one before (order 1) are candidates for the next id. How likely a candidate is, is predicted
+three times: from the counts of order 2, of order 1, and of order 0 (all ids of the block). A logistic mixture of the three,
+whose weights learn from each outcome, drives the coder. An id that is neither candidate is coded by its count in the
+block (order 0), or as new: by how many blocks of the frame it occurs in, which the frame's head lists where that pays.
+Blocks start from nothing, so each can be decoded alone with its frame's head.
 
 A file's rows are frames: whole documents in ascending doc_id order, cut into blocks of BLOCK ids. All blocks of a frame
-are coded in lockstep, one numpy lane per block. Files are written and read by Spark, as Parquet.
+are coded in lockstep, one numpy lane per block; all arithmetic is of whole numbers, so that frames decode alike everywhere.
+Files are written and read by Spark, as Parquet.
 """
 
 from __future__ import annotations
@@ -21,12 +24,17 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .store import slices, spread
 from .tokens import PieceEncoder
 
-MAGIC = b"TMK1"
+MAGIC = b"TMK2"
 BLOCK = 1024  #: ids
 FRAME = 1 << 20  #: ids
 _SIDE = 32  #: BLOCK is _SIDE * _SIDE, so that frequencies add up in two steps
 _FRAME = "part int, before long, n_ids long, doc_id array<long>, sizes array<long>, head binary, payload binary"
-_HIT2, _HIT1, _SEEN, _NEW = range(4)
+_ONE = 4096  #: probabilities are of so many parts
+
+#: the logistic function of x / 256 for x from -2047 to 2047, and its inverse, in parts of _ONE
+_SQUASH = np.clip(np.rint(_ONE / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, _ONE - 1).astype(np.int64)
+_STRETCH = np.clip(np.rint(256 * np.log(np.arange(1, _ONE) / (_ONE - np.arange(1, _ONE)))), -2047, 2047).astype(np.int64)
+_STRETCH = np.concatenate([_STRETCH[:1], _STRETCH])
 
 
 class _Range:
@@ -80,21 +88,27 @@ class _Range:
         return [row[:n].tobytes() for row, n in zip(self.data, self.at)]
 
 
+def _share(hits: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Stretched estimate of a probability from counts; 0 where there are none."""
+    return np.where(of > 0, _STRETCH[np.clip((2 * hits + 1) * _ONE // (2 * of + 2), 1, _ONE - 1)], 0)
+
+
 class _Model:
     """The adaptive state of all lanes, the same for coding and decoding."""
 
-    def __init__(self, lanes: int, size: int):
-        self.size = size
+    def __init__(self, lanes: int, first: np.ndarray, often: np.ndarray):
+        """first, often: the ids that may be new, and in how many parts of all they are."""
+        self.first, self.part, self.upto = first, often, np.concatenate([[0], np.cumsum(often)])
         self.symbol = np.zeros((lanes, BLOCK), dtype=np.int32)  # ids by first appearance
         self.often = np.zeros((lanes, _SIDE, _SIDE), dtype=np.int16)
         self.sums = np.zeros((lanes, _SIDE), dtype=np.int16)
         self.known = np.zeros(lanes, dtype=np.int64)
-        self.next1, self.next2 = (np.full((lanes, BLOCK), -1, dtype=np.int16) for _ in range(2))
-        self.sure1, self.sure2 = (np.zeros((lanes, BLOCK), dtype=np.int8) for _ in range(2))
-        self.tables = [np.tile(np.array([4, 4, 8, 8], dtype=np.int64), (lanes, 16, 1)) for _ in range(2)]
-        self.weight = np.full(lanes, 8, dtype=np.int64)
+        self.next = [np.full((lanes, BLOCK), -1, dtype=np.int16) for _ in range(2)]  # candidates of order 2 and 1
+        self.hits, self.seen = ([np.zeros((lanes, BLOCK), dtype=np.int16) for _ in range(2)] for _ in range(2))
+        self.weights = np.tile(np.array([[24_000, 12_000, 8_000], [8_000, 32_000, 8_000]], dtype=np.int64), (lanes, 1, 1))
+        self.fresh = np.full((lanes, 16), _ONE // 2, dtype=np.int64)  # of being new
         self.r1 = self.r2 = np.zeros(lanes, dtype=np.int64)
-        self.last = np.full(lanes, _NEW, dtype=np.int64)
+        self.last = np.zeros(lanes, dtype=np.int64)  # what the last two ids were: new or not
 
     def run(self, coder: _Range, length: np.ndarray, ranks: np.ndarray | None, ids: np.ndarray) -> None:
         """Code ids (lanes x BLOCK; ranks by first appearance are given) or fill them in. Lanes are sorted, longest first."""
@@ -102,69 +116,93 @@ class _Model:
             m = int(np.searchsorted(-length, -t, side="left"))
             self._step(coder, np.arange(m), t, None if ranks is None else ranks[:m, t].astype(np.int64), ids)
 
+    def _bit(self, coder: _Range, lanes: np.ndarray, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        """Code whether something that has p of _ONE parts is so, or find out."""
+        if bit is None:
+            bit = coder.want(lanes, _ONE) < p
+        coder.put(lanes, np.where(bit, 0, p), np.where(bit, p, _ONE - p), _ONE)
+        return bit
+
+    def _candidate(self, coder: _Range, k: int, lanes: np.ndarray, at: list, t: int, rank: np.ndarray | None) -> np.ndarray:
+        """Whether the candidate of order 2 - k comes, by the mixture of all orders."""
+        c = self.next[k][lanes, at[k][lanes]].astype(np.int64)
+        x = np.empty((len(lanes), 3), dtype=np.int64)
+        for j in range(2):
+            slot = at[j][lanes]
+            x[:, j] = _share(np.where(self.next[j][lanes, slot] == c, self.hits[j][lanes, slot], 0).astype(np.int64), self.seen[j][lanes, slot].astype(np.int64))
+        b, i = np.divmod(c, _SIDE)
+        x[:, 2] = _STRETCH[np.clip(self.often[lanes, b, i].astype(np.int64) * _ONE // (t + 1), 1, _ONE - 1)]
+        w = self.weights[lanes, k]
+        p = _SQUASH[np.clip((w * x).sum(1) >> 16, -2047, 2047) + 2047]
+        bit = self._bit(coder, lanes, p, None if rank is None else rank[lanes] == c)
+        error = bit * _ONE - p
+        self.weights[lanes, k] = w + (x * error[:, None] >> 9)
+        return bit
+
     def _step(self, coder: _Range, lanes: np.ndarray, t: int, rank, ids: np.ndarray) -> None:
         m = len(lanes)
-        r1, r2, known = self.r1[:m], self.r2[:m], self.known[:m]
-        slot = (r2 * 2654435761 + r1 * 40503 >> 5) & (BLOCK - 1)
-        p2, p1 = self.next2[lanes, slot].astype(np.int64), self.next1[lanes, r1].astype(np.int64)
-        s2, s1 = self.sure2[lanes, slot].astype(np.int64), self.sure1[lanes, r1].astype(np.int64)
-        has2, has1 = p2 >= 0, (p1 >= 0) & (p1 != p2)
-        allowed = np.stack([has2, has1, known > 0, np.ones(m, bool)], axis=1)
-        contexts = (np.minimum(s2, 3) * 4 + np.minimum(s1, 3), self.last[:m] * 4 + has2 * 2 + has1)
-        parts = []
-        for table, c in zip(self.tables, contexts):
-            f = table[lanes, c] * allowed
-            parts.append(f * 4096 // f.sum(1, keepdims=True))
-        w = self.weight[:m, None]
-        f = np.where(allowed, (w * parts[0] + (16 - w) * parts[1] >> 4) + 1, 0)
-        edge = np.cumsum(f, axis=1)
-        total = edge[:, 3]
-        if rank is None:
-            v = coder.want(lanes, total)
-            kind = (edge <= v[:, None]).sum(1)
-        else:
-            kind = np.where(rank >= known, _NEW, np.where(has2 & (rank == p2), _HIT2, np.where(has1 & (rank == p1), _HIT1, _SEEN)))
-        size = f[lanes, kind]
-        coder.put(lanes, edge[lanes, kind] - size, size, total)
-        mine, theirs = parts[0][lanes, kind], parts[1][lanes, kind]
-        self.weight[:m] = np.clip(self.weight[:m] + (mine > theirs) - (mine < theirs), 1, 15)
-        for table, c in zip(self.tables, contexts):
-            table[lanes, c, kind] += 24
-            full = table[lanes, c].sum(1) > 2000
-            if full.any():
-                table[lanes[full], c[full]] = (table[lanes[full], c[full]] >> 1) | 1
-        got = np.where(kind == _HIT2, p2, np.where(kind == _HIT1, p1, known)) if rank is None else rank
-        seen = np.flatnonzero(kind == _SEEN)
-        if len(seen):
-            sums, n = self.sums[seen], known[seen]
-            above = np.cumsum(sums, axis=1)
-            if rank is None:
-                v = coder.want(seen, above[:, -1])
-                b = (above <= v[:, None]).sum(1)
-                inner = np.cumsum(self.often[seen, b], axis=1)
-                base = above[np.arange(len(seen)), b] - sums[np.arange(len(seen)), b]
-                got[seen] = b * _SIDE + (inner <= (v - base)[:, None]).sum(1)
-            b, i = np.divmod(got[seen], _SIDE)
-            at = np.arange(len(seen))
-            row = self.often[seen, b]
-            inner = np.cumsum(row, axis=1)
-            coder.put(seen, above[at, b] - sums[at, b] + inner[at, i] - row[at, i], row[at, i].astype(np.int64), above[:, -1])
-        new = np.flatnonzero(kind == _NEW)
-        if len(new):
-            if rank is None:
-                ids[new, t] = coder.want(new, self.size)
-            coder.put(new, ids[new, t].astype(np.int64), np.ones(len(new), dtype=np.int64), self.size)
-            self.symbol[new, known[new]] = ids[new, t]
-            self.known[new] += 1
+        r1, known = self.r1[:m], self.known[:m]
+        at = [(self.r2[:m] * 2654435761 + r1 * 40503 >> 5) & (BLOCK - 1), r1]
+        c2, c1 = (self.next[k][lanes, at[k]].astype(np.int64) for k in range(2))
+        got = np.full(m, -1, dtype=np.int64)
+        for k, c in enumerate((c2, c1)):
+            some = np.flatnonzero((got < 0) & (c >= 0) & ((c != c2) if k else True))
+            if len(some):
+                hit = some[self._candidate(coder, k, some, at, t, rank)]
+                got[hit] = c[hit]
+        # neither: new, or seen in the block
+        some = np.flatnonzero(got < 0)
+        new = some[:0]
+        if len(some):
+            kind = self.last[some] * 4 + (c2[some] >= 0) * 2 + (c1[some] >= 0)
+            p = np.where(known[some] > 0, self.fresh[some, kind], _ONE - 1)
+            bit = self._bit(coder, some, p, None if rank is None else rank[some] >= known[some])
+            p = self.fresh[some, kind]
+            self.fresh[some, kind] = np.clip(p + ((bit * _ONE - p) >> 4), 32, _ONE - 32)
+            seen, new = some[~bit], some[bit]
+            if len(seen):
+                sums = self.sums[seen]
+                above = np.cumsum(sums, axis=1)
+                if rank is None:
+                    v = coder.want(seen, above[:, -1])
+                    b = (above <= v[:, None]).sum(1)
+                    inner = np.cumsum(self.often[seen, b], axis=1)
+                    base = above[np.arange(len(seen)), b] - sums[np.arange(len(seen)), b]
+                    got[seen] = b * _SIDE + (inner <= (v - base)[:, None]).sum(1)
+                else:
+                    got[seen] = rank[seen]
+                b, i = np.divmod(got[seen], _SIDE)
+                place = np.arange(len(seen))
+                row = self.often[seen, b]
+                inner = np.cumsum(row, axis=1)
+                coder.put(seen, above[place, b] - sums[place, b] + inner[place, i] - row[place, i], row[place, i].astype(np.int64), above[:, -1])
+            if len(new):
+                total = int(self.upto[-1])
+                if rank is None:
+                    n = np.searchsorted(self.upto, coder.want(new, total), side="right") - 1
+                    ids[new, t] = self.first[n]
+                else:
+                    n = np.searchsorted(self.first, ids[new, t])
+                coder.put(new, self.upto[n], self.part[n], total)
+                got[new] = known[new]
+                self.symbol[new, known[new]] = ids[new, t]
         if rank is None:
             ids[:m, t] = self.symbol[lanes, got]
+        self.known[new] += 1
         b, i = np.divmod(got, _SIDE)
         self.often[lanes, b, i] += 1
         self.sums[lanes, b] += 1
-        for following, sure, at, p, s in ((self.next2, self.sure2, slot, p2, s2), (self.next1, self.sure1, r1, p1, s1)):
-            following[lanes, at] = got
-            sure[lanes, at] = np.where(p == got, np.minimum(s + 1, 7), 0)
-        self.last[:m] = kind
+        for k, c in enumerate((c2, c1)):
+            hits, seen = self.hits[k][lanes, at[k]], self.seen[k][lanes, at[k]]
+            right = c == got
+            # order 2 follows the last id, order 1 changes once another id has worn its candidate down
+            keep = right | ((hits > 1) if k else False)
+            self.next[k][lanes, at[k]] = np.where(keep, c, got)
+            self.hits[k][lanes, at[k]] = np.where(right, hits + 1, np.where(keep, hits - 1, 1))
+            self.seen[k][lanes, at[k]] = np.where(keep | (k == 1), seen + 1, 1)
+        is_new = np.zeros(m, dtype=np.int64)
+        is_new[new] = 1
+        self.last[:m] = (self.last[:m] & 1) * 2 + is_new
         self.r2, self.r1 = np.concatenate([r1, self.r2[m:]]), np.concatenate([got, self.r1[m:]])
 
 
@@ -173,33 +211,61 @@ def _lanes(n: int) -> np.ndarray:
     return np.minimum(BLOCK, n - np.arange(count) * BLOCK)
 
 
+def _prior(ids: np.ndarray, often: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(ids that may be new, their parts, the two packed): a power of two near each one's share where listing the ids pays, else all
+    of the vocabulary alike and no bytes. ids: ascending; often: the blocks that have them."""
+    every = np.arange(size), np.ones(size, dtype=np.int64), b""
+    room = 60_000 - len(ids)
+    if room < 1000 or not len(ids):
+        return every
+    power = np.log2(np.maximum(1, often * room // often.sum())).astype(np.int64)
+    packed = zlib.compress(np.diff(ids, prepend=0).astype("<u2").tobytes() if size <= 1 << 16 else np.diff(ids, prepend=0).astype("<u4").tobytes(), 9)
+    packed = np.array([len(ids), len(packed)], dtype="<u4").tobytes() + packed + zlib.compress(power.astype(np.uint8).tobytes(), 9)
+    part = 1 << power
+    spared = (often * (np.log2(size) - np.log2(part.sum()) + power)).sum()
+    return (ids, part, packed) if spared > 8 * len(packed) else every
+
+
+def _unprior(packed: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    if not packed:
+        return np.arange(size), np.ones(size, dtype=np.int64)
+    n, first = np.frombuffer(packed[:8], dtype="<u4").tolist()
+    ids = np.cumsum(np.frombuffer(zlib.decompress(packed[8 : 8 + first]), dtype="<u2" if size <= 1 << 16 else "<u4").astype(np.int64))
+    return ids, 1 << np.frombuffer(zlib.decompress(packed[8 + first :]), dtype=np.uint8).astype(np.int64)
+
+
 def encode(ids: np.ndarray, size: int) -> tuple[bytes, bytes]:
-    """(head, payload) of a frame. The head: magic, vocabulary size, and for each block its ids, its bytes, and the CRC-32 of both."""
+    """(head, payload) of a frame. The head: magic, vocabulary size, number of blocks, bytes of the list of new ids and its CRC-32, that
+    list, and for each block its ids, its bytes, and the CRC-32 of both."""
     length = _lanes(len(ids))
     padded = np.zeros(len(length) * BLOCK, dtype=np.int64)
     padded[: len(ids)] = ids
     table = padded.reshape(-1, BLOCK)
     lane = np.repeat(np.arange(len(length)), length)
-    _, first, inverse = np.unique(lane * size + padded[: len(ids)], return_index=True, return_inverse=True)
+    pair, first, inverse = np.unique(lane * size + padded[: len(ids)], return_index=True, return_inverse=True)
     order = np.argsort(first, kind="stable")  # by lane, and in it by first appearance
     rank = np.empty(len(first), dtype=np.int64)
     owner = lane[first[order]]
     rank[order] = np.arange(len(first)) - np.searchsorted(owner, owner)
     ranks = np.zeros_like(padded)
     ranks[: len(ids)] = rank[inverse]
+    known, part, packed = _prior(*np.unique(pair % size, return_counts=True), size)
     coder = _Range(len(length))
-    _Model(len(length), size).run(coder, length, ranks.reshape(-1, BLOCK), table)
+    _Model(len(length), known, part).run(coder, length, ranks.reshape(-1, BLOCK), table)
     blocks = coder.finish()
     head = np.array([[n, len(b), zlib.crc32(b), zlib.crc32(table[i, :n].astype("<u4").tobytes())] for i, (n, b) in enumerate(zip(length.tolist(), blocks))], dtype="<u4")
-    return MAGIC + np.array([size, len(blocks)], dtype="<u4").tobytes() + head.tobytes(), b"".join(blocks)
+    return MAGIC + np.array([size, len(blocks), len(packed), zlib.crc32(packed)], dtype="<u4").tobytes() + packed + head.tobytes(), b"".join(blocks)
 
 
 def decode(head: bytes, payload: bytes) -> np.ndarray:
     """The ids of a frame; ValueError if anything of it has changed."""
     if head[:4] != MAGIC:
         raise ValueError("not a frame of token ids")
-    size, count = np.frombuffer(head[4:12], dtype="<u4").tolist()
-    rows = np.frombuffer(head[12:], dtype="<u4").reshape(count, 4).astype(np.int64)
+    size, count, listed, check = np.frombuffer(head[4:20], dtype="<u4").tolist()
+    packed = head[20 : 20 + listed]
+    if zlib.crc32(packed) != check:
+        raise ValueError("the list of ids is damaged")
+    rows = np.frombuffer(head[20 + listed :], dtype="<u4").reshape(count, 4).astype(np.int64)
     length, ends = rows[:, 0], np.cumsum(rows[:, 1])
     data = np.zeros((count, int(rows[:, 1].max(initial=0)) + 8), dtype=np.uint8)
     for i, (a, b) in enumerate(zip(ends - rows[:, 1], ends)):
@@ -208,7 +274,7 @@ def decode(head: bytes, payload: bytes) -> np.ndarray:
             raise ValueError(f"block {i} is damaged")
         data[i, : len(block)] = np.frombuffer(block, dtype=np.uint8)
     out = np.zeros((count, BLOCK), dtype=np.int64)
-    _Model(count, size).run(_Range(count, data), length, None, out)
+    _Model(count, *_unprior(packed, size)).run(_Range(count, data), length, None, out)
     for i, n in enumerate(length):
         if zlib.crc32(out[i, :n].astype("<u4").tobytes()) != rows[i, 3]:
             raise ValueError(f"block {i} does not decode to its ids")
