@@ -1,21 +1,22 @@
 """Shards by extendible hashing.
 
 The directory is indexed by bits of a key's hash, first bit first. It starts as one bucket; a bucket over the byte limit
-is split on its next bit, and no other is. All of it is grouped sums: bytes are summed for prefixes of several depths at
-once, a row's shard is its shortest prefix that fits, and only rows whose prefixes are all too large go on to deeper bits.
+is split on its next bit, and no other is. STEP bits are looked at in a round, all by grouped sums: bytes are summed for
+prefixes of each depth, a row's shard is its shortest prefix that fits, and only rows whose prefixes are all too large go
+on to deeper bits. A prefix of a round has at most 2**STEP finer ones, and rows learn their shard by a join that leaves those
+of hot keys where they are, so that no key passes through one task.
 """
 
 from __future__ import annotations
 
-from math import ceil, log2
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from .store import materialize
+from .store import free, join_counted, materialize
 
 KEY_BITS = 60  #: of md5 over the key; rows of one key are told apart by ROW_BITS more
 ROW_BITS = 32
-STEP = 8  #: depths beyond the expected one that are summed at once
+STEP = 8
+SHARD = ("local_depth", "prefix", "row_prefix")
 
 
 def _prefix(depth: Column) -> tuple[Column, Column]:
@@ -31,50 +32,62 @@ def shards(docs: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     A shard is (local_depth, prefix, row_prefix): the rows whose hash starts with those bits; row_prefix is 0 unless one key
     alone exceeds the limit. n_bytes counts the text's UTF-8 bytes (null: 0). Every shard has at most ``limit`` bytes, but for a
     single row that is larger, which gets a shard of its own. Rows with null key share one hash and split like any other
-    key. An empty table has no shard.
+    key; equal rows count one by one. An empty table has no shard. Other columns take no part.
     """
+    return _placed(docs.select(F.col(key), "text"), limit, key).drop("row")
+
+
+def _placed(docs: DataFrame, limit: int, key: str, row: str | None = None) -> DataFrame:
+    """shards(), and the column ``row`` (by which the caller knows its rows)."""
     if limit <= 0:
         raise ValueError("the limit must be positive")
     rows = docs.select(
         F.col(key).alias("key"),
         F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")), 1, 15), 16, 10).cast("long").alias("key_hash"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
     )
-    rows = materialize(rows.withColumn("row_hash", F.expr("xxhash64(monotonically_increasing_id()) & 4294967295L")), "hashes")
-    total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    rows = materialize(rows.withColumn("row_hash", F.expr("xxhash64(row) & 4294967295L")), "hashes")
     low, out = 0, None
     while True:
-        high = min(KEY_BITS + ROW_BITS, max(low, ceil(log2(max(1, total / limit)))) + STEP) if low < KEY_BITS else KEY_BITS + ROW_BITS
-        high = KEY_BITS if low < KEY_BITS < high else high
+        last = KEY_BITS if low <= KEY_BITS else KEY_BITS + ROW_BITS
+        high = min(low + STEP, last)
         at = F.col("depth")
-        fine = rows.withColumn("depth", F.lit(high)).select(*(c.alias(n) for c, n in zip(_prefix(at), ("fine", "fine_row"))), "n_bytes")
-        fine = fine.groupBy("fine", "fine_row").agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n"))
+        keyed = rows.withColumn("depth", F.lit(high)).select("key", "key_hash", "row_hash", "n_bytes", "row", *(c.alias(n) for c, n in zip(_prefix(at), ("fine", "fine_row"))))
+        fine = keyed.groupBy("fine", "fine_row").agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n"), (F.min("key_hash") == F.max("key_hash")).alias("alone"))
+        fine = materialize(fine, "prefixes")
         # prefixes of every depth of this round, from the finest ones
-        back = F.lit(high) - at
         deep = max(0, high - KEY_BITS)
-        key_part = F.when(back <= deep, F.col("fine")).otherwise(F.expr(f"shiftright(fine, cast({high} - depth - {deep} as int))"))
+        key_part = F.when(F.lit(high) - at <= deep, F.col("fine")).otherwise(F.expr(f"shiftright(fine, cast({high} - depth - {deep} as int))"))
         row_part = F.expr(f"shiftright(fine_row, cast(least({high} - depth, {deep}) as int))")
         spread = fine.select("*", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")).select("fine", "fine_row", "n_bytes", "n", "depth", key_part.alias("prefix"), row_part.alias("row_prefix"))
         sums = spread.groupBy("depth", "prefix", "row_prefix").agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n").alias("held"))
         fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("held") == 1) | (F.col("depth") == KEY_BITS + ROW_BITS))
         chosen = spread.join(fits, ["depth", "prefix", "row_prefix"]).groupBy("fine", "fine_row").agg(F.min(F.struct("depth", "prefix", "row_prefix", "shard_bytes")).alias("s"))
-        marked = rows.withColumn("depth", F.lit(high)).select("key", "key_hash", "row_hash", "n_bytes", *(c.alias(n) for c, n in zip(_prefix(at), ("fine", "fine_row")))).join(chosen, ["fine", "fine_row"], "left")
-        marked = materialize(marked.drop("fine", "fine_row"), "directory")
-        done = marked.where("s IS NOT NULL").select(F.col("key").alias(key), "n_bytes", F.col("s.depth").alias("local_depth"), "s.prefix", "s.row_prefix", "s.shard_bytes")
+        directory = materialize(fine.join(chosen, ["fine", "fine_row"], "left").select("fine", "fine_row", "n", "alone", "s"), "directory")
+        marked = materialize(join_counted(keyed, directory, ["fine", "fine_row"]).drop("fine", "fine_row", "n", "alone"), "marked")
+        done = marked.where("s IS NOT NULL").select(F.col("key").alias(key), "n_bytes", F.col("s.depth").alias("local_depth"), "s.prefix", "s.row_prefix", "s.shard_bytes", "row")
         out = done if out is None else out.unionByName(done)
-        rows = marked.where("s IS NULL").drop("s")
-        if high == KEY_BITS + ROW_BITS or rows.isEmpty():
+        more = directory.where("s IS NULL").agg(F.bool_and("alone")).first()[0]
+        if more is None:
             return out
-        low = high + 1
+        rows = marked.where("s IS NULL").drop("s")
+        low = KEY_BITS + 1 if more and high <= KEY_BITS else high + 1
+
+
+def write(docs: DataFrame, limit: int, path: str, key: str = "doc_id") -> None:
+    """Write the rows of each shard to a folder of its own under ``path``, each row once, whatever keys repeat. The folders are
+    named by the columns of SHARD, with underscores before those that ``docs`` has."""
+    row = free("row", docs.columns)
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    names = [free(n, docs.columns) for n in SHARD]
+    found = _placed(numbered.select(F.col(key), "text", row), limit, key, row).select(F.col("row").alias(row), *(F.col(c).alias(n) for c, n in zip(SHARD, names)))
+    numbered.join(found, row).drop(row).repartition(*names).write.partitionBy(*names).parquet(path)
 
 
-def write(docs: DataFrame, limit: int, path: str, key: str = "doc_id") -> DataFrame:
-    """Write the rows of each shard to a folder of its own under ``path`` (keys must be unique), and return the directory."""
-    found = shards(docs, limit, key)
-    name = F.concat_ws("-", "local_depth", "prefix", "row_prefix").alias("shard")
-    placed = docs.join(found.select(key, name), key)
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
-    return found.groupBy("local_depth", "prefix", "row_prefix").agg(F.first("shard_bytes").alias("shard_bytes"), F.count("*").alias("n_rows"))
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that write() wrote and their shards."""
+    return spark.read.parquet(path)
 
 
 def oracle(limit: int) -> str:
