@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .store import materialize, slices
+from .store import free, materialize, slices
 from .tokens import PieceEncoder
 
 
@@ -50,13 +50,21 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024,
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
+SPARE = (0, 2, 8, 32)  #: tokens of room that a bin may keep without an exchange
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     """(lengths of a bin's items, how many such bins), by best-two-fit.
 
-    A bin is filled greedily with the longest items that fit. If room is left, its smallest item is exchanged for the two
-    unpacked items that fill the widened gap best, if they fill it better. The pattern is repeated as long as its items last,
-    so every round uses up at least one length.
-    """
+    Exchanges use up short items, of which later bins may be in need: how much room is worth one depends on the lengths at
+    hand. Plans are made for each of SPARE, and one without any exchange; the one with the fewest bins is taken."""
+    return min((_plan(counts, capacity, spare) for spare in (*SPARE, capacity)), key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, spare: int) -> list[tuple[list[int], int]]:
+    """A bin is filled greedily with the longest items that fit. If more than ``spare`` room is left, its smallest item is
+    exchanged for the two unpacked items that fill the widened gap best, if they fill it better. The pattern is repeated as
+    long as its items last, so every round uses up at least one length."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -73,7 +81,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
             bins.append(length)
             rest[length] -= 1
             room -= length
-        if room > 0:
+        if room > spare:
             smallest = bins[-1]
             gap = room + smallest
             have = np.flatnonzero(rest[1 : gap + 1]) + 1
@@ -115,14 +123,17 @@ def _slots(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int, i
 
 
 def pack(found: DataFrame, capacity: int = 1024) -> DataFrame:
-    """Adds sequence_id and offset to rows with ``length`` (1 to capacity). Offsets in a sequence are gapless from 0.
+    """Adds sequence_id and offset to rows with ``length`` (1 to capacity). Offsets in a sequence are gapless from 0. If a column
+    has one of these names it stays, and the new one gets an underscore before it.
 
     Rows are numbered within their length from counts per partition and length, so that no length, however common,
     passes through one task. Equal rows are packed one by one. An empty table gives an empty one.
     """
     spark = found.sparkSession
-    rows = materialize(found.withColumn("part", F.spark_partition_id()), "pieces")
-    local = rows.withColumn("nth", F.row_number().over(Window.partitionBy("part", "length").orderBy("doc_id", "piece")) - 1)
+    names = [free(n, found.columns) for n in ("sequence_id", "offset")]
+    rows = materialize(found.select(F.struct(*found.columns).alias("row"), F.col("length").cast("long").alias("length"), F.spark_partition_id().alias("part")), "pieces")
+    order = [f"row.{c}" for c in ("doc_id", "piece") if c in found.columns]
+    local = rows.withColumn("nth", F.row_number().over(Window.partitionBy("part", "length").orderBy(*order or [F.lit(0)])) - 1)
     counted = rows.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = counted.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "length", F.coalesce("before", F.lit(0)).alias("before"))
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
@@ -131,7 +142,7 @@ def pack(found: DataFrame, capacity: int = 1024) -> DataFrame:
     placed = numbered.join(F.broadcast(slots), (numbered.length == slots.length) & (numbered.number >= slots.lo) & (numbered.number < slots.hi)).drop(slots.length)
     k = F.col("number") - F.col("lo")
     return placed.select(
-        *(c for c in found.columns),
-        (F.col("sequence") + F.floor(k / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("at") + k % F.col("each") * F.col("length")).cast("long").alias("offset"),
+        "row.*",
+        (F.col("sequence") + F.floor(k / F.col("each"))).cast("long").alias(names[0]),
+        (F.col("at") + k % F.col("each") * F.col("length")).cast("long").alias(names[1]),
     )
