@@ -44,6 +44,7 @@ class _Bits:
     def __init__(self, words: Words):
         pairs, _ = words.windows(2)
         self.pairs, self.single = self._sums(pairs), words.hash
+        self.strided = [np.ascontiguousarray(self.pairs[r::STRIDE]) for r in range(STRIDE)]
 
     @staticmethod
     def _sums(h: np.ndarray) -> np.ndarray:
@@ -60,7 +61,11 @@ class _Bits:
         if size == 1:
             return self.single[::step][:n]
         m = size - 1
-        return np.packbits((self.pairs[m::step][:n] - self.pairs[::step][:n] > m // 2).ravel()).view(U64)
+        if step == STRIDE:
+            over = self.strided[m % step][m // step : m // step + n] - self.strided[0][:n]
+        else:
+            over = self.pairs[m::step][:n] - self.pairs[::step][:n]
+        return np.packbits(over > m // 2, axis=None).view(U64)
 
 
 def _shingles(words: Words, n: int) -> tuple[np.ndarray, int]:
