@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .store import slices
+from .store import free, slices
 from .words import _OF_BYTES, BYTE, LOWER, U64, Words, chunks, encoded, mix
 
 SEGMENT = 24  #: bytes
-SAMPLE = 3_000  #: labelled documents that the network is trained on, at most
+SAMPLE = 1_000  #: labelled documents of each language that the network is trained on, at most
 SEGMENTS = 150  #: of each of them, evenly spaced over the whole text, at most
 KEPT = 1_000_000  #: segments that a task remembers
 
@@ -122,24 +122,29 @@ class Network:
             grad["R" + d] += s.T @ db
             carry[:m] = g * z + db @ r.T
 
+    def gradient(self, x: np.ndarray, length: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss of all positions, by backpropagation through time; segments sorted, longest first."""
+        prob, f, b, tf, tb, back, at, active = self.positions(x, length, keep=True)
+        outside = np.arange(SEGMENT)[None] >= length[:, None]
+        g = prob.copy()
+        g[np.arange(len(x))[:, None], np.arange(SEGMENT)[None], y[:, None]] -= 1
+        g[outside] = 0
+        g /= length.sum()
+        grad = {k: np.zeros_like(p) for k, p in self.p.items()}
+        turned = np.take_along_axis(g, at, 1)
+        turned[outside] = 0
+        grad["Of"], grad["Ob"], grad["o"] = np.einsum("nth,ntk->hk", f, g), np.einsum("nth,ntk->hk", b, turned), g.sum((0, 1))
+        self._back("f", x, g @ self.p["Of"].T, tf, active, grad)
+        self._back("b", back, turned @ self.p["Ob"].T, tb, active, grad)
+        return grad
+
     def fit(self, x: np.ndarray, length: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 384, rate: float = 0.01, seed: int = 4) -> Network:
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(p) for k, p in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
             some = r.integers(0, len(x), min(batch, len(x)))
             some = some[np.argsort(-length[some], kind="stable")]
-            xs, n = x[some], length[some]
-            prob, f, b, tf, tb, back, at, active = self.positions(xs, n, keep=True)
-            g = prob.copy()
-            g[np.arange(len(some))[:, None], np.arange(SEGMENT)[None], y[some][:, None]] -= 1
-            g[np.arange(SEGMENT)[None] >= n[:, None]] = 0
-            g /= n.sum()
-            grad = {k: np.zeros_like(p) for k, p in self.p.items()}
-            turned = np.take_along_axis(g, at, 1)
-            turned[np.arange(SEGMENT)[None] >= n[:, None]] = 0
-            grad["Of"], grad["Ob"], grad["o"] = np.einsum("nth,ntk->hk", f, g), np.einsum("nth,ntk->hk", b, turned), g.sum((0, 1))
-            self._back("f", xs, g @ self.p["Of"].T, tf, active, grad)
-            self._back("b", back, turned @ self.p["Ob"].T, tb, active, grad)
+            grad = self.gradient(x[some], length[some], y[some])
             pace = rate * (1 - 0.95 * step / steps)
             for k, d in grad.items():
                 m[k] += 0.1 * (d - m[k])
@@ -149,10 +154,12 @@ class Network:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 500) -> Network:
-    """A network from (doc_id, text, lang): at most ``sample`` documents, those whose hashed ids are smallest, in equal
-    weight for each language. Rows with null text, lang or doc_id are left out. No row at all gives a network without languages."""
+    """A network from (doc_id, text, lang): of each language at most ``sample`` documents, those whose hashed ids are smallest,
+    and at most SEGMENTS segments of each, in equal weight for each language, so that a rare language is learned as well. Rows
+    with null text, lang or doc_id are left out; repeated rows count. No row at all gives a network without languages."""
     rows = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    chosen = rows.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = rows.select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= sample).select("doc_id").distinct()
 
     def pick(batches):
         for batch in slices(batches):
@@ -168,7 +175,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 500) -> Network:
                     if len(some):
                         yield pa.RecordBatch.from_arrays([pa.array([langs[at + i]] * len(some)), pa.array([buf[start[j] : start[j] + length[j]] for j in some], pa.binary())], ["lang", "segment"])
 
-    got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(pick, "lang string, segment binary").toPandas()  # at most sample * SEGMENTS short strings
+    got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(pick, "lang string, segment binary").toPandas()  # at most sample * SEGMENTS short strings of each language
     languages = sorted(set(got.lang))
     net = Network(languages)
     if len(languages) > 1:
@@ -183,10 +190,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 500) -> Network:
 
 def predict(docs: DataFrame, net: Network) -> DataFrame:
     """Columns of ``docs``, lang_pred and score (the pooled probability). ``und`` with score 0 where the text is null or
-    has no letter, or the network knows no language."""
-    docs = docs.drop(*({"lang_pred", "score"} & set(docs.columns)))
+    has no letter, or the network knows no language. Repeated rows each get theirs. If ``docs`` has a column of one of these names,
+    that stays and the new one gets an underscore before it."""
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double"
+    added = [free(n, names) for n in ("lang_pred", "score")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{added[0]}` string, `{added[1]}` double"
     k = len(net.languages)
 
     def apply(batches):
@@ -217,6 +225,6 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
             lettered = [bool(k) and total[i] > 0 and t is not None and any(map(str.isalpha, t)) for i, t in enumerate(texts)]
             lang = [net.languages[best[i]] if ok else "und" for i, ok in enumerate(lettered)]
             score = [float(min(1.0, pooled[i, best[i]] / total[i])) if ok else 0.0 for i, ok in enumerate(lettered)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, *added])
 
     return docs.mapInArrow(apply, schema)

@@ -90,6 +90,17 @@ class Model:
     def score(self, x: np.ndarray, bags: np.ndarray) -> np.ndarray:
         return self._forward(self._norm(x), bags)["score"]
 
+    def gradient(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss of some texts' labels, by backpropagation."""
+        f, p, n = self._forward(x, bags), self.p, bags
+        d = (f["score"] - y) / len(y)
+        dz = np.repeat(d[:, None] * p["c"], n, axis=0)
+        da = (dz * f["h"]).sum(1)
+        de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, f["first"]), n))
+        dt, ds = de[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
+        dh = (f["a"][:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
+        return {"E": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": de @ (f["t"] * f["s"]), "c": f["z"].T @ d, "k": d.sum(keepdims=True)}
+
     def fit(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 0.004, decay: float = 1e-4, seed: int = 2) -> Model:
         self.mean, self.scale = x.mean(0), x.std(0) + 0.02
         x, first, r = self._norm(x), np.cumsum(bags) - bags, np.random.default_rng(seed)
@@ -102,15 +113,8 @@ class Model:
                 docs = order[at : at + batch]
                 n = bags[docs]
                 rows = np.arange(int(n.sum())) + np.repeat(first[docs] - (np.cumsum(n) - n), n)
-                f = self._forward(xb := x[rows], n)
+                grad = self.gradient(x[rows], n, y[docs])
                 p = self.p
-                d = (f["score"] - y[docs]) / len(docs)
-                dz = np.repeat(d[:, None] * p["c"], n, axis=0)
-                da = (dz * f["h"]).sum(1)
-                de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, f["first"]), n))
-                dt, ds = de[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
-                dh = (f["a"][:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
-                grad = {"E": xb.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": de @ (f["t"] * f["s"]), "c": f["z"].T @ d, "k": d.sum(keepdims=True)}
                 step += 1
                 pace = rate * (1 - 0.9 * epoch / epochs)
                 for k, g in grad.items():
