@@ -296,6 +296,32 @@ def test_coder_round_trip():
         coder.decode(head, bytes([payload[0] ^ 1]) + payload[1:])
 
 
+def test_coder_mixes_its_predictions():
+    """Text-like ids take less room than their order-0 entropy, in which the list of new ids is counted; damage is found."""
+    r = np.random.default_rng(3)
+    words = [r.integers(0, 49408, r.integers(1, 4)) for _ in range(400)]
+    follow = np.minimum(r.zipf(1.3, (400, 4)), 400) - 1
+    at, ids = 0, []
+    for _ in range(20_000):
+        at = follow[at, r.integers(0, 4)] if r.random() < 0.5 else min(r.zipf(1.2), 400) - 1
+        ids.append(words[at])
+    ids = np.concatenate(ids).astype(np.uint32)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    head, payload = coder.encode(ids, 49408)
+    assert (len(head) + len(payload)) * 8 < -(share * np.log2(share)).sum() * len(ids)
+    assert (coder.decode(head, payload) == ids).all()
+    with pytest.raises(ValueError):
+        coder.decode(head[:40] + bytes([head[40] ^ 1]) + head[41:], payload)
+
+
+def test_files_of_repeated_and_null_ids(spark, tmp_path):
+    path = queries._vocabulary("word_bpe_49k.json")
+    rows = [(3, "a b", 1), (3, "a b", 1), (None, "x", 1), (None, None, 1), (1, "c", 1)]
+    coder.write(spark.createDataFrame(rows, "doc_id long, text string, part int").repartition(3), path, 1, f"{tmp_path}/ids")
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in coder.read(spark, f"{tmp_path}/ids").collect())
+    assert [d for _, d, _ in got] == [None, None, 1, 3, 3] and all(a + n == b for (a, _, n), (b, _, _) in zip(got, got[1:]))
+
+
 def test_files_hold_every_document_in_order(spark, docs, rows, tmp_path):
     path = queries._vocabulary("word_bpe_49k.json")
     coder.write(docs, path, 1, f"{tmp_path}/ids")
@@ -339,18 +365,38 @@ def test_quality_odd_rows(spark, docs, empty):
     none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     clash = docs.withColumn("score", F.lit("mine"))
     got = quality.score(clash, none).collect()
-    assert len(got) == docs.count() and all(0 <= g["score"] <= 1 for g in got)
+    assert len(got) == docs.count() and all(g["score"] == "mine" and 0 <= g["_score"] <= 1 for g in got)
     assert quality.score(empty, none).collect() == []
 
 
 def test_attention_gradient():
-    """Backpropagation against finite differences, by one small step downhill."""
+    """Backpropagation against finite differences, and a fit that learns its rows."""
     r = np.random.default_rng(3)
     x, bags, y = r.normal(size=(12, quality.PAIRS + quality.SHAPES)), np.array([3, 4, 5]), np.array([1.0, 0, 1])
+    m = quality.Model()
+
+    def loss():
+        p = m._forward(x, bags)["score"]
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    for name, g in m.gradient(x, bags, y).items():
+        for at in [tuple(r.integers(0, n) for n in g.shape) for _ in range(5)]:
+            kept = m.p[name][at]
+            m.p[name][at] = kept + 1e-5
+            up = loss()
+            m.p[name][at] = kept - 1e-5
+            assert (up - loss()) / 2e-5 == pytest.approx(g[at], abs=1e-7, rel=1e-4), name
+            m.p[name][at] = kept
     m = quality.Model().fit(x, bags, y, epochs=60, batch=3)
     assert ((m.score(x, bags) > 0.5) == (y > 0.5)).all()
 
 
+def test_quality_keeps_columns(spark):
+    rows = [(1, "a b c", 9), (1, "a b c", 9), (None, None, 8)]
+    out = quality.score(spark.createDataFrame(rows, "doc_id long, text string, score int"), quality.Model()).collect()
+    assert [r["score"] for r in out] == [9, 9, 8] and all(0 <= r["_score"] <= 1 for r in out) and out[0]["_score"] == out[1]["_score"]
+
+
 # 6
 
 
@@ -487,6 +533,34 @@ def test_shards_split_one_hot_key(spark, empty):
     assert sharding.shards(empty, 10).collect() == []
 
 
+def test_shards_are_the_shortest_prefixes_that_fit(spark):
+    """Against a plain walk through the bits; prefixes of several rounds, and keys in very different numbers."""
+    import hashlib
+
+    rows = [(i if i % 2 else 8, "x" * (i % 40)) for i in range(900)] + [(5, ""), (5, None)]
+    h = {k: int(hashlib.md5(str(k).encode()).hexdigest()[:15], 16) for k, _ in rows}
+    limit = 120
+    got = Counter((g["doc_id"], g["n_bytes"], g["local_depth"], g["prefix"]) for g in sharding.shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), limit).collect() if g["local_depth"] <= sharding.KEY_BITS)
+    want = Counter()
+    for k, t in rows:
+        for depth in range(sharding.KEY_BITS + 1):
+            own = [len(x or "") for j, x in rows if h[j] >> (sharding.KEY_BITS - depth) == h[k] >> (sharding.KEY_BITS - depth)]
+            if sum(own) <= limit:
+                want[k, len(t or ""), depth, h[k] >> (sharding.KEY_BITS - depth)] += 1
+                break
+    assert got == want and max(d for _, _, d, _ in want) > 0
+
+
+def test_shards_write_each_row_once(spark, tmp_path, empty):
+    rows = [(i % 3 if i % 5 else None, f"text {i % 7}", "p") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, prefix string").repartition(4)
+    sharding.write(d, 100, f"{tmp_path}/a")
+    back = sharding.read(spark, f"{tmp_path}/a")
+    assert Counter((r["doc_id"], r["text"], r["prefix"]) for r in back.collect()) == Counter(rows)
+    assert back.groupBy("local_depth", "_prefix", "row_prefix").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] <= 100
+    sharding.write(empty, 100, f"{tmp_path}/b")
+
+
 # 9
 
 
@@ -518,6 +592,36 @@ def test_packing_plan_is_tight():
     assert sum(n for _, n in plan) <= -(-sum(k * n for k, n in counts.items()) // 1024) + 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_plan_is_no_worse_than_best_fit(seed):
+    r = np.random.default_rng(seed)
+    counts = Counter(np.clip(r.lognormal(5, 1.2, 800).astype(int), 1, 1024).tolist())
+    rooms = Counter()
+    bins = 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            room = min((k for k, n in rooms.items() if n and k >= length), default=None)
+            bins += room is None
+            if room is not None:
+                rooms[room] -= 1
+            rooms[(room or 1024) - length] += 1
+    plan = packing.plan(counts, 1024)
+    assert sum(n for _, n in plan) <= bins
+    used = Counter()
+    for items, n in plan:
+        used.update({k: n * c for k, c in Counter(items).items()})
+    assert used == counts
+
+
+def test_packing_odd_rows(spark):
+    """Repeated rows, null ids and columns called like those that are added."""
+    rows = [(7, "a b c", "x", 5), (7, "a b c", "x", 5), (None, None, None, None), (None, "", "y", 1)]
+    p = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string, part string, offset int"), queries._vocabulary("byte_bpe_50k.json"), 2)
+    out = packing.pack(p.withColumns({"offset": F.lit("mine"), "part": F.lit("p"), "n": F.lit(3)})).collect()
+    assert len(out) == 4 and all((r["offset"], r["part"], r["n"]) == ("mine", "p", 3) for r in out)
+    assert sorted(r["_offset"] for r in out)[0] == 0 and len({(r["sequence_id"], r["_offset"]) for r in out}) == 4
+
+
 def test_packing_empty(empty):
     assert packing.pack(packing.pieces(empty, queries._vocabulary("byte_bpe_50k.json"), 2)).collect() == []
 
@@ -525,6 +629,43 @@ def test_packing_empty(empty):
 # 10
 
 
+def test_recurrent_gradient():
+    """Backpropagation through time against finite differences, in both directions."""
+    r = np.random.default_rng(5)
+    net = language.Network(["a", "b", "c"])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    n = np.array([7, 5, 5, 2, 1])
+    x = np.where(np.arange(language.SEGMENT)[None] < n[:, None], r.integers(97, 123, (5, language.SEGMENT)), 0)
+    y = np.array([0, 1, 2, 1, 0])
+    inside = np.arange(language.SEGMENT)[None] < n[:, None]
+
+    def loss():
+        p = net.positions(x, n)
+        return -np.log(p[np.arange(5)[:, None], np.arange(language.SEGMENT)[None], y[:, None]])[inside].mean()
+
+    for name, g in net.gradient(x, n, y).items():
+        spots = np.argwhere(np.abs(g) > 1e-4)
+        for at in map(tuple, spots[r.integers(0, len(spots), 5)]):
+            kept = net.p[name][at]
+            net.p[name][at] = kept + 1e-3
+            up = loss()
+            net.p[name][at] = kept - 1e-3
+            assert (up - loss()) / 2e-3 == pytest.approx(g[at], rel=2e-2, abs=2e-5), name
+            net.p[name][at] = kept
+
+
+def test_language_learns_rare_ones_and_keeps_columns(spark):
+    """A language of few documents is learned beside one of many."""
+    r = np.random.default_rng(2)
+    kinds = {"aa": ["the", "thing", "other", "with"], "bb": ["über", "größe", "und", "nicht"]}
+    rows = [(i, " ".join(r.choice(kinds["aa" if i % 40 else "bb"], 12)), "aa" if i % 40 else "bb", "mine") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    net = language.train(d, sample=20, steps=80)
+    out = language.predict(d.unionByName(d.where("doc_id = 0")), net).collect()
+    assert net.languages == ["aa", "bb"] and len(out) == 401 and all(r["score"] == "mine" and 0 <= r["_score"] <= 1 for r in out)
+    assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.97
+
+
 def test_language(spark, docs, empty):
     r = np.random.default_rng(2)
     kinds = {"aa": ["the", "thing", "other", "with"], "bb": ["über", "größe", "und", "nicht"], "cc": ["ción", "que", "los", "para"]}
