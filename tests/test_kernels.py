@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from tidemark.functions import recursive as r
-from tidemark.operators import backtest, hygiene, indicators, joins, labels
+from tidemark.operators import averages, backtest, hygiene, indicators, joins, labels
 from tidemark.plans.ordered import overlapping, row_number, running_sum
 from pyspark.sql import functions as F
 
@@ -24,9 +24,46 @@ def test_moving_average_and_bands(spark):
     assert [v["down"] for v in df] == [None, 1, 0.25, 1.25, 2.25, 3.25, 5, 1.5, -0.5]
 
 
-def test_ema_seed():
-    e = r.ema(np.array([1.0, 2, 3, 4]), 2)
-    assert np.isnan(e[0]) and e[1] == 1.5 and e[2] == pytest.approx(2.5) and e[3] == pytest.approx(3.5)
+def plain_ema(x, n, alpha=None):
+    a, out = 2 / (n + 1) if alpha is None else alpha, [None] * len(x)
+    for i in range(n - 1, len(x)):
+        out[i] = sum(x[:n]) / n if i == n - 1 else out[i - 1] + a * (x[i] - out[i - 1])
+    return out
+
+
+def test_recursive_averages_across_blocks(spark, monkeypatch):
+    """Blocks of seven rows carry over what one long loop gives, for series that are shorter than the average as well."""
+    x = np.cumsum(np.random.default_rng(4).normal(size=60)) + 50
+    df = frame(spark, x).unionByName(frame(spark, x[:3]).withColumn("symbol", F.lit("b")))
+    monkeypatch.setattr(averages.affine, "__defaults__", (7,))
+    got = {(v["symbol"], v["seq"]): v for v in averages.ema(df, ["symbol"], "seq", "x", 5).collect()}
+    assert [got["a", i]["ema"] for i in range(60)] == [None if v is None else pytest.approx(v) for v in plain_ema(x, 5)]
+    assert [got["b", i]["ema"] for i in range(3)] == [None] * 3
+    got = {v["seq"]: v for v in averages.rsi(df, ["symbol"], "seq", "x", 4).where("symbol = 'a'").collect()}
+    d = np.diff(x)
+    u, v = (plain_ema(np.maximum(s * d, 0), 4, 1 / 4) for s in (1, -1))
+    assert [got[i + 1]["rsi"] for i in range(59)] == [None if a is None else pytest.approx(100 * a / (a + b)) for a, b in zip(u, v)]
+
+
+def test_mama_follows_a_price():
+    x = 100 + 10 * np.sin(np.arange(300) / 4)
+    m, f = r.mama(x, 0.5, 0.05)
+    assert np.isnan(m[:32]).all() and not np.isnan(m[32:]).any() and m[32:].min() > 85 and m[32:].max() < 115
+    flat, _ = r.mama(np.full(80, 7.0), 0.5, 0.05)
+    assert np.allclose(flat[32:], 7)
+
+
+def test_adf_windows_are_single_regressions():
+    x = np.cumsum(np.random.default_rng(7).normal(size=60))
+    got = r.adf_windows(x, 20, 2, True)
+    for i in (0, 13, 40):
+        y = x[i : i + 20]
+        d = np.diff(y)
+        a = np.column_stack([y[2:-1], np.ones(17), np.arange(17), d[1:-1], d[:-2]])
+        b, rss, *_ = np.linalg.lstsq(a, d[2:], rcond=None)
+        assert got[i] == pytest.approx(b[0] / np.sqrt(np.linalg.inv(a.T @ a)[0, 0] * rss[0] / 12))
+    flat, _ = r.sadf(np.concatenate([np.zeros(30), x]), 24, 16, 2, True)
+    assert len(flat) == 90 and np.isnan(flat[:23]).all()
 
 
 def test_fracdiff_expression_is_the_convolution(spark):

@@ -5,72 +5,44 @@ from __future__ import annotations
 import numpy as np
 
 
-def ema(x: np.ndarray, n: int, alpha: float | None = None) -> np.ndarray:
-    """Exponential average seeded with the mean of the first n values; NaN before."""
-    a = 2 / (n + 1) if alpha is None else alpha
-    out = np.full(len(x), np.nan)
-    if len(x) < n:
-        return out
-    s = out[n - 1] = float(np.mean(x[:n]))
-    for i in range(n, len(x)):
-        s += a * (x[i] - s)
-        out[i] = s
-    return out
-
-
-def rsi(x: np.ndarray, n: int) -> np.ndarray:
-    """Relative strength with Wilder smoothing."""
-    out = np.full(len(x), np.nan)
-    d = np.diff(x)
-    if len(d) < n:
-        return out
-    up, down = (ema(np.maximum(s * d, 0), n, 1 / n) for s in (1, -1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = np.where(up + down > 0, 100 * up / (up + down), 50.0)
-    out[1:] = np.where(np.isnan(up), np.nan, r)
-    return out
-
-
-def kama(x: np.ndarray, n: int) -> np.ndarray:
-    """Kaufman's adaptive average: fast 2, slow 30."""
-    out = np.full(len(x), np.nan)
-    if len(x) <= n:
-        return out
-    s = x[n - 1]
-    for i in range(n, len(x)):
-        move = np.abs(np.diff(x[i - n : i + 1])).sum()
-        e = abs(x[i] - x[i - n]) / move if move else 1.0
-        c = (e * (2 / 3 - 2 / 31) + 2 / 31) ** 2
-        s += c * (x[i] - s)
-        out[i] = s
-    return out
-
-
-def t3(x: np.ndarray, n: int, v: float = 0.7) -> np.ndarray:
-    """Six chained exponential averages, combined."""
-    e, lost = [], 0
-    y = x
-    for _ in range(6):
-        y = ema(y[~np.isnan(y)], n)
-        lost = len(x) - len(y)
-        e.append(np.concatenate([np.full(lost, np.nan), y]))
-    return -(v**3) * e[5] + (3 * v**2 + 3 * v**3) * e[4] + (-6 * v**2 - 3 * v - 3 * v**3) * e[3] + (1 + 3 * v + v**3 + 3 * v**2) * e[2]
-
-
-def chained(x: np.ndarray, n: int, times: int) -> np.ndarray:
-    """DEMA (2) or TEMA (3)."""
-    e1 = ema(x, n)
-    e2 = _again(e1, n)
-    if times == 2:
-        return 2 * e1 - e2
-    return 3 * e1 - 3 * e2 + _again(e2, n)
-
-
-def _again(x: np.ndarray, n: int) -> np.ndarray:
-    ok = ~np.isnan(x)
-    out = np.full(len(x), np.nan)
-    out[ok] = ema(x[ok], n)
-    return out
+def mama(x: np.ndarray, fast: float, slow: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ehlers' adaptive average and the one that follows it; NaN for the first 32 values, in which the cycle settles.
+
+    Prices are smoothed, detrended and turned into an in-phase and a quadrature part by Hilbert transforms whose gain follows the
+    last period; the share of a new value is ``fast`` over the phase's change, in degrees, and ``slow`` at least."""
+    n = len(x)
+    out, following = np.full(n, np.nan), np.full(n, np.nan)
+    smooth, flat, i1, q1 = (np.zeros(n + 7) for _ in range(4))  # seven places on, so that what was before counts as 0
+    period = re = im = phase = 0.0
+    i2 = q2 = m = f = 0.0
+    taps = ((0.0962, 0), (0.5769, 2), (-0.5769, 4), (-0.0962, 6))
+    m = f = x[0] if n else 0.0
+    for t in range(n):
+        if t < 3:
+            m = f = x[t]
+            continue
+        k = t + 7
+        smooth[k] = (4 * x[t] + 3 * x[t - 1] + 2 * x[t - 2] + x[t - 3]) / 10
+        gain = 0.075 * period + 0.54
+        flat[k] = gain * sum(c * smooth[k - d] for c, d in taps)
+        q1[k] = gain * sum(c * flat[k - d] for c, d in taps)
+        i1[k] = flat[k - 3]
+        ji, jq = (gain * sum(c * v[k - d] for c, d in taps) for v in (i1, q1))
+        a, b = 0.2 * (i1[k] - jq) + 0.8 * i2, 0.2 * (q1[k] + ji) + 0.8 * q2
+        re, im = 0.2 * (a * i2 + b * q2) + 0.8 * re, 0.2 * (a * q2 - b * i2) + 0.8 * im
+        i2, q2, last = a, b, period
+        if im and re:
+            angle = np.degrees(np.arctan(im / re))
+            period = 360 / angle if angle else period
+        period = min(max(min(max(period, 0.67 * last), 1.5 * last), 6.0), 50.0)
+        period = 0.2 * period + 0.8 * last
+        before, phase = phase, np.degrees(np.arctan(q1[k] / i1[k])) if i1[k] else 0.0
+        share = max(fast / max(before - phase, 1.0), slow)
+        m += share * (x[t] - m)
+        f += 0.5 * share * (m - f)
+        if t >= 32:
+            out[t], following[t] = m, f
+    return out, following
 
 
 def cusum(x: np.ndarray, h: float, valid: np.ndarray | None = None) -> np.ndarray:
@@ -107,23 +79,47 @@ def fracdiff(x: np.ndarray, d: float, n: int) -> np.ndarray:
     return out
 
 
-def adf(y: np.ndarray, order: int, trend: bool) -> float:
-    """t statistic of the lagged level in an augmented Dickey-Fuller regression with constant (and trend); NaN if singular."""
-    d = np.diff(y)
-    n = len(d) - order
-    cols = [y[order:-1], np.ones(n), *([np.arange(n, dtype=float)] if trend else []), *(d[order - k : len(d) - k] for k in range(1, order + 1))]
-    x, t = np.column_stack(cols), d[order:]
-    if n <= x.shape[1]:
-        return np.nan
-    g = x.T @ x
+def adf_windows(x: np.ndarray, w: int, order: int, trend: bool) -> np.ndarray:
+    """t statistics of the lagged level in augmented Dickey-Fuller regressions with constant (and trend) over every window of w
+    values, by its first place, all at once; NaN where the regression is singular or has no degree of freedom."""
+    windows = np.lib.stride_tricks.sliding_window_view(x, w)
+    d = np.diff(windows, axis=1)
+    n = d.shape[1] - order
+    p = 2 + trend + order
+    out = np.full(len(windows), np.nan)
+    if n <= p:
+        return out
+    for at in range(0, len(windows), 2_000):
+        y, step = windows[at : at + 2_000], d[at : at + 2_000]
+        design = np.empty((len(y), n, p))
+        design[:, :, 0], design[:, :, 1] = y[:, order:-1], 1
+        if trend:
+            design[:, :, 2] = np.arange(n)
+        for k in range(1, order + 1):
+            design[:, :, 1 + trend + k] = step[:, order - k : step.shape[1] - k]
+        t = step[:, order:]
+        g = design.transpose(0, 2, 1) @ design
+        try:
+            inverse = np.linalg.inv(g)
+        except np.linalg.LinAlgError:
+            inverse = np.stack([_inverse(m) for m in g])
+        b = inverse @ (design.transpose(0, 2, 1) @ t[:, :, None])
+        rest = t - (design @ b)[:, :, 0]
+        s = inverse[:, 0, 0] * (rest**2).sum(1) / (n - p)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[at : at + 2_000] = np.where(s > 0, b[:, 0, 0] / np.sqrt(s), np.nan)
+    return out
+
+
+def _inverse(m: np.ndarray) -> np.ndarray:
     try:
-        inverse = np.linalg.inv(g)
+        return np.linalg.inv(m)
     except np.linalg.LinAlgError:
-        return np.nan
-    b = inverse @ (x.T @ t)
-    r = t - x @ b
-    s = inverse[0, 0] * (r @ r) / (n - x.shape[1])
-    return float(b[0] / np.sqrt(s)) if s > 0 else np.nan
+        return np.full_like(m, np.nan)
+
+
+def adf(y: np.ndarray, order: int, trend: bool) -> float:
+    return float(adf_windows(np.asarray(y, dtype=float), len(y), order, trend)[0])
 
 
 def sadf(x: np.ndarray, maxw: int, minw: int, order: int, trend: bool, mode: str = "quantile") -> tuple[np.ndarray, np.ndarray]:
@@ -131,14 +127,18 @@ def sadf(x: np.ndarray, maxw: int, minw: int, order: int, trend: bool, mode: str
     spread between 0.99 and 0.85. max: the maximum, and its window's place from 0 (longest) to 1."""
     value, other = np.full(len(x), np.nan), np.full(len(x), np.nan)
     widths = np.arange(maxw, minw, -1) if mode == "quantile" else np.arange(maxw, minw - 1, -1)
-    for t in range(maxw - 1, len(x)):
-        s = np.array([adf(x[t - w + 1 : t + 1], order, trend) for w in widths])
-        if mode == "max":
-            if not np.isnan(s).all():
-                k = int(np.nanargmax(s))
-                value[t], other[t] = s[k], k / max(1, len(s) - 1)
-            continue
-        s = np.sort(np.where(np.isnan(s), -np.inf, s))
-        q = lambda p: s[min(len(s) - 1, int(p * len(s)))]
-        value[t], other[t] = q(0.92), q(0.99) - q(0.85)
+    if len(x) < maxw:
+        return value, other
+    ends = len(x) - maxw + 1
+    s = np.column_stack([adf_windows(x[maxw - w :], w, order, trend)[:ends] for w in widths])
+    if mode == "max":
+        known = ~np.isnan(s).all(1)
+        best = np.where(np.isnan(s), -np.inf, s).argmax(1)
+        value[maxw - 1 :] = np.where(known, s[np.arange(ends), best], np.nan)
+        other[maxw - 1 :] = np.where(known, best / max(1, s.shape[1] - 1), np.nan)
+    else:
+        s = np.sort(np.where(np.isnan(s), -np.inf, s), axis=1)
+        q = lambda p: s[:, min(s.shape[1] - 1, int(p * s.shape[1]))]
+        with np.errstate(invalid="ignore"):
+            value[maxw - 1 :], other[maxw - 1 :] = q(0.92), q(0.99) - q(0.85)
     return np.where(np.isfinite(value), value, np.nan), np.where(np.isfinite(other), other, np.nan)

@@ -108,18 +108,6 @@ def series(df: DataFrame, keys: list[str], order: str, inputs: list[str], output
     return df.select(*keys, order, *inputs).groupBy(*keys).applyInPandas(run, schema)
 
 
-def ema(df: DataFrame, keys: list[str], order: str, col: str, n: int, out: str = "ema") -> DataFrame:
-    return series(df, keys, order, [col], {out: "double"}, lambda x: {out: recursive.ema(x, n)})
-
-
-def macd(df: DataFrame, keys: list[str], order: str, col: str, fast: int, slow: int) -> DataFrame:
-    return series(df, keys, order, [col], {"macd": "double"}, lambda x: {"macd": recursive.ema(x, fast) - recursive.ema(x, slow)})
-
-
-def rsi(df: DataFrame, keys: list[str], order: str, col: str, n: int) -> DataFrame:
-    return series(df, keys, order, [col], {"rsi": "double"}, lambda x: {"rsi": recursive.rsi(x, n)})
-
-
 def cusum(df: DataFrame, keys: list[str], order: str, col: str, h: float, valid: str | None = None) -> DataFrame:
     if valid:
         return series(df, keys, order, [col, valid], {"event": "long"}, lambda x, v: {"event": recursive.cusum(x, h, v > 0)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import bars, hygiene, indicators, joins
+from ..operators import averages, bars, hygiene, indicators, joins
 from ..sources import market
 from ..sources.market import DAILY_SQL, DEALS_SQL, RAW_SQL, TICKS_SQL
 from .ordered import row_number, running_sum
@@ -309,7 +309,7 @@ def _ema_sql(n: int, alpha: str, out: str) -> str:
 
 @query("e2_ema", ("WITH RECURSIVE " + _ema_sql(10, "2.0 / 11", "ema") + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, round(r.v, 6) AS ema FROM numbered n LEFT JOIN r ON n.symbol = r.symbol AND n.k = r.k"))
 def e2(spark, d):
-    return shape(indicators.ema(market.deals(spark, d), ["symbol"], "seq", "last", 10), "seq", "ema", "symbol")
+    return shape(averages.ema(market.deals(spark, d), ["symbol"], "seq", "last", 10, chunk=F.to_date("time")), "seq", "ema", "symbol")
 
 
 def _recursion(name: str, n: int, alpha: str, source: str, value: str) -> str:
@@ -320,7 +320,7 @@ def _recursion(name: str, n: int, alpha: str, source: str, value: str) -> str:
 
 @query("e3_macd", "WITH RECURSIVE " + NUMBERED + ", " + _recursion("fast", 12, "2.0 / 13", "numbered", "last") + ", " + _recursion("slow", 26, "2.0 / 27", "numbered", "last") + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, round(f.v - s.v, 6) AS macd FROM numbered n LEFT JOIN fast f ON f.symbol = n.symbol AND f.k = n.k LEFT JOIN slow s ON s.symbol = n.symbol AND s.k = n.k")
 def e3(spark, d):
-    return shape(indicators.macd(market.deals(spark, d), ["symbol"], "seq", "last", 12, 26), "seq", "macd", "symbol")
+    return shape(averages.macd(market.deals(spark, d), ["symbol"], "seq", "last", 12, 26, chunk=F.to_date("time")), "seq", "macd", "symbol")
 
 
 MOVES = NUMBERED + ", moves AS (SELECT symbol, k - 1 AS k, greatest(c, 0) AS gain, greatest(-c, 0) AS loss FROM (SELECT symbol, k, last - lag(last) OVER (PARTITION BY symbol ORDER BY k) AS c FROM numbered) WHERE k > 1)"
@@ -328,7 +328,44 @@ MOVES = NUMBERED + ", moves AS (SELECT symbol, k - 1 AS k, greatest(c, 0) AS gai
 
 @query("e4_rsi", "WITH RECURSIVE " + MOVES + ", " + _recursion("ups", 14, "1.0 / 14", "moves", "gain") + ", " + _recursion("downs", 14, "1.0 / 14", "moves", "loss") + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, round(CASE WHEN u.v + d.v > 0 THEN 100 * u.v / (u.v + d.v) WHEN u.v IS NOT NULL THEN 50 END, 6) AS rsi FROM numbered n LEFT JOIN ups u ON u.symbol = n.symbol AND u.k = n.k - 1 LEFT JOIN downs d ON d.symbol = n.symbol AND d.k = n.k - 1")
 def e4(spark, d):
-    return shape(indicators.rsi(market.deals(spark, d), ["symbol"], "seq", "last", 14), "seq", "rsi", "symbol")
+    return shape(averages.rsi(market.deals(spark, d), ["symbol"], "seq", "last", 14, chunk=F.to_date("time")), "seq", "rsi", "symbol")
+
+
+def _chained(n: int, times: int) -> str:
+    """Averages of averages: e1, e2, ..., each numbered from where it begins."""
+    out = _recursion("e1", n, f"2.0 / {n + 1}", "numbered", "last")
+    for i in range(2, times + 1):
+        out += f", s{i} AS (SELECT symbol, k - {(n - 1) * (i - 1)} AS k, v FROM e{i - 1}), {_recursion(f'r{i}', n, f'2.0 / {n + 1}', f's{i}', 'v')}, e{i} AS (SELECT symbol, k + {(n - 1) * (i - 1)} AS k, v FROM r{i})"
+    return out
+
+
+def _joined(times: int) -> str:
+    return "FROM numbered n " + " ".join(f"LEFT JOIN e{i} ON e{i}.symbol = n.symbol AND e{i}.k = n.k" for i in range(1, times + 1))
+
+
+@query("e1_double_triple", "WITH RECURSIVE " + NUMBERED + ", " + _chained(5, 3) + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, round(2 * e1.v - e2.v, 6) AS dema, round(3 * e1.v - 3 * e2.v + e3.v, 6) AS tema " + _joined(3))
+def e1_double(spark, d):
+    return shape(averages.multiples(market.deals(spark, d), ["symbol"], "seq", "last", 5, chunk=F.to_date("time")), "seq", "dema tema", "symbol")
+
+
+@query("e1_t3", "WITH RECURSIVE " + NUMBERED + ", " + _chained(4, 6) + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, round(-0.343 * e6.v + (3 * 0.49 + 3 * 0.343) * e5.v + (-6 * 0.49 - 3 * 0.7 - 3 * 0.343) * e4.v + (1 + 3 * 0.7 + 0.343 + 3 * 0.49) * e3.v, 6) AS t3 " + _joined(6))
+def e1_t3(spark, d):
+    return shape(averages.t3(market.deals(spark, d), ["symbol"], "seq", "last", 4, chunk=F.to_date("time")), "seq", "t3", "symbol")
+
+
+SHARES = NUMBERED + """, steps AS (SELECT symbol, k, last, abs(last - lag(last, 10) OVER v) AS way, abs(last - lag(last) OVER v) AS step FROM numbered WINDOW v AS (PARTITION BY symbol ORDER BY k)),
+shares AS (SELECT symbol, k, last, pow(coalesce(way / nullif(sum(step) OVER (PARTITION BY symbol ORDER BY k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 0), 1) * (2.0 / 3 - 2.0 / 31) + 2.0 / 31, 2) AS c FROM steps),
+kama(symbol, k, v) AS (SELECT symbol, k, last FROM shares WHERE k = 10 UNION ALL SELECT a.symbol, s.k, a.v + s.c * (s.last - a.v) FROM kama a JOIN shares s ON s.symbol = a.symbol AND s.k = a.k + 1)"""
+
+
+@query("e1_kama", "WITH RECURSIVE " + SHARES + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, round(a.v, 6) AS kama FROM numbered n LEFT JOIN kama a ON a.symbol = n.symbol AND a.k = n.k AND n.k > 10")
+def e1_kama(spark, d):
+    return shape(averages.kama(market.deals(spark, d), ["symbol"], "seq", "last", 10, chunk=F.to_date("time")), "seq", "kama", "symbol")
+
+
+@query("e1_mama")
+def e1_mama(spark, d):
+    return shape(averages.mama(market.deals(spark, d), ["symbol"], "seq", "last"), "seq", "mama fama", "symbol")
 
 
 @query("e5_stddev", sql(DEALS_SQL, f"SELECT symbol, seq, CASE WHEN {RN} >= 20 THEN stddev_pop(last) OVER {_rows(20)} END AS sd FROM deals", "seq", "sd", "symbol"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import recursive
-from ..operators import backtest, bars, features, folds, indicators, labels, signals, stats
+from ..operators import averages, backtest, bars, features, folds, indicators, labels, signals, stats
 from ..sources import files, market
 from ..sources.market import DAILY_SQL, DEALS_SQL, TICKS_SQL
 from ..streaming import live
-from .market_queries import CUSUM, NUMBERED, VBARS, VOL, W, WS, _numbered, _rows, _vbars, _volatile, shape, sql
+from .market_queries import CUSUM, HOURS, MOVES, NUMBERED, VBARS, VOL, W, WS, _numbered, _recursion, _rows, _vbars, _volatile, shape, sql
+from .ordered import row_number
 from .registry import query
 from .scratch import new_path, stored
 
@@ -102,20 +102,27 @@ def f9(spark, d):
     return shape(signals.gaps(market.daily(spark, d)), "closed", "result", "day")
 
 
-@query("f10_up_trend")
+HN = HOURS + ", hn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) AS k FROM hours)"
+TRENDS = HN + ", " + _recursion("eh", 3, "0.5", "hn", "high") + ", " + _recursion("el", 3, "0.5", "hn", "low") + """, tr AS (
+  SELECT h.symbol, h.time, h.close, h.k, coalesce(CASE WHEN eh.v > lag(eh.v) OVER v AND el.v > lag(el.v) OVER v AND CASE WHEN h.k >= 10 THEN stddev_pop(close) OVER (PARTITION BY h.symbol ORDER BY h.k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END BETWEEN 15 AND 150 THEN 1 ELSE 0 END, 0) AS ok
+  FROM hn h LEFT JOIN eh ON eh.symbol = h.symbol AND eh.k = h.k LEFT JOIN el ON el.symbol = h.symbol AND el.k = h.k WINDOW v AS (PARTITION BY h.symbol ORDER BY h.k))"""
+
+
+@query("f10_up_trend", "WITH RECURSIVE " + TRENDS + " SELECT symbol, epoch_ms(time) AS msc, round(close, 6) AS close FROM tr QUALIFY min(ok) OVER (PARTITION BY symbol ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 1")
 def f10(spark, d):
-    h = _hours(spark, d)
-    e = indicators.series(h, ["symbol"], "time", ["high", "low", "close"], {"eh": "double", "el": "double"}, lambda hi, lo, c: {"eh": recursive.ema(hi, 3), "el": recursive.ema(lo, 3)})
-    j = h.join(e, ["symbol", "time"]).withColumn("sd", indicators.stddev(F.col("close"), 10, WT()))
+    h = stored(row_number(_hours(spark, d), "k", ["symbol"], ["time"], F.to_date("time")), "hours")
+    j = averages.smoothed(h, ["symbol"], "k", {"eh": ("high", 3, 0.5, 1), "el": ("low", 3, 0.5, 1)}).withColumn("sd", indicators.stddev(F.col("close"), 10, WT()))
     ok = ((F.col("eh") > F.lag("eh").over(WT())) & (F.col("el") > F.lag("el").over(WT())) & F.col("sd").between(15, 150)).cast("int")
     j = j.withColumn("ok", F.coalesce(ok, F.lit(0))).withColumn("trend", F.min("ok").over(WT().rowsBetween(-2, 0)))
     return shape(j.where("trend = 1").withColumn("msc", F.unix_millis("time")), "msc", "close", "symbol")
 
 
-@query("f11_trend_pivots")
+PIVOTS = HN + ", " + _recursion("e", 10, "2.0 / 11", "hn", "close") + ", sides AS (SELECT h.symbol, h.time, h.k, sign(h.close - e.v) AS s, lag(sign(h.close - e.v)) OVER (PARTITION BY h.symbol ORDER BY h.k) AS p FROM hn h LEFT JOIN e ON e.symbol = h.symbol AND e.k = h.k)"
+
+
+@query("f11_trend_pivots", "WITH RECURSIVE " + PIVOTS + " SELECT symbol, epoch_ms(time) AS msc, round(CAST(s AS DOUBLE), 6) AS s, CAST(epoch(lead(time) OVER (PARTITION BY symbol ORDER BY k)) - epoch(time) AS BIGINT) AS took FROM sides WHERE p IS NOT NULL AND s <> p")
 def f11(spark, d):
-    h = _hours(spark, d)
-    j = h.join(indicators.ema(h, ["symbol"], "time", "close", 10), ["symbol", "time"])
+    j = averages.ema(_hours(spark, d), ["symbol"], "time", "close", 10, chunk=F.to_date("time"))
     s = F.signum(F.col("close") - F.col("ema"))
     j = j.withColumn("s", s).withColumn("p", F.lag("s").over(WT())).where("p IS NOT NULL AND s <> p")
     j = j.withColumn("took", F.unix_timestamp(F.lead("time").over(WT())) - F.unix_timestamp("time"))
@@ -282,12 +289,42 @@ def h1(spark, d):
     return shape(v.withColumns({"size": F.size("x"), "first": F.get("x", 0), "last": F.element_at("x", -1)}), "twhen vertbar size inf_start inf_end", "first last", "symbol")
 
 
-@query("h4_indicator_grid")
+GRID = ["open", "high", "low", "close", "volume", "n", "typical"]
+
+
+def _grid_sql() -> str:
+    with_, cols, joins_ = [], [], []
+    for c in GRID:
+        for b, (n, f, l) in enumerate(((10, 5, 7), (20, 10, 15))):
+            for name, m in (("e", n), ("f", f), ("l", l)):
+                with_.append(_recursion(f"{name}_{c}{b}", m, f"2.0 / {m + 1}", "gn", c))
+                joins_.append(f"LEFT JOIN {name}_{c}{b} ON {name}_{c}{b}.symbol = g.symbol AND {name}_{c}{b}.k = g.k")
+            x, m = f"g.{c} - e_{c}{b}.v", f"f_{c}{b}.v - l_{c}{b}.v"
+            cols += [f"round({x}, 6) AS dema_{c}{b}", f"round((lag({x}) OVER v) / ({x} + 1e-8), 6) AS demav_{c}{b}", f"round((lag({m}) OVER v) / ({m} + 1e-8), 6) AS dmacdv_{c}{b}"]
+    gn = "gn AS (SELECT symbol, time, k, open, high, low, close, ln(volume + 5) AS volume, ln(n + 5) AS n, (open + high + low + close) / 4 AS typical FROM hn)"
+    return f"WITH RECURSIVE {HN}, {gn}, {', '.join(with_)} SELECT g.symbol, epoch_ms(g.time) AS msc, {', '.join(cols)} FROM gn g {' '.join(joins_)} WINDOW v AS (PARTITION BY g.symbol ORDER BY g.k)"
+
+
+@query("h4_indicator_grid", _grid_sql())
 def h4(spark, d):
-    h = _hours(spark, d)
-    e = indicators.series(h, ["symbol"], "time", ["close"], {"e5": "double", "e10": "double", "macd": "double"}, lambda x: {"e5": recursive.ema(x, 5), "e10": recursive.ema(x, 10), "macd": recursive.ema(x, 5) - recursive.ema(x, 10)})
-    j = h.join(e, ["symbol", "time"]).withColumns({"x5": F.col("close") - F.col("e5"), "x10": F.col("close") - F.col("e10"), "m": F.col("macd") / (F.abs("macd") + 1e-8)})
-    return shape(j.withColumn("msc", F.unix_millis("time")), "msc", "x5 x10 m", "symbol")
+    """Seven columns and two bands: open, high, low, close, log volume, log count and typical price."""
+    h = _hours(spark, d).withColumns({"volume": F.log(F.col("volume") + 5), "n": F.log(F.col("n") + 5), "typical": (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4})
+    g = averages.grid(h, ["symbol"], "time", GRID, 20, 2, chunk=F.to_date("time"))
+    return shape(g.withColumn("msc", F.unix_millis("time")), "msc", " ".join(f"{x}_{c}{b}" for c in GRID for b in range(2) for x in ("dema", "demav", "dmacdv")), "symbol")
+
+
+CROSSED = MOVES + ", " + ", ".join(_recursion(f"a{n}", n, f"2.0 / {n + 1}", "numbered", "last") for n in (12, 26, 10, 20, 30)) + ", " + ", ".join(_recursion(f"{s}{k}", k * 10, f"1.0 / {k * 10}", "moves", c) for k in (2, 3) for s, c in (("u", "gain"), ("v", "loss")))
+
+
+@query(
+    "h5_cross_features",
+    "WITH RECURSIVE " + CROSSED + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, CAST(hour(time) AS BIGINT) AS hour, CAST(isodow(time) - 1 AS BIGINT) AS weekday, CAST(minute(time) AS BIGINT) AS minute, round(a20.v, 6) AS ema_2, round(a30.v, 6) AS ema_3, round(last - a20.v, 6) AS dema_2, round(last - a30.v, 6) AS dema_3, round(a12.v - a26.v, 6) AS macd, round(a10.v - a20.v, 6) AS macd_mean, round(a10.v - a30.v, 6) AS macd_double, "
+    + ", ".join(f"round(CASE WHEN u{k}.v + v{k}.v > 0 THEN 100 * u{k}.v / (u{k}.v + v{k}.v) WHEN u{k}.v IS NOT NULL THEN 50 END, 6) AS rsi_{k}" for k in (2, 3))
+    + " FROM numbered n " + " ".join(f"LEFT JOIN a{n} ON a{n}.symbol = n.symbol AND a{n}.k = n.k" for n in (12, 26, 10, 20, 30)) + " " + " ".join(f"LEFT JOIN {s}{k} ON {s}{k}.symbol = n.symbol AND {s}{k}.k = n.k - 1" for k in (2, 3) for s in "uv"),
+)
+def h5_cross(spark, d):
+    t = averages.crosses(features.clock(market.deals(spark, d)), ["symbol"], "seq", "last", 10, chunk=F.to_date("time"))
+    return shape(t, "seq hour weekday minute", "ema_2 ema_3 dema_2 dema_3 macd macd_mean macd_double rsi_2 rsi_3", "symbol")
 
 
 @query("h5_clock_features", sql(DEALS_SQL, "SELECT symbol, seq, hour(time) AS hour, minute(time) AS minute, isodow(time) - 1 AS weekday, dayofyear(time) AS yearday FROM deals", "seq hour minute weekday yearday", "", "symbol"))
