@@ -135,9 +135,9 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 85, k: int = K) -> D
     more = _confirmed(near.distinct(), reps, docs, words, k, percent)
     final = components(edges.unionByName(more).unionByName(linked))
 
-    joined = same.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    joined = materialize(joined.join(least, "component").select(*key, "component_id", "n"), "components")
+    joined = materialize(same.join(final, "id", "left").select(*key, "least", F.col("n").alias("copies"), F.coalesce("component", "id").alias("component")), "components")
+    least = materialize(joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "smallest")
+    joined = materialize(join_counted(joined, least, ["component"]).select(*key, "component_id", F.col("copies").alias("n")), "classes-found")
     rest = found.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = join_counted(members.select("doc_id", *key), joined, key).select("doc_id", "n_shingles", "component_id").unionByName(rest)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
