@@ -142,3 +142,14 @@ def sadf(x: np.ndarray, maxw: int, minw: int, order: int, trend: bool, mode: str
         with np.errstate(invalid="ignore"):
             value[maxw - 1 :], other[maxw - 1 :] = q(0.92), q(0.99) - q(0.85)
     return np.where(np.isfinite(value), value, np.nan), np.where(np.isfinite(other), other, np.nan)
+
+
+def since_start(x: np.ndarray, limit: float) -> np.ndarray:
+    out, begun, i = np.zeros(len(x), dtype=np.int64), 0.0, 0
+    while i < len(x):  # a session at a time
+        begun = x[i]
+        over = np.flatnonzero(x[i:] - begun > limit)
+        end = i + int(over[0]) if len(over) else len(x)
+        out[i:end] = (x[i:end] - begun).astype(np.int64)
+        i = end
+    return out

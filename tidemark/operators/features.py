@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from math import copysign, log
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BAR_FEATURES = ["dtp", "wprice", "fd", "sadf", "csum", "stdev", "span", "nticks", "netvol", "dspan", "dnticks"]
@@ -55,6 +58,17 @@ def cut(x: Column, edges: list[float]) -> Column:
     return sum(((x >= e).cast("int") for e in edges), F.lit(0))
 
 
+def normal_edges(n: int, mean: float = 0.0, deviation: float = 1.0) -> list[float]:
+    """Quantiles at n evenly spaced probabilities from 0 to 1, for cut(): n - 1 bins of equal probability."""
+    normal = NormalDist(mean, deviation)
+    return [float("-inf"), *(normal.inv_cdf(k / (n - 1)) for k in range(1, n - 1)), float("inf")]
+
+
+def laplace_edges(n: int, mean: float = 0.0, scale: float = 1.0) -> list[float]:
+    at = [k / (n - 1) - 0.5 for k in range(1, n - 1)]
+    return [float("-inf"), *(mean - scale * copysign(log(1 - 2 * abs(p)), p) if p else mean for p in at), float("inf")]
+
+
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     """(a, b, corr) for each pair of columns, all in one aggregate."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]

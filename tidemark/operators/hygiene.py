@@ -81,3 +81,8 @@ def null_if(df: DataFrame, tokens: dict[str, list[Column | float]]) -> DataFrame
 def lost_ratio(ticks: DataFrame, asked: Column) -> DataFrame:
     """Per symbol the share of records older than asked for."""
     return ticks.groupBy("symbol").agg((F.count_if(F.col("time_msc") < asked) / F.count("*")).alias("lost"))
+
+
+def spread(bid: Column, ask: Column) -> tuple[Column, Column]:
+    """The spread, and its share of the ask in per cent."""
+    return ask - bid, F.try_divide(ask - bid, ask / 100)

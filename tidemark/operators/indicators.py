@@ -130,6 +130,23 @@ def sadf(df: DataFrame, keys: list[str], order: str, col: str, maxw: int, minw:
     return out.where("_warm = 0").drop("block", "_warm")
 
 
+def adf(df: DataFrame, keys: list[str], order: str, col: str, lags: int, trend: bool = True) -> DataFrame:
+    """(keys, adf): the augmented Dickey-Fuller statistic of each series, which is one task: have keys for parts of long ones."""
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "adf double"])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values(order)[col].to_numpy(dtype=float)
+        value = recursive.adf(x, lags, trend) if len(x) > lags + 1 else np.nan
+        return pd.DataFrame({**{k: rows[k].iloc[:1].tolist() for k in keys}, "adf": [None if np.isnan(value) else value]})
+
+    return df.select(*keys, order, col).groupBy(*keys).applyInPandas(run, schema)
+
+
+def since_start(df: DataFrame, keys: list[str], order: str, col: str, limit: int) -> DataFrame:
+    """(keys, order, since): how far ``col`` is beyond the start of its session; a value more than ``limit`` beyond it starts a new one."""
+    return series(df, keys, order, [col], {"since": "long"}, lambda x: {"since": recursive.since_start(x, limit)})
+
+
 def periodogram(df: DataFrame, keys: list[str], order: str, col: str) -> DataFrame:
     """Power of each frequency of the linearly detrended series, by one grouped FFT per key."""
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "frequency double, power double"])

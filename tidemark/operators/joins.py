@@ -7,18 +7,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..plans.ordered import row_number
 
 
-def as_of(left: DataFrame, right: DataFrame, on: str, value: list[str], keys: list[str], forward: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, on: str, value: list[str], keys: list[str], forward: bool = False, chunk: Column | None = None) -> DataFrame:
     """Each left row with the right row of the same keys that is the last at or before ``on`` (the first at or after it, if
-    forward). One union and one window by key: no pair of rows is ever made. Ties on the right: the smallest values first,
-    the last of them counts backward, the first forward."""
+    forward). One union and one window: no pair of rows is ever made. Ties on the right: the smallest values first, the last
+    of them counts backward, the first forward. With ``chunk`` (of ``on``, which it must not decrease along) windows run within
+    chunks, and what the chunks before (after) have is carried over from a table with one row per chunk."""
     mark = F.struct(*(F.col(v) for v in value))
     cols = [c for c in left.columns if c not in [*keys, on]]
     a = left.select(*keys, on, F.struct(*cols).alias("_l"), F.lit(None).cast(right.select(mark.alias("m")).schema["m"].dataType).alias("_r"), F.lit(1 if not forward else 0).alias("_side"))
     b = right.select(*keys, on, F.lit(None).cast(left.select(F.struct(*cols).alias("m")).schema["m"].dataType).alias("_l"), mark.alias("_r"), F.lit(0 if not forward else 1).alias("_side"))
-    w = Window.partitionBy(*keys).orderBy(on, "_side", "_r")
+    both = a.unionByName(b).withColumn("_chunk", F.lit(0) if chunk is None else chunk)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(on, "_side", "_r")
     w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first("_r", ignorenulls=True) if forward else F.last("_r", ignorenulls=True)
-    out = a.unionByName(b).withColumn("_r", pick.over(w)).where(F.col("_l").isNotNull())
+    pick = F.first if forward else F.last
+    out = both.withColumn("_r", pick("_r", ignorenulls=True).over(w)).where(F.col("_l").isNotNull())
+    if chunk is not None:
+        of = F.when(F.col("_r").isNotNull(), F.struct(on, "_r"))
+        ends = both.groupBy(*keys, "_chunk").agg((F.min(of) if forward else F.max(of)).getField("_r").alias("_e"))
+        near = Window.partitionBy(*keys).orderBy("_chunk")
+        near = near.rowsBetween(1, Window.unboundedFollowing) if forward else near.rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*keys, "_chunk", pick("_e", ignorenulls=True).over(near).alias("_e"))
+        out = out.join(ends, [*keys, "_chunk"]).withColumn("_r", F.coalesce("_r", "_e"))
     return out.select(*keys, on, "_l.*", *(F.col(f"_r.{v}").alias(v) for v in value))
 
 

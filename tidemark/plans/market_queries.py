@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..operators import averages, bars, hygiene, indicators, joins
 from ..sources import market
 from ..sources.market import DAILY_SQL, DEALS_SQL, RAW_SQL, TICKS_SQL
-from .ordered import row_number, running_sum
+from .ordered import row_number, running_sum, windowed
 from .registry import query
 
 SIZE = 2_000_000  #: money of a value bar, in cents
@@ -26,6 +26,15 @@ def sql(with_: str, source: str, longs: str = "", doubles: str = "", strings: st
 def W():
     return indicators.by("symbol", order="seq")
 
+
+DAY = F.expr("floor(time_msc / 86400000)")
+
+
+def rolled(t: DataFrame, history: int, add) -> DataFrame:
+    """Rolling columns of ticks, in blocks of numbered rows."""
+    return windowed(t, ["symbol"], ["seq"], F.to_date("time"), history, add)
+
+
 WS = "(PARTITION BY symbol ORDER BY seq)"
 
 
@@ -208,7 +217,7 @@ def d1(spark, d):
 def d2(spark, d):
     t = market.ticks(spark, d).select("symbol", "time_msc", "seq")
     right = market.deals(spark, d).select("symbol", "time_msc", F.col("time_msc").alias("smsc"))
-    return shape(joins.as_of(t, right, "time_msc", ["smsc"], ["symbol"], forward=True), "seq smsc", "", "symbol")
+    return shape(joins.as_of(t, right, "time_msc", ["smsc"], ["symbol"], forward=True, chunk=DAY), "seq smsc", "", "symbol")
 
 
 @query("d5_nearest_values", sql(DEALS_SQL, "SELECT symbol, min(CASE WHEN last > 250 THEN last END) AS above, max(CASE WHEN last < 250 THEN last END) AS below FROM deals GROUP BY 1", "", "above below", "symbol"))
@@ -235,7 +244,7 @@ def d6(spark, d):
 def d7(spark, d):
     t = market.ticks(spark, d).where("volume = 0").select("symbol", "time_msc", "seq")
     right = market.deals(spark, d).select("symbol", "time_msc", F.col("last").alias("price"))
-    return shape(joins.as_of(t, right, "time_msc", ["price"], ["symbol"]), "seq", "price", "symbol")
+    return shape(joins.as_of(t, right, "time_msc", ["price"], ["symbol"], chunk=DAY), "seq", "price", "symbol")
 
 
 @query("d8_last_rows", sql(DEALS_SQL, "SELECT symbol, seq, last FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) AS r FROM deals) WHERE r <= 10", "seq", "last", "symbol"))
@@ -293,12 +302,12 @@ RN = f"row_number() OVER {WS}"
 @query("e1_averages", sql(DEALS_SQL, f"SELECT symbol, seq, CASE WHEN {RN} >= 5 THEN avg(last) OVER {_rows(5)} END AS sma, CASE WHEN {RN} >= 3 THEN (last * 3 + lag(last) OVER {WS} * 2 + lag(last, 2) OVER {WS}) / 6 END AS wma FROM deals", "seq", "sma wma", "symbol"))
 def e1(spark, d):
     x = F.col("last")
-    return shape(market.deals(spark, d).withColumns({"sma": indicators.sma(x, 5, W()), "wma": indicators.wma(x, 3, W())}), "seq", "sma wma", "symbol")
+    return shape(rolled(market.deals(spark, d), 4, lambda t, w: t.withColumns({"sma": indicators.sma(x, 5, w), "wma": indicators.wma(x, 3, w)})), "seq", "sma wma", "symbol")
 
 
 @query("e1_trima", sql(DEALS_SQL, f"SELECT symbol, seq, CASE WHEN {RN} >= 5 THEN avg(m) OVER {_rows(3)} END AS trima FROM (SELECT symbol, seq, CASE WHEN {RN} >= 3 THEN avg(last) OVER {_rows(3)} END AS m FROM deals)", "seq", "trima", "symbol"))
 def e1t(spark, d):
-    return shape(indicators.trima(market.deals(spark, d), "last", 5, W(), "trima"), "seq", "trima", "symbol")
+    return shape(rolled(market.deals(spark, d), 4, lambda t, w: indicators.trima(t, "last", 5, w, "trima")), "seq", "trima", "symbol")
 
 
 def _ema_sql(n: int, alpha: str, out: str) -> str:
@@ -370,17 +379,17 @@ def e1_mama(spark, d):
 
 @query("e5_stddev", sql(DEALS_SQL, f"SELECT symbol, seq, CASE WHEN {RN} >= 20 THEN stddev_pop(last) OVER {_rows(20)} END AS sd FROM deals", "seq", "sd", "symbol"))
 def e5(spark, d):
-    return shape(market.deals(spark, d).withColumn("sd", indicators.stddev(F.col("last"), 20, W())), "seq", "sd", "symbol")
+    return shape(rolled(market.deals(spark, d), 19, lambda t, w: t.withColumn("sd", indicators.stddev(F.col("last"), 20, w))), "seq", "sd", "symbol")
 
 
 @query("e6_bands", sql(DEALS_SQL, f"SELECT symbol, seq, CASE WHEN {RN} >= 20 THEN avg(last) OVER {_rows(20)} + 2 * stddev_pop(last) OVER {_rows(20)} END AS up, CASE WHEN {RN} >= 20 THEN avg(last) OVER {_rows(20)} - 2 * stddev_pop(last) OVER {_rows(20)} END AS down FROM deals", "seq", "up down", "symbol"))
 def e6(spark, d):
-    return shape(indicators.bands(market.deals(spark, d), "last", 20, 2.0, W()), "seq", "up down", "symbol")
+    return shape(rolled(market.deals(spark, d), 19, lambda t, w: indicators.bands(t, "last", 20, 2.0, w)), "seq", "up down", "symbol")
 
 
 @query("e7_sample_bands", sql(DEALS_SQL, f"SELECT symbol, seq, CASE WHEN {RN} >= 20 THEN avg(last) OVER {_rows(20)} + 2 * stddev_samp(last) OVER {_rows(20)} END AS up FROM deals", "seq", "up", "symbol"))
 def e7(spark, d):
-    return shape(indicators.bands(market.deals(spark, d), "last", 20, 2.0, W(), sample=True), "seq", "up", "symbol")
+    return shape(rolled(market.deals(spark, d), 19, lambda t, w: indicators.bands(t, "last", 20, 2.0, w, sample=True)), "seq", "up", "symbol")
 
 
 def WT():
@@ -402,7 +411,7 @@ def _frac_sql() -> str:
 
 @query("e9_fracdiff", sql(DEALS_SQL, f"SELECT symbol, seq, {_frac_sql()} AS fd FROM (SELECT *, ln(last) AS x FROM deals)", "seq", "fd", "symbol"))
 def e9(spark, d):
-    return shape(market.deals(spark, d).withColumn("fd", indicators.fracdiff(F.log("last"), 0.56, 10, W())), "seq", "fd", "symbol")
+    return shape(rolled(market.deals(spark, d), 9, lambda t, w: t.withColumn("fd", indicators.fracdiff(F.log("last"), 0.56, 10, w))), "seq", "fd", "symbol")
 
 
 RETURNS = VBARS + """, returns AS (

@@ -8,7 +8,7 @@ from ..operators import averages, backtest, bars, features, folds, indicators, l
 from ..sources import files, market
 from ..sources.market import DAILY_SQL, DEALS_SQL, TICKS_SQL
 from ..streaming import live
-from .market_queries import CUSUM, HOURS, MOVES, NUMBERED, VBARS, VOL, W, WS, _numbered, _recursion, _rows, _vbars, _volatile, shape, sql
+from .market_queries import CUSUM, HOURS, MOVES, NUMBERED, VBARS, VOL, W, WS, _numbered, _recursion, _rows, _vbars, _volatile, rolled, shape, sql
 from .ordered import row_number
 from .registry import query
 from .scratch import new_path, stored
@@ -33,7 +33,7 @@ SIGNALED = BANDED + f""", signaled AS (
 
 
 def _banded(spark, d):
-    return indicators.bands(market.deals(spark, d), "last", 20, 1.0, W()).withColumn("mid", indicators.sma(F.col("last"), 20, W()))
+    return rolled(market.deals(spark, d), 19, lambda t, w: indicators.bands(t, "last", 20, 1.0, w).withColumn("mid", indicators.sma(F.col("last"), 20, w)))
 
 
 def _signaled(spark, d):
@@ -59,11 +59,13 @@ MULTI = DEALS_SQL + ", multi AS (SELECT *, " + ", ".join(f"CASE WHEN row_number(
 
 
 def _multi(spark, d):
-    t = market.deals(spark, d)
-    for k, n in enumerate((10, 20, 30)):
-        m, s = indicators.sma(F.col("last"), n, W()), indicators.stddev(F.col("last"), n, W())
-        t = t.withColumn(f"s{k}", signals.breach(F.col("last"), m - s, m + s))
-    return t
+    def add(t: DataFrame, w) -> DataFrame:
+        for k, n in enumerate((10, 20, 30)):
+            m, s = indicators.sma(F.col("last"), n, w), indicators.stddev(F.col("last"), n, w)
+            t = t.withColumn(f"s{k}", signals.breach(F.col("last"), m - s, m + s))
+        return t
+
+    return rolled(market.deals(spark, d), 29, add)
 
 
 @query("f4_masks", sql(MULTI, "SELECT symbol, seq, (CASE WHEN s0 = 1 THEN 1 ELSE 0 END) + (CASE WHEN s1 = 1 THEN 2 ELSE 0 END) + (CASE WHEN s2 = 1 THEN 4 ELSE 0 END) AS up, (CASE WHEN s0 = -1 THEN 1 ELSE 0 END) + (CASE WHEN s1 = -1 THEN 2 ELSE 0 END) + (CASE WHEN s2 = -1 THEN 4 ELSE 0 END) AS down FROM multi", "seq up down", "", "symbol"))
@@ -642,17 +644,69 @@ def p4(spark, d):
     return shape(_drained(spark, live.deduplicated(live.tick_stream(spark, f"{d}/events.parquet*"))), "seq", "", "symbol")
 
 
+LATE = TICKS_SQL + ", h AS (SELECT max(seq) // 2 AS h FROM ticks), marked AS (SELECT *, seq % 10 = 0 AND seq < h AS held FROM ticks, h)"
+
+
+@query("p4_late_ticks", sql(LATE, "SELECT symbol, count(*) AS n, count(*) FILTER (held AND time_msc < (SELECT max(time_msc) FROM marked o WHERE o.symbol = m.symbol AND NOT o.held)) AS late FROM marked m GROUP BY 1", "n late", "", "symbol"))
+def p4_late(spark, d):
+    """All ticks as a stream of three files; every tenth of the first half comes last, and late."""
+    path = new_path(spark, "arriving")
+    e = market.table(spark, d, "events")
+    half = e.agg((F.floor(F.max("event_id") / 2)).alias("h"))  # one row
+    e = e.join(F.broadcast(half)).withColumn("held", (F.col("event_id") % 10 == 0) & (F.col("event_id") < F.col("h")))
+    for part in ("NOT held AND event_id < h", "NOT held AND event_id >= h", "held"):
+        e.where(part).drop("h", "held").write.mode("append").parquet(path)
+    out = _drained(spark, live.late_ticks(live.tick_stream(spark, path)))
+    return shape(out.groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("late").alias("late")), "n late", "", "symbol")
+
+
 # ---- A: files -------------------------------------------------------------------------------------------------------
 
 
-@query("a1_packed_ticks", sql(DEALS_SQL, "SELECT symbol, seq, last FROM deals", "seq", "last", "symbol"))
+def _by_day(t: DataFrame) -> DataFrame:
+    """Names of files: the symbol and the day."""
+    return t.withColumn("name", F.concat_ws("_", "symbol", F.date_format("time", "yyyyMMdd")))
+
+
+def _saved(spark: SparkSession, rows: DataFrame, kind, order: list[str]) -> DataFrame:
+    path = new_path(spark, "packed")
+    files.write_packed(rows, kind, path, "name", order).count()
+    return files.read_packed(spark, f"{path}/*.bin", kind)
+
+
+@query("a1_packed_ticks", sql(DEALS_SQL, "SELECT symbol, time_msc, last, volume, CAST(time AS DATE) AS day, row_number() OVER (PARTITION BY symbol, CAST(time AS DATE) ORDER BY time_msc) - 1 AS nth FROM deals", "time_msc volume nth", "last", "symbol"))
 def a1(spark, d):
-    t = market.deals(spark, d).select("symbol", F.to_date("time").alias("day"), F.unix_timestamp("time").alias("time"), F.col("last").alias("bid"), F.col("last").alias("ask"), "last", "volume", F.col("seq").alias("time_msc"), F.lit(0).alias("flags"), F.lit(0.0).alias("volume_real"))
-    packed = files.packed_blocks(t, files.TICK, ["symbol", "day"], ["time_msc"])
-    return shape(files.unpack(packed, files.TICK, ["symbol"]).withColumn("seq", F.col("time_msc")), "seq", "last", "symbol")
+    """Ticks written to packed files, one for each symbol and day, and read back with their place in the file."""
+    t = _by_day(market.deals(spark, d)).select("name", F.unix_timestamp("time").alias("time"), F.col("last").alias("bid"), F.col("last").alias("ask"), "last", "volume", "time_msc", F.lit(0).alias("flags"), F.lit(0.0).alias("volume_real"))
+    return shape(_saved(spark, t, files.TICK, ["time_msc"]).withColumnRenamed("seq", "nth"), "time_msc volume nth", "last", "symbol")
+
+
+@query("a10_value_bar_files", sql(VBARS, "SELECT symbol, emsc AS msc, wprice FROM vbars", "msc", "wprice", "symbol"))
+def a10(spark, d):
+    """Value bars in the old packed layout, and back."""
+    b = _by_day(_vbars(spark, d)).select("name", F.col("low").alias("bid"), F.col("high").alias("ask"), F.col("wprice").alias("last"), F.col("emsc").alias("msc"), "uid")
+    return shape(_saved(spark, b, files.VALUE_BAR, ["uid"]).withColumnRenamed("last", "wprice"), "msc", "wprice", "symbol")
 
 
 @query("a11_parameter_grid", "SELECT 'size' AS name, v AS value FROM (VALUES (10.0), (15.0), (20.0)) t(v)")
 def a11(spark, d):
     lines = spark.createDataFrame([("; comment",), ("size=10||10||5||20||Y",), ("devs=2||1||1||3||N",)], "value string")
-    return shape(files.grid_values(files.parse_grid(lines)), "", "value", "name")
+    path = new_path(spark, "grid")
+    files.write_grid(files.parse_grid(lines), path)
+    return shape(files.grid_values(files.read_grid(spark, path)), "", "value", "name")
+
+
+@query("a12_optimizer_reports", sql(DAILY_SQL, "SELECT 'WIN' AS symbol, 'bands' AS expert, 'true' AS forward, day, close FROM daily", "", "close", "symbol expert forward day"))
+def a12(spark, d):
+    """A spreadsheet report of all days, written as text and read back by name, row and column."""
+    path = new_path(spark, "report")
+    cell = lambda c: F.format_string('<Cell><Data ss:Type="String">%s</Data></Cell>', F.col(c).cast("string"))
+    row = F.concat(F.lit("<Row>"), cell("day"), cell("close"), F.lit("</Row>")).alias("value")
+    days = market.daily(spark, d).select("day", "close")
+    head = spark.createDataFrame([('<Workbook xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet"><Worksheet><Table><Row><Cell><Data ss:Type="String">day</Data></Cell><Cell><Data ss:Type="String">close</Data></Cell></Row>',)], "value string")
+    end = spark.createDataFrame([("</Table></Worksheet></Workbook>",)], "value string")
+    parts = [t.coalesce(1).withColumn("k", F.lit(k)) for k, t in enumerate((head, days.select(row), end))]
+    parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(1).sortWithinPartitions("k").select("value").write.text(path)  # a report is one file
+    r = files.read_optimizations(spark, files.renamed(spark, path, "optbands_WIN_forward.xml"))
+    g = r.groupBy("symbol", "expert", "forward", "row").agg(F.max(F.when(F.col("name") == "day", F.col("value"))).alias("day"), F.max(F.when(F.col("name") == "close", F.col("value"))).alias("close"))
+    return shape(g, "", "close", "symbol expert forward day")

@@ -34,3 +34,11 @@ def overlapping(df: DataFrame, number: str, size: int, back: int) -> DataFrame:
     last = F.floor((F.col(number) - 1 + back) / size)
     spread = df.withColumn("_own", own).withColumn("block", F.explode(F.sequence(own, last)))
     return spread.withColumn("warmup", F.col("block") > F.col("_own")).drop("_own")
+
+
+def windowed(df: DataFrame, keys: list[str], order: list[str], chunk: Column, history: int, add, block: int = 100_000) -> DataFrame:
+    """``add(rows, window)`` for long series: rows are numbered and cut into blocks that begin with the ``history`` rows before
+    them, and the window runs within a block. Right for columns of which a row's value needs no more than ``history`` rows
+    before it, or none after it."""
+    cut = overlapping(row_number(df, "_k", keys, order, chunk), "_k", block, history)
+    return add(cut, Window.partitionBy(*keys, "block").orderBy("_k")).where("NOT warmup").drop("_k", "block", "warmup")

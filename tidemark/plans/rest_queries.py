@@ -4,23 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import backtest, bars, folds, indicators, joins, labels
+from ..operators import backtest, bars, features, folds, hygiene, indicators, joins, labels
 from ..sources import files, market
 from ..sources.market import DEALS_SQL, TICKS_SQL
 from ..streaming import live
-from .market_queries import HOURS, NUMBERED, W, WS, _numbered, shape, sql
-from .more_queries import BARRIER, DAILY_ROWS, FOLDS, MULTI, VOL, _drained, _labels, _multi, _volatile
+from .market_queries import FILLED, HOURS, NUMBERED, W, WS, _numbered, shape, sql
+from .more_queries import BARRIER, DAILY_ROWS, FOLDS, MULTI, VOL, _by_day, _drained, _labels, _multi, _saved, _volatile
 from .ordered import overlapping
 from .registry import query
-from .scratch import new_path
+from .scratch import new_path, stored
 
 
 @query("a4_packed_bars", sql(HOURS, "SELECT symbol, epoch_us(time) // 1000000 AS time, open, close, volume FROM hours", "time volume", "open close", "symbol"))
 def a4(spark, d):
-    h = bars.minute_bars(market.deals(spark, d), 60)
-    rows = h.select("symbol", F.unix_timestamp("time").alias("time"), "open", "high", "low", "close", F.col("volume").alias("tick_volume"), F.lit(0).alias("spread"), F.lit(0).alias("real_volume"))
-    out = files.unpack(files.packed_blocks(rows, files.BAR, ["symbol"], ["time"]), files.BAR, ["symbol"])
-    return shape(out.withColumnRenamed("tick_volume", "volume"), "time volume", "open close", "symbol")
+    """Bars written to packed files, one for each symbol and day, and read back."""
+    h = _by_day(bars.minute_bars(market.deals(spark, d), 60))
+    rows = h.select("name", F.unix_timestamp("time").alias("time"), "open", "high", "low", "close", F.col("volume").alias("tick_volume"), F.lit(0).alias("spread"), F.lit(0).alias("real_volume"))
+    return shape(_saved(spark, rows, files.BAR, ["time"]).withColumnRenamed("tick_volume", "volume"), "time volume", "open close", "symbol")
+
+
+@query("a8_bar_csv", sql(HOURS, "SELECT epoch_us(time) // 1000000 AS time, open, close, volume FROM hours", "time volume", "open close"))
+def a8(spark, d):
+    path = new_path(spark, "bars")
+    files.write_bar_csv(bars.minute_bars(market.deals(spark, d), 60), path)
+    return shape(files.read_bars(spark, path).withColumn("time", F.unix_timestamp("time")), "time volume", "open close")
 
 
 @query("a9_tick_csv", sql(TICKS_SQL, "SELECT time_msc, last, volume FROM ticks", "time_msc volume", "last"))
@@ -28,14 +35,14 @@ def a9(spark, d):
     path = new_path(spark, "csv")
     t = market.ticks(spark, d).withColumns({"bid": F.col("last"), "ask": F.col("last")})
     files.write_tick_csv(t, path)
-    back = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
-    return shape(back.select(F.unix_millis(F.to_timestamp(F.concat_ws(" ", "<DATE>", "<TIME>"), "yyyy.MM.dd HH:mm:ss.SSS")).alias("time_msc"), F.col("<LAST>").cast("double").alias("last"), F.col("<VOLUME>").cast("long").alias("volume")), "time_msc volume", "last")
+    return shape(files.read_tick_csv(spark, path).withColumn("time_msc", F.unix_millis("time")), "time_msc volume", "last")
 
 
 @query("a14_prediction_sink", sql(DEALS_SQL, "SELECT symbol, epoch_us(time) // 1000000 AS time, volume AS quantity FROM deals", "time quantity", "", "symbol"))
 def a14(spark, d):
-    rows = market.deals(spark, d).select("symbol", F.unix_timestamp("time").alias("time"), F.col("volume").alias("quantity"))
-    return shape(files.unpack(files.packed_blocks(rows, files.SIGNAL, ["symbol"], ["time"]), files.SIGNAL, ["symbol"]), "time quantity", "", "symbol")
+    """Signed quantities written to packed files, one for each symbol and day, and read back."""
+    rows = _by_day(market.deals(spark, d)).select("name", F.unix_timestamp("time").alias("time"), F.col("volume").alias("quantity"))
+    return shape(_saved(spark, rows, files.SIGNAL, ["time"]), "time quantity", "", "symbol")
 
 
 @query("d3_first_tick_from", sql(TICKS_SQL, "SELECT symbol, min(CASE WHEN seq >= 500 THEN seq END) AS seq FROM ticks GROUP BY 1", "seq", "", "symbol"))
@@ -170,3 +177,50 @@ def p3(spark, d):
 def p5(spark, d):
     out = _drained(spark, live.session_stream(live.tick_stream(spark, f"{d}/events.parquet*"), gap="2 hours"))
     return shape(out.withColumn("msc", F.unix_millis("start")), "msc n", "", "symbol")
+
+
+@query("m9_spread", sql(FILLED, "SELECT symbol, seq, ask - bid AS spread, (ask - bid) / nullif(ask / 100, 0) AS share FROM filled", "seq", "spread share", "symbol"))
+def m9(spark, d):
+    t = hygiene.fill_quotes(market.raw_ticks(spark, d))
+    spread, share = hygiene.spread(F.col("bid"), F.col("ask"))
+    return shape(t.withColumns({"spread": spread, "share": share}), "seq", "spread share", "symbol")
+
+
+@query("c11_discounted_time", "WITH RECURSIVE " + NUMBERED + ", r AS (SELECT symbol, k, time_msc, time_msc AS begun FROM numbered WHERE k = 1 UNION ALL SELECT n.symbol, n.k, n.time_msc, CASE WHEN n.time_msc - r.begun > 25200000 THEN n.time_msc ELSE r.begun END FROM r JOIN numbered n ON n.symbol = r.symbol AND n.k = r.k + 1) SELECT symbol, CAST(k AS BIGINT) AS k, CAST(time_msc - begun AS BIGINT) AS since FROM r")
+def c11(spark, d):
+    n = _numbered(spark, d)
+    return shape(indicators.since_start(n, ["symbol"], "k", "time_msc", 25_200_000), "k since", "", "symbol")
+
+
+@query("e12_adf")
+def e12(spark, d):
+    h = bars.minute_bars(market.deals(spark, d), 60).withColumn("month", F.date_trunc("month", "time"))
+    return shape(indicators.adf(h, ["symbol", "month"], "time", "close", 2, True), "", "adf", "symbol")
+
+
+def _edge_sql(edges: list[float]) -> str:
+    return " + ".join(f"CASE WHEN x >= {e!r} THEN 1 ELSE 0 END" for e in edges if e > float("-inf") and e < float("inf"))
+
+
+@query("h10_quantile_bins", sql(DEALS_SQL, f"SELECT symbol, seq, 1 + {_edge_sql(features.normal_edges(20, 250, 100))} AS normal, 1 + {_edge_sql(features.laplace_edges(20, 250, 30))} AS laplace FROM (SELECT *, last AS x FROM deals)", "seq normal laplace", "", "symbol"))
+def h10_quantiles(spark, d):
+    t = market.deals(spark, d)
+    return shape(t.withColumns({"normal": features.cut(F.col("last"), features.normal_edges(20, 250, 100)), "laplace": features.cut(F.col("last"), features.laplace_edges(20, 250, 30))}), "seq normal laplace", "", "symbol")
+
+
+@query("h11_similar", sql("", "SELECT DISTINCT b AS col FROM (SELECT 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS c FROM lineitem UNION ALL SELECT 'l_tax', corr(l_quantity, l_tax) FROM lineitem UNION ALL SELECT 'l_tax', corr(l_extendedprice, l_tax) FROM lineitem) WHERE abs(c) > 0.001", "", "", "col"))
+def h11s(spark, d):
+    return shape(features.similar(market.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"], 0.001), "", "", "col")
+
+
+@query("h1_eleven_features")
+def h1_eleven(spark, d):
+    """All eleven features of the bars up to an event, and the label's side, stop and barrier."""
+    b = stored(_volatile(spark, d).withColumn("x", F.log("wprice")), "bars")
+    w = Window.partitionBy("symbol").orderBy("uid")
+    s = indicators.sadf(b, ["symbol"], "uid", "x", 24, 16, 2).select("symbol", "uid", "sadf")
+    c = indicators.cusum(b, ["symbol"], "uid", "wprice", 50.0).select("symbol", "uid", F.col("event").alias("csum"))
+    t = b.withColumns({"fd": indicators.fracdiff(F.col("x"), 0.56, 10, w), "stdev": F.col("sigma"), "span": F.col("emsc") - F.col("smsc")})
+    t = t.withColumns({"dspan": F.col("span") - F.lag("span").over(w), "dnticks": F.col("nticks") - F.lag("nticks").over(w)}).join(s, ["symbol", "uid"], "left").join(c, ["symbol", "uid"], "left")
+    v = features.event_vectors(t, _labels(spark, d).withColumn("sltp", F.lit(2.0)), features.BAR_FEATURES, 4, ["side", "sltp", "vertbar"], 24)
+    return shape(v.withColumns({"size": F.size("x"), "first": F.get("x", 0), "second": F.get("x", 1), "last": F.element_at("x", -1)}), "twhen vertbar size inf_start inf_end", "first second last", "symbol")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -31,31 +33,29 @@ def read_packed(spark: SparkSession, path: str, kind: np.dtype, symbol: str = r"
     return files.mapInPandas(parse, schema)
 
 
-def packed_blocks(df: DataFrame, kind: np.dtype, keys: list[str], order: list[str]) -> DataFrame:
-    """(keys, content): each series' records in the packed layout, as one binary value per series; small series only."""
-    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "content binary"])
+def write_packed(df: DataFrame, kind: np.dtype, path: str, name: str, order: list[str]) -> DataFrame:
+    """Write records in the packed layout to ``path``, one file for each value of the column ``name`` (the file's name, without
+    ``.bin``), and return (name, n). A file is written by one task, under a name of the task's own and then renamed, so that a
+    task that runs again writes the same file. Have names for parts of long series (by day, say). Paths may be of any file
+    system that Arrow knows."""
+    schema = f"`{name}` string, n long"
+
+    def save(rows: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
+        rows = rows.sort_values(order, kind="stable")
         a = np.zeros(len(rows), dtype=kind)
         for n in kind.names:
             a[n] = rows[n].to_numpy()
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "content": [a.tobytes()]})
-
-    return df.groupBy(*keys).applyInPandas(pack, schema)
-
-
-def unpack(packed: DataFrame, kind: np.dtype, keys: list[str]) -> DataFrame:
-    """The records of (keys, content) rows."""
-    schema = ", ".join([*(f"`{k}` {packed.schema[k].dataType.simpleString()}" for k in keys), *(f"{n} {_SQL[kind[n].str[1:]]}" for n in kind.names)])
-
-    def parse(parts):
-        for part in parts:
-            for row in part.to_dict("records"):
-                a = np.frombuffer(row["content"], dtype=kind)
-                yield pd.DataFrame({**{k: row[k] for k in keys}, **{n: a[n].astype("int64" if kind[n].str[1:] == "u8" else kind[n].newbyteorder("=")) for n in kind.names}})
+        store, base = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        store.create_dir(base, recursive=True)
+        own = f"{base}/_{uuid.uuid4().hex}"
+        with store.open_output_stream(own) as out:
+            out.write(a.tobytes())
+        store.move(own, f"{base}/{rows[name].iloc[0]}.bin")
+        return pd.DataFrame({name: [rows[name].iloc[0]], "n": [len(rows)]})
 
-    return packed.select(*keys, "content").mapInPandas(parse, schema)
+    return df.select(name, *dict.fromkeys([*kind.names, *order])).groupBy(name).applyInPandas(save, schema)
 
 
 def read_tick_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -70,6 +70,13 @@ def read_bar_csv(spark: SparkSession, path: str, sep: str = "\t", nulls=("null",
     return raw.select(*(F.when(~F.col(c).isin(*nulls), F.col(c)).alias(c) for c in raw.columns))
 
 
+def read_bars(spark: SparkSession, path: str) -> DataFrame:
+    """Bars as write_bar_csv() writes them, with their time."""
+    b = read_bar_csv(spark, path, nulls=("null",))
+    t = F.to_timestamp(F.concat_ws(" ", F.col("<DATE>"), F.col("<TIME>")), "yyyy.MM.dd HH:mm:ss")
+    return b.select(t.alias("time"), *(F.col(f"<{c.upper()}>").cast("double").alias(c) for c in ("open", "high", "low", "close")), F.col("<VOLUME>").cast("long").alias("volume"))
+
+
 def write_tick_csv(ticks: DataFrame, path: str) -> None:
     t = ticks.select(F.date_format("time", "yyyy.MM.dd").alias("<DATE>"), F.date_format("time", "HH:mm:ss.SSS").alias("<TIME>"), F.col("bid").alias("<BID>"), F.col("ask").alias("<ASK>"), F.col("last").alias("<LAST>"), F.col("volume").alias("<VOLUME>"))
     t.write.mode("overwrite").csv(path, sep="\t", header=True)
@@ -99,7 +106,33 @@ def write_grid(grid: DataFrame, path: str) -> None:
     grid.select(line.alias("value")).write.mode("overwrite").option("encoding", "UTF-16").csv(path, quote="")
 
 
+def read_grid(spark: SparkSession, path: str) -> DataFrame:
+    """Parameters as write_grid() writes them."""
+    return parse_grid(spark.read.options(encoding="UTF-16", multiLine=True).csv(path, sep="\x01", quote="", schema="value string"))
+
+
+def read_optimizations(spark: SparkSession, path: str) -> DataFrame:
+    """All reports under a path or glob, whose names are ``optEXPERT_SYMBOL_KIND.xml``: (symbol, expert, forward, name, row, value) for each
+    cell, named by the report's first row; forward: KIND speaks of a forward test."""
+    r = read_report(spark, path).withColumn("at", F.monotonically_increasing_id())
+    first = r.groupBy("file").agg(F.min_by("cells", "at").alias("names"), F.min("at").alias("top"))  # one row per report
+    part = F.split(F.regexp_replace("file", r"\.xml$", ""), "_")
+    d = r.join(first, "file").where("at > top").withColumn("row", (F.col("at") - F.col("top")).cast("long"))
+    d = d.select(part[1].alias("symbol"), F.regexp_replace(part[0], "^opt", "").alias("expert"), part[2].contains("forward").alias("forward"), "row", F.explode(F.arrays_zip("names", "cells")).alias("c"))
+    return d.select("symbol", "expert", "forward", F.col("c.names").alias("name"), "row", F.col("c.cells").alias("value"))
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """Rows of SpreadsheetML optimizer reports: one array of cell texts per row, with the file's name."""
     rows = spark.read.format("xml").option("rowTag", "Row").schema("Cell array<struct<Data:string>>").load(path)
     return rows.select(F.col("_metadata.file_name").alias("file"), F.transform("Cell", lambda c: c["Data"]).alias("cells"))
+
+
+def renamed(spark: SparkSession, path: str, name: str) -> str:
+    """Give the one part file of a folder a name, as the terminal's files have them, and return its path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder, name)
+    store.rename(parts[0], target)
+    return target.toString()

@@ -23,6 +23,24 @@ def deduplicated(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     return ticks.withWatermark("time", late).dropDuplicatesWithinWatermark(["symbol", "seq"])
 
 
+def late_ticks(ticks: DataFrame) -> DataFrame:
+    """(symbol, n, late) of each micro-batch: its ticks, and how many are older than the newest of the batches before, which is the
+    state of each symbol."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest = state.get[0] if state.exists else None
+        n, late, top = 0, 0, newest
+        for part in parts:
+            t = part["time_msc"]
+            n += len(t)
+            late += int((t < newest).sum()) if newest is not None else 0
+            top = int(t.max()) if top is None else max(top, int(t.max()))
+        state.update((top,))
+        yield pd.DataFrame({"symbol": [key[0]], "n": [n], "late": [late]})
+
+    return ticks.select("symbol", "time_msc").groupBy("symbol").applyInPandasWithState(step, "symbol string, n long, late long", "newest long", "append", GroupStateTimeout.NoTimeout)
+
+
 def minute_stream(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     g = ticks.where("volume > 0").withWatermark("time", late).groupBy("symbol", F.window("time", "1 minute").alias("w"))
     return g.agg(F.max("last").alias("high"), F.min("last").alias("low"), F.count("*").alias("n")).select("symbol", F.col("w.start").alias("time"), "high", "low", "n")
