@@ -27,7 +27,8 @@ def W():
     return indicators.by("symbol", order="seq")
 
 
-DAY = F.expr("floor(time_msc / 86400000)")
+def by_day():
+    return F.expr("floor(time_msc / 86400000)")
 
 
 def rolled(t: DataFrame, history: int, add) -> DataFrame:
@@ -217,7 +218,7 @@ def d1(spark, d):
 def d2(spark, d):
     t = market.ticks(spark, d).select("symbol", "time_msc", "seq")
     right = market.deals(spark, d).select("symbol", "time_msc", F.col("time_msc").alias("smsc"))
-    return shape(joins.as_of(t, right, "time_msc", ["smsc"], ["symbol"], forward=True, chunk=DAY), "seq smsc", "", "symbol")
+    return shape(joins.as_of(t, right, "time_msc", ["smsc"], ["symbol"], forward=True, chunk=by_day()), "seq smsc", "", "symbol")
 
 
 @query("d5_nearest_values", sql(DEALS_SQL, "SELECT symbol, min(CASE WHEN last > 250 THEN last END) AS above, max(CASE WHEN last < 250 THEN last END) AS below FROM deals GROUP BY 1", "", "above below", "symbol"))
@@ -244,7 +245,7 @@ def d6(spark, d):
 def d7(spark, d):
     t = market.ticks(spark, d).where("volume = 0").select("symbol", "time_msc", "seq")
     right = market.deals(spark, d).select("symbol", "time_msc", F.col("last").alias("price"))
-    return shape(joins.as_of(t, right, "time_msc", ["price"], ["symbol"], chunk=DAY), "seq", "price", "symbol")
+    return shape(joins.as_of(t, right, "time_msc", ["price"], ["symbol"], chunk=by_day()), "seq", "price", "symbol")
 
 
 @query("d8_last_rows", sql(DEALS_SQL, "SELECT symbol, seq, last FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) AS r FROM deals) WHERE r <= 10", "seq", "last", "symbol"))
