@@ -169,7 +169,12 @@ def f18(spark, d):
     return shape(signals.peaks(signals.histogram(market.deals(spark, d), "last", 0.0, 10.0, 50), 3, 0.5, 2), "bin n", "s")
 
 
-@query("f19_order_ladder")
+LADDER = DAILY_SQL + """, levels AS (SELECT day, unnest([2 * p - low, p + r, 2 * p - high, p - r, close - r * 1.1 / 4, close - r * 1.1 / 2, p, close + r * 1.1 / 4, close + r * 1.1 / 2]) AS price FROM (SELECT *, (high + low + close) / 3 AS p, high - low AS r FROM daily)),
+rungs AS (SELECT l.day, l.price, row_number() OVER (PARTITION BY l.day ORDER BY l.price DESC) AS k FROM levels l JOIN daily d ON d.day = l.day AND l.price < d.close),
+ends AS (SELECT day, min(price) AS stop FROM rungs WHERE k <= 3 GROUP BY 1), goals AS (SELECT l.day, min(l.price) AS target FROM levels l JOIN daily d ON d.day = l.day AND l.price > d.close GROUP BY 1)"""
+
+
+@query("f19_order_ladder", sql(LADDER, "SELECT day, k, price, stop, target FROM rungs JOIN ends USING (day) JOIN goals USING (day) WHERE k <= 2 AND price > stop AND target - price >= 0.5 * (price - stop)", "k", "price stop target", "day"))
 def f19(spark, d):
     days = market.daily(spark, d)
     quotes = days.select("day", F.col("close").alias("quote"))
@@ -354,7 +359,11 @@ def h9(spark, d):
     return shape(features.robust(market.deals(spark, d), ["last"], ["symbol"]), "seq", "last", "symbol")
 
 
-@query("h9_normal_score")
+NORMAL = DEALS_SQL + """, ranked AS (SELECT symbol, seq, (rank() OVER (PARTITION BY symbol ORDER BY last) - 0.5) / count(*) OVER (PARTITION BY symbol) AS p FROM deals),
+scored AS (SELECT symbol, seq, p, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM ranked)"""
+
+
+@query("h9_normal_score", sql(NORMAL, "SELECT symbol, seq, CASE WHEN p < 0.5 THEN -1 ELSE 1 END * (t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))) AS z FROM scored", "seq", "z", "symbol"))
 def h9n(spark, d):
     return shape(features.normal_score(market.deals(spark, d), "last", ["symbol"], "z"), "seq", "z", "symbol")
 
