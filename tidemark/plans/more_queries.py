@@ -538,7 +538,7 @@ PURGED = BARRIER + """, f AS (SELECT *, CASE WHEN ret > 0 THEN 1 ELSE -1 END AS
 parted AS (SELECT fold, side, 1 AS train FROM f, s WHERE b <> fold AND (tdone < lo OR twhen > hi) UNION ALL SELECT b, side, 0 FROM f)"""
 
 
-@query("n4_fold_scores", sql(PURGED, "SELECT fold, CASE WHEN count(DISTINCT side) FILTER (train = 1) > 1 AND count(DISTINCT side) FILTER (train = 0) > 1 THEN avg(CASE WHEN side = best THEN 1.0 ELSE 0.0 END) FILTER (train = 0) END AS score FROM parted JOIN (SELECT fold, arg_max(side, n * 2 - CASE WHEN side > 0 THEN 1 ELSE 0 END) AS best FROM (SELECT fold, side, count(*) AS n FROM parted WHERE train = 1 GROUP BY ALL) GROUP BY 1) USING (fold) GROUP BY 1", "fold", "score"))
+@query("n4_fold_scores", sql(PURGED, "SELECT fold, CASE WHEN count(DISTINCT side) FILTER (train = 1) > 1 AND count(DISTINCT side) FILTER (train = 0) > 1 THEN avg(CASE WHEN side = best THEN 1.0 ELSE 0.0 END) FILTER (train = 0) END AS score FROM parted LEFT JOIN (SELECT fold, arg_max(side, n * 2 - CASE WHEN side > 0 THEN 1 ELSE 0 END) AS best FROM (SELECT fold, side, count(*) AS n FROM parted WHERE train = 1 GROUP BY ALL) GROUP BY 1) USING (fold) GROUP BY 1", "fold", "score"))
 def n4(spark, d):
     return shape(folds.majority_score(_folded(spark, d), "side"), "fold", "score")
 
