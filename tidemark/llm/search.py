@@ -112,11 +112,11 @@ class _Shard:
         score = np.round(np.bincount(self.docs[place], parts[place] * np.repeat(weights, size), minlength=len(self.doc_id)), 9)
         least = np.partition(score, -k)[-k] if len(score) > k else 0.0
         best = np.flatnonzero((score >= least) & (score > 0))
-        best = best[np.argsort(-score[best], kind="stable")][:k]
+        best = best[np.lexsort((self.doc_id[best], -score[best]))][:k]
         return list(zip(score[best].tolist(), self.doc_id[best].tolist()))
 
     def top(self, query: list[tuple[int, float]], k: int, mean: float, k1: float, b: float) -> list[tuple[float, int]]:
-        """(score, doc_id) of the best k; equal scores by smaller doc_id. query: (word, weight)."""
+        """(score, doc_id) of the best k, by scores rounded to nine places, equal ones by smaller doc_id. query: (word, weight)."""
         lists = []
         for term, weight in query:
             docs, counts = self.postings(term)
@@ -124,9 +124,9 @@ class _Shard:
                 part = weight * counts * (k1 + 1) / (counts + k1 * (1 - b + b * self.length[docs] / mean))
                 first = np.arange(0, len(docs), BLOCK)
                 lists.append([docs.tolist(), part.tolist(), np.maximum.reduceat(part, first).tolist(), docs[np.minimum(first + BLOCK, len(docs)) - 1].tolist(), float(part.max()), 0])
-        heap: list[tuple[float, int]] = []  # (score, -place): the worst first
+        heap: list[tuple[float, int]] = []  # (score, -doc_id): the worst first
         bar = -1.0
-        slack = 1e-9
+        slack = 1e-9  # rounded scores may be so much above their bounds
         while lists:
             lists.sort(key=lambda c: c[0][c[5]])
             bound, pivot = 0.0, None
@@ -152,7 +152,7 @@ class _Shard:
                     score = 0.0
                     for c in sorted(lists[: pivot + 1], key=lambda c: c[4]):
                         score += c[1][c[5]]
-                    item = (score, -doc)
+                    item = (round(score, 9), -int(self.doc_id[doc]))
                     if len(heap) < k:
                         heapq.heappush(heap, item)
                     elif item > heap[0]:
@@ -165,7 +165,7 @@ class _Shard:
                 if c[0][c[5]] < target:
                     c[5] = bisect_left(c[0], target, c[5])
             lists = [c for c in lists if c[5] < len(c[0])]
-        return [(s, int(self.doc_id[-d])) for s, d in sorted(heap, reverse=True)]
+        return [(s, -d) for s, d in sorted(heap, reverse=True)]
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
