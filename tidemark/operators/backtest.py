@@ -211,6 +211,18 @@ def trailing_stop(df: DataFrame, average: str, stop: str = "stop", side: str = "
     return d.withColumn(stop, F.first(stop).over(w) + F.col(side) * moved).drop("_before", "_base", "_best")
 
 
+def expired(positions: DataFrame, deals: DataFrame, age_ms: int) -> DataFrame:
+    """(symbol, day, seq, shut): where each position (symbol, day, seq, time_msc) is closed: the first deal that is ``age_ms`` or more after
+    it, within the day, else the day's last deal. An as-of join by day, never pairs."""
+    from .joins import as_of
+
+    due = positions.select("symbol", "day", "seq", (F.col("time_msc") + age_ms).alias("at"))
+    right = deals.select("symbol", "day", F.col("time_msc").alias("at"), F.col("seq").alias("shut"))
+    last = deals.groupBy("symbol", "day").agg(F.max_by("seq", F.struct("time_msc", "seq")).alias("end"))
+    out = as_of(due, right, "at", ["shut"], ["symbol", "day"], forward=True).join(last, ["symbol", "day"])
+    return out.select("symbol", "day", "seq", F.coalesce("shut", "end").alias("shut"))
+
+
 def guarded(deals: DataFrame, per_day: int, gap: str) -> DataFrame:
     """The first ``per_day`` deals of a day that are at least ``gap`` (an interval) after the one before."""
     w = Window.partitionBy("symbol", F.to_date("time")).orderBy("time", "seq")

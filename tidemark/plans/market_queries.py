@@ -9,6 +9,7 @@ from ..sources import market
 from ..sources.market import DAILY_SQL, DEALS_SQL, RAW_SQL, TICKS_SQL
 from .ordered import row_number, running_sum, windowed
 from .registry import query
+from .scratch import stored
 
 SIZE = 2_000_000  #: money of a value bar, in cents
 
@@ -444,13 +445,13 @@ def e11(spark, d):
 
 @query("e13_sadf")
 def e13(spark, d):
-    b = _vbars(spark, d).withColumn("x", F.log("wprice"))
+    b = stored(_vbars(spark, d).withColumn("x", F.log("wprice")), "bars")
     return shape(indicators.sadf(b, ["symbol"], "uid", "x", 24, 16, 2), "uid", "sadf spread", "symbol")
 
 
 @query("e15_sadf_max")
 def e15(spark, d):
-    b = _vbars(spark, d).withColumn("x", F.log("wprice"))
+    b = stored(_vbars(spark, d).withColumn("x", F.log("wprice")), "bars")
     return shape(indicators.sadf(b, ["symbol"], "uid", "x", 20, 16, 1, mode="max"), "uid", "sadf spread", "symbol")
 
 

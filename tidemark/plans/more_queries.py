@@ -626,6 +626,12 @@ def o11(spark, d):
     return shape(backtest.guarded(market.deals(spark, d), 5, "10 MINUTES"), "seq", "", "symbol")
 
 
+@query("o11_expiry", sql(DEALS_SQL + ", dd AS (SELECT symbol, seq, time_msc, CAST(time AS DATE) AS day FROM deals)", "SELECT p.symbol, p.seq, coalesce(x.seq, e.seq) AS shut FROM (SELECT *, time_msc + 7200000 AS due FROM dd) p ASOF LEFT JOIN (SELECT symbol, day, time_msc, min(seq) AS seq FROM dd GROUP BY ALL) x ON x.symbol = p.symbol AND x.day = p.day AND p.due <= x.time_msc JOIN (SELECT symbol, day, arg_max(seq, (time_msc, seq)) AS seq FROM dd GROUP BY ALL) e ON e.symbol = p.symbol AND e.day = p.day", "seq shut", "", "symbol"))
+def o11_expiry(spark, d):
+    t = market.deals(spark, d).withColumn("day", F.to_date("time"))
+    return shape(backtest.expired(t, t, 7_200_000), "seq shut", "", "symbol")
+
+
 # ---- P: streams (drained as of now, read back) -----------------------------------------------------------------------
 
 
