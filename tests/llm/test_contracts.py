@@ -9,7 +9,6 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, near, queries, substring
 from tidemark.llm.words import Words
