@@ -15,7 +15,7 @@ from .store import free, join_counted, materialize
 
 KEY_BITS = 60  #: of md5 over the key; rows of one key are told apart by ROW_BITS more
 ROW_BITS = 32
-STEP = 8
+STEP = 12
 SHARD = ("local_depth", "prefix", "row_prefix")
 
 
