@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import coder, ctw, decontaminate, language, near, packing, quality, search, sharding, store, substring
+from . import coder, ctw, decontaminate, impacts, language, metric_join, near, packing, quality, resampling, search, sharding, store, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,21 @@ def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "held_out", "text"), net).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with the number of its links at a cosine of 0.95 or more, and its component."""
+    return metric_join.links(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op12_sparse_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    return impacts.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight towards the benchmark's words, a tenth of them drawn."""
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, seed=2024)
+
+
 QUERIES = {
     "op1_ctw_scores": op1_ctw_scores,
     "op2_bm25_search": op2_bm25_search,
@@ -96,9 +111,13 @@ QUERIES = {
     "op8_extendible_shards": op8_extendible_shards,
     "op9_best_two_fit_packing": op9_best_two_fit_packing,
     "op10_bigru_language": op10_bigru_language,
+    "op11_metric_range_join": op11_metric_range_join,
+    "op12_sparse_product_search": op12_sparse_product_search,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_bm25_search": f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({search.oracle(10)})",
     "op8_extendible_shards": sharding.oracle(SHARD_BYTES),
+    "op12_sparse_product_search": impacts.oracle(20),
 }

@@ -19,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .store import materialize, slices
-from .words import Words, chunks, encoded
+from .words import SPACE, Words, chunks, encoded
 
 SHARD = 8 << 20  #: bytes of text
 BLOCK = 64  #: postings that share a maximum
 QUERIES = 2_000  #: queries that are broadcast at once
 LONG = 64  #: distinct words of a query beyond which every posting is scored
-_INDEX = "shard long, doc_id binary, length binary, terms binary, starts binary, docs binary, counts binary, n_docs long, n_words long"
+_INDEX = "shard long, doc_id binary, length binary, terms binary, starts binary, docs binary, counts binary, n_docs long, n_filled long, n_words long"
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -36,10 +36,10 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), dtype=kind)
 
 
-def index(docs: DataFrame) -> DataFrame:
+def index(docs: DataFrame, apart: np.ndarray = SPACE) -> DataFrame:
     """One row per shard: its documents in ascending doc_id order, and each word's postings (place and count).
 
-    Words are runs of bytes other than ASCII white space, A-Z lower-cased, told apart by 64-bit hashes. Null and empty texts are documents without words; rows with null doc_id are not indexed; repeated rows are documents of
+    Words are runs of bytes that are not ``apart``, A-Z lower-cased, told apart by 64-bit hashes. Null and empty texts are documents without words (n_filled counts the others); rows with null doc_id are not indexed; repeated rows are documents of
     their own.
     """
 
@@ -58,15 +58,15 @@ def index(docs: DataFrame) -> DataFrame:
             term, doc = np.divmod(key, max(1, len(order)))
             starts = np.searchsorted(term, np.arange(len(terms) + 1)).astype(np.uint32)
             length = np.bincount(d, minlength=len(order)).astype(np.uint32)
-            row = [(part << 32) | nth, *map(_pack, (doc_id[order], length, terms, starts, doc.astype(np.uint32), count.astype(np.uint32))), len(order), len(h)]
+            row = [(part << 32) | nth, *map(_pack, (doc_id[order], length, terms, starts, doc.astype(np.uint32), count.astype(np.uint32))), len(order), int(np.count_nonzero(length)), len(h)]
             nth += 1
-            kinds = [pa.int64(), *[pa.binary()] * 6, pa.int64(), pa.int64()]
+            kinds = [pa.int64(), *[pa.binary()] * 6, *[pa.int64()] * 3]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in _INDEX.split(", ")])
 
         for batch in slices(batches):
             found = batch.column("doc_id").to_pylist()
             for at, texts in chunks(encoded(batch.column("text").to_pylist())):
-                words = Words(texts, lower=True)
+                words = Words(texts, True, apart)
                 hashes.append(words.hash)
                 owners.append(words.doc + len(ids))
                 ids.extend(found[at : at + len(texts)])
@@ -80,15 +80,19 @@ def index(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(build, _INDEX)
 
 
-class _Shard:
+class Shard:
     def __init__(self, row: dict):
         self.doc_id, self.length = _unpack(row["doc_id"], np.int64), _unpack(row["length"], np.uint32)
         self.terms, self.starts = _unpack(row["terms"], np.uint64), _unpack(row["starts"], np.uint32)
         self.docs, self.counts = _unpack(row["docs"], np.uint32), _unpack(row["counts"], np.uint32)
 
-    def df(self, terms: np.ndarray) -> np.ndarray:
+    def places(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the terms are in ``self.terms``, and whether they are."""
         at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
-        hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        return at, self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+
+    def df(self, terms: np.ndarray) -> np.ndarray:
+        at, hit = self.places(terms)
         return np.where(hit, self.starts[np.minimum(at + 1, len(self.starts) - 1)] - self.starts[at], 0).astype(np.int64)
 
     def postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +107,7 @@ class _Shard:
 
     def scan(self, terms: np.ndarray, weights: np.ndarray, parts: np.ndarray, k: int) -> list[tuple[float, int]]:
         """As ``top``, from all postings. Words are added in the order given, so that equal documents score equally."""
-        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
-        hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        at, hit = self.places(terms)
         at, weights = at[hit], weights[hit]
         start = self.starts[at].astype(np.int64)
         size = self.starts[at + 1] - start
@@ -187,7 +190,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
         def count(batches, asked=asked):
             for batch in slices(batches, 1):
                 for row in batch.to_pylist():
-                    df = _Shard(row).df(asked)
+                    df = Shard(row).df(asked)
                     yield pa.RecordBatch.from_arrays([pa.array(asked.view(np.int64)[df > 0]), pa.array(df[df > 0])], ["term", "df"])
 
         df = shards.mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # words of QUERIES queries
@@ -205,7 +208,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
         def search(batches, plans=plans, mean=mean):
             for batch in slices(batches, 1):
                 for row in batch.to_pylist():
-                    shard = _Shard(row)
+                    shard = Shard(row)
                     parts = shard.parts(mean, k1, b)
                     hits = []
                     for q, terms, weights in plans.value:

@@ -13,6 +13,8 @@ import numpy as np
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+OTHER = np.arange(256) < 0x80  #: what stands between terms: ASCII that is neither letter nor digit
+OTHER[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 CHUNK = 1 << 22  #: bytes of text that are worked on at once; a longer text is a chunk of its own
@@ -54,10 +56,11 @@ class Words:
     """The words of some texts: ``hash`` of each, ``doc`` (place of its text), ``first`` (each text's first word; one
     entry more than texts), and ``start``/``end`` in ``raw``."""
 
-    def __init__(self, texts: list[bytes], lower: bool):
+    def __init__(self, texts: list[bytes], lower: bool, apart: np.ndarray = SPACE):
+        """apart: which bytes stand between words; the line feed must be one."""
         self.raw = b"\n".join(texts) + b"\n"
         buf = np.frombuffer(self.raw, dtype=np.uint8)
-        space = SPACE[buf]
+        space = apart[buf]
         edge = np.flatnonzero(np.diff(space, prepend=True))
         self.start, self.end = edge[0::2], edge[1::2]
         up, down = _OF_BYTES.upto(len(buf) + 1)
