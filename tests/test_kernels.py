@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
+import golden
 from tidemark.functions import recursive as r
 from tidemark.operators import averages, backtest, hygiene, indicators, joins, labels
+from tidemark.plans import scans
 from tidemark.plans.ordered import overlapping, row_number, running_sum
 from pyspark.sql import functions as F
 
@@ -45,6 +47,84 @@ def test_recursive_averages_across_blocks(spark, monkeypatch):
     assert [got[i + 1]["rsi"] for i in range(59)] == [None if a is None else pytest.approx(100 * a / (a + b)) for a, b in zip(u, v)]
 
 
+def test_a_null_value_leaves_the_average_as_it_was(spark, monkeypatch):
+    x = [1.0, None, 3.0, 5.0, None, None, 4.0, 8.0]
+    df = spark.createDataFrame([(None, i, v) for i, v in enumerate(x)], "symbol string, seq long, x double")
+    monkeypatch.setattr(averages.affine, "__defaults__", (2,))
+    got = [v["ema"] for v in averages.ema(df, ["symbol"], "seq", "x", 2).orderBy("seq").collect()]
+    want = plain_ema([v for v in x if v is not None], 2)
+    assert got == [None, None, pytest.approx(2.0), *map(pytest.approx, (want[2], want[2], want[2], want[3], want[4]))]
+
+
+def test_macd_and_rsi_by_hand(spark):
+    """The fast average begins where the slow one does, with the mean of the values that end there; nothing moved is 0."""
+    got = averages.macd(frame(spark, [1, 2, 4, 8, 16]), ["symbol"], "seq", "x", 2, 4).orderBy("seq").collect()
+    slow = 15 / 4
+    fast = (4 + 8) / 2
+    assert [g["macd"] for g in got] == [None, None, None, pytest.approx(fast - slow), pytest.approx(fast + 2 / 3 * (16 - fast) - (slow + 2 / 5 * (16 - slow)))]
+    got = averages.rsi(frame(spark, [5, 5, 5, 6, 5]), ["symbol"], "seq", "x", 2).orderBy("seq").collect()
+    assert [g["rsi"] for g in got] == [None, None, 0.0, 100.0, pytest.approx(100 * 0.25 / 0.75)]
+
+
+def test_golden_fractional_difference(spark):
+    got = r.fracdiff(np.array(golden.FRACTIONAL_IN), 0.56, 10)
+    assert np.isnan(got[:9]).all() and np.allclose(got[9:], golden.FRACTIONAL_OUT, atol=2e-8)
+    df = frame(spark, golden.FRACTIONAL_IN).withColumn("f", indicators.fracdiff(F.col("x"), 0.56, 10, indicators.by("symbol", order="seq"))).orderBy("seq")
+    assert np.allclose([v["f"] for v in df.collect()][9:], golden.FRACTIONAL_OUT, atol=2e-8)
+
+
+def test_golden_supremum(spark):
+    x = np.array(golden.SUPREMUM_IN, dtype=float)
+    got, _ = r.sadf(x, 15, 12, 3, True, "max")
+    assert np.isnan(got[:14]).all() and np.allclose(got[14:], golden.SUPREMUM_OUT, atol=1e-5)
+    df = indicators.sadf(frame(spark, x), ["symbol"], "seq", "x", 15, 12, 3, mode="max", block=20).orderBy("seq")
+    assert np.allclose([v["sadf"] for v in df.collect()][14:], golden.SUPREMUM_OUT, atol=1e-5)
+    single = np.sort([[r.adf(x[i + 1 - w : i + 1], 3, True) for w in (15, 14, 13)] for i in range(14, 150)], axis=1)
+    middle, spread = r.sadf(x, 15, 12, 3, True)
+    assert np.allclose(middle[14:], single[:, 1]) and np.allclose(spread[14:], 0)  # of three values ranks 2, 2 and 2
+
+
+@pytest.mark.parametrize("n, ranks", [(8, (5, 6, 6)), (3, (1, 1, 1)), (1, (0, 0, 0)), (100, (84, 91, 98))])
+def test_ranks_of_order_statistics(n, ranks):
+    assert tuple(r.rank_of(p, n) for p in (0.85, 0.92, 0.99)) == ranks
+
+
+def test_supremum_of_hundreds_of_widths():
+    """Sums of products give what single regressions give, for long windows, over a level far from 0 and a stretch that is flat."""
+    x = 5e4 + 40 * np.cumsum(np.random.default_rng(5).normal(size=700))
+    x[300:340] = x[300]
+    for order, trend in ((2, True), (1, False)):
+        moments = r.Moments(x, order, trend)
+        for w in (20, 150, 320):
+            want, got = r.adf_windows(x, w, order, trend), moments.statistics(w)
+            varied = np.array([(np.diff(x[i : i + w]) != 0).sum() >= w // 2 for i in range(len(want))])
+            assert np.allclose(got[varied], want[varied], rtol=1e-8, atol=1e-8) and varied.sum() > 350
+
+
+def test_golden_sums(spark, monkeypatch):
+    x, valid = np.array(golden.SUMS_IN), np.ones(136)
+    valid[55:95] = 0
+    want = [0 if v != v else int(v) for v in golden.SUMS_OUT]
+    assert r.cusum(x, 1.5, valid > 0).tolist() == want
+    monkeypatch.setattr(scans, "BLOCK", 9)
+    monkeypatch.setattr(scans, "WARM", 3)
+    df = spark.createDataFrame([("a", i, float(v), float(o)) for i, (v, o) in enumerate(zip(x, valid))], "symbol string, seq long, x double, ok double")
+    assert [v["event"] for v in indicators.cusum(df, ["symbol"], "seq", "x", 1.5, "ok").orderBy("seq").collect()] == want
+
+
+@pytest.mark.parametrize("h", [0.5, 3.0, 200.0])
+def test_sums_in_blocks_are_the_whole_series(spark, monkeypatch, h):
+    """Blocks of ten rows, of several series and a null one, with missing values; the largest bound is never passed, so that the sums
+    of the first block reach the last."""
+    monkeypatch.setattr(scans, "BLOCK", 10)
+    monkeypatch.setattr(scans, "WARM", 2)
+    g = np.random.default_rng(11)
+    x = {s: np.where(g.random(n) < 0.05, np.nan, np.cumsum(g.normal(size=n))) for s, n in (("a", 95), (None, 40), ("c", 1))}
+    df = spark.createDataFrame([(s, i, None if np.isnan(v) else float(v)) for s, vs in x.items() for i, v in enumerate(vs)], "symbol string, seq long, x double")
+    got = {(v["symbol"], v["seq"]): v["event"] for v in indicators.cusum(df, ["symbol"], "seq", "x", h).collect()}
+    assert got == {(s, i): e for s, vs in x.items() for i, e in enumerate(r.cusum(vs, h).tolist())}
+
+
 def test_mama_follows_a_price():
     x = 100 + 10 * np.sin(np.arange(300) / 4)
     m, f = r.mama(x, 0.5, 0.05)
@@ -101,7 +181,8 @@ def test_blocks_equal_the_whole_series(spark):
     df = frame(spark, x)
     whole = indicators.sadf(df, ["symbol"], "seq", "x", 20, 14, 1, block=1000).orderBy("seq").collect()
     cut = indicators.sadf(df, ["symbol"], "seq", "x", 20, 14, 1, block=17).orderBy("seq").collect()
-    assert whole == cut and len(cut) == 90
+    a, b = (np.array([[v["sadf"], v["spread"]] for v in rows], dtype=float) for rows in (whole, cut))
+    assert np.allclose(a, b, rtol=1e-9, atol=1e-9, equal_nan=True) and len(cut) == 90  # sums of products start anew in each block
 
 
 def test_running_sum_by_chunks(spark):
@@ -112,6 +193,18 @@ def test_running_sum_by_chunks(spark):
     assert overlapping(n, "n", 10, 3).where("NOT warmup").count() == 100
 
 
+def test_null_keys_and_times_stay(spark):
+    rows = [(None, 1, 1), (None, 2, 2), ("a", None, 4), ("a", 1, 8), ("a", 20, 16)]
+    df = spark.createDataFrame(rows, "symbol string, seq long, v long")
+    got = {(x["symbol"], x["seq"]): x["s"] for x in running_sum(df, F.col("v"), "s", ["symbol"], ["seq"], F.floor(F.col("seq") / 9)).collect()}
+    assert got == {(None, 1): 1, (None, 2): 3, ("a", None): 4, ("a", 1): 12, ("a", 20): 28}
+    left = df.select("symbol", "seq", F.col("v").alias("id"))
+    right = spark.createDataFrame([(None, 1, 5.0), ("a", 1, 6.0), ("a", None, 7.0)], "symbol string, seq long, x double")
+    for forward, want in ((False, {1: 5.0, 2: 5.0, 4: 7.0, 8: 6.0, 16: 6.0}), (True, {1: 5.0, 2: None, 4: 7.0, 8: 6.0, 16: None})):
+        for chunk in (None, F.floor(F.col("seq") / 9)):
+            assert {x["id"]: x["x"] for x in joins.as_of(left, right, "seq", ["x"], ["symbol"], forward, chunk).collect()} == want
+
+
 def test_as_of_both_ways(spark):
     a = spark.createDataFrame([("s", 5, 1), ("s", 1, 2), ("t", 5, 3)], "k string, t long, id long")
     b = spark.createDataFrame([("s", 3, 30.0), ("s", 5, 50.0), ("s", 9, 90.0)], "k string, t long, v double")

@@ -45,24 +45,30 @@ def mama(x: np.ndarray, fast: float, slow: float) -> tuple[np.ndarray, np.ndarra
     return out, following
 
 
-def cusum(x: np.ndarray, h: float, valid: np.ndarray | None = None) -> np.ndarray:
-    """Symmetric CUSUM filter over the differences of x: 1 or -1 where a sum passes h, else 0. A missing difference emits 0 and
-    resets nothing; a sample outside ``valid``, or after one, resets both sums."""
-    out = np.zeros(len(x), dtype=np.int64)
-    up = down = 0.0
-    for i in range(1, len(x)):
-        if valid is not None and not (valid[i] and valid[i - 1]):
+def cusum_from(x: np.ndarray, h: float, valid: np.ndarray | None, up: float, down: float) -> tuple[np.ndarray, float, float]:
+    """Symmetric CUSUM filter over the differences of x: 1 or -1 where a sum passes h, else 0, and the sums at the end; the first
+    sample only serves the first difference. A missing difference emits 0 and resets nothing; a sample outside ``valid``, or after
+    one, resets both sums."""
+    out = np.zeros(max(0, len(x) - 1), dtype=np.int64)
+    steps = np.diff(x)
+    apart = np.zeros(len(steps), bool) if valid is None else ~(valid[1:] & valid[:-1])
+    for i, (d, reset) in enumerate(zip(steps.tolist(), apart.tolist())):
+        if reset:
             up = down = 0.0
             continue
-        d = x[i] - x[i - 1]
-        if np.isnan(d):
+        if d != d:
             continue
         up, down = max(0.0, up + d), min(0.0, down + d)
         if up > h:
             out[i], up = 1, 0.0
         elif down < -h:
             out[i], down = -1, 0.0
-    return out
+    return out, up, down
+
+
+def cusum(x: np.ndarray, h: float, valid: np.ndarray | None = None) -> np.ndarray:
+    """As cusum_from(), for a whole series; its first sample emits 0."""
+    return np.concatenate([np.zeros(min(1, len(x)), np.int64), cusum_from(x, h, valid, 0.0, 0.0)[0]])
 
 
 def fracdiff_weights(d: float, n: int) -> np.ndarray:
@@ -91,10 +97,11 @@ def adf_windows(x: np.ndarray, w: int, order: int, trend: bool) -> np.ndarray:
         return out
     for at in range(0, len(windows), 2_000):
         y, step = windows[at : at + 2_000], d[at : at + 2_000]
+        y = y - y.mean(axis=1, keepdims=True)  # the statistic does not depend on it, its rounding does
         design = np.empty((len(y), n, p))
         design[:, :, 0], design[:, :, 1] = y[:, order:-1], 1
         if trend:
-            design[:, :, 2] = np.arange(n)
+            design[:, :, 2] = np.arange(n) - (n - 1) / 2
         for k in range(1, order + 1):
             design[:, :, 1 + trend + k] = step[:, order - k : step.shape[1] - k]
         t = step[:, order:]
@@ -122,25 +129,69 @@ def adf(y: np.ndarray, order: int, trend: bool) -> float:
     return float(adf_windows(np.asarray(y, dtype=float), len(y), order, trend)[0])
 
 
+class Moments:
+    """Regressions over many windows of one series from running sums of products: a window's Gram matrix is the difference of two
+    rows. Levels are taken from their mean and scaled, and time runs from -1 to 1, which the statistics don't depend on."""
+
+    def __init__(self, x: np.ndarray, order: int, trend: bool):
+        self.x, self.order, self.trend = x, order, trend
+        x = (x - x.mean()) / (x.std() or 1.0)
+        d = np.diff(x)
+        n = len(d) - order  # equations, the first for x[order + 1]
+        self.p = 2 + trend + order
+        z = np.empty((max(0, n), self.p + 1))
+        z[:, 0], z[:, 1] = x[order:-1], 1
+        if trend:
+            z[:, 2] = np.linspace(-1, 1, n)
+        for k in range(1, order + 1):
+            z[:, 1 + trend + k] = d[order - k : len(d) - k]
+        z[:, self.p] = d[order:]
+        self.sums = np.concatenate([np.zeros((1, self.p + 1, self.p + 1)), np.cumsum(z[:, :, None] * z[:, None, :], axis=0)])
+
+    def statistics(self, w: int) -> np.ndarray:
+        """As adf_windows(); where levels hardly differ within a window or its columns depend on each other, from the window itself."""
+        n = w - 1 - self.order
+        out = np.full(max(0, len(self.x) - w + 1), np.nan)
+        if n <= self.p or not len(out):
+            return out
+        g = self.sums[n:] - self.sums[:-n]
+        size = np.sqrt(np.maximum(np.diagonal(g, axis1=1, axis2=2), 0))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            g = np.nan_to_num(g / size[:, :, None] / size[:, None, :])
+            a, c, whole = g[:, : self.p, : self.p], g[:, : self.p, self.p], g[:, self.p, self.p]
+            sure = np.abs(np.linalg.det(a)) > 1e-9
+            inverse = np.linalg.inv(np.where(sure[:, None, None], a, np.eye(self.p)))
+            b = (inverse @ c[:, :, None])[:, :, 0]
+            rest = whole - (b * c).sum(1)
+            out[:] = b[:, 0] / np.sqrt(inverse[:, 0, 0] * rest / (n - self.p))
+        for i in np.flatnonzero(~sure | ~(rest > 1e-6)):
+            out[i] = adf(self.x[i : i + w], self.order, self.trend)
+        return out
+
+
+def rank_of(share: float, n: int) -> int:
+    """Place, from 0, of an order statistic among n sorted values."""
+    return int(max(np.floor(share * n + 1), 2)) - 2
+
+
 def sadf(x: np.ndarray, maxw: int, minw: int, order: int, trend: bool, mode: str = "quantile") -> tuple[np.ndarray, np.ndarray]:
     """Supremum ADF over windows of maxw to minw + 1 samples that end at each sample. quantile: the 0.92 order statistic and the
     spread between 0.99 and 0.85. max: the maximum, and its window's place from 0 (longest) to 1."""
     value, other = np.full(len(x), np.nan), np.full(len(x), np.nan)
-    widths = np.arange(maxw, minw, -1) if mode == "quantile" else np.arange(maxw, minw - 1, -1)
     if len(x) < maxw:
         return value, other
-    ends = len(x) - maxw + 1
-    s = np.column_stack([adf_windows(x[maxw - w :], w, order, trend)[:ends] for w in widths])
+    ends, moments = len(x) - maxw + 1, Moments(x, order, trend)
+    s = np.column_stack([moments.statistics(w)[maxw - w :] for w in range(maxw, minw, -1)])
+    s = np.where(np.isfinite(s), s, -np.inf)
     if mode == "max":
-        known = ~np.isnan(s).all(1)
-        best = np.where(np.isnan(s), -np.inf, s).argmax(1)
-        value[maxw - 1 :] = np.where(known, s[np.arange(ends), best], np.nan)
-        other[maxw - 1 :] = np.where(known, best / max(1, s.shape[1] - 1), np.nan)
+        best = s.argmax(1)
+        value[maxw - 1 :] = s[np.arange(ends), best]
+        other[maxw - 1 :] = np.where(np.isfinite(value[maxw - 1 :]), best / max(1, s.shape[1] - 1), np.nan)
     else:
-        s = np.sort(np.where(np.isnan(s), -np.inf, s), axis=1)
-        q = lambda p: s[:, min(s.shape[1] - 1, int(p * s.shape[1]))]
+        s = np.sort(s, axis=1)
+        low, mid, high = (s[:, rank_of(p, s.shape[1])] for p in (0.85, 0.92, 0.99))
         with np.errstate(invalid="ignore"):
-            value[maxw - 1 :], other[maxw - 1 :] = q(0.92), q(0.99) - q(0.85)
+            value[maxw - 1 :], other[maxw - 1 :] = mid, high - low
     return np.where(np.isfinite(value), value, np.nan), np.where(np.isfinite(other), other, np.nan)
 
 

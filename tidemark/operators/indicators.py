@@ -108,10 +108,16 @@ def series(df: DataFrame, keys: list[str], order: str, inputs: list[str], output
     return df.select(*keys, order, *inputs).groupBy(*keys).applyInPandas(run, schema)
 
 
-def cusum(df: DataFrame, keys: list[str], order: str, col: str, h: float, valid: str | None = None) -> DataFrame:
-    if valid:
-        return series(df, keys, order, [col, valid], {"event": "long"}, lambda x, v: {"event": recursive.cusum(x, h, v > 0)})
-    return series(df, keys, order, [col], {"event": "long"}, lambda x: {"event": recursive.cusum(x, h)})
+def cusum(df: DataFrame, keys: list[str], order: str, col: str, h: float, valid: str | None = None, chunk: Column | None = None) -> DataFrame:
+    """(keys, order, event) of the symmetric CUSUM filter, in blocks of rows whose sums are carried over."""
+    from ..plans.scans import scanned
+
+    def run(first: int, state: list[float], x: np.ndarray, v: np.ndarray | None = None) -> tuple[list[np.ndarray], list[float]]:
+        before = max(0, first - 1)
+        out, up, down = recursive.cusum_from(x[before:], h, None if v is None else v[before:] > 0, *state)
+        return [out if first else np.concatenate([np.zeros(min(1, len(x)), np.int64), out])], [up, down]
+
+    return scanned(df, keys, order, [col, valid] if valid else [col], {"event": "long"}, [0.0, 0.0], run, chunk)
 
 
 def sadf(df: DataFrame, keys: list[str], order: str, col: str, maxw: int, minw: int, lags: int, trend: bool = True, mode: str = "quantile", block: int = 2_000) -> DataFrame:

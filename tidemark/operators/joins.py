@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.ordered import row_number
+from ..plans.ordered import matched, row_number
 
 
 def as_of(left: DataFrame, right: DataFrame, on: str, value: list[str], keys: list[str], forward: bool = False, chunk: Column | None = None) -> DataFrame:
     """Each left row with the right row of the same keys that is the last at or before ``on`` (the first at or after it, if
     forward). One union and one window: no pair of rows is ever made. Ties on the right: the smallest values first, the last
     of them counts backward, the first forward. With ``chunk`` (of ``on``, which it must not decrease along) windows run within
-    chunks, and what the chunks before (after) have is carried over from a table with one row per chunk."""
+    chunks, and what the chunks before (after) have is carried over from a table with one row per chunk. Null keys are equal, and
+    rows whose ``on`` is null stand before all others, with or without chunks."""
     mark = F.struct(*(F.col(v) for v in value))
     cols = [c for c in left.columns if c not in [*keys, on]]
     a = left.select(*keys, on, F.struct(*cols).alias("_l"), F.lit(None).cast(right.select(mark.alias("m")).schema["m"].dataType).alias("_r"), F.lit(1 if not forward else 0).alias("_side"))
@@ -27,7 +28,7 @@ def as_of(left: DataFrame, right: DataFrame, on: str, value: list[str], keys: li
         near = Window.partitionBy(*keys).orderBy("_chunk")
         near = near.rowsBetween(1, Window.unboundedFollowing) if forward else near.rowsBetween(Window.unboundedPreceding, -1)
         ends = ends.select(*keys, "_chunk", pick("_e", ignorenulls=True).over(near).alias("_e"))
-        out = out.join(ends, [*keys, "_chunk"]).withColumn("_r", F.coalesce("_r", "_e"))
+        out = matched(out, ends, [*keys, "_chunk"]).withColumn("_r", F.coalesce("_r", "_e"))
     return out.select(*keys, on, "_l.*", *(F.col(f"_r.{v}").alias(v) for v in value))
 
 

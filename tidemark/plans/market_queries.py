@@ -323,13 +323,13 @@ def e2(spark, d):
     return shape(averages.ema(market.deals(spark, d), ["symbol"], "seq", "last", 10, chunk=F.to_date("time")), "seq", "ema", "symbol")
 
 
-def _recursion(name: str, n: int, alpha: str, source: str, value: str) -> str:
-    """An average over ``value`` of ``source`` (symbol, k from 1), seeded with the mean of the first n."""
-    return f"""{name}(symbol, k, v) AS (SELECT symbol, CAST({n} AS BIGINT), avg({value}) FROM {source} WHERE k <= {n} GROUP BY 1 HAVING count(*) = {n} UNION ALL
+def _recursion(name: str, n: int, alpha: str, source: str, value: str, first: int = 1) -> str:
+    """An average over ``value`` of ``source`` (symbol, k from 1), seeded with the mean of n values from number ``first`` on."""
+    return f"""{name}(symbol, k, v) AS (SELECT symbol, CAST({first + n - 1} AS BIGINT), avg({value}) FROM {source} WHERE k BETWEEN {first} AND {first + n - 1} GROUP BY 1 HAVING count(*) = {n} UNION ALL
       SELECT r.symbol, n.k, r.v + {alpha} * (n.{value} - r.v) FROM {name} r JOIN {source} n ON n.symbol = r.symbol AND n.k = r.k + 1)"""
 
 
-@query("e3_macd", "WITH RECURSIVE " + NUMBERED + ", " + _recursion("fast", 12, "2.0 / 13", "numbered", "last") + ", " + _recursion("slow", 26, "2.0 / 27", "numbered", "last") + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, round(f.v - s.v, 6) AS macd FROM numbered n LEFT JOIN fast f ON f.symbol = n.symbol AND f.k = n.k LEFT JOIN slow s ON s.symbol = n.symbol AND s.k = n.k")
+@query("e3_macd", "WITH RECURSIVE " + NUMBERED + ", " + _recursion("fast", 12, "2.0 / 13", "numbered", "last", 15) + ", " + _recursion("slow", 26, "2.0 / 27", "numbered", "last") + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, round(f.v - s.v, 6) AS macd FROM numbered n LEFT JOIN fast f ON f.symbol = n.symbol AND f.k = n.k LEFT JOIN slow s ON s.symbol = n.symbol AND s.k = n.k")
 def e3(spark, d):
     return shape(averages.macd(market.deals(spark, d), ["symbol"], "seq", "last", 12, 26, chunk=F.to_date("time")), "seq", "macd", "symbol")
 
@@ -337,7 +337,7 @@ def e3(spark, d):
 MOVES = NUMBERED + ", moves AS (SELECT symbol, k - 1 AS k, greatest(c, 0) AS gain, greatest(-c, 0) AS loss FROM (SELECT symbol, k, last - lag(last) OVER (PARTITION BY symbol ORDER BY k) AS c FROM numbered) WHERE k > 1)"
 
 
-@query("e4_rsi", "WITH RECURSIVE " + MOVES + ", " + _recursion("ups", 14, "1.0 / 14", "moves", "gain") + ", " + _recursion("downs", 14, "1.0 / 14", "moves", "loss") + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, round(CASE WHEN u.v + d.v > 0 THEN 100 * u.v / (u.v + d.v) WHEN u.v IS NOT NULL THEN 50 END, 6) AS rsi FROM numbered n LEFT JOIN ups u ON u.symbol = n.symbol AND u.k = n.k - 1 LEFT JOIN downs d ON d.symbol = n.symbol AND d.k = n.k - 1")
+@query("e4_rsi", "WITH RECURSIVE " + MOVES + ", " + _recursion("ups", 14, "1.0 / 14", "moves", "gain") + ", " + _recursion("downs", 14, "1.0 / 14", "moves", "loss") + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, round(CASE WHEN u.v + d.v > 0 THEN 100 * u.v / (u.v + d.v) WHEN u.v IS NOT NULL THEN 0 END, 6) AS rsi FROM numbered n LEFT JOIN ups u ON u.symbol = n.symbol AND u.k = n.k - 1 LEFT JOIN downs d ON d.symbol = n.symbol AND d.k = n.k - 1")
 def e4(spark, d):
     return shape(averages.rsi(market.deals(spark, d), ["symbol"], "seq", "last", 14, chunk=F.to_date("time")), "seq", "rsi", "symbol")
 

@@ -303,31 +303,32 @@ def _grid_sql() -> str:
     with_, cols, joins_ = [], [], []
     for c in GRID:
         for b, (n, f, l) in enumerate(((10, 5, 7), (20, 10, 15))):
-            for name, m in (("e", n), ("f", f), ("l", l)):
-                with_.append(_recursion(f"{name}_{c}{b}", m, f"2.0 / {m + 1}", "gn", c))
+            for name, m, first in (("e", n, 1), ("f", f, l - f + 1), ("l", l, 1)):
+                with_.append(_recursion(f"{name}_{c}{b}", m, f"2.0 / {m + 1}", "gn", c, first))
                 joins_.append(f"LEFT JOIN {name}_{c}{b} ON {name}_{c}{b}.symbol = g.symbol AND {name}_{c}{b}.k = g.k")
             x, m = f"g.{c} - e_{c}{b}.v", f"f_{c}{b}.v - l_{c}{b}.v"
             cols += [f"round({x}, 6) AS dema_{c}{b}", f"round((lag({x}) OVER v) / ({x} + 1e-8), 6) AS demav_{c}{b}", f"round((lag({m}) OVER v) / ({m} + 1e-8), 6) AS dmacdv_{c}{b}"]
-    gn = "gn AS (SELECT symbol, time, k, open, high, low, close, ln(volume + 5) AS volume, ln(n + 5) AS n, (open + high + low + close) / 4 AS typical FROM hn)"
+    gn = "gn AS (SELECT symbol, time, k, open, high, low, close, round(ln(volume + 5), 12) AS volume, round(ln(n + 5), 12) AS n, (open + high + low + close) / 4 AS typical FROM hn)"
     return f"WITH RECURSIVE {HN}, {gn}, {', '.join(with_)} SELECT g.symbol, epoch_ms(g.time) AS msc, {', '.join(cols)} FROM gn g {' '.join(joins_)} WINDOW v AS (PARTITION BY g.symbol ORDER BY g.k)"
 
 
 @query("h4_indicator_grid", _grid_sql())
 def h4(spark, d):
-    """Seven columns and two bands: open, high, low, close, log volume, log count and typical price."""
-    h = _hours(spark, d).withColumns({"volume": F.log(F.col("volume") + 5), "n": F.log(F.col("n") + 5), "typical": (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4})
+    """Seven columns and two bands: open, high, low, close, log volume, log count and typical price. Logarithms are rounded to twelve
+    places, as libraries differ in their last bit and the ratios of small differences magnify it."""
+    h = _hours(spark, d).withColumns({"volume": F.round(F.log(F.col("volume") + 5), 12), "n": F.round(F.log(F.col("n") + 5), 12), "typical": (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4})
     g = averages.grid(h, ["symbol"], "time", GRID, 20, 2, chunk=F.to_date("time"))
     return shape(g.withColumn("msc", F.unix_millis("time")), "msc", " ".join(f"{x}_{c}{b}" for c in GRID for b in range(2) for x in ("dema", "demav", "dmacdv")), "symbol")
 
 
-CROSSED = MOVES + ", " + ", ".join(_recursion(f"a{n}", n, f"2.0 / {n + 1}", "numbered", "last") for n in (12, 26, 10, 20, 30)) + ", " + ", ".join(_recursion(f"{s}{k}", k * 10, f"1.0 / {k * 10}", "moves", c) for k in (2, 3) for s, c in (("u", "gain"), ("v", "loss")))
+CROSSED = MOVES + ", " + ", ".join(_recursion(f"a{n}", n, f"2.0 / {n + 1}", "numbered", "last") for n in (26, 20, 30)) + ", " + ", ".join(_recursion(f"f{slow}", n, f"2.0 / {n + 1}", "numbered", "last", slow - n + 1) for n, slow in ((12, 26), (10, 20), (10, 30))) + ", " + ", ".join(_recursion(f"{s}{k}", k * 10, f"1.0 / {k * 10}", "moves", c) for k in (2, 3) for s, c in (("u", "gain"), ("v", "loss")))
 
 
 @query(
     "h5_cross_features",
-    "WITH RECURSIVE " + CROSSED + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, CAST(hour(time) AS BIGINT) AS hour, CAST(isodow(time) - 1 AS BIGINT) AS weekday, CAST(minute(time) AS BIGINT) AS minute, round(a20.v, 6) AS ema_2, round(a30.v, 6) AS ema_3, round(last - a20.v, 6) AS dema_2, round(last - a30.v, 6) AS dema_3, round(a12.v - a26.v, 6) AS macd, round(a10.v - a20.v, 6) AS macd_mean, round(a10.v - a30.v, 6) AS macd_double, "
-    + ", ".join(f"round(CASE WHEN u{k}.v + v{k}.v > 0 THEN 100 * u{k}.v / (u{k}.v + v{k}.v) WHEN u{k}.v IS NOT NULL THEN 50 END, 6) AS rsi_{k}" for k in (2, 3))
-    + " FROM numbered n " + " ".join(f"LEFT JOIN a{n} ON a{n}.symbol = n.symbol AND a{n}.k = n.k" for n in (12, 26, 10, 20, 30)) + " " + " ".join(f"LEFT JOIN {s}{k} ON {s}{k}.symbol = n.symbol AND {s}{k}.k = n.k - 1" for k in (2, 3) for s in "uv"),
+    "WITH RECURSIVE " + CROSSED + " SELECT n.symbol, CAST(n.seq AS BIGINT) AS seq, CAST(hour(time) AS BIGINT) AS hour, CAST(isodow(time) - 1 AS BIGINT) AS weekday, CAST(minute(time) AS BIGINT) AS minute, round(a20.v, 6) AS ema_2, round(a30.v, 6) AS ema_3, round(last - a20.v, 6) AS dema_2, round(last - a30.v, 6) AS dema_3, round(f26.v - a26.v, 6) AS macd, round(f20.v - a20.v, 6) AS macd_mean, round(f30.v - a30.v, 6) AS macd_double, "
+    + ", ".join(f"round(CASE WHEN u{k}.v + v{k}.v > 0 THEN 100 * u{k}.v / (u{k}.v + v{k}.v) WHEN u{k}.v IS NOT NULL THEN 0 END, 6) AS rsi_{k}" for k in (2, 3))
+    + " FROM numbered n " + " ".join(f"LEFT JOIN {a}{n} ON {a}{n}.symbol = n.symbol AND {a}{n}.k = n.k" for n in (26, 20, 30) for a in "af") + " " + " ".join(f"LEFT JOIN {s}{k} ON {s}{k}.symbol = n.symbol AND {s}{k}.k = n.k - 1" for k in (2, 3) for s in "uv"),
 )
 def h5_cross(spark, d):
     t = averages.crosses(features.clock(market.deals(spark, d)), ["symbol"], "seq", "last", 10, chunk=F.to_date("time"))

@@ -9,17 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys are equal."""
+    names = {k: f"_same_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(names)
+    same = [left[k].eqNullSafe(right[n]) for k, n in names.items()]
+    return left.join(right, same, how).drop(*names.values())
+
+
 def running_sum(df: DataFrame, value: Column, out: str, keys: list[str], order: list[str], chunk: Column) -> DataFrame:
     """Adds ``out``: the sum of ``value`` from the start of the series up to and including the row.
 
-    ``chunk`` must not decrease along ``order``. The only shuffle of rows is by (keys, chunk).
+    ``chunk`` must not decrease along ``order``. The only shuffle of rows is by (keys, chunk). Rows with null keys are a series
+    like others, and rows whose order, and so whose chunk, is null come first.
     """
     df = df.withColumn("_v", value).withColumn("_chunk", chunk)
     totals = df.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_t"))
     before = totals.withColumn("_before", F.sum("_t").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(*keys, "_chunk", F.coalesce("_before", F.lit(0)).alias("_before"))
     inside = F.sum("_v").over(Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_in", inside).join(before, [*keys, "_chunk"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_v", "_chunk", "_in", "_before")
+    return matched(df.withColumn("_in", inside), before, [*keys, "_chunk"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_v", "_chunk", "_in", "_before")
 
 
 def row_number(df: DataFrame, out: str, keys: list[str], order: list[str], chunk: Column) -> DataFrame:
