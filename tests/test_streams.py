@@ -62,3 +62,54 @@ def test_late_ticks(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     out = drained(spark, live.late_ticks(live.tick_stream(spark, f"{tmp_path}/in")), tmp_path)
     assert tuple(out.agg(F.sum("n"), F.sum("late")).first()) == (first.count(), 1)
+
+
+def in_files(spark, path, cuts, where="true"):
+    e = spark.read.parquet(f"{DIR}/events.parquet").where(where)
+    for a, b in zip(cuts, cuts[1:]):
+        e.where(f"event_id >= {a} AND event_id < {b}").coalesce(1).write.mode("append").parquet(path)
+
+
+def labelled(spark, tmp_path, path, **options):
+    from tidemark.streaming import chain
+
+    stream = chain.labels(live.tick_stream(spark, path), 200_000, window=5, first=3, step=3, count=3, **options)
+    with live.keyed_state(spark):
+        return drained(spark, stream, tmp_path)
+
+
+def batch_labels(spark, events=None):
+    from pyspark.sql import Window
+    from tidemark.operators import labels
+
+    w = Window.partitionBy("symbol").orderBy("uid")
+    b = bars.value_bars(market.deals(spark, DIR), 200_000).withColumn("ret", indicators.bar_return(w))
+    b = b.withColumn("sigma", F.when(F.row_number().over(w) >= 6, F.stddev_pop("ret").over(w.rowsBetween(-4, 0)))).cache()
+    ev = b.select("symbol", F.col("uid").alias("twhen")) if events is None else indicators.cusum(b, ["symbol"], "uid", "wprice", events).where("event <> 0").select("symbol", F.col("uid").alias("twhen"))
+    return b, labels.triple_barrier(ev, b, 2.0, 3, 3, 3)
+
+
+@pytest.mark.parametrize("h", [None, 30.0])
+def test_chain_gives_the_labels_of_the_batch(spark, tmp_path, h):
+    """Ticks in three files; the second run goes on from the checkpoint of the first."""
+    path = f"{tmp_path}/in"
+    in_files(spark, path, [0, 300])
+    labelled(spark, tmp_path, path, h=h)
+    in_files(spark, path, [300, 650, 1000])
+    out = labelled(spark, tmp_path, path, h=h).cache()
+    b, want = batch_labels(spark, h)
+    got = {tuple(r)[:5]: r["ret"] for r in out.where("kind = 'label'").select("symbol", "uid", "vertbar", "side", "tdone", "ret").collect()}
+    want = {tuple(r)[:5]: r["ret"] for r in want.select("symbol", "twhen", "vertbar", "side", "tdone", "ret").collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and len(got) > 50
+    cols = ["symbol", "uid", "nticks", "high", "low"]
+    assert sorted(map(tuple, out.where("kind = 'bar'").select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
+
+
+def test_idle_symbols_are_forgotten(spark, tmp_path):
+    """One symbol stops after the first file; its state goes once the watermark has passed its last tick by the idle time."""
+    path = f"{tmp_path}/in"
+    kind = spark.read.parquet(f"{DIR}/events.parquet").first()["event_type"]
+    in_files(spark, path, [0, 100])
+    in_files(spark, path, [100, 400, 700, 1000], f"event_type <> '{kind}'")
+    out = labelled(spark, tmp_path, path, idle="1 hour").where("kind = 'idle'").collect()
+    assert kind in {r["symbol"] for r in out}

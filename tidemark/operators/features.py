@@ -7,6 +7,10 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.ordered import matched
+from ..plans.scratch import stored
+from . import indicators
+
 BAR_FEATURES = ["dtp", "wprice", "fd", "sadf", "csum", "stdev", "span", "nticks", "netvol", "dspan", "dnticks"]
 
 
@@ -53,6 +57,15 @@ def normal_score(df: DataFrame, col: str, keys: list[str], out: str) -> DataFram
     return df.withColumn(out, F.when(p < 0.5, -z).otherwise(z))
 
 
+def structural(df: DataFrame, keys: list[str], order: str, col: str, maxw: int, minw: int, lags: int, h: float, d: float, weights: int) -> DataFrame:
+    """(keys, order, sadf, csum, fd): the supremum ADF of a series, the events of the CUSUM filter over that (bound ``h``), and the
+    fractional difference of the series (``weights`` of them)."""
+    s = stored(indicators.sadf(df, keys, order, col, maxw, minw, lags).select(*keys, order, "sadf"), "supremum")
+    c = indicators.cusum(s, keys, order, "sadf", h).withColumnRenamed("event", "csum")
+    f = indicators.long_fracdiff(df, keys, order, col, d, {"fd": weights})
+    return matched(matched(s, c, [*keys, order]), f, [*keys, order])
+
+
 def cut(x: Column, edges: list[float]) -> Column:
     """The number of edges at or below the value."""
     return sum(((x >= e).cast("int") for e in edges), F.lit(0))

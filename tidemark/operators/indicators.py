@@ -120,20 +120,28 @@ def cusum(df: DataFrame, keys: list[str], order: str, col: str, h: float, valid:
     return scanned(df, keys, order, [col, valid] if valid else [col], {"event": "long"}, [0.0, 0.0], run, chunk)
 
 
-def sadf(df: DataFrame, keys: list[str], order: str, col: str, maxw: int, minw: int, lags: int, trend: bool = True, mode: str = "quantile", block: int = 2_000) -> DataFrame:
-    """SADF and its spread. A value needs only the maxw samples before it, so series are cut into overlapping blocks of numbered
-    rows and every block is a task of its own."""
+def in_blocks(df: DataFrame, keys: list[str], order: str, inputs: list[str], outputs: dict[str, str], history: int, f: Callable[..., dict[str, np.ndarray]], chunk: Column | None = None, block: int = 50_000) -> DataFrame:
+    """As series(), for what needs no more than the ``history`` rows before a row: series are cut into blocks of numbered rows that
+    begin with them, and every block is a task of its own. ``chunk`` must not decrease along ``order``; by default that is a number."""
     from ..plans.ordered import overlapping, row_number
 
-    numbered = row_number(df.select(*keys, order, col), "_n", keys, [order], F.floor(F.col(order) / 50_000))
-    blocks = overlapping(numbered, "_n", block, maxw - 1)
+    chunk = F.floor(F.col(order) / 50_000) if chunk is None else chunk
+    numbered = row_number(df.select(*keys, order, *inputs, chunk.alias("_by")), "_n", keys, [order], F.col("_by"))
+    blocks = overlapping(numbered, "_n", block, history).withColumn("warmup", F.col("warmup").cast("double"))
+    out = series(blocks, [*keys, "block"], order, [*inputs, "warmup"], {**outputs, "_warm": "double"}, lambda *x: {**f(*x[:-1]), "_warm": x[-1]})
+    return out.where("_warm = 0").drop("block", "_warm")
 
-    def run(x: np.ndarray, warm: np.ndarray) -> dict[str, np.ndarray]:
-        s, d = recursive.sadf(x, maxw, minw, lags, trend, mode)
-        return {"sadf": s, "spread": d, "_warm": warm}
 
-    out = series(blocks.withColumn("warmup", F.col("warmup").cast("double")), [*keys, "block"], order, [col, "warmup"], {"sadf": "double", "spread": "double", "_warm": "double"}, run)
-    return out.where("_warm = 0").drop("block", "_warm")
+def sadf(df: DataFrame, keys: list[str], order: str, col: str, maxw: int, minw: int, lags: int, trend: bool = True, mode: str = "quantile", block: int = 2_000) -> DataFrame:
+    """SADF and its spread over windows of maxw to minw + 1 values."""
+    f = lambda x: dict(zip(("sadf", "spread"), recursive.sadf(x, maxw, minw, lags, trend, mode)))
+    return in_blocks(df, keys, order, [col], {"sadf": "double", "spread": "double"}, maxw - 1, f, block=block)
+
+
+def long_fracdiff(df: DataFrame, keys: list[str], order: str, col: str, d: float, widths: dict[str, int], chunk: Column | None = None) -> DataFrame:
+    """(keys, order, one column for each of ``widths``): fractional differences with hundreds of weights, as convolutions of blocks that
+    overlap by the widest. A window that holds a missing value gives none."""
+    return in_blocks(df, keys, order, [col], dict.fromkeys(widths, "double"), max(widths.values()) - 1, lambda x: {out: recursive.fracdiff(x, d, n) for out, n in widths.items()}, chunk)
 
 
 def adf(df: DataFrame, keys: list[str], order: str, col: str, lags: int, trend: bool = True) -> DataFrame:

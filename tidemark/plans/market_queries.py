@@ -416,6 +416,23 @@ def e9(spark, d):
     return shape(rolled(market.deals(spark, d), 9, lambda t, w: t.withColumn("fd", indicators.fracdiff(F.log("last"), 0.56, 10, w))), "seq", "fd", "symbol")
 
 
+def _long_frac_sql() -> str:
+    from ..functions.recursive import fracdiff_weights
+
+    w = fracdiff_weights(0.56, 512)
+    return f"""WITH w AS (SELECT unnest([{", ".join(repr(float(v)) for v in w)}]) AS c, unnest(range(512)) AS lag),
+    {NUMBERED.removeprefix("WITH ")}, x AS (SELECT symbol, seq, k, ln(last) AS x FROM numbered),
+    s AS (SELECT a.symbol, a.seq, a.k, sum(CASE WHEN lag < 128 THEN c * b.x END) AS fd_128, sum(c * b.x) AS fd_512 FROM x a JOIN w ON a.k > lag JOIN x b ON b.symbol = a.symbol AND b.k = a.k - lag GROUP BY ALL)
+    SELECT symbol, CAST(seq AS BIGINT) AS seq, CASE WHEN k >= 128 THEN round(fd_128, 6) END AS fd_128, CASE WHEN k >= 512 THEN round(fd_512, 6) END AS fd_512 FROM s"""
+
+
+@query("e9_long_fracdiff", _long_frac_sql())
+def e9_long(spark, d):
+    """Fractional differences of 128 and 512 weights."""
+    t = market.deals(spark, d).withColumn("x", F.log("last"))
+    return shape(indicators.long_fracdiff(t, ["symbol"], "seq", "x", 0.56, {"fd_128": 128, "fd_512": 512}, F.to_date("time")), "seq", "fd_128 fd_512", "symbol")
+
+
 RETURNS = VBARS + """, returns AS (
   SELECT *, (0.75 * (open / lag(CASE WHEN highfirst = 1 THEN low ELSE high END) OVER (PARTITION BY symbol ORDER BY uid) - 1) + 0.85 * (CASE WHEN highfirst = 1 THEN high ELSE low END / open - 1)
             + (CASE WHEN highfirst = 1 THEN low ELSE high END / CASE WHEN highfirst = 1 THEN high ELSE low END - 1)) / 2.6 AS ret FROM vbars)"""
@@ -463,7 +480,7 @@ CUSUM = NUMBERED.replace("WITH ", "") + """, r AS (
 
 @query("e17_cusum", "WITH RECURSIVE " + CUSUM + " SELECT r.symbol, CAST(n.seq AS BIGINT) AS seq, CAST(event AS BIGINT) AS event FROM r JOIN numbered n ON n.symbol = r.symbol AND n.k = r.k")
 def e17(spark, d):
-    return shape(indicators.cusum(market.deals(spark, d), ["symbol"], "seq", "last", 200.0), "seq event", "", "symbol")
+    return shape(indicators.cusum(market.deals(spark, d), ["symbol"], "seq", "last", 200.0, chunk=F.to_date("time")), "seq event", "", "symbol")
 
 
 MASKED = NUMBERED + """, valid AS (SELECT *, hour(time) BETWEEN 6 AND 18 AS ok FROM numbered), r AS (

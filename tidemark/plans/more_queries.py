@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..operators import averages, backtest, bars, features, folds, indicators, labels, signals, stats
 from ..sources import files, market
 from ..sources.market import DAILY_SQL, DEALS_SQL, TICKS_SQL
-from ..streaming import live
+from ..streaming import chain, live
 from .market_queries import CUSUM, HOURS, MOVES, NUMBERED, VBARS, VOL, W, WS, _numbered, _recursion, _rows, _vbars, _volatile, rolled, shape, sql
 from .ordered import row_number
 from .registry import query
@@ -655,6 +655,39 @@ def p2(spark, d):
     return shape(_drained(spark, live.cusum_stream(live.tick_stream(spark, f"{d}/events.parquet*"), 200.0)), "seq event", "", "symbol")
 
 
+def _arriving(spark, d) -> str:
+    """The ticks in three files, one after the other."""
+    path = new_path(spark, "arriving")
+    e = market.table(spark, d, "events")
+    top = e.agg(F.max("event_id")).first()[0] or 0
+    for k in range(3):
+        e.where((F.col("event_id") * 3 >= top * k) & ((F.col("event_id") * 3 < top * (k + 1)) | F.lit(k == 2))).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _chained(spark, d, h=None):
+    stream = chain.labels(live.tick_stream(spark, _arriving(spark, d)), 2_000_000, h=h)
+    with live.keyed_state(spark):
+        return _drained(spark, stream)
+
+
+@query("p1_live_labels", sql(BARRIER, "SELECT symbol, twhen, vertbar, CASE WHEN ret > 0 THEN 1 ELSE -1 END AS side, tdone, ret FROM labels WHERE ret IS NOT NULL", "twhen vertbar side tdone", "ret", "symbol"))
+def p1_labels(spark, d):
+    """Triple-barrier labels of all bars, from ticks as they arrive: bars, windows and open events are state."""
+    out = _chained(spark, d).where("kind = 'label'").withColumnRenamed("uid", "twhen")
+    return shape(out, "twhen vertbar side tdone", "ret", "symbol")
+
+
+@query("p2_live_events", "WITH RECURSIVE " + VBARS.replace("WITH ", "") + """, r AS (
+  SELECT symbol, uid, wprice, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, 0 AS event FROM vbars WHERE uid = 0 UNION ALL
+  SELECT symbol, uid, wprice, CASE WHEN u > 60 THEN 0.0 ELSE u END, CASE WHEN u <= 60 AND v < -60 THEN 0.0 ELSE v END, CASE WHEN u > 60 THEN 1 WHEN v < -60 THEN -1 ELSE 0 END
+  FROM (SELECT b.symbol, b.uid, b.wprice, greatest(0.0, r.up + b.wprice - r.wprice) AS u, least(0.0, r.dn + b.wprice - r.wprice) AS v FROM r JOIN vbars b ON b.symbol = r.symbol AND b.uid = r.uid + 1))
+  SELECT symbol, CAST(uid AS BIGINT) AS uid, CAST(event AS BIGINT) AS event FROM r WHERE event <> 0""")
+def p2_events(spark, d):
+    """Events of the CUSUM filter over the bars' prices, from ticks as they arrive."""
+    return shape(_chained(spark, d, 60.0).where("kind = 'bar' AND event <> 0"), "uid event", "", "symbol")
+
+
 @query("p4_stream_dedup", sql(TICKS_SQL, "SELECT * FROM ticks", "seq", "", "symbol"))
 def p4(spark, d):
     return shape(_drained(spark, live.deduplicated(live.tick_stream(spark, f"{d}/events.parquet*"))), "seq", "", "symbol")
@@ -686,8 +719,8 @@ def _by_day(t: DataFrame) -> DataFrame:
 
 def _saved(spark: SparkSession, rows: DataFrame, kind, order: list[str]) -> DataFrame:
     path = new_path(spark, "packed")
-    files.write_packed(rows, kind, path, "name", order).count()
-    return files.read_packed(spark, f"{path}/*.bin", kind)
+    files.write_packed(rows, kind, path, "name", order)
+    return files.read_packed(spark, path, kind)
 
 
 @query("a1_packed_ticks", sql(DEALS_SQL, "SELECT symbol, time_msc, last, volume, CAST(time AS DATE) AS day, row_number() OVER (PARTITION BY symbol, CAST(time AS DATE) ORDER BY time_msc) - 1 AS nth FROM deals", "time_msc volume nth", "last", "symbol"))

@@ -217,10 +217,9 @@ def h11s(spark, d):
 def h1_eleven(spark, d):
     """All eleven features of the bars up to an event, and the label's side, stop and barrier."""
     b = stored(_volatile(spark, d).withColumn("x", F.log("wprice")), "bars")
+    t = features.structural(b, ["symbol"], "uid", "x", maxw=24, minw=16, lags=2, h=1.0, d=0.56, weights=128)
+    t = b.join(t, ["symbol", "uid"]).withColumns({"stdev": F.col("sigma"), "span": F.col("emsc") - F.col("smsc")})
     w = Window.partitionBy("symbol").orderBy("uid")
-    s = indicators.sadf(b, ["symbol"], "uid", "x", 24, 16, 2).select("symbol", "uid", "sadf")
-    c = indicators.cusum(b, ["symbol"], "uid", "wprice", 50.0).select("symbol", "uid", F.col("event").alias("csum"))
-    t = b.withColumns({"fd": indicators.fracdiff(F.col("x"), 0.56, 10, w), "stdev": F.col("sigma"), "span": F.col("emsc") - F.col("smsc")})
-    t = t.withColumns({"dspan": F.col("span") - F.lag("span").over(w), "dnticks": F.col("nticks") - F.lag("nticks").over(w)}).join(s, ["symbol", "uid"], "left").join(c, ["symbol", "uid"], "left")
+    t = t.withColumns({"dspan": F.col("span") - F.lag("span").over(w), "dnticks": F.col("nticks") - F.lag("nticks").over(w)})
     v = features.event_vectors(t, _labels(spark, d).withColumn("sltp", F.lit(2.0)), features.BAR_FEATURES, 4, ["side", "sltp", "vertbar"], 24)
     return shape(v.withColumns({"size": F.size("x"), "first": F.get("x", 0), "second": F.get("x", 1), "last": F.element_at("x", -1)}), "twhen vertbar size inf_start inf_end", "first second last", "symbol")

@@ -26,7 +26,8 @@ def scanned(df: DataFrame, keys: list[str], order: str, inputs: list[str], outpu
     outputs of those rows as a list of arrays and the state after them; it sees the row before ``first`` if there is one. The first
     row of a series comes with ``start``. ``chunk`` must not decrease along ``order``; by default order is a number."""
     block, warm = block or BLOCK, warm or WARM
-    numbered = row_number(df.select(*keys, order, *(F.col(c).cast("double").alias(c) for c in inputs)), "_k", keys, [order], F.floor(F.col(order) / BLOCK) if chunk is None else chunk)
+    chunk = F.floor(F.col(order) / BLOCK) if chunk is None else chunk
+    numbered = row_number(df.select(*keys, order, *(F.col(c).cast("double").alias(c) for c in inputs), chunk.alias("_by")), "_k", keys, [order], F.col("_by"))
     rows = stored(overlapping(numbered, "_k", block, warm), "blocks")
     by = [*keys, "block"]
     ids = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+from . import packed
 
 # Fixed layouts, little-endian and packed.
 TICK = np.dtype([("time", "<i8"), ("bid", "<f8"), ("ask", "<f8"), ("last", "<f8"), ("volume", "<i8"), ("time_msc", "<i8"), ("flags", "<i4"), ("volume_real", "<f8")])
@@ -14,48 +14,26 @@ BAR = np.dtype([("time", "<i8"), ("open", "<f8"), ("high", "<f8"), ("low", "<f8"
 VALUE_BAR = np.dtype([("bid", "<f8"), ("ask", "<f8"), ("last", "<f8"), ("msc", "<i8")])
 SIGNAL = np.dtype([("time", "<u8"), ("quantity", "<i4")])
 
-_SQL = {"i8": "long", "u8": "long", "f8": "double", "i4": "int"}
-
-
-def read_packed(spark: SparkSession, path: str, kind: np.dtype, symbol: str = r"([A-Za-z0-9$]+?)_?[^/_]*$") -> DataFrame:
-    """Records of all files under a path or glob, each with its file's symbol (first group of the pattern on the file name) and number."""
-    schema = "symbol string, seq long, " + ", ".join(f"{n} {_SQL[kind[n].str[1:]]}" for n in kind.names)
-
-    def parse(parts):
-        for part in parts:
-            for name, content in zip(part["symbol"], part["content"]):
-                for at in range(0, len(content) // kind.itemsize, 200_000):
-                    a = np.frombuffer(content, dtype=kind, count=min(200_000, len(content) // kind.itemsize - at), offset=at * kind.itemsize)
-                    yield pd.DataFrame({"symbol": name, "seq": np.arange(at, at + len(a)), **{n: a[n].astype(kind[n].newbyteorder("=")) if kind[n].str[1:] != "u8" else a[n].astype("int64") for n in kind.names}})
-
-    files = spark.read.format("binaryFile").load(path)
-    files = files.select(F.regexp_extract(F.regexp_extract("path", r"([^/]+)$", 1), symbol, 1).alias("symbol"), "content")
-    return files.mapInPandas(parse, schema)
-
-
-def write_packed(df: DataFrame, kind: np.dtype, path: str, name: str, order: list[str]) -> DataFrame:
-    """Write records in the packed layout to ``path``, one file for each value of the column ``name`` (the file's name, without
-    ``.bin``), and return (name, n). A file is written by one task, under a name of the task's own and then renamed, so that a
-    task that runs again writes the same file. Have names for parts of long series (by day, say). Paths may be of any file
-    system that Arrow knows."""
-    schema = f"`{name}` string, n long"
-
-    def save(rows: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
-        rows = rows.sort_values(order, kind="stable")
-        a = np.zeros(len(rows), dtype=kind)
-        for n in kind.names:
-            a[n] = rows[n].to_numpy()
-        store, base = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-        store.create_dir(base, recursive=True)
-        own = f"{base}/_{uuid.uuid4().hex}"
-        with store.open_output_stream(own) as out:
-            out.write(a.tobytes())
-        store.move(own, f"{base}/{rows[name].iloc[0]}.bin")
-        return pd.DataFrame({name: [rows[name].iloc[0]], "n": [len(rows)]})
 
-    return df.select(name, *dict.fromkeys([*kind.names, *order])).groupBy(name).applyInPandas(save, schema)
+def read_packed(spark: SparkSession, path: str, kind: np.dtype, symbol: str = r"([A-Za-z0-9$]+?)_?[^/_]*$", first: int | None = None, columns: list[str] | None = None, symbols: list[str] | None = None) -> DataFrame:
+    """Records of all files of a folder or glob, each with its file's symbol (first group of the pattern on the file name) and its number
+    within its series. Files are read by ranges of records. columns: only these; first: so many records of each series; symbols: files of others
+    are not opened."""
+    spark.dataSource.register(packed.Packed)
+    reader = spark.read.format("packed").options(layout=packed.layout(kind), symbol=symbol, **({} if first is None else {"first": first}), **({} if symbols is None else {"symbols": "\n".join(symbols)}))
+    if columns:
+        whole = packed.Packed({"layout": packed.layout(kind)}).schema()
+        reader = reader.schema(StructType([whole[c] for c in columns]))
+    return reader.load(path)
+
+
+def write_packed(df: DataFrame, kind: np.dtype, path: str, name: str, order: list[str], mode: str = "append") -> None:
+    """Write records in the packed layout to ``path``. The column ``name`` names a record's series, whose records are written in order:
+    by several tasks, into as many files, where there are many. All of a write becomes visible at its end, or nothing. Values must
+    not be null."""
+    df.sparkSession.dataSource.register(packed.Packed)
+    rows = df.select(name, *dict.fromkeys([*kind.names, *order])).repartitionByRange(name, *order).sortWithinPartitions(name, *order)
+    rows.select(name, *kind.names).write.format("packed").options(layout=packed.layout(kind)).mode(mode).save(path)
 
 
 def read_tick_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -94,6 +95,18 @@ def cusum_stream(ticks: DataFrame, h: float) -> DataFrame:
     return ticks.where("volume > 0").groupBy("symbol").applyInPandasWithState(step, "symbol string, seq long, event long", "has boolean, last double, up double, down double", "append", GroupStateTimeout.NoTimeout)
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB, as list state and timers ask for, for streams that are started within."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def drain(stream: DataFrame, checkpoint: str, path: str, mode: str = "append") -> None:
     """Everything there is now, to Parquet, exactly once."""
     stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start().awaitTermination()
