@@ -200,11 +200,10 @@ def test_search_runs_whole_documents(spark, monkeypatch):
     """Every 20th document as a query, in several rounds and shards, long and short ones."""
     monkeypatch.setattr(search, "QUERIES", 4)
     monkeypatch.setattr(search, "SHARD", 20_000)
-    monkeypatch.setattr(search, "LONG", 150)
     got = sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in queries.QUERIES["op2_bm25_documents"](spark, SF).collect())
     table = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     asked = [(i, t) for i, t in table if i % 20 == 0]
-    assert len(asked) >= 10 and {len(set((t or "").lower().split())) > search.LONG for _, t in asked} == {True, False}
+    assert len(asked) >= 10 and {len(set((t or "").lower().split())) > 150 for _, t in asked} == {True, False}
     want = brute_bm25(table, asked, 10)
     assert [x[:3] for x in got] == [x[:3] for x in want]
     assert [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=2e-6)
@@ -218,28 +217,52 @@ def test_search_prunes_within_blocks():
     h = Words([t.encode() for _, t in texts], lower=True)
     terms, code = np.unique(h.hash, return_inverse=True)
     key, count = np.unique(code * len(texts) + h.doc, return_counts=True)
-    shard = search._Shard.__new__(search._Shard)
+    shard = search.Shard.__new__(search.Shard)
     shard.doc_id, shard.length = np.arange(900), np.bincount(h.doc, minlength=900)
     shard.terms, shard.starts = terms, np.searchsorted(key // 900, np.arange(len(terms) + 1))
     shard.docs, shard.counts = key % 900, count
     mean = len(h.hash) / 900
+    pruned = search.Pruned(shard, mean, 1.2, 0.75)
     for seed in range(20):
-        words = list(dict.fromkeys(np.random.default_rng(seed).choice(WORDS[:40], 6)))
+        words = list(dict.fromkeys(np.random.default_rng(seed).choice(WORDS[:40], 6 if seed % 2 else 30)))
         plan = [(int(Words([w.encode()], lower=True).hash[0]), math.log(1 + (900 - df[w] + 0.5) / (df[w] + 0.5))) for w in words]
-        got = [(round(s, 9), d) for s, d in shard.top(plan, 10, mean, 1.2, 0.75)]
+        order = np.argsort([t for t, _ in plan])
+        asked, weights = np.array([plan[i][0] for i in order], dtype=np.uint64), np.array([plan[i][1] for i in order])
+        got = pruned.top(asked, weights, 10)
         all_ = {}
         for t, w in plan:
-            d, c = shard.postings(t)
-            for x, n in zip(d.tolist(), c.tolist()):
+            at = int(np.searchsorted(terms, np.uint64(t)))
+            for x, n in zip(shard.docs[shard.starts[at] : shard.starts[at + 1]].tolist(), shard.counts[shard.starts[at] : shard.starts[at + 1]].tolist()):
                 all_[x] = all_.get(x, 0) + w * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * shard.length[x] / mean))
         want = sorted(((round(s, 9), d) for d, s in all_.items()), key=lambda x: (-x[0], x[1]))[:10]
-        assert got == want
+        assert [d for _, d in got] == [d for _, d in want] and [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=2e-9)
+        bound = pruned.bounds(*(lambda p: (p[0], weights[p[1]]))(shard.places(asked))) + 1e-6
+        assert all(s <= bound[d] for d, s in all_.items())
+
+
+def test_search_skips_what_cannot_win():
+    """A text with a dozen near copies: of a thousand documents only few are scored."""
+    r, often = np.random.default_rng(6), 1 / np.arange(1, 4001)
+    base, *others = (" ".join(f"w{w}" for w in r.choice(4000, 80, p=often / often.sum())) for _ in range(1001))
+    texts = [f"y{i} {base}" if i % 80 == 0 else t for i, t in enumerate(others)]
+    h = Words([t.encode() for t in texts], lower=True)
+    shard = search.Shard.__new__(search.Shard)
+    shard.terms, code = np.unique(h.hash, return_inverse=True)
+    key, shard.counts = np.unique(code * 1000 + h.doc, return_counts=True)
+    shard.doc_id, shard.length, shard.docs = np.arange(1000), np.bincount(h.doc), key % 1000
+    shard.starts = np.searchsorted(key // 1000, np.arange(len(shard.terms) + 1))
+    pruned, passed = search.Pruned(shard, 80.0, 1.2, 0.75), []
+    scored = pruned.scores
+    pruned.scores = lambda docs: passed.extend(docs.tolist()) or scored(docs)
+    asked, times = np.unique(Words([base.encode()], lower=True).hash, return_counts=True)
+    got = pruned.top(asked, times * 1.0, 10)
+    assert all(d % 80 == 0 for _, d in got) and len(passed) < 500
 
 
 def test_search_ties_go_to_the_smaller_id(spark):
-    """Many equal documents, in any order and over several tasks, by both ways of scoring."""
+    """Many equal documents, in any order and over several tasks, for short and long queries."""
     rows = [(int(i), "red apple tree", 1) for i in np.random.default_rng(1).permutation(90)] + [(100 + i, "green", 1) for i in range(9)]
-    q = spark.createDataFrame([(1, "apple tree"), (2, " ".join(["apple", *(f"z{i}" for i in range(search.LONG + 5)), "red"]))], "query_id long, text string")
+    q = spark.createDataFrame([(1, "apple tree"), (2, " ".join(["apple", *(f"z{i}" for i in range(70)), "red"]))], "query_id long, text string")
     got = search.top_k(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3), q, k=7).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["doc_id"]) for r in got] == [(k, i) for k in (1, 2) for i in range(7)]
 
@@ -567,6 +590,25 @@ def test_shards_write_each_row_once(spark, tmp_path, empty):
     assert Counter((r["doc_id"], r["text"], r["prefix"]) for r in back.collect()) == Counter(rows)
     assert back.groupBy("local_depth", "_prefix", "row_prefix").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] <= 100
     sharding.write(empty, 100, f"{tmp_path}/b")
+    assert sharding.read(spark, f"{tmp_path}/b", empty.schema).collect() == []
+
+
+def test_shards_are_written_alike_with_and_without_a_directory(spark, tmp_path, monkeypatch):
+    d = spark.createDataFrame([(i, "x" * (i % 30)) for i in range(400)], "doc_id long, text string").repartition(3)
+    want = {(r["doc_id"], r["local_depth"], r["prefix"]) for r in sharding.shards(d, 200).collect()}
+    for k, most in enumerate((100_000, 0)):
+        monkeypatch.setattr(sharding, "DIRECTORY", most)
+        sharding.write(d, 200, f"{tmp_path}/{k}")
+        back = sharding.read(spark, f"{tmp_path}/{k}", d.schema).collect()
+        assert {(r["doc_id"], r["local_depth"], r["prefix"]) for r in back} == want and len(back) == 400 and all(len(r["text"]) == r["doc_id"] % 30 for r in back)
+
+
+def test_quality_learns_from_the_documents_at_hand(spark):
+    """Labels of documents that are not there take no place in the sample."""
+    d = spark.createDataFrame([(i, ("good words here " if i % 2 else "bad stuff there ") * 20) for i in range(60)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 2)) for i in range(3000)], "doc_id long, quality int")
+    got = quality.score(d, quality.fit(d, marks, sample=60)).collect()
+    assert np.mean([(r["score"] > 0.5) == bool(r["doc_id"] % 2) for r in got]) == 1
 
 
 # 9
@@ -687,7 +729,7 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in language.predict(docs, language.train(empty)).collect()} == {"und"}
 
 
-def test_recurrent_gradient():
+def test_recurrent_gradient_of_a_small_network():
     """Backpropagation through time against finite differences."""
     net = language.Network(["a", "b"])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

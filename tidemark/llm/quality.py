@@ -127,11 +127,12 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled documents (those whose hashed ids are smallest). Null labels, ids and texts
+    """A model from at most ``sample`` labelled ones of ``docs`` (those whose hashed ids are smallest). Null labels, ids and texts
     are left out; a document with several labels counts as good if any says so. Without any label, or with one kind
     alone, the model knows nothing more than their share."""
     spark = docs.sparkSession
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    chosen = chosen.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # ids only: labels of other documents take no place
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
 

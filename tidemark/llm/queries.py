@@ -70,7 +70,13 @@ SHARD_BYTES = 1 << 20
 
 
 def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+    """Writes the documents to shards of a megabyte at most and reads them back."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = store.new_path(spark, "shards")
+    sharding.write(docs, SHARD_BYTES, path)
+    rows = sharding.read(spark, path, docs.schema).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).drop("text")
+    sums = rows.groupBy(*sharding.SHARD).agg(F.sum("n_bytes").alias("shard_bytes"))
+    return rows.join(sums, list(sharding.SHARD)).select("doc_id", "n_bytes", *sharding.SHARD, "shard_bytes")
 
 
 def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,13 @@
 
 Documents are indexed in shards of bounded text size. Statistics (documents, lengths, document frequencies of the
 queries' words) are summed over all shards first, so that a shard scores as the whole collection would, and the best k of
-all shards' best k are the best k. Within a shard cursors move by pivots: the upper bounds of words decide which document
-can still enter the top k, the maxima of posting blocks decide whether it is scored or skipped with its blocks. Whole texts
-as queries (more than ``LONG`` distinct words) leave nothing to skip: their postings are added up in numpy.
+all shards' best k are the best k. Within a shard the maxima of posting blocks decide which documents can still enter the
+best k; only those are scored, whether a query has two words or a thousand.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +19,8 @@ from .store import materialize, slices
 from .words import SPACE, Words, chunks, encoded
 
 SHARD = 8 << 20  #: bytes of text
-BLOCK = 64  #: postings that share a maximum
+BLOCK = 4  #: documents whose postings share a maximum
 QUERIES = 2_000  #: queries that are broadcast at once
-LONG = 64  #: distinct words of a query beyond which every posting is scored
 _INDEX = "shard long, doc_id binary, length binary, terms binary, starts binary, docs binary, counts binary, n_docs long, n_filled long, n_words long"
 
 
@@ -95,80 +91,70 @@ class Shard:
         at, hit = self.places(terms)
         return np.where(hit, self.starts[np.minimum(at + 1, len(self.starts) - 1)] - self.starts[at], 0).astype(np.int64)
 
-    def postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
-        at = int(np.searchsorted(self.terms, np.uint64(term)))
-        if at == len(self.terms) or self.terms[at] != term:
-            return self.docs[:0], self.counts[:0]
-        return self.docs[self.starts[at] : self.starts[at + 1]], self.counts[self.starts[at] : self.starts[at + 1]]
 
-    def parts(self, mean: float, k1: float, b: float) -> np.ndarray:
-        """Each posting's score for a word of weight 1."""
-        return self.counts * (k1 + 1) / (self.counts + k1 * (1 - b + b * self.length[self.docs] / mean))
-
-    def scan(self, terms: np.ndarray, weights: np.ndarray, parts: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """As ``top``, from all postings. Words are added in the order given, so that equal documents score equally."""
-        at, hit = self.places(terms)
+class Pruned:
+    """Block-max WAND over one shard, for all its documents at once.
+
+    A list's postings come in blocks, those of BLOCK neighbouring documents, with the largest score of each. Added up over a
+    query's lists, the maxima of a document's blocks bound its score; lists without a posting there add nothing. Documents are scored
+    in the order of their bounds, by the words that they have, until the next bound is below the k-th best score: no other
+    document can enter the best k."""
+
+    def __init__(self, shard: Shard, mean: float, k1: float, b: float):
+        """Each posting's score is for a word of weight 1."""
+        self.shard, n = shard, len(shard.doc_id)
+        part = shard.counts * (k1 + 1) / (shard.counts + k1 * (1 - b + b * shard.length[shard.docs] / mean))
+        size = np.diff(shard.starts.astype(np.int64))
+        term = np.repeat(np.arange(len(size)), size)
+        piece = shard.docs // BLOCK
+        start = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(piece.astype(np.int64), prepend=-1) != 0))
+        self.block = np.searchsorted(term[start], np.arange(len(size) + 1))  # first block of each list
+        self.most = np.maximum.reduceat(part, start) if len(start) else part
+        self.piece = piece[start].astype(np.int64)
+        order = np.argsort(shard.docs, kind="stable")
+        self.term, self.part = term[order], part[order]
+        self.begin = np.searchsorted(shard.docs[order], np.arange(n + 1))
+        self.weight = np.zeros(len(size))
+
+    def bounds(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """No document scores more than this. at: lists."""
+        n = len(self.shard.doc_id)
+        many = self.block[at + 1] - self.block[at]
+        b = _runs(self.block[at], many)
+        return np.bincount(self.piece[b], self.most[b] * np.repeat(weights, many), -(-n // BLOCK)).repeat(BLOCK)[:n]
+
+    def scores(self, docs: np.ndarray) -> np.ndarray:
+        size = self.begin[docs + 1] - self.begin[docs]
+        p = _runs(self.begin[docs], size)
+        total = np.concatenate([[0.0], self.weight[self.term[p]] * self.part[p]])
+        return np.round(np.add.reduceat(total, np.cumsum(size) - size + 1), 9) if len(p) else np.zeros(len(docs))
+
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """(score, doc_id) of the best k, by scores rounded to nine places, equal ones by smaller doc_id."""
+        at, hit = self.shard.places(terms)
         at, weights = at[hit], weights[hit]
-        start = self.starts[at].astype(np.int64)
-        size = self.starts[at + 1] - start
-        place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        score = np.round(np.bincount(self.docs[place], parts[place] * np.repeat(weights, size), minlength=len(self.doc_id)), 9)
-        least = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        best = np.flatnonzero((score >= least) & (score > 0))
-        best = best[np.lexsort((self.doc_id[best], -score[best]))][:k]
-        return list(zip(score[best].tolist(), self.doc_id[best].tolist()))
-
-    def top(self, query: list[tuple[int, float]], k: int, mean: float, k1: float, b: float) -> list[tuple[float, int]]:
-        """(score, doc_id) of the best k, by scores rounded to nine places, equal ones by smaller doc_id. query: (word, weight)."""
-        lists = []
-        for term, weight in query:
-            docs, counts = self.postings(term)
-            if len(docs):
-                part = weight * counts * (k1 + 1) / (counts + k1 * (1 - b + b * self.length[docs] / mean))
-                first = np.arange(0, len(docs), BLOCK)
-                lists.append([docs.tolist(), part.tolist(), np.maximum.reduceat(part, first).tolist(), docs[np.minimum(first + BLOCK, len(docs)) - 1].tolist(), float(part.max()), 0])
-        heap: list[tuple[float, int]] = []  # (score, -doc_id): the worst first
-        bar = -1.0
-        slack = 1e-9  # rounded scores may be so much above their bounds
-        while lists:
-            lists.sort(key=lambda c: c[0][c[5]])
-            bound, pivot = 0.0, None
-            for i, c in enumerate(lists):
-                bound += c[4]
-                if bound + slack >= bar:
-                    pivot = i
-                    break
-            if pivot is None:
-                break
-            doc = lists[pivot][0][lists[pivot][5]]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][5]] == doc:
-                pivot += 1
-            at_most, until = 0.0, lists[pivot + 1][0][lists[pivot + 1][5]] if pivot + 1 < len(lists) else len(self.doc_id)
-            for c in lists[: pivot + 1]:
-                block = bisect_left(c[3], doc, c[5] // BLOCK)
-                if block < len(c[3]):
-                    at_most += c[2][block]
-                    until = min(until, c[3][block] + 1)
-            if at_most + slack >= bar:
-                target = doc
-                if lists[0][0][lists[0][5]] == doc:
-                    score = 0.0
-                    for c in sorted(lists[: pivot + 1], key=lambda c: c[4]):
-                        score += c[1][c[5]]
-                    item = (round(score, 9), -int(self.doc_id[doc]))
-                    if len(heap) < k:
-                        heapq.heappush(heap, item)
-                    elif item > heap[0]:
-                        heapq.heapreplace(heap, item)
-                    bar = heap[0][0] if len(heap) == k else bar
-                    target = doc + 1
-            else:
-                target = max(until, doc + 1)
-            for c in lists[: pivot + 1]:
-                if c[0][c[5]] < target:
-                    c[5] = bisect_left(c[0], target, c[5])
-            lists = [c for c in lists if c[5] < len(c[0])]
-        return [(s, -d) for s, d in sorted(heap, reverse=True)]
+        if not len(at):
+            return []
+        bound = self.bounds(at, weights) + 1e-6  # for rounding
+        self.weight[at] = weights
+        order = np.argsort(-bound, kind="stable")
+        doc, score = np.zeros(0, np.int64), np.zeros(0)
+        done, step, bar = 0, 4 * k, 0.0
+        while done < len(order) and bound[order[done]] >= bar:
+            some = order[done : done + step]
+            some = np.sort(some[(bound[some] >= bar) & (self.begin[some + 1] > self.begin[some])])
+            doc, score = np.concatenate([doc, some]), np.concatenate([score, self.scores(some)])
+            best = np.lexsort((self.shard.doc_id[doc], -score))[:k]
+            doc, score = doc[best], score[best]
+            done, step = done + step, 2 * step
+            bar = score[-1] if len(score) == k else 0.0
+        self.weight[at] = 0
+        return [(float(s), int(d)) for s, d in zip(score, self.shard.doc_id[doc]) if s > 0]
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start[i], start[i] + 1, ..., size[i] of them, one run after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -208,12 +194,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
         def search(batches, plans=plans, mean=mean):
             for batch in slices(batches, 1):
                 for row in batch.to_pylist():
-                    shard = Shard(row)
-                    parts = shard.parts(mean, k1, b)
-                    hits = []
-                    for q, terms, weights in plans.value:
-                        best = shard.scan(terms, weights, parts, k) if len(terms) > LONG else shard.top(list(zip(terms.tolist(), weights.tolist())), k, mean, k1, b)
-                        hits += [(q, d, s) for s, d in best]
+                    shard = Pruned(Shard(row), mean, k1, b)
+                    hits = [(q, d, s) for q, terms, weights in plans.value for s, d in shard.top(terms, weights, k)]
                     if hits:
                         yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "doc_id", "score"])
 

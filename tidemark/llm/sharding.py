@@ -3,22 +3,29 @@
 The directory is indexed by bits of a key's hash, first bit first. It starts as one bucket; a bucket over the byte limit
 is split on its next bit, and no other is. STEP bits are looked at in a round, all by grouped sums: bytes are summed for
 prefixes of each depth, a row's shard is its shortest prefix that fits, and only rows whose prefixes are all too large go
-on to deeper bits. A prefix of a round has at most 2**STEP finer ones, and rows learn their shard by a join that leaves those
-of hot keys where they are, so that no key passes through one task.
+on to the next round's bits. A prefix of a round has at most 2**STEP finer ones, and rows learn their shard by a join that leaves
+those of hot keys where they are, so that no key passes through one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .store import free, join_counted, materialize
 
 KEY_BITS = 60  #: of md5 over the key; rows of one key are told apart by ROW_BITS more
 ROW_BITS = 32
-STEP = 12
+STEP = 4
+DIRECTORY = 100_000  #: shards of a directory that is broadcast (three numbers each)
 SHARD = ("local_depth", "prefix", "row_prefix")
 
 
+def _key_hash(key: str) -> Column:
+    text = F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def _prefix(depth: Column) -> tuple[Column, Column]:
     """Key bits and row bits of a prefix."""
     key = F.when(depth <= KEY_BITS, F.expr(f"shiftright(key_hash, cast({KEY_BITS} - least(depth, {KEY_BITS}) as int))")).otherwise(F.col("key_hash"))
@@ -43,7 +50,7 @@ def _placed(docs: DataFrame, limit: int, key: str, row: str | None = None) -> Da
         raise ValueError("the limit must be positive")
     rows = docs.select(
         F.col(key).alias("key"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")), 1, 15), 16, 10).cast("long").alias("key_hash"),
+        _key_hash(key).alias("key_hash"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
     )
@@ -77,17 +84,32 @@ def _placed(docs: DataFrame, limit: int, key: str, row: str | None = None) -> Da
 
 def write(docs: DataFrame, limit: int, path: str, key: str = "doc_id") -> None:
     """Write the rows of each shard to a folder of its own under ``path``, each row once, whatever keys repeat. The folders are
-    named by the columns of SHARD, with underscores before those that ``docs`` has."""
-    row = free("row", docs.columns)
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    names = [free(n, docs.columns) for n in SHARD]
-    found = _placed(numbered.select(F.col(key), "text", row), limit, key, row).select(F.col("row").alias(row), *(F.col(c).alias(n) for c, n in zip(SHARD, names)))
-    numbered.join(found, row).drop(row).repartition(*names).write.partitionBy(*names).parquet(path)
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The rows that write() wrote and their shards."""
-    return spark.read.parquet(path)
+    named by the columns of SHARD, with underscores before those that ``docs`` has.
+
+    Where no key had to be split and the directory has at most DIRECTORY shards, it is broadcast and texts are shuffled once, to
+    their shards; else rows are numbered, written and joined with their shards by number."""
+    names, row = [free(n, docs.columns) for n in SHARD], free("row", docs.columns)
+    shards_ = materialize(_placed(docs.select(F.col(key), "text"), limit, key).select(*SHARD).distinct(), "shards")
+    n, deepest = shards_.agg(F.count("*"), F.max("local_depth")).first()
+    if n and n <= DIRECTORY and deepest <= KEY_BITS:
+        depths = [r[0] for r in shards_.select("local_depth").distinct().collect()]  # up to KEY_BITS numbers
+        h = free("key_hash", docs.columns)
+        rows = docs.withColumn(h, _key_hash(key)).withColumn(names[0], F.explode(F.array(*map(F.lit, depths)))).withColumn(names[1], F.expr(f"shiftright(`{h}`, cast({KEY_BITS} - `{names[0]}` as int))"))
+        placed = rows.join(F.broadcast(shards_.toDF(*names)), names[:2]).drop(h)
+    else:
+        numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        found = _placed(numbered.select(F.col(key), "text", row), limit, key, row).select(F.col("row").alias(row), *(F.col(c).alias(n) for c, n in zip(SHARD, names)))
+        placed = numbered.join(found, row).drop(row)
+    placed.repartition(*names).write.partitionBy(*names).parquet(path)
+
+
+def read(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """The rows that write() wrote and their shards. schema: of the rows, without which a table that is empty cannot be read."""
+    if schema is None:
+        return spark.read.parquet(path)
+    names = [free(n, schema.names) for n in SHARD]
+    kinds = zip(names, (IntegerType(), LongType(), LongType()))
+    return spark.read.schema(StructType([*schema.fields, *(StructField(n, k) for n, k in kinds)])).parquet(path)
 
 
 def oracle(limit: int) -> str:
