@@ -125,6 +125,29 @@ def test_sums_in_blocks_are_the_whole_series(spark, monkeypatch, h):
     assert got == {(s, i): e for s, vs in x.items() for i, e in enumerate(r.cusum(vs, h).tolist())}
 
 
+@pytest.mark.parametrize("limit", [0, 3, 40, 10_000])
+def test_sessions_by_doubling(spark, limit):
+    g = np.random.default_rng(3)
+    x = {s: np.cumsum(g.integers(0, 6, n)) for s, n in (("a", 300), (None, 50), ("c", 1))}
+    df = spark.createDataFrame([(s, i + 1, int(v)) for s, vs in x.items() for i, v in enumerate(vs)], "symbol string, k long, t long")
+    got = {(v["symbol"], v["k"]): v["since"] for v in indicators.since_start(df, ["symbol"], "k", "t", limit).collect()}
+    assert got == {(s, i + 1): v for s, vs in x.items() for i, v in enumerate(r.since_start(vs.astype(float), limit).tolist())}
+
+
+def test_quantiles_of_ties_and_nulls(spark):
+    from tidemark.operators import features, stats
+
+    g = np.random.default_rng(8)
+    x = {"a": g.integers(0, 5, 301) / 2, None: g.normal(size=100), "c": np.array([7.0]), "d": np.array([])}
+    df = spark.createDataFrame([(s, float(v)) for s, vs in x.items() for v in vs] + [("a", None), ("d", None)], "symbol string, x double").repartition(5)
+    points = {"q0": 0.0, "q1": 0.1, "q5": 0.5, "q9": 0.93, "q10": 1.0}
+    got = {v["symbol"]: [v[p] for p in points] for v in stats.quantiles(df, ["symbol"], "x", points).collect()}
+    assert got == {s: [pytest.approx(np.quantile(vs, p)) if len(vs) else None for p in points.values()] for s, vs in x.items()}
+    assert [tuple(v) for v in stats.quantiles(df, [], "x", {"m": 0.5}).collect()] == [(pytest.approx(np.median(np.concatenate([*x.values()]))),)]
+    z = features.normal_score(df, "x", ["symbol"], "z").where("symbol = 'a' AND x IS NOT NULL").groupBy("x").agg(F.min("z"), F.max("z")).orderBy("x").collect()
+    assert len(z) == 5 and all(v[1] == v[2] for v in z) and [v[1] for v in z] == sorted(v[1] for v in z)
+
+
 def test_mama_follows_a_price():
     x = 100 + 10 * np.sin(np.arange(300) / 4)
     m, f = r.mama(x, 0.5, 0.05)

@@ -4,10 +4,10 @@ Every item is fingerprinted over its word pairs, once for each of ``STRIDE`` off
 ``STRIDE``-th word only and an unchanged item always meets a window with its own fingerprint. Window sizes follow the items:
 exact for short ones, in steps of five per cent for longer ones. A fingerprint of 64 bits is four blocks of 16; blocks
 within two bits of an item's are looked up in tables, which by the pigeonhole principle finds every fingerprint within
-11 bits. Those windows, grown to the item's length, are verified by exact weighted-shingle similarity.
+11 bits. All passages around those windows are verified by exact weighted-shingle similarity.
 
-Near the threshold a fingerprint may be further off, and a text may be shorter than an item's window. A passage that is similar
-enough lacks at most a known share of an item's shingles, so that it has one of any few more: these are looked up in every
+That finds nearly all. Near the threshold a fingerprint may be further off, and a text may be shorter than an item's window. A
+passage that is similar enough lacks at most a known share of an item's shingles, so that it has one of any few more: these are looked up in every
 text, and where one is found all passages are compared. No passage is missed, whatever its fingerprint.
 """
 
@@ -176,26 +176,34 @@ class Index:
         own = item.windows(2)[0] if len(item.hash) > 1 else item.hash
         return int((of(pairs) != of(own)).sum())
 
-    def verify(self, words: Words, threshold: float):
-        """(text's place, item_id, first word, words, similarity, distance), the best of overlapping ones."""
+    def _around(self, words: Words) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
+        """(text's place, item's place) to stretches of words (from, to, least distance) in which passages are looked for: a quarter of
+        the item's length to either side of each window within the radius, one stretch where they meet."""
+        out: dict[tuple[int, int], list] = {}
+        for place, a, apart, doc in sorted(set(self.candidates(words)), key=lambda c: (c[3], c[0], c[1])):
+            n = self.items[place][1]
+            x, y = max(a - n // 4 - 5, int(words.first[doc])), min(a + n + n // 4 + 5, int(words.first[doc + 1]))
+            spans = out.setdefault((doc, place), [])
+            if spans and x <= spans[-1][1]:
+                x, _, least = spans.pop()
+                apart = min(apart, least)
+            if x < y:
+                spans.append((x, y, apart))
+        return out
+
+    def verify(self, words: Words, threshold: float, whole: bool = True):
+        """(text's place, item_id, first word, words, similarity, distance), the best of overlapping ones. Without ``whole`` only
+        fingerprints lead to passages."""
         grams: dict[int, np.ndarray] = {}
         best: dict[tuple[int, int], list] = {}
-        for place, a, apart, doc in sorted(set(self.candidates(words))):
-            item, n, k, own = self.items[place]
+        for (doc, place), spans in self._around(words).items():
+            k = self.items[place][2]
             if k not in grams:
                 grams[k] = words.windows(k)[0]
-            lo, hi = words.first[doc], words.first[doc + 1]
-            for first in (a, a - 1, a + 1):
-                for m in (n, n - 1, n + 1, n - 2, n + 2):
-                    x, y = max(first, lo), min(first + m, hi)
-                    if y - x < k:
-                        continue
-                    seen = Counter(grams[k][x : y - k + 1].tolist())
-                    common = sum((own & seen).values())
-                    s = common / (own.total() + seen.total() - common)
-                    if s >= threshold:
-                        best.setdefault((doc, place), []).append((-s, x - lo, y - x, apart))
-        for doc, place in self.sharing(words, grams):
+            for x, y, apart in spans:
+                found = self.passages(grams[k][x : y - k + 1], place, threshold)
+                best.setdefault((doc, place), []).extend((-s, x - int(words.first[doc]) + first, m, apart) for s, first, m in found)
+        for doc, place in self.sharing(words, grams) if whole else ():
             lo, hi, k = int(words.first[doc]), int(words.first[doc + 1]), self.items[place][2]
             best.setdefault((doc, place), []).extend((-s, x, m, 65) for s, x, m in self.passages(grams[k][lo : hi - k + 1], place, threshold))
         for (doc, place), hits in best.items():
@@ -207,13 +215,14 @@ class Index:
                 yield doc, self.items[place][0], int(x), int(m), -s, int(apart) if apart <= 64 else self.apart(words, int(words.first[doc]) + x, m, place)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, whole: bool = True) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity, distance): each passage of a document whose five-word shingles,
     weighted by how often they occur, have a Jaccard similarity of at least ``threshold`` to those of an item.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; items of fewer than five words are one shingle.
-    Null and empty texts or items give nothing; equal items each give their rows. The items are broadcast, ITEMS at a time,
-    so what is broadcast is bounded whatever the benchmark's size.
+    Null and empty texts or items give nothing; equal items each give their rows, and so do rows that repeat a doc_id. A document's
+    null doc_id is an id like others, items with null item_id are left out. Other columns take no part. The items are broadcast, ITEMS
+    at a time, so what is broadcast is bounded whatever the benchmark's size. Without ``whole`` only what fingerprints lead to is found.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
@@ -228,7 +237,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
             for batch in slices(batches):
                 ids = batch.column("doc_id").to_pylist()
                 for at, texts in chunks(encoded(batch.column("text").to_pylist()), _CHUNK):
-                    rows = [(ids[at + doc], *rest) for doc, *rest in index.value.verify(Words(texts, lower=True), threshold)]
+                    rows = [(ids[at + doc], *rest) for doc, *rest in index.value.verify(Words(texts, lower=True), threshold, whole)]
                     if rows:
                         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
                         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "item_id", "start_word", "n_words", "similarity", "distance"])

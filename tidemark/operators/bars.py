@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.ordered import running_sum
+from ..plans.ordered import matched, running_sum
+from .stats import quantiles
 
 
 def bar_ids(deals: DataFrame, size: int) -> DataFrame:
@@ -80,8 +81,8 @@ def session_checks(df: DataFrame) -> DataFrame:
 def bar_report(bars: DataFrame) -> DataFrame:
     """Bars per day, life and ticks of a bar at some percentiles, by symbol."""
     per_day = bars.groupBy("symbol", F.to_date("time").alias("day")).agg(F.count("*").alias("n")).groupBy("symbol").agg(F.avg("n").alias("bars_a_day"))
-    life = bars.groupBy("symbol").agg(F.percentile((F.col("emsc") - F.col("smsc")) / 1000, F.lit(0.5)).alias("life_p50"), F.percentile("nticks", F.lit(0.9)).alias("nticks_p90"))
-    return per_day.join(life, "symbol")
+    bars = bars.withColumn("life", (F.col("emsc") - F.col("smsc")) / 1000)
+    return matched(matched(per_day, quantiles(bars, ["symbol"], "life", {"life_p50": 0.5}), ["symbol"]), quantiles(bars, ["symbol"], "nticks", {"nticks_p90": 0.9}), ["symbol"])
 
 
 def synthetic_ticks(bars: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.ordered import matched
 from ..plans.scratch import stored
-from . import indicators
+from . import indicators, stats
 
 BAR_FEATURES = ["dtp", "wprice", "fd", "sadf", "csum", "stdev", "span", "nticks", "netvol", "dspan", "dnticks"]
 
@@ -32,29 +32,32 @@ def log_volumes(df: DataFrame, cols: list[str], shift: float = 1.0) -> DataFrame
 
 def z_scores(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     """Less the mean, by the population deviation, within each key; the statistics are one row per key."""
-    stats = df.groupBy(*keys).agg(*(f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))))
-    return df.join(stats, keys).withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)) for c in cols}).drop(*(f"_{n}_{c}" for c in cols for n in "ms"))
+    moments = df.groupBy(*keys).agg(*(f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    return matched(df, moments, keys).withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)) for c in cols}).drop(*(f"_{n}_{c}" for c in cols for n in "ms"))
 
 
 def min_max(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
-    stats = df.groupBy(*keys).agg(*(f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("a", F.min), ("b", F.max))))
-    return df.join(stats, keys).withColumns({c: (F.col(c) - F.col(f"_a_{c}")) / F.nullif(F.col(f"_b_{c}") - F.col(f"_a_{c}"), F.lit(0.0)) for c in cols}).drop(*(f"_{n}_{c}" for c in cols for n in "ab"))
+    ends = df.groupBy(*keys).agg(*(f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("a", F.min), ("b", F.max))))
+    return matched(df, ends, keys).withColumns({c: (F.col(c) - F.col(f"_a_{c}")) / F.nullif(F.col(f"_b_{c}") - F.col(f"_a_{c}"), F.lit(0.0)) for c in cols}).drop(*(f"_{n}_{c}" for c in cols for n in "ab"))
 
 
 def robust(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     """Less the median, by the spread between the quartiles."""
-    stats = df.groupBy(*keys).agg(*(F.percentile(c, F.lit(p)).alias(f"_{n}_{c}") for c in cols for n, p in (("a", 0.25), ("m", 0.5), ("b", 0.75))))
-    return df.join(stats, keys).withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_b_{c}") - F.col(f"_a_{c}"), F.lit(0.0)) for c in cols}).drop(*(f"_{n}_{c}" for c in cols for n in "amb"))
+    out = df
+    for c in cols:
+        out = matched(out, stats.quantiles(df, keys, c, {f"_a_{c}": 0.25, f"_m_{c}": 0.5, f"_b_{c}": 0.75}), keys)
+    return out.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_b_{c}") - F.col(f"_a_{c}"), F.lit(0.0)) for c in cols}).drop(*(f"_{n}_{c}" for c in cols for n in "amb"))
 
 
 def normal_score(df: DataFrame, col: str, keys: list[str], out: str) -> DataFrame:
     """The normal quantile of each value's rank within its key (a rational approximation by column expressions)."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    r = F.rank().over(Window.partitionBy(*keys).orderBy(col))
-    p = (r - 0.5) / n
+    d = stored(stats.distribution(df, keys, col), "distribution")
+    n = d.groupBy(*keys).agg(F.max("upto").alias("_total"))
+    df = matched(df, matched(d, n, keys).select(*keys, col, (F.col("upto") - F.col("n") + 1).alias("_rank"), "_total"), [*keys, col], "left")
+    p = (F.col("_rank") - 0.5) / F.col("_total")
     t = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
     z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-    return df.withColumn(out, F.when(p < 0.5, -z).otherwise(z))
+    return df.withColumn(out, F.when(p < 0.5, -z).otherwise(z)).drop("_rank", "_total")
 
 
 def structural(df: DataFrame, keys: list[str], order: str, col: str, maxw: int, minw: int, lags: int, h: float, d: float, weights: int) -> DataFrame:

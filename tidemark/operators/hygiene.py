@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.ordered import matched
+from .stats import quantiles
+
 SERIES = ["symbol"]
 ORDER = ["seq"]
 
@@ -68,8 +71,9 @@ def without_borders(df: DataFrame, minutes: int, start: int = 10 * 60, stop: int
 
 def winsorize(df: DataFrame, cols: list[str], q: float, keys: list[str]) -> DataFrame:
     """Columns clipped to their exact quantiles q and 1 - q within each key."""
-    bounds = df.groupBy(*keys).agg(*(F.percentile(c, F.lit(p)).alias(f"_{n}_{c}") for c in cols for n, p in (("a", q), ("b", 1 - q))))
-    out = df.join(bounds, keys)
+    out = df
+    for c in cols:
+        out = matched(out, quantiles(df, keys, c, {f"_a_{c}": q, f"_b_{c}": 1 - q}), keys)
     return out.withColumns({c: F.greatest(F.least(F.col(c), F.col(f"_b_{c}")), F.col(f"_a_{c}")) for c in cols}).drop(*(f"_{n}_{c}" for c in cols for n in "ab"))
 
 

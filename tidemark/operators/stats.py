@@ -6,18 +6,44 @@ from math import pi, sqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.ordered import matched, running_sum
+from ..plans.scratch import stored
+
+
+def distribution(df: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """(keys, col, n, upto): each different value, how many rows have it and how many have it or a smaller one. Values are counted where they
+    are, the counts are dealt out by ranges of values and summed up across those: neither a key nor a frequent value is one
+    task. Nulls are left out."""
+    n = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("n"))
+    dealt = stored(n.repartitionByRange(*keys, col).withColumn("_part", F.spark_partition_id()), "values")
+    return running_sum(dealt, F.col("n"), "upto", keys, [col], F.col("_part"))
+
+
+def _ranked(df: DataFrame, keys: list[str], col: str, ranks: dict[str, Column]) -> DataFrame:
+    """(keys, total, one column for each of ``ranks``): the values with these places, from 1, among ``total`` sorted ones. Keys without a value
+    have nulls."""
+    d = stored(distribution(df, keys, col).select(*keys, F.col(col).alias("_value"), "upto"), "distribution")
+    d = matched(d, d.groupBy(*keys).agg(F.max("upto").alias("total")), keys)
+    found = d.groupBy(*keys).agg(F.max("total").alias("total"), *(F.min(F.when(F.col("upto") >= rank, F.col("_value"))).alias(out) for out, rank in ranks.items()))
+    return matched(df.select(*keys).distinct(), found, keys, "left") if keys else found
+
+
+def quantiles(df: DataFrame, keys: list[str], col: str, points: dict[str, float]) -> DataFrame:
+    """(keys, one column for each of ``points``): exact quantiles, linearly interpolated."""
+    at = {out: p * (F.col("total") - 1) for out, p in points.items()}
+    ranks = {f"_{side}_{out}": f(x) + 1 for out, x in at.items() for side, f in (("a", F.floor), ("b", F.ceil))}
+    d = _ranked(df, keys, col, ranks)
+    return d.select(*keys, *((F.col(f"_a_{out}") + (F.col(f"_b_{out}") - F.col(f"_a_{out}")) * (x - F.floor(x))).alias(out) for out, x in at.items()))
+
 
 def percentiles(df: DataFrame, col: str, points: list[int], keys: list[str]) -> DataFrame:
     """Exact, linearly interpolated."""
-    return df.groupBy(*keys).agg(*(F.percentile(col, F.lit(p / 100)).alias(f"p{p}") for p in points))
+    return quantiles(df, keys, col, {f"p{p}": p / 100 for p in points})
 
 
-def nearest_rank(df: DataFrame, col: str, p: float, keys: list[str], tie: str) -> DataFrame:
+def nearest_rank(df: DataFrame, col: str, p: float, keys: list[str]) -> DataFrame:
     """The value at place max(round(p n + 0.5), 2) - 1 of the sorted ones, halves rounded away from zero."""
-    k = F.row_number().over(Window.partitionBy(*keys).orderBy(col, tie))
-    n = F.count("*").over(Window.partitionBy(*keys))
-    at = F.greatest(F.round(n * p + 0.5), F.lit(2.0)) - 1
-    return df.withColumns({"_k": k, "_at": at}).where("_k = _at").select(*keys, F.col(col).alias("value"))
+    return _ranked(df, keys, col, {"value": F.greatest(F.round(F.col("total") * p + 0.5), F.lit(2.0)) - 1}).drop("total").where("value IS NOT NULL")
 
 
 def percentile_of(df: DataFrame, col: str, value: float, keys: list[str]) -> DataFrame:

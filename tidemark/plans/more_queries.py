@@ -134,7 +134,7 @@ def f11(spark, d):
 @query("f12_terciles", sql(DEALS_SQL, f"SELECT d.symbol, seq, CASE WHEN r > b THEN 1 WHEN r < a THEN -1 ELSE 0 END AS class FROM (SELECT *, last / lag(last) OVER {WS} - 1 AS r FROM deals) d JOIN (SELECT symbol, quantile_cont(r, 1/3.0) AS a, quantile_cont(r, 2/3.0) AS b FROM (SELECT symbol, last / lag(last) OVER {WS} - 1 AS r FROM deals) GROUP BY 1) q ON d.symbol = q.symbol WHERE r IS NOT NULL", "seq class", "", "symbol"))
 def f12(spark, d):
     r = market.deals(spark, d).withColumn("r", F.try_divide(F.col("last"), F.lag("last").over(W())) - 1).where("r IS NOT NULL")
-    q = r.groupBy("symbol").agg(F.percentile("r", F.lit(1 / 3)).alias("a"), F.percentile("r", F.lit(2 / 3)).alias("b"))
+    q = stats.quantiles(r, ["symbol"], "r", {"a": 1 / 3, "b": 2 / 3})
     return shape(r.join(q, "symbol").withColumn("class", F.when(F.col("r") > F.col("b"), 1).when(F.col("r") < F.col("a"), -1).otherwise(0)), "seq class", "", "symbol")
 
 
@@ -394,7 +394,7 @@ def j2(spark, d):
 
 @query("j3_nearest_rank", sql(DEALS_SQL, "SELECT symbol, v[CAST(greatest(round(len(v) * 0.1 + 0.5), 2) AS INT) - 1] AS p10 FROM (SELECT symbol, list_sort(list(last)) AS v FROM deals GROUP BY 1)", "", "p10", "symbol"))
 def j3(spark, d):
-    return shape(stats.nearest_rank(market.deals(spark, d), "last", 0.1, ["symbol"], "seq").withColumnRenamed("value", "p10"), "", "p10", "symbol")
+    return shape(stats.nearest_rank(market.deals(spark, d), "last", 0.1, ["symbol"]).withColumnRenamed("value", "p10"), "", "p10", "symbol")
 
 
 @query("j4_percentile_of_score", sql(DEALS_SQL, "SELECT symbol, 100 * avg(CASE WHEN last <= 100 THEN 1.0 ELSE 0.0 END) AS pct FROM deals GROUP BY 1", "", "pct", "symbol"))

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which null keys are equal."""
+    """Equi-join in which null keys are equal; without keys every row of ``right``, which must be one, belongs to every other."""
+    if not keys:
+        return left.crossJoin(right)
     names = {k: f"_same_{i}" for i, k in enumerate(keys)}
     right = right.withColumnsRenamed(names)
     same = [left[k].eqNullSafe(right[n]) for k, n in names.items()]
