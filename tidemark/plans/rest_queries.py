@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import backtest, bars, features, folds, hygiene, indicators, joins, labels
+from ..operators import backtest, bars, features, folds, hygiene, indicators, joins, labels, trees
 from ..sources import files, market
 from ..sources.market import DEALS_SQL, TICKS_SQL
 from ..streaming import live
@@ -143,6 +143,20 @@ def n6(spark, d):
     return shape(s.withColumn("act", (F.col("score") >= 0.9).cast("int")), "fold act", "score", "symbol")
 
 
+TREE_FEATURES = ["r", "volume", "hour"]
+
+
+@query("n8_extra_trees")
+def n8_trees(spark, d):
+    """Accuracy of extremely randomised trees on what follows each fold's training rows; all symbols and folds grow together."""
+    rows = _model_rows(spark, d).withColumn("hour", F.hour("time"))
+    f = stored(folds.split(folds.sequential(rows, "k", 150, 100, ("symbol",)), "k", 150, 100, 0.7, 20), "folds")
+    model = trees.fit(f.where("part = 'train'"), TREE_FEATURES, "y", ["symbol", "fold"], trees=5, depth=3)
+    p = trees.predict(f.where("part = 'predict'"), model, TREE_FEATURES, ["symbol", "fold"], depth=3)
+    s = p.groupBy("symbol", "fold").agg(F.count("*").alias("n"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")).alias("accuracy"), F.avg("p").alias("mean"))
+    return shape(s, "fold n", "accuracy mean", "symbol")
+
+
 @query("n2_last_folds", sql(FOLDS, "SELECT symbol, fold, count(*) AS n FROM folded SEMI JOIN (SELECT symbol, fold FROM folds QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY fold DESC) <= 2) USING (symbol, fold) GROUP BY ALL", "fold n", "", "symbol"))
 def n2_last(spark, d):
     f = folds.chosen(folds.sequential(_numbered(spark, d), "k", 800, 500, ("symbol",)), last=2, by=("symbol",))
