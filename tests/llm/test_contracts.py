@@ -147,6 +147,28 @@ def test_op6_recall_of_inserted_and_deleted_blocks(spark):
     assert got == want and len(want) > 60
 
 
+def test_op6_fingerprints_alone_find_nine_tenths():
+    """Rewritten, inserted and deleted blocks and single words, within other text: what SimHash leads to, of all similar passages."""
+    r = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choice(words, n)).encode()) for i, n in enumerate(r.integers(15, 90, 60).tolist())]
+    texts = []
+    for k in range(500):
+        w = items[k % 60][1].decode().split()
+        m, at = int(r.integers(1, max(2, len(w) // 7))), int(r.integers(0, len(w)))
+        if k % 4 == 3:
+            for _ in range(max(1, m // 3)):
+                w[int(r.integers(0, len(w)))] = "changed"
+        else:
+            w[at : at + (0 if k % 4 == 1 else m)] = list(r.choice(words, 0 if k % 4 == 2 else m))
+        around = 0 if k % 10 == 0 else int(r.integers(1, 40))
+        texts.append(" ".join([*r.choice(words, around), *w, *r.choice(words, around)]).encode())
+    index, found = decontaminate.Index(items), Words(texts, lower=True)
+    whole, alone = ({(d, i) for d, i, *_ in index.verify(found, 0.8, w)} for w in (True, False))
+    assert whole == {(d, i) for d, t in enumerate(texts) for i, x in items if i == d % 60 and brute_leaks(t.decode(), x.decode())} and len(whole) > 150
+    assert alone <= whole and len(alone) >= 0.95 * len(whole)
+
+
 def test_op6_odd_rows(spark):
     item = " ".join(f"i{k}" for k in range(30))
     bench = spark.createDataFrame([(1, item, "x"), (1, item, "x"), (2, None, "x"), (None, item, "x"), (3, "", "x")], "item_id long, text string, doc_id string")
