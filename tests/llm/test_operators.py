@@ -716,6 +716,21 @@ def test_language_learns_rare_ones_and_keeps_columns(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.97
 
 
+def test_language_reads_across_words():
+    """The order of a text's words changes what the network sees; texts of any length are covered once, white space is one space."""
+    r = np.random.default_rng(3)
+    net = language.Network(["a", "b"])
+    texts = [b"one two  three\tfour", b"four three two one", b"", b" \n ", b"x" * 1000, b"A" * language.CORE]
+    x, length, first, end, doc = language.segments(texts)
+    assert np.bincount(doc, end - first, 6).tolist() == [18, 18, 0, 0, 1000, language.CORE]
+    assert bytes(x[0, : length[0]]) == b"one two three four" and (x[doc == 5][0, : language.CORE] == ord("a")).all()
+    y = net.label(x, length, first, end)
+    assert abs(y[0] - y[1]).max() > 1e-3 and np.allclose(y.sum(1), end - first, atol=1e-3)
+    whole = bytes(r.integers(97, 123, 300).astype(np.uint8))
+    x, length, first, end, _ = language.segments([whole])
+    assert b"".join(bytes(v[a:b]) for v, a, b in zip(x, first, end)) == whole and length.max() == language.SEGMENT
+
+
 def test_language(spark, docs, empty):
     r = np.random.default_rng(2)
     kinds = {"aa": ["the", "thing", "other", "with"], "bb": ["über", "größe", "und", "nicht"], "cc": ["ción", "que", "los", "para"]}
@@ -746,19 +761,10 @@ def test_recurrent_gradient_of_a_small_network():
 
     seen = {}
 
-    prob, f, b, tf, tb, back, at, active = net.positions(x, n, keep=True)
-    g = prob.copy()
-    g[np.arange(3)[:, None], np.arange(language.SEGMENT)[None], y[:, None]] -= 1
-    g[np.arange(language.SEGMENT)[None] >= n[:, None]] = 0
-    g /= n.sum()
-    grad = {k: np.zeros_like(v) for k, v in net.p.items()}
-    turned = np.take_along_axis(g, at, 1)
-    turned[np.arange(language.SEGMENT)[None] >= n[:, None]] = 0
-    net._back("f", x, g @ net.p["Of"].T, tf, active, grad)
-    net._back("b", back, turned @ net.p["Ob"].T, tb, active, grad)
+    grad = net.gradient(x, n, y)
     for k in ("Rf", "Rb", "Ef", "Eb"):
         for _ in range(4):
-            i = tuple(r.integers(0, s) for s in net.p[k].shape) if k[0] == "R" else (int(x[0, 1]), int(r.integers(0, net.p[k].shape[1])))
+            i = tuple(r.integers(0, s) for s in net.p[k].shape) if k[0] == "R" else (int(r.integers(0, net.p[k].shape[0])), int(x[0, 1]))
             old = net.p[k][i]
             net.p[k][i] = old + 1e-4
             up = loss()

@@ -1,8 +1,9 @@
 """Language of a text by a bidirectional gated recurrent network over bytes.
 
-The network reads words (in segments of up to 24 bytes) in both directions, labels every byte position with a language,
-and a text's probabilities are the mean of its positions'. Within a task equal segments are read once and counted: what
-is computed grows with distinct words. Training is backpropagation through time in numpy on a bounded sample.
+The network runs over a text's bytes (lower-cased, white space as single spaces) in both directions, through words and spaces
+alike, labels every byte position with a language, and a text's probabilities are the mean of its positions'. Texts are cut into
+segments of CORE bytes that are read together with LAP bytes to either side, which serve as history only. Training is
+backpropagation through time in numpy on a bounded sample.
 """
 
 from __future__ import annotations
@@ -12,38 +13,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .store import free, slices
-from .words import _OF_BYTES, BYTE, LOWER, U64, Words, chunks, encoded, mix
+from .words import LOWER, SPACE, chunks, encoded
 
-SEGMENT = 24  #: bytes
+CORE, LAP = 96, 8  #: bytes
+SEGMENT = CORE + 2 * LAP
 SAMPLE = 1_000  #: labelled documents of each language that the network is trained on, at most
-SEGMENTS = 150  #: of each of them, evenly spaced over the whole text, at most
-KEPT = 1_000_000  #: segments that a task remembers
-
-
-def segments(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length, hash and text of every segment."""
-    size = words.end - words.start
-    count = -(-size // SEGMENT)
+SEGMENTS = 24  #: of each of them, evenly spaced over the whole text, at most
+ROWS = 1_000  #: segments that the network reads at once
+
+
+def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes (rows padded with zeros), length, first and end of the core, and text of every segment."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    space = SPACE[buf]
+    own = ~space
+    own[1:] |= ~space[:-1]  # of a run of white space the first byte stays
+    size = np.array([len(t) + 1 for t in texts])
+    end = np.cumsum(size)
+    own[end - 1] = False
+    upto = np.concatenate([[0], np.cumsum(own)])
+    raw = np.where(space, 32, LOWER[buf])[own]
+    first, n = upto[end - size], upto[end] - upto[end - size]
+    count = -(-n // CORE)
     nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    start = np.repeat(words.start, count) + nth * SEGMENT
-    length = np.minimum(SEGMENT, np.repeat(words.end, count) - start)
-    buf = LOWER[np.frombuffer(words.raw, dtype=np.uint8)]
-    up, down = _OF_BYTES.upto(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, dtype=U64)
-    np.cumsum(BYTE[buf] * up[1:], out=total[1:])
-    return start, length, mix((total[start + length] - total[start]) * down[start]), np.repeat(words.doc, count)
-
-
-def table(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The segments' bytes, as rows padded with zeros."""
-    at = np.arange(SEGMENT)
-    inside = at[None] < length[:, None]
-    return np.where(inside, buf[np.minimum(start[:, None] + at, len(buf) - 1)], 0)
-
-
-def _reversed(x: np.ndarray, length: np.ndarray) -> np.ndarray:
-    at = length[:, None] - 1 - np.arange(SEGMENT)
-    return np.where(at >= 0, np.take_along_axis(x, np.maximum(at, 0), 1), 0)
+    doc, core = np.repeat(np.arange(len(texts)), count), nth * CORE
+    start = np.maximum(core - LAP, 0)
+    length = np.minimum(core + CORE + LAP, n[doc]) - start
+    at = np.arange(SEGMENT)[None]
+    x = np.where(at < length[:, None], raw[np.minimum((first[doc] + start)[:, None] + at, max(0, len(raw) - 1))], 0) if len(doc) else np.zeros((0, SEGMENT), np.uint8)
+    return x.astype(np.uint8), length, core - start, np.minimum(core + CORE, n[doc]) - start, doc
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -51,94 +49,94 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    HIDDEN = 16
+    """Arrays hold positions, then hidden units, then segments, so that numpy works on long rows; segments are sorted, longest first."""
+
+    HIDDEN = 8
 
     def __init__(self, languages: list[str], seed: int = 3):
         r, h, k = np.random.default_rng(seed), self.HIDDEN, len(languages)
         self.languages = languages
         self.p = {}
         for d in "fb":  # forward, backward: byte vectors already multiplied into the gates (update, reset, new)
-            self.p |= {f"E{d}": r.normal(0, 0.3, (256, 3 * h)), f"R{d}": r.normal(0, h**-0.5, (h, 3 * h)), f"O{d}": r.normal(0, h**-0.5, (h, k))}
-        self.p["o"] = np.zeros(k)
+            self.p |= {f"E{d}": r.normal(0, 0.3, (3 * h, 256)), f"R{d}": r.normal(0, h**-0.5, (3 * h, h)), f"O{d}": r.normal(0, h**-0.5, (k, h))}
+        self.p["o"] = np.zeros((k, 1))
         self.p = {n: v.astype(np.float32) for n, v in self.p.items()}
 
     def _run(self, d: str, x: np.ndarray, active: np.ndarray, keep: bool):
-        """Hidden states (segments x positions x hidden); segments are sorted, longest first."""
-        h, n = self.HIDDEN, len(x)
+        """Hidden states of each position; a segment's state begins at 0, at its first byte or, backward, at its last."""
+        h, (t_all, n) = self.HIDDEN, x.shape
         e, r = self.p["E" + d], self.p["R" + d]
-        states, tape = np.zeros((n, SEGMENT, h), dtype=np.float32), []
-        state = np.zeros((n, h), dtype=np.float32)
-        for t, m in enumerate(active):
+        states, tape = np.zeros((t_all, h, n), dtype=e.dtype), {}
+        state = np.zeros((h, n), dtype=e.dtype)
+        for t in range(t_all) if d == "f" else range(t_all - 1, -1, -1):
+            m = active[t]
             if not m:
-                break
-            s = state[:m]
-            a, b = e[x[:m, t]], s @ r
-            gates = _sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
-            z, q = gates[:, :h], gates[:, h:]
-            new = np.tanh(a[:, 2 * h :] + q * b[:, 2 * h :])
-            state = new + z * (s - new)
-            states[:m, t] = state
+                continue
+            s = state[:, :m]
+            a, b = e.take(x[t, :m], axis=1), r @ s
+            gates = _sigmoid(a[: 2 * h] + b[: 2 * h])
+            z, q = gates[:h], gates[h:]
+            new = np.tanh(a[2 * h :] + q * b[2 * h :])
+            now = new + z * (s - new)
             if keep:
-                tape.append((s, b[:, 2 * h :], z, q, new))
+                tape[t] = s.copy(), b[2 * h :], z, q, new
+            state[:, :m] = now
+            states[t, :, :m] = now
         return states, tape
 
-    def positions(self, x: np.ndarray, length: np.ndarray, keep: bool = False):
-        """Probabilities (segments x positions x languages); segments sorted, longest first."""
+    def _read(self, x: np.ndarray, length: np.ndarray, keep: bool = False):
+        """Probabilities (positions x languages x segments), and what backpropagation needs."""
         active = (length[None] > np.arange(SEGMENT)[:, None]).sum(1)
-        back = _reversed(x, length)
+        x = np.ascontiguousarray(x.T).astype(np.intp)
         f, tf = self._run("f", x, active, keep)
-        b, tb = self._run("b", back, active, keep)
-        at = np.clip(length[:, None] - 1 - np.arange(SEGMENT), 0, None)[:, :, None]
-        y = f @ self.p["Of"] + np.take_along_axis(b, at, 1) @ self.p["Ob"] + self.p["o"]
-        y = np.exp(y - y.max(-1, keepdims=True))
-        y /= y.sum(-1, keepdims=True)
-        return (y, f, b, tf, tb, back, at, active) if keep else y
-
-    def label(self, x: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Sum over positions of each segment's probabilities."""
+        b, tb = self._run("b", x, active, keep)
+        y = self.p["Of"] @ f + self.p["Ob"] @ b + self.p["o"]
+        y = np.exp(y - y.max(1, keepdims=True))
+        y /= y.sum(1, keepdims=True)
+        return y, x, f, b, tf, tb, active
+
+    def positions(self, x: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Probabilities (segments x positions x languages)."""
+        return self._read(x, length)[0].transpose(2, 0, 1)
+
+    def label(self, x: np.ndarray, length: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Sum over positions ``first`` to ``end`` of each segment's probabilities."""
         out = np.zeros((len(x), len(self.languages)), dtype=np.float32)
-        order = np.argsort(-length, kind="stable")
-        for at in range(0, len(x), 20_000):
-            some = order[at : at + 20_000]
-            n = length[some]
-            y = self.positions(x[some], n)
-            y[np.arange(SEGMENT)[None] >= n[:, None]] = 0
-            out[some] = y.sum(1)
+        order, t = np.argsort(-length, kind="stable"), np.arange(SEGMENT)[:, None]
+        for at in range(0, len(x), ROWS):
+            some = order[at : at + ROWS]
+            y = self._read(x[some], length[some])[0]
+            out[some] = np.einsum("tkn,tn->nk", y, ((t >= first[some]) & (t < end[some])).astype(np.float32))
         return out
 
     def _back(self, d: str, x, states_grad, tape, active, grad):
-        h = self.HIDDEN
-        r = self.p["R" + d]
-        carry = np.zeros((len(x), h), dtype=np.float32)
-        for t in range(len(tape) - 1, -1, -1):
+        h, r = self.HIDDEN, self.p["R" + d]
+        carry = np.zeros((h, x.shape[1]), dtype=r.dtype)
+        for t in sorted(tape, reverse=d == "f"):
             m = active[t]
             s, bn, z, q, new = tape[t]
-            g = carry[:m] + states_grad[:m, t]
+            g = carry[:, :m] + states_grad[t, :, :m]
             dn = g * (1 - z) * (1 - new**2)
-            da = np.concatenate([g * (s - new) * z * (1 - z), dn * bn * q * (1 - q), dn], axis=1)
+            da = np.concatenate([g * (s - new) * z * (1 - z), dn * bn * q * (1 - q), dn])
             db = da.copy()
-            db[:, 2 * h :] *= q
-            np.add.at(grad["E" + d], x[:m, t], da)
-            grad["R" + d] += s.T @ db
-            carry[:m] = g * z + db @ r.T
+            db[2 * h :] *= q
+            np.add.at(grad["E" + d].T, x[t, :m], da.T)
+            grad["R" + d] += db @ s.T
+            carry[:, :m] = g * z + r.T @ db
 
     def gradient(self, x: np.ndarray, length: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss of all positions, by backpropagation through time; segments sorted, longest first."""
-        prob, f, b, tf, tb, back, at, active = self.positions(x, length, keep=True)
-        outside = np.arange(SEGMENT)[None] >= length[:, None]
-        g = prob.copy()
-        g[np.arange(len(x))[:, None], np.arange(SEGMENT)[None], y[:, None]] -= 1
-        g[outside] = 0
+        g, x, f, b, tf, tb, active = self._read(x, length, keep=True)
+        g[:, y, np.arange(len(y))] -= 1
+        g *= (np.arange(SEGMENT)[:, None] < length)[:, None]
         g /= length.sum()
         grad = {k: np.zeros_like(p) for k, p in self.p.items()}
-        turned = np.take_along_axis(g, at, 1)
-        turned[outside] = 0
-        grad["Of"], grad["Ob"], grad["o"] = np.einsum("nth,ntk->hk", f, g), np.einsum("nth,ntk->hk", b, turned), g.sum((0, 1))
-        self._back("f", x, g @ self.p["Of"].T, tf, active, grad)
-        self._back("b", back, turned @ self.p["Ob"].T, tb, active, grad)
+        grad["Of"], grad["Ob"], grad["o"] = np.einsum("thn,tkn->kh", f, g), np.einsum("thn,tkn->kh", b, g), g.sum((0, 2))[:, None]
+        self._back("f", x, self.p["Of"].T @ g, tf, active, grad)
+        self._back("b", x, self.p["Ob"].T @ g, tb, active, grad)
         return grad
 
-    def fit(self, x: np.ndarray, length: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 384, rate: float = 0.01, seed: int = 4) -> Network:
+    def fit(self, x: np.ndarray, length: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 96, rate: float = 0.01, seed: int = 4) -> Network:
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(p) for k, p in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
@@ -153,7 +151,7 @@ class Network:
         return self
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 500) -> Network:
+def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 400) -> Network:
     """A network from (doc_id, text, lang): of each language at most ``sample`` documents, those whose hashed ids are smallest,
     and at most SEGMENTS segments of each, in equal weight for each language, so that a rare language is learned as well. Rows
     with null text, lang or doc_id are left out; repeated rows count. No row at all gives a network without languages."""
@@ -165,15 +163,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 500) -> Network:
         for batch in slices(batches):
             langs = batch.column("lang").to_pylist()
             for at, texts in chunks(encoded(batch.column("text").to_pylist())):
-                words = Words(texts, lower=True)
-                start, length, _, doc = segments(words)
-                buf = LOWER[np.frombuffer(words.raw, dtype=np.uint8)].tobytes()
+                x, length, _, _, doc = segments(texts)
                 bound = np.searchsorted(doc, np.arange(len(texts) + 1))
                 for i in range(len(texts)):
                     a, b = bound[i], bound[i + 1]
                     some = np.unique(np.linspace(a, b - 1, min(SEGMENTS, b - a)).astype(int)) if b > a else []
                     if len(some):
-                        yield pa.RecordBatch.from_arrays([pa.array([langs[at + i]] * len(some)), pa.array([buf[start[j] : start[j] + length[j]] for j in some], pa.binary())], ["lang", "segment"])
+                        yield pa.RecordBatch.from_arrays([pa.array([langs[at + i]] * len(some)), pa.array([x[j, : length[j]].tobytes() for j in some], pa.binary())], ["lang", "segment"])
 
     got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(pick, "lang string, segment binary").toPandas()  # at most sample * SEGMENTS short strings of each language
     languages = sorted(set(got.lang))
@@ -198,28 +194,14 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     k = len(net.languages)
 
     def apply(batches):
-        known, value = np.zeros(0, dtype=U64), np.zeros((0, k), dtype=np.float32)
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             pooled = np.zeros((len(texts), k))
-            for at, some in chunks(encoded(texts)):
-                words = Words(some, lower=True)
-                start, length, key, doc = segments(words)
-                if not len(key) or not k:
-                    continue
-                unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-                place = np.searchsorted(known, unique)
-                new = (known[np.minimum(place, len(known) - 1)] != unique) if len(known) else np.ones(len(unique), dtype=bool)
-                if new.any():
-                    x = table(LOWER[np.frombuffer(words.raw, dtype=np.uint8)], start[first[new]], length[first[new]])
-                    fresh = net.label(x, length[first[new]])
-                    if len(known) > KEPT:
-                        place = np.searchsorted(unique[~new], unique)
-                        known, value = unique[~new], value[np.searchsorted(known, unique[~new])]
-                    known, value = np.insert(known, place[new], unique[new]), np.insert(value, place[new], fresh, axis=0)
-                got = value[np.searchsorted(known, unique)]
+            for at, some in chunks(encoded(texts), 1 << 20) if k else ():
+                x, length, first, end, doc = segments(some)
+                got = net.label(x, length, first, end)
                 for j in range(k):
-                    pooled[at : at + len(some), j] = np.bincount(doc, got[inverse, j], minlength=len(some))
+                    pooled[at : at + len(some), j] = np.bincount(doc, got[:, j], minlength=len(some))
             total = pooled.sum(1)
             best = pooled.argmax(1) if k else np.zeros(len(texts), dtype=int)
             lettered = [bool(k) and total[i] > 0 and t is not None and any(map(str.isalpha, t)) for i, t in enumerate(texts)]
