@@ -171,6 +171,42 @@ def test_ctw_empty(empty):
     assert ctw.scores(empty.withColumn("held_out", F.lit(False))).collect() == []
 
 
+
+def test_ctw_parts_and_blocks_change_nothing(spark, rows, monkeypatch):
+    """Trees that are cut into parts, and many small blocks, give the scores of one block and whole trees."""
+    d = spark.createDataFrame([(i, t, i % 4 == 1) for i, t, *_ in rows if t is None or len(t) < 5000], "doc_id long, text string, held_out boolean").repartition(2)
+    want = {r["doc_id"]: r["score"] for r in ctw.scores(d).collect()}
+    monkeypatch.setattr(ctw, "PART", 60)
+    monkeypatch.setattr(ctw, "BLOCK", 300)
+    monkeypatch.setattr(ctw, "_CHUNK", 200)
+    assert {r["doc_id"]: r["score"] for r in ctw.scores(d).collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
+def test_ctw_tasks_hold_one_row_at_a_time(monkeypatch):
+    """A part of five thousand blocks: what is held is the distinct pairs, not the blocks' rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    tree = 0x6120
+    own = [np.sort((tree << 40) | r.integers(0, 1 << 30, 2_000)) for _ in range(20)]
+    packed = [ctw._planes(np.diff(k, prepend=tree << 40)) for k in own]
+    times = ctw._planes(np.ones(2_000, dtype=np.int64))
+
+    def batches():
+        for i in range(5_000):
+            yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([0], pa.int32()), pa.array([packed[i % 20]]), pa.array([times])], ["tree", "part", "pairs", "times"])
+
+    monkeypatch.setattr(ctw, "_MERGE", 50_000)
+    tracemalloc.start()
+    out = list(ctw._merged(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 1 and len(packed[0]) * 5_000 > 28e6
+    n = ctw._unplanes(out[0].column("times")[0].as_py())
+    assert n.sum() == 10_000_000 and peak < 20e6
+
 # 2
 
 

@@ -6,16 +6,19 @@ cuts them off. A node's counts give a Krichevsky-Trofimov estimate; estimates of
 the training data gives them (the node's own probability of its data against that of its subtrees). Contexts that training
 never met take no part in a mixture.
 
-Blocks of text count their (context, byte) pairs and send them, sorted and packed, to the tree of the last two bytes. A
-tree's task merges what the blocks counted, one block after the other, and works on contexts of three bytes at a time; it
-sends each block the probabilities of the pairs that the block has. Words are counted in the same way, by BUCKETS of their
-hashes. Depths 0 and 1 (at most 65,280 nodes) are put together on the driver and broadcast. A task so holds one block, the
-distinct pairs under two last bytes, or a bucket's distinct words.
+Blocks of text count their (context, byte) pairs and send them, sorted and packed, to the tree of the last two bytes; a tree
+with more than PART bytes of them is cut into parts by the third last byte. A part's task merges what the blocks counted, one
+block after the other, and writes the sums. A second pass reads those, works on contexts of three bytes at a time, and sends
+each block that then comes by the probabilities of its pairs. Words are counted in the same way, by BUCKETS of their hashes.
+What depth 2 adds up over a tree's parts is joined to them; depths 0 and 1 (at most 65,280 nodes) are put together on the
+driver and broadcast. A task so holds one block, the distinct pairs of a part, or a bucket's distinct words, and one row of
+one block besides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -35,6 +38,7 @@ _SLICE = 1 << 15  #: pairs of a tree that are worked on at once, at least
 _MERGE = 1 << 20  #: pairs that wait to be merged
 _LOG2 = np.log(2.0)
 BUCKETS = 1024  #: of words
+PART = 8 << 20  #: packed bytes of a tree's pairs, over all blocks, beyond which it is cut by the third last byte
 _TABLES = "block long, doc_id array<long>, held_out array<boolean>, text binary, bucket int, words binary, tree int, pairs binary, times binary"
 _KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 _NAMES = [c.split()[0] for c in _TABLES.split(", ")]
@@ -197,19 +201,29 @@ def _listed(block: int, words: list) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(batches) -> Iterator[pa.RecordBatch]:
-    """(block, bucket, c, n_words, n_known): how often all blocks learn each of a block's words; in one row of each bucket also
-    how often its words are learned in all, and how many are."""
-    for bucket, rows in _grouped(batches, "bucket", "words"):
+    """(bucket, words, times, n_words, n_known): the distinct words of a bucket over all blocks, how often each is learned, how often
+    all are, and how many."""
+    for bucket, rows in _runs(batches, ("bucket",), ("words", "times")):
         total: dict[bytes, int] = {}
-        for _, words, times in rows:
+        for words, times in rows:
             for w, n in zip(_unpacked(words).split(b"\n"), _unplanes(times).tolist()):
                 total[w] = total.get(w, 0) + n
-        sums = [sum(total.values()), sum(n > 0 for n in total.values())]
-        for block, words, _ in rows:
+        n = np.fromiter(total.values(), dtype=np.int64, count=len(total))
+        values = (bucket[0], _packed(b"\n".join([*total, b""])), _planes(n), int(n.sum()), int((n > 0).sum()))
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], ["bucket", "words", "times", "n_words", "n_known"])
+
+
+def _looked_up(batches) -> Iterator[pa.RecordBatch]:
+    """(block, bucket, c): how often all blocks learn each of a block's words. A bucket's sums (without a block) come before its blocks."""
+    for bucket, rows in _runs(batches, ("bucket",), ("block", "words", "times")):
+        total: dict[bytes, int] = {}
+        for block, words, times in rows:
             split = _unpacked(words).split(b"\n")[:-1]
+            if block is None:
+                total = dict(zip(split, _unplanes(times).tolist()))
+                continue
             c = np.fromiter(map(total.__getitem__, split), dtype=np.int64, count=len(split))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([_planes(c)], pa.binary()), *(pa.array([x], pa.int64()) for x in sums)], ["block", "bucket", "c", "n_words", "n_known"])
-            sums = [0, 0]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket[0]], pa.int32()), pa.array([_planes(c)], pa.binary())], ["block", "bucket", "c"])
 
 
 def _closed(text: bytes) -> bytes:
@@ -322,20 +336,25 @@ def _cut(key: np.ndarray) -> list[tuple[int, int]]:
 
 
 class _Tree:
-    """All nodes under two last bytes: those of depth 2 at once, deeper ones slice by slice."""
+    """All nodes under two last bytes, or those of a part: of depth 2 at once, deeper ones slice by slice.
 
-    def __init__(self, key: np.ndarray, n: np.ndarray):
+    of_all: the sums of depth 2 (zeros, ones, probabilities below) over all parts of the tree."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, of_all: np.ndarray | None = None):
         self.key, self.n, self.last = key, n, int(key[0] >> 48)
-        self.n0, self.n1, below = (np.zeros(256) for _ in range(3))
         self.slices = _cut(key)
         self.only = None
-        for a, b in self.slices:
-            if (sub := self._sub(a, b)) is None:
-                continue
-            keys, n0, n1, _, _ = sub.levels[3]
-            for total, x in ((self.n0, n0), (self.n1, n1), (below, sub.whole)):
-                total += np.bincount(keys & 255, x, minlength=256)
-            self.only = sub if len(self.slices) == 1 else None
+        if of_all is None:
+            of_all = np.zeros((3, 256))
+            for a, b in self.slices:
+                if (sub := self._sub(a, b)) is None:
+                    continue
+                keys, n0, n1, _, _ = sub.levels[3]
+                for total, x in zip(of_all, (n0, n1, sub.whole)):
+                    total += np.bincount(keys & 255, x, minlength=256)
+                self.only = sub if len(self.slices) == 1 else None
+        self.sums = of_all
+        self.n0, self.n1, below = of_all
         self.met = self.n0 + self.n1 > 0
         own = _kt(self.n0, self.n1)
         self.whole = np.where(self.met, np.logaddexp(own, below) - _LOG2, 0)
@@ -390,33 +409,59 @@ def _top(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sure, (1 - share0) * (1 - share1), q1
 
 
-def _grouped(batches, key: str, value: str) -> Iterator[tuple[int, list[tuple[int, bytes, bytes]]]]:
-    """Each key's rows (block, value, times), from batches that are sorted by key."""
-    at, rows = None, []
-    for batch in batches:
-        for k, *row in zip(*(batch.column(c).to_pylist() for c in (key, "block", value, "times"))):
-            if k != at and rows:
-                yield at, rows
-                rows = []
-            at = k
-            rows.append(row)
-    if rows:
-        yield at, rows
+def _runs(batches, key: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator[list]]]:
+    """Each key and its rows, one after the other, from batches that are sorted by key. Nothing is kept of rows that went by."""
 
+    def rows():
+        for batch in batches:
+            for at in range(batch.num_rows):  # one at a time: a row may hold megabytes
+                yield tuple(batch.column(k)[at].as_py() for k in key), [batch.column(c)[at].as_py() for c in columns]
 
-def _merged(tree: int, rows: list) -> _Tree:
-    total = _Sum()
-    for _, pairs, times in rows:
-        total.add(_keys_of(pairs, tree), _unplanes(times))
-    return _Tree(*total.total())
+    for k, some in groupby(rows(), lambda r: r[0]):
+        yield k, (r for _, r in some)
+
+
+def _cut_up(batches, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (tree, block, pairs, times) with the part of the tree that they belong to; those of trees of several parts as several rows."""
+    names, kinds = ["tree", "part", "block", "pairs", "times"], (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    for batch in slices(batches, 64):
+        for tree, block, pairs, times in zip(*(batch.column(c).to_pylist() for c in ("tree", "block", "pairs", "times"))):
+            rows = [(tree, 0, block, pairs, times)]
+            if parts[tree] > 1:
+                key, n = _keys_of(pairs, tree), _unplanes(times)
+                part, first = np.unique((key >> 32 & 255) * parts[tree] >> 8, return_index=True)
+                ends = np.append(first[1:], len(key))
+                rows = [(tree, int(k), block, _planes(np.diff(key[a:b], prepend=tree << 40)), _planes(n[a:b])) for k, a, b in zip(part, first, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+
+def _merged(batches) -> Iterator[pa.RecordBatch]:
+    """(tree, part, pairs, times, sums): the distinct pairs of each part over all blocks, and what they add to depth 2."""
+    for (tree, part), rows in _runs(batches, ("tree", "part"), ("pairs", "times")):
+        total = _Sum()
+        for pairs, times in rows:
+            total.add(_keys_of(pairs, tree), _unplanes(times))
+        key, n = total.total()
+        values = (tree, part, _planes(np.diff(key, prepend=tree << 40)), _planes(n), _packed(_Tree(key, n).sums.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int32(), pa.int32(), *[pa.binary()] * 3))], ["tree", "part", "pairs", "times", "sums"])
+
+
+def _summed_parts(batches) -> Iterator[pa.RecordBatch]:
+    """(tree, sums) of whole trees."""
+    for (tree,), rows in _runs(batches, ("tree",), ("sums",)):
+        total = np.zeros((3, 256))
+        for (sums,) in rows:
+            total += np.frombuffer(_unpacked(sums)).reshape(3, 256)
+        yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([_packed(total.tobytes())], pa.binary())], ["tree", "sums"])
 
 
 def _roots(batches) -> Iterator[pa.RecordBatch]:
     """Counts and probabilities of nodes of depth 2, by last byte."""
-    for t, rows in _grouped(batches, "tree", "pairs"):
-        tree = _merged(t, rows)
-        node = np.flatnonzero(tree.met)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), tree.last)), pa.array(node), *(pa.array(x[node]) for x in (tree.n0, tree.n1, tree.whole))], ["last", "node", "n0", "n1", "whole"])
+    for batch in slices(batches):
+        for tree, sums in zip(batch.column("tree").to_pylist(), batch.column("sums").to_pylist()):
+            t = _Tree(np.array([tree << 40]), np.zeros(1, np.int64), np.frombuffer(_unpacked(sums)).reshape(3, 256))
+            node = np.flatnonzero(t.met)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), t.last)), pa.array(node), *(pa.array(x[node]) for x in (t.n0, t.n1, t.whole))], ["last", "node", "n0", "n1", "whole"])
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -431,25 +476,42 @@ def scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(True)).alias("held_out"))
     tables = materialize(rows.mapInArrow(_blocks, _TABLES), "blocks")
-    named = tables.where("bucket IS NOT NULL").select("bucket", "block", "words", "times").repartition("bucket").sortWithinPartitions("bucket")
-    counted = materialize(named.mapInArrow(_counts, "block long, bucket int, c binary, n_words long, n_known long"), "counts")
+    named = tables.where("bucket IS NOT NULL").select("bucket", "block", "words", "times")
+    counted = named.drop("block").repartition("bucket").sortWithinPartitions("bucket")
+    counted = materialize(counted.mapInArrow(_counts, "bucket int, words binary, times binary, n_words long, n_known long"), "word-counts")
     end = tables.agg(F.coalesce(F.sum(F.expr("size(filter(held_out, x -> NOT x))")), F.lit(0))).first()[0]  # ends that are learned
     n, v = counted.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_known"), F.lit(0))).first()
     total = (n + end, v + (end > 0))
-    dealt = tables.where("tree IS NOT NULL").select("tree", "block", "pairs", "times").repartition("tree").sortWithinPartitions("tree")
-    found = dealt.mapInArrow(_roots, "last long, node long, n0 double, n1 double, whole double")
+    asked = named.unionByName(counted.select("bucket", F.lit(None).cast("long").alias("block"), "words", "times"))
+    known = asked.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("block")).mapInArrow(_looked_up, "block long, bucket int, c binary")
+
+    of_trees = tables.where("tree IS NOT NULL").select("tree", "block", "pairs", "times")
+    size = of_trees.groupBy("tree").agg(F.sum(F.octet_length("pairs") + F.octet_length("times")).alias("n")).where(F.col("n") > PART).collect()  # of 65,280 trees at most
+    parts = np.ones(1 << 16, dtype=np.int64)
+    for r in size:
+        parts[r["tree"]] = min(256, -(-r["n"] // PART))
+    dealt = of_trees.mapInArrow(lambda batches: _cut_up(batches, parts), "tree int, part int, block long, pairs binary, times binary")
+    merged = dealt.drop("block").repartition("tree", "part").sortWithinPartitions("tree", "part")
+    merged = materialize(merged.mapInArrow(_merged, "tree int, part int, pairs binary, times binary, sums binary"), "trees")
+    whole = merged.select("tree", "sums").repartition("tree").sortWithinPartitions("tree").mapInArrow(_summed_parts, "tree int, sums binary")
+    whole = materialize(whole, "tree-sums")
+    found = whole.mapInArrow(_roots, "last long, node long, n0 double, n1 double, whole double")
     top = spark.sparkContext.broadcast(_top(found.groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "whole"))).toPandas()))
 
     def chances(batches):
-        for t, rows in _grouped(batches, "tree", "pairs"):
-            tree = _merged(t, rows)
-            p = tree.log_chances(top.value)
-            for block, pairs, _ in rows:
-                own = p[np.searchsorted(tree.key, _keys_of(pairs, t))]
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([t], pa.int32()), pa.array([pairs], pa.binary()), pa.array([_fixed(own)], pa.binary())], ["block", "tree", "pairs", "p"])
-
-    priced = dealt.mapInArrow(chances, "block long, tree int, pairs binary, p binary")
-    looked_up = priced.unionByName(counted.select("block", "bucket", "c"), allowMissingColumns=True)
+        for (t, _), rows in _runs(batches, ("tree", "part"), ("block", "pairs", "times", "sums")):
+            for block, pairs, times, sums in rows:
+                key = _keys_of(pairs, t)
+                if block is None:  # what was merged comes before the blocks
+                    have = key
+                    p = _Tree(key, _unplanes(times), np.frombuffer(_unpacked(sums)).reshape(3, 256)).log_chances(top.value)
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([t], pa.int32()), pa.array([pairs], pa.binary()), pa.array([_fixed(p[np.searchsorted(have, key)])], pa.binary())], ["block", "tree", "pairs", "p"])
+
+    first = merged.drop("sums").join(whole, "tree").withColumn("block", F.lit(None).cast("long"))
+    both = dealt.unionByName(first, allowMissingColumns=True).repartition("tree", "part").sortWithinPartitions("tree", "part", F.asc_nulls_first("block"))
+    priced = both.mapInArrow(chances, "block long, tree int, pairs binary, p binary")
+    looked_up = priced.unionByName(known, allowMissingColumns=True)
     base = np.log10(total[0] + total[1] + 1)
 
     def add_up(texts: pa.Table, found: pa.Table) -> pa.Table:
