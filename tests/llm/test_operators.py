@@ -194,18 +194,20 @@ def test_ctw_tasks_hold_one_row_at_a_time(monkeypatch):
     packed = [ctw._planes(np.diff(k, prepend=tree << 40)) for k in own]
     times = ctw._planes(np.ones(2_000, dtype=np.int64))
 
-    def batches():
-        for i in range(5_000):
+    def batches(blocks):
+        for i in range(blocks):
             yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([0], pa.int32()), pa.array([packed[i % 20]]), pa.array([times])], ["tree", "part", "pairs", "times"])
 
     monkeypatch.setattr(ctw, "_MERGE", 50_000)
-    tracemalloc.start()
-    out = list(ctw._merged(batches()))
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert len(out) == 1 and len(packed[0]) * 5_000 > 28e6
-    n = ctw._unplanes(out[0].column("times")[0].as_py())
-    assert n.sum() == 10_000_000 and peak < 20e6
+    peak = []
+    for blocks in (50, 5_000):
+        tracemalloc.start()
+        out = list(ctw._merged(batches(blocks)))
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(out) == 1 and ctw._unplanes(out[0].column("times")[0].as_py()).sum() == blocks * 2_000
+    assert peak[1] < 1.2 * peak[0]
+
 
 # 2
 
