@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import backtest, bars, features, folds, hygiene, indicators, joins, labels, trees
+from ..operators import backtest, bars, features, folds, hygiene, indicators, joins, labels, motifs, trees
 from ..sources import files, market
 from ..sources.market import DEALS_SQL, TICKS_SQL
 from ..streaming import live
-from .market_queries import FILLED, HOURS, NUMBERED, W, WS, _numbered, shape, sql
+from .market_queries import FILLED, HOURS, NUMBERED, RETURNS, W, WS, _numbered, shape, sql
 from .more_queries import BARRIER, DAILY_ROWS, FOLDS, MULTI, VOL, _by_day, _drained, _labels, _multi, _saved, _volatile
 from .ordered import overlapping
 from .registry import query
@@ -237,3 +237,17 @@ def h1_eleven(spark, d):
     t = t.withColumns({"dspan": F.col("span") - F.lag("span").over(w), "dnticks": F.col("nticks") - F.lag("nticks").over(w)})
     v = features.event_vectors(t, _labels(spark, d).withColumn("sltp", F.lit(2.0)), features.BAR_FEATURES, 4, ["side", "sltp", "vertbar"], 24)
     return shape(v.withColumns({"size": F.size("x"), "first": F.get("x", 0), "second": F.get("x", 1), "last": F.element_at("x", -1)}), "twhen vertbar size inf_start inf_end", "first second last", "symbol")
+
+
+MOTIFS = RETURNS + """, w AS (SELECT symbol, uid, list(ret) OVER (PARTITION BY symbol ORDER BY uid ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS x FROM returns WHERE ret IS NOT NULL),
+  m AS (SELECT * FROM w WHERE len(x) = 8),
+  p AS (SELECT a.symbol, a.uid, b.uid AS other, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM m a JOIN m b ON a.symbol = b.symbol AND abs(a.uid - b.uid) >= 4)"""
+
+
+@query("i7_motifs", sql(MOTIFS, "SELECT symbol, uid, other, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol, uid ORDER BY distance, other) AS rank FROM p) WHERE rank <= 3", "uid rank other", "distance", "symbol"))
+def i7_motifs(spark, d):
+    """The three nearest of all windows of eight returns, for each of them, four bars away or more."""
+    b = stored(_volatile(spark, d), "bars").where("ret IS NOT NULL")
+    w = Window.partitionBy("symbol").orderBy("uid").rowsBetween(-7, 0)
+    x = b.select("symbol", F.col("uid").alias("id"), F.collect_list("ret").over(w).alias("x")).where("size(x) = 8")
+    return shape(motifs.nearest(x, ["symbol"], 3, 4).withColumnRenamed("id", "uid"), "uid rank other", "distance", "symbol")
