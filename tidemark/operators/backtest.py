@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..plans.ordered import running_sum, windowed
+
 BUY, SELL, CHANGE, BUY_STOP, SELL_STOP, BUY_LIMIT, SELL_LIMIT = 0, 1, 2, 4, 5, 6, 7
 BUCKET = 1_000  #: numbers of ticks that meet scenarios together
 
@@ -204,7 +206,7 @@ def trailing_stop(df: DataFrame, average: str, stop: str = "stop", side: str = "
     is always a move, so the best is a running maximum."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     value = F.col(side) * F.col(average)
-    d = df.withColumn("_before", F.col(side) * F.lag(average).over(Window.partitionBy(*series).orderBy(order)))
+    d = windowed(df, list(series), [order], F.floor(F.col(order) / 50_000), 1, lambda t, w: t.withColumn("_before", F.col(side) * F.lag(average).over(w)))
     d = d.withColumn("_base", F.first(F.when(value > F.col("_before"), F.col("_before")), ignorenulls=True).over(w))
     d = d.withColumn("_best", F.max(F.when(F.col("_base").isNotNull(), value)).over(w))
     moved = F.coalesce(F.col("_best") - F.col("_base"), F.lit(0.0))
@@ -232,8 +234,9 @@ def guarded(deals: DataFrame, per_day: int, gap: str) -> DataFrame:
 
 def equity(deals: DataFrame, tick_value: float, cost: float) -> DataFrame:
     """Running result of a series of signed deals (symbol, seq, signed, price) marked at each deal's price."""
-    w = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = deals.withColumns({"held": F.sum("signed").over(w), "paid": F.sum(F.col("signed") * F.col("price")).over(w), "n": F.count("*").over(w)})
+    d = deals
+    for out, value in (("held", F.col("signed")), ("paid", F.col("signed") * F.col("price")), ("n", F.lit(1))):
+        d = running_sum(d, value, out, ["symbol"], ["seq"], F.floor(F.col("seq") / 50_000))
     return d.withColumn("equity", (F.col("held") * F.col("price") - F.col("paid")) * tick_value - F.col("n") * cost)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.ordered import matched
+from ..plans.ordered import last_known, matched
 from .stats import quantiles
 
 SERIES = ["symbol"]
@@ -13,9 +13,11 @@ ORDER = ["seq"]
 
 def fill_quotes(ticks: DataFrame, cols=("bid", "ask", "last"), day: bool = False) -> DataFrame:
     """Zero quotes take the last quote before them (0 where there is none), over the whole series or within each day."""
-    keys = [*SERIES, F.to_date("time")] if day else SERIES
-    w = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    return ticks.withColumns({c: F.coalesce(F.last(F.nullif(F.col(c), F.lit(0.0)), ignorenulls=True).over(w), F.lit(0.0)) for c in cols})
+    known = {c: F.nullif(F.col(c), F.lit(0.0)) for c in cols}
+    if day:
+        w = Window.partitionBy(*SERIES, F.to_date("time")).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+        return ticks.withColumns({c: F.coalesce(F.last(v, ignorenulls=True).over(w), F.lit(0.0)) for c, v in known.items()})
+    return last_known(ticks, known, SERIES, ORDER, F.to_date("time")).na.fill(0.0, list(cols))
 
 
 def aggressor(ticks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..operators import averages, bars, hygiene, indicators, joins
 from ..sources import market
 from ..sources.market import DAILY_SQL, DEALS_SQL, RAW_SQL, TICKS_SQL
-from .ordered import row_number, running_sum, windowed
+from .ordered import overlapping, row_number, running_sum, windowed
 from .registry import query
 from .scratch import stored
 
@@ -32,9 +32,15 @@ def by_day():
     return F.expr("floor(time_msc / 86400000)")
 
 
-def rolled(t: DataFrame, history: int, add) -> DataFrame:
+def rolled(t: DataFrame, history: int, add, ahead: int = 0) -> DataFrame:
     """Rolling columns of ticks, in blocks of numbered rows."""
-    return windowed(t, ["symbol"], ["seq"], F.to_date("time"), history, add)
+    return windowed(t, ["symbol"], ["seq"], F.to_date("time"), history, add, ahead=ahead)
+
+
+def rolled_bars(b: DataFrame, history: int, add) -> DataFrame:
+    """Rolling columns of value bars, which number themselves."""
+    cut = overlapping(b.withColumn("_k", F.col("uid") + 1), "_k", 50_000, history)
+    return add(cut, Window.partitionBy("symbol", "block").orderBy("uid")).where("NOT warmup").drop("_k", "block", "warmup")
 
 
 WS = "(PARTITION BY symbol ORDER BY seq)"
@@ -443,7 +449,7 @@ def WU():
 
 @query("e10_bar_return", sql(RETURNS, "SELECT * FROM returns", "uid", "ret", "symbol"))
 def e10(spark, d):
-    return shape(_vbars(spark, d).withColumn("ret", indicators.bar_return(WU())), "uid", "ret", "symbol")
+    return shape(rolled_bars(_vbars(spark, d), 1, lambda b, w: b.withColumn("ret", indicators.bar_return(w))), "uid", "ret", "symbol")
 
 
 VOL = RETURNS + """, vol AS (
@@ -451,8 +457,11 @@ VOL = RETURNS + """, vol AS (
 
 
 def _volatile(spark, d, n=30):
-    b = _vbars(spark, d).withColumn("ret", indicators.bar_return(WU()))
-    return b.withColumn("sigma", F.when(F.row_number().over(WU()) >= n + 1, F.stddev_pop("ret").over(WU().rowsBetween(-(n - 1), 0))))
+    def add(b: DataFrame, w) -> DataFrame:
+        b = b.withColumn("ret", indicators.bar_return(w))
+        return b.withColumn("sigma", F.when(F.col("uid") >= n, F.stddev_pop("ret").over(w.rowsBetween(-(n - 1), 0))))
+
+    return rolled_bars(_vbars(spark, d), n + 1, add)
 
 
 @query("e11_volatility", sql(VOL, "SELECT * FROM vol", "uid", "sigma", "symbol"))
@@ -498,12 +507,12 @@ def e18(spark, d):
 @query("e19_differences", sql(DEALS_SQL, f"SELECT symbol, seq, last - lag(last) OVER {WS} AS d1, last / lag(last, 5) OVER {WS} - 1 AS r5, lead(last) OVER {WS} AS nxt FROM deals", "seq", "d1 r5 nxt", "symbol"))
 def e19(spark, d):
     x = F.col("last")
-    return shape(market.deals(spark, d).withColumns({"d1": x - F.lag(x).over(W()), "r5": F.try_divide(x, F.lag(x, 5).over(W())) - 1, "nxt": F.lead(x).over(W())}), "seq", "d1 r5 nxt", "symbol")
+    return shape(rolled(market.deals(spark, d), 5, lambda t, w: t.withColumns({"d1": x - F.lag(x).over(w), "r5": F.try_divide(x, F.lag(x, 5).over(w)) - 1, "nxt": F.lead(x).over(w)}), 1), "seq", "d1 r5 nxt", "symbol")
 
 
 @query("e20_moving_sum", sql(TICKS_SQL, "SELECT symbol, seq, sum(volume) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM ticks", "seq s", "", "symbol"))
 def e20(spark, d):
-    return shape(market.ticks(spark, d).withColumn("s", F.sum("volume").over(W().rowsBetween(-2, 2))), "seq s", "", "symbol")
+    return shape(rolled(market.ticks(spark, d), 2, lambda t, w: t.withColumn("s", F.sum("volume").over(w.rowsBetween(-2, 2))), 2), "seq s", "", "symbol")
 
 
 @query("e21_cumulative_rate", sql(DEALS_SQL, f"SELECT symbol, seq, avg(CASE WHEN last > 250 THEN 1.0 ELSE 0.0 END) OVER {WS} AS rate FROM deals", "seq", "rate", "symbol"))
@@ -522,7 +531,8 @@ def e22(spark, d):
 
 @query("e23_lookback", sql(DEALS_SQL, f"SELECT symbol, seq, lag(last, 3) OVER {WS} AS x0, lag(last, 1) OVER {WS} AS x4 FROM deals QUALIFY {RN} > 3", "seq", "x0 x4", "symbol"))
 def e23(spark, d):
-    t = market.deals(spark, d).withColumn("v", F.col("volume").cast("double")).withColumn("x", indicators.lookback(["last", "v"], 3, W())).where("x IS NOT NULL")
+    t = market.deals(spark, d).withColumn("v", F.col("volume").cast("double"))
+    t = rolled(t, 3, lambda t, w: t.withColumn("x", indicators.lookback(["last", "v"], 3, w))).where("x IS NOT NULL")
     return shape(t.withColumns({"x0": F.get("x", 0), "x4": F.get("x", 4)}), "seq", "x0 x4", "symbol")
 
 

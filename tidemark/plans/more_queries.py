@@ -32,12 +32,13 @@ SIGNALED = BANDED + f""", signaled AS (
   SELECT *, CASE WHEN last > down AND lag(last) OVER {WS} <= lag(down) OVER {WS} THEN 1 WHEN last < up AND lag(last) OVER {WS} >= lag(up) OVER {WS} THEN 2 ELSE 0 END AS signal FROM banded)"""
 
 
-def _banded(spark, d):
-    return rolled(market.deals(spark, d), 19, lambda t, w: indicators.bands(t, "last", 20, 1.0, w).withColumn("mid", indicators.sma(F.col("last"), 20, w)))
+def _banded(spark, d, more=lambda t, w: t):
+    add = lambda t, w: more(indicators.bands(t, "last", 20, 1.0, w).withColumn("mid", indicators.sma(F.col("last"), 20, w)), w)
+    return rolled(market.deals(spark, d), 20, add)
 
 
 def _signaled(spark, d):
-    return _banded(spark, d).withColumn("signal", signals.reentry(F.col("last"), F.col("down"), F.col("up"), W()))
+    return _banded(spark, d, lambda t, w: t.withColumn("signal", signals.reentry(F.col("last"), F.col("down"), F.col("up"), w)))
 
 
 @query("f1_reentry", sql(SIGNALED, "SELECT * FROM signaled", "seq signal", "", "symbol"))
@@ -47,7 +48,7 @@ def f1(spark, d):
 
 @query("f2_reentry_or_mean", sql(BANDED, f"SELECT symbol, seq, CASE WHEN last > down AND p <= pd THEN 1 WHEN (last >= mid AND p < pm) OR (last <= mid AND p > pm) THEN 2 ELSE 0 END AS signal FROM (SELECT *, lag(last) OVER {WS} AS p, lag(down) OVER {WS} AS pd, lag(mid) OVER {WS} AS pm FROM banded)", "seq signal", "", "symbol"))
 def f2(spark, d):
-    return shape(_banded(spark, d).withColumn("signal", signals.reentry_or_mean(F.col("last"), F.col("down"), F.col("mid"), W())), "seq signal", "", "symbol")
+    return shape(_banded(spark, d, lambda t, w: t.withColumn("signal", signals.reentry_or_mean(F.col("last"), F.col("down"), F.col("mid"), w))), "seq signal", "", "symbol")
 
 
 @query("f3_breach", sql(BANDED, "SELECT symbol, seq, CASE WHEN last <= down THEN 1 WHEN last >= up THEN -1 ELSE 0 END AS signal FROM banded", "seq signal", "", "symbol"))
@@ -133,7 +134,7 @@ def f11(spark, d):
 
 @query("f12_terciles", sql(DEALS_SQL, f"SELECT d.symbol, seq, CASE WHEN r > b THEN 1 WHEN r < a THEN -1 ELSE 0 END AS class FROM (SELECT *, last / lag(last) OVER {WS} - 1 AS r FROM deals) d JOIN (SELECT symbol, quantile_cont(r, 1/3.0) AS a, quantile_cont(r, 2/3.0) AS b FROM (SELECT symbol, last / lag(last) OVER {WS} - 1 AS r FROM deals) GROUP BY 1) q ON d.symbol = q.symbol WHERE r IS NOT NULL", "seq class", "", "symbol"))
 def f12(spark, d):
-    r = market.deals(spark, d).withColumn("r", F.try_divide(F.col("last"), F.lag("last").over(W())) - 1).where("r IS NOT NULL")
+    r = rolled(market.deals(spark, d), 1, lambda t, w: t.withColumn("r", F.try_divide(F.col("last"), F.lag("last").over(w)) - 1)).where("r IS NOT NULL")
     q = stats.quantiles(r, ["symbol"], "r", {"a": 1 / 3, "b": 2 / 3})
     return shape(r.join(q, "symbol").withColumn("class", F.when(F.col("r") > F.col("b"), 1).when(F.col("r") < F.col("a"), -1).otherwise(0)), "seq class", "", "symbol")
 
@@ -266,13 +267,13 @@ def g7(spark, d):
 
 @query("g10_trend_labels", sql(DEALS_SQL, f"SELECT symbol, seq, lead(y, 5) OVER {WS} AS label FROM (SELECT *, CASE WHEN last > m THEN 1 WHEN m IS NOT NULL THEN 0 END AS y FROM (SELECT *, CASE WHEN row_number() OVER {WS} >= 5 THEN avg(last) OVER {_rows(5)} END AS m FROM deals))", "seq label", "", "symbol"))
 def g10(spark, d):
-    t = market.deals(spark, d).withColumn("m", indicators.sma(F.col("last"), 5, W()))
-    return shape(t.withColumn("label", labels.trend(F.col("last"), F.col("m"), 5, W())), "seq label", "", "symbol")
+    add = lambda t, w: t.withColumn("m", indicators.sma(F.col("last"), 5, w)).withColumn("label", labels.trend(F.col("last"), F.col("m"), 5, w))
+    return shape(rolled(market.deals(spark, d), 9, add, 5), "seq label", "", "symbol")
 
 
 @query("g11_difference_labels", sql(DEALS_SQL, f"SELECT symbol, seq, sign(lead(last, 10) OVER {WS} - last) AS label FROM deals", "seq label", "", "symbol"))
 def g11(spark, d):
-    return shape(market.deals(spark, d).withColumn("label", labels.ahead(F.col("last"), 10, W())), "seq label", "", "symbol")
+    return shape(rolled(market.deals(spark, d), 0, lambda t, w: t.withColumn("label", labels.ahead(F.col("last"), 10, w)), 10), "seq label", "", "symbol")
 
 
 @query("g13_next_day", sql(DAILY_SQL, "SELECT day, CASE WHEN lead(close) OVER (ORDER BY day) > close THEN 1 WHEN lead(close) OVER (ORDER BY day) <= close THEN 0 END AS up FROM daily", "up", "", "day"))
@@ -283,8 +284,8 @@ def g13(spark, d):
 
 @query("g14_direction_share", sql(DEALS_SQL, f"SELECT symbol, seq, CASE WHEN abs(s) >= 3 THEN sign(s) ELSE 0 END AS label FROM (SELECT symbol, seq, sum(c) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS s FROM (SELECT *, sign(last - lag(last) OVER {WS}) AS c FROM deals))", "seq label", "", "symbol"))
 def g14(spark, d):
-    t = market.deals(spark, d).withColumn("c", F.signum(F.col("last") - F.lag("last").over(W())).cast("int"))
-    return shape(t.withColumn("label", labels.direction(F.col("c"), 10, 0.3, W())), "seq label", "", "symbol")
+    add = lambda t, w: t.withColumn("c", F.signum(F.col("last") - F.lag("last").over(w)).cast("int")).withColumn("label", labels.direction(F.col("c"), 10, 0.3, w))
+    return shape(rolled(market.deals(spark, d), 1, add, 10), "seq label", "", "symbol")
 
 
 # ---- H: features ----------------------------------------------------------------------------------------------------
@@ -546,14 +547,14 @@ def n4(spark, d):
 
 @query("n8_forest")
 def n8(spark, d):
-    t = market.deals(spark, d).withColumns({"r": F.col("last") - F.lag("last").over(W()), "y": (F.lead("last").over(W()) > F.col("last")).cast("int")}).na.drop()
+    t = rolled(market.deals(spark, d), 1, lambda t, w: t.withColumns({"r": F.col("last") - F.lag("last").over(w), "y": (F.lead("last").over(w) > F.col("last")).cast("int")}), 1).na.drop()
     m = folds.forest(t, ["r", "last", "volume"], "y", trees=5, depth=3)
     return shape(m.transform(t).groupBy("y", "prediction").agg(F.count("*").alias("n")), "y prediction n")
 
 
 @query("n9_perceptron")
 def n9(spark, d):
-    t = market.deals(spark, d).withColumns({"r": F.col("last") - F.lag("last").over(W()), "y": (F.lead("last").over(W()) > F.col("last")).cast("int")}).na.drop()
+    t = rolled(market.deals(spark, d), 1, lambda t, w: t.withColumns({"r": F.col("last") - F.lag("last").over(w), "y": (F.lead("last").over(w) > F.col("last")).cast("int")}), 1).na.drop()
     m = folds.perceptron(t, ["r", "last"], "y", hidden=4)
     return shape(m.transform(t).groupBy("y", "prediction").agg(F.count("*").alias("n")), "y prediction n")
 
@@ -618,7 +619,7 @@ trail AS (
 @query("o10_trailing_stop", sql("RECURSIVE " + TRAILED, "SELECT * FROM trail WHERE k > 0", "seq", "stop", "symbol"))
 def o10(spark, d):
     side = F.when(F.floor(F.col("seq") / 100) % 2 == 0, 1).otherwise(-1)
-    t = market.deals(spark, d).withColumns({"m": F.avg("last").over(W().rowsBetween(-4, 0)), "entry_id": F.floor(F.col("seq") / 100), "side": side})
+    t = rolled(market.deals(spark, d), 4, lambda t, w: t.withColumn("m", F.avg("last").over(w.rowsBetween(-4, 0)))).withColumns({"entry_id": F.floor(F.col("seq") / 100), "side": side})
     return shape(backtest.trailing_stop(t.withColumn("stop", F.col("last") - 10 * F.col("side")), "m"), "seq", "stop", "symbol")
 
 

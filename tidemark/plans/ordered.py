@@ -38,18 +38,31 @@ def row_number(df: DataFrame, out: str, keys: list[str], order: list[str], chunk
     return running_sum(df, F.lit(1).cast("long"), out, keys, order, chunk)
 
 
-def overlapping(df: DataFrame, number: str, size: int, back: int) -> DataFrame:
-    """Blocks of ``size`` numbered rows, each preceded by the ``back`` rows before it, so that windows of up to back + 1 rows
-    are whole within (keys, block). Adds block and warmup (true for rows that only serve as history)."""
+def overlapping(df: DataFrame, number: str, size: int, back: int, ahead: int = 0) -> DataFrame:
+    """Blocks of ``size`` numbered rows, each with the ``back`` rows before it and the ``ahead`` rows after it, so that windows of so many
+    rows to either side are whole within (keys, block). Adds block and warmup (true for rows that only serve as history or outlook)."""
     own = F.floor((F.col(number) - 1) / size)
+    first = F.greatest(F.floor((F.col(number) - 1 - ahead) / size), F.lit(0)) if ahead else own
     last = F.floor((F.col(number) - 1 + back) / size)
-    spread = df.withColumn("_own", own).withColumn("block", F.explode(F.sequence(own, last)))
-    return spread.withColumn("warmup", F.col("block") > F.col("_own")).drop("_own")
+    spread = df.withColumn("_own", own).withColumn("block", F.explode(F.sequence(first, last)))
+    return spread.withColumn("warmup", F.col("block") != F.col("_own")).drop("_own")
 
 
-def windowed(df: DataFrame, keys: list[str], order: list[str], chunk: Column, history: int, add, block: int = 100_000) -> DataFrame:
+def windowed(df: DataFrame, keys: list[str], order: list[str], chunk: Column, history: int, add, block: int = 100_000, ahead: int = 0) -> DataFrame:
     """``add(rows, window)`` for long series: rows are numbered and cut into blocks that begin with the ``history`` rows before
-    them, and the window runs within a block. Right for columns of which a row's value needs no more than ``history`` rows
-    before it, or none after it."""
-    cut = overlapping(row_number(df, "_k", keys, order, chunk), "_k", block, history)
+    them and end with the ``ahead`` rows after them, and the window runs within a block. Right for columns of which a row's value needs
+    no more than those rows, or none where there are fewer."""
+    cut = overlapping(row_number(df, "_k", keys, order, chunk), "_k", block, history, ahead)
     return add(cut, Window.partitionBy(*keys, "block").orderBy("_k")).where("NOT warmup").drop("_k", "block", "warmup")
+
+
+def last_known(df: DataFrame, values: dict[str, Column], keys: list[str], order: list[str], chunk: Column) -> DataFrame:
+    """Adds, for each of ``values``, its last value that is not null up to and including the row. ``chunk`` must not decrease along
+    ``order``; what the chunks before leave is carried over from one row per chunk."""
+    d = df.withColumns({f"_v_{n}": v for n, v in values.items()}).withColumn("_chunk", chunk)
+    ends = d.groupBy(*keys, "_chunk").agg(*(F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_e_{n}") for n in values))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_chunk", *(F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_e_{n}") for n in values))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = matched(d, ends, [*keys, "_chunk"])
+    return d.withColumns({n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), f"_e_{n}") for n in values}).drop("_chunk", *(f"_{x}_{n}" for n in values for x in "ve"))

@@ -8,7 +8,7 @@ from ..operators import backtest, bars, features, folds, hygiene, indicators, jo
 from ..sources import files, market
 from ..sources.market import DEALS_SQL, TICKS_SQL
 from ..streaming import live
-from .market_queries import FILLED, HOURS, NUMBERED, RETURNS, W, WS, _numbered, shape, sql
+from .market_queries import FILLED, HOURS, NUMBERED, RETURNS, WS, _numbered, rolled, shape, sql
 from .more_queries import BARRIER, DAILY_ROWS, FOLDS, MULTI, VOL, _by_day, _drained, _labels, _multi, _saved, _volatile
 from .ordered import overlapping
 from .registry import query
@@ -80,12 +80,13 @@ def g9(spark, d):
 
 @query("g12_shifted_labels", sql(DEALS_SQL, f"SELECT symbol, seq, lead(CASE WHEN volume > 49 THEN 1 ELSE 0 END, 3) OVER {WS} AS label FROM deals", "seq label", "", "symbol"))
 def g12(spark, d):
-    return shape(market.deals(spark, d).withColumn("label", F.lead((F.col("volume") > 49).cast("int"), 3).over(W())), "seq label", "", "symbol")
+    return shape(rolled(market.deals(spark, d), 0, lambda t, w: t.withColumn("label", F.lead((F.col("volume") > 49).cast("int"), 3).over(w)), 3), "seq label", "", "symbol")
 
 
 @query("h3_band_vectors", sql(MULTI, f"SELECT symbol, seq, s0 AS m0, s1 AS m1, lag(last, 1) OVER {WS} AS x FROM multi QUALIFY row_number() OVER {WS} > 2", "seq m0 m1", "x", "symbol"))
 def h3(spark, d):
-    t = _multi(spark, d).withColumn("v", F.col("volume").cast("double")).withColumn("back", indicators.lookback(["last", "v"], 2, W())).where("back IS NOT NULL")
+    t = _multi(spark, d).withColumn("v", F.col("volume").cast("double"))
+    t = rolled(t, 2, lambda t, w: t.withColumn("back", indicators.lookback(["last", "v"], 2, w))).where("back IS NOT NULL")
     x = t.withColumn("x", F.concat(F.array(F.col("s0").cast("double"), F.col("s1").cast("double")), "back"))
     return shape(x.select("symbol", "seq", F.get("x", 0).alias("m0"), F.get("x", 1).alias("m1"), F.get("x", 4).alias("x")), "seq m0 m1", "x", "symbol")
 
@@ -116,9 +117,8 @@ def k3(spark, d):
 
 
 def _model_rows(spark, d):
-    t = _numbered(spark, d)
-    w = Window.partitionBy("symbol").orderBy("k")
-    return t.withColumns({"r": F.col("last") - F.lag("last").over(w), "y": (F.lead("last").over(w) > F.col("last")).cast("int")}).na.drop(subset=["r", "y"])
+    add = lambda t, w: t.withColumns({"r": F.col("last") - F.lag("last").over(w), "y": (F.lead("last").over(w) > F.col("last")).cast("int")})
+    return rolled(_numbered(spark, d), 1, add, 1).na.drop(subset=["r", "y"])
 
 
 def _scored(size: int, step: int, parts: str, where: str = "true") -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..plans.ordered import windowed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,13 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks with gaps: zero bid, ask or last where the feed gave none."""
     e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("event_type").orderBy("event_id")
+    e = windowed(e, ["event_type"], ["event_id"], F.to_date("ts"), 1, lambda t, w: t.withColumn("before", F.lag("value").over(w)))
     return e.select(
         F.col("event_type").alias("symbol"),
         F.col("event_id").alias("seq"),
         F.col("ts").cast("timestamp").alias("time"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("time_msc"),
-        F.when(F.col("event_id") % 7 == 0, 0.0).otherwise(F.coalesce(F.lag("value").over(w), "value")).alias("bid"),
+        F.when(F.col("event_id") % 7 == 0, 0.0).otherwise(F.coalesce("before", "value")).alias("bid"),
         F.when(F.col("event_id") % 5 == 0, 0.0).otherwise(F.col("value")).alias("ask"),
         F.when(F.col("event_id") % 11 == 0, 0.0).otherwise(F.col("value")).alias("last"),
         F.get_json_object("props", "$.k").cast("long").alias("volume"),
