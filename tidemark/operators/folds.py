@@ -7,6 +7,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.ordered import row_number
+from ..plans.scratch import stored
 from .joins import overlap_purge
 
 
@@ -42,8 +43,8 @@ def purged(df: DataFrame, k: int, order: list[str], chunk: Column, embargo: int
     """(fold, part, ...): k contiguous test blocks of as equal size as can be (larger ones first); train rows of a fold are those
     whose span of information lies wholly before or after the block's. df: inf_start, inf_end. ``chunk`` must not decrease
     along ``order``: rows are numbered chunk by chunk, never in one task."""
-    d = row_number(df, "_n", [], order, chunk)
-    total = df.agg(F.count("*").alias("_t"))  # one row
+    d = stored(row_number(df, "_n", [], order, chunk), "numbered")
+    total = d.agg(F.max("_n").alias("_t"))  # one row
     size, more = F.floor(F.col("_t") / k), F.col("_t") % k
     late = F.floor((F.col("_n") - 1 - more * (size + 1)) / F.greatest(size, F.lit(1))) + more
     block = F.when(F.col("_n") <= more * (size + 1), F.floor((F.col("_n") - 1) / (size + 1))).otherwise(late)

@@ -25,15 +25,16 @@ def triple_barrier(events: DataFrame, bars: DataFrame, multiple: float, first: i
     pairs = pairs.withColumn("rets", F.transform("prices", lambda p: F.try_divide(p, F.col("entry")) - 1))
     hit = F.filter("rets", lambda r: F.abs(r) >= multiple * F.col("width"))
     pairs = pairs.withColumn("hit", F.when(F.col("uid") >= F.col("twhen") + skip, F.get(hit, 0)))
+    away = F.col("uid") - F.col("twhen")
     g = pairs.groupBy("symbol", "twhen").agg(
         F.min(F.when(F.col("hit").isNotNull(), F.struct("uid", "hit"))).alias("h"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("uid").alias("k"), F.element_at("rets", 3).alias("v")))).alias("at"),
+        *(F.max(F.when(away == first + step * k, F.element_at("rets", 3))).alias(f"_at{k}") for k in range(count)),
     )
     g = g.select("*", F.explode(F.sequence(F.lit(first), F.lit(reach), F.lit(step))).alias("vertbar"))
     end = F.col("twhen") + F.col("vertbar")
     is_hit = F.col("h").isNotNull() & (F.col("h.uid") <= end)
     late = is_hit & (F.col("h.uid") <= end - step) & (F.col("vertbar") > first)
-    ret = F.when(is_hit, F.col("h.hit")).otherwise(F.try_element_at("at", end))
+    ret = F.when(is_hit, F.col("h.hit")).otherwise(F.get(F.array(*(f"_at{k}" for k in range(count))), ((F.col("vertbar") - first) / step).cast("int")))
     out = g.where(~late).withColumn("ret", ret).where("ret IS NOT NULL")
     return out.select("symbol", "twhen", "vertbar", F.when(F.col("ret") > 0, 1).otherwise(-1).alias("side"), "ret", F.when(is_hit, F.col("h.uid")).otherwise(end).alias("tdone"))
 

@@ -162,12 +162,14 @@ def f17(spark, d):
     return shape(signals.levels(market.deals(spark, d), F.floor("last"), ["symbol"]), "n", "price", "symbol")
 
 
-HIST = DEALS_SQL + ", hist AS (SELECT b AS bin, count(last) AS n, coalesce(sum(volume), 0) AS v FROM range(50) r(b) LEFT JOIN deals ON floor(last / 10) = b GROUP BY 1)"
+HIST = DEALS_SQL + ", hist AS (SELECT b AS bin, count(last) AS n, coalesce(sum(volume), 0) AS v FROM (SELECT unnest(range(0, CAST(floor(max(last) / 10) AS BIGINT) + 1)) AS b FROM deals) r LEFT JOIN deals ON floor(last / 10) = b GROUP BY 1)"
 
 
 @query("f18_histogram_peaks", sql(HIST, "SELECT bin, n, s FROM (SELECT *, quantile_cont(s, 0.5) OVER () AS cut, greatest(coalesce(max(s) OVER (ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), -1), coalesce(max(s) OVER (ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), -1)) AS sides FROM (SELECT *, avg(n) OVER (ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM hist)) WHERE s >= cut AND s >= sides", "bin n", "s"))
 def f18(spark, d):
-    return shape(signals.peaks(signals.histogram(market.deals(spark, d), "last", 0.0, 10.0, 50), 3, 0.5, 2), "bin n", "s")
+    t = market.deals(spark, d)
+    bins = int((t.agg(F.max("last")).first()[0] or 0) // 10) + 1
+    return shape(signals.peaks(signals.histogram(t, "last", 0.0, 10.0, bins), 3, 0.5, 2), "bin n", "s")
 
 
 LADDER = DAILY_SQL + """, levels AS (SELECT day, unnest([2 * p - low, p + r, 2 * p - high, p - r, close - r * 1.1 / 4, close - r * 1.1 / 2, p, close + r * 1.1 / 4, close + r * 1.1 / 2]) AS price FROM (SELECT *, (high + low + close) / 3 AS p, high - low AS r FROM daily)),
@@ -198,8 +200,8 @@ labels AS (SELECT symbol, twhen, vb AS vertbar, CASE WHEN is_hit THEN hr ELSE vr
 BARRIER = BARRIER.replace("sigma AS width FROM (SELECT ev.symbol", "width FROM (SELECT ev.symbol")
 
 
-def _labels(spark, d):
-    b = stored(_volatile(spark, d), "bars")
+def _labels(spark, d, b=None):
+    b = stored(_volatile(spark, d), "bars") if b is None else b
     return labels.triple_barrier(b.select("symbol", F.col("uid").alias("twhen")), b, 2.0, 10, 10, 3)
 
 
@@ -293,7 +295,8 @@ def g14(spark, d):
 
 @query("h1_event_vectors", sql(BARRIER, "SELECT l.symbol, l.twhen, l.vertbar, 9 AS size, a.wprice AS first, l.vertbar AS last, l.twhen - 3 AS inf_start, l.tdone AS inf_end FROM labels l JOIN vol a ON a.symbol = l.symbol AND a.uid = l.twhen - 3 WHERE l.ret IS NOT NULL", "twhen vertbar size inf_start inf_end", "first last", "symbol"))
 def h1(spark, d):
-    v = features.event_vectors(_vbars(spark, d), _labels(spark, d), ["wprice", "nticks"], 4, ["vertbar"])
+    b = stored(_volatile(spark, d), "bars")
+    v = features.event_vectors(b, _labels(spark, d, b), ["wprice", "nticks"], 4, ["vertbar"])
     return shape(v.withColumns({"size": F.size("x"), "first": F.get("x", 0), "last": F.element_at("x", -1)}), "twhen vertbar size inf_start inf_end", "first last", "symbol")
 
 

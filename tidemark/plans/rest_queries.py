@@ -163,7 +163,7 @@ def n2_last(spark, d):
     return shape(f.groupBy("symbol", "fold").agg(F.count("*").alias("n")), "fold n", "", "symbol")
 
 
-@query("n7_overlapping_slices", sql(NUMBERED, "SELECT symbol, b AS block, count(*) AS n FROM numbered, (SELECT unnest(range(0, 200)) AS b) WHERE k - 1 >= b * 100 - 10 AND k - 1 < b * 100 + 100 GROUP BY 1, 2", "block n", "", "symbol"))
+@query("n7_overlapping_slices", sql(NUMBERED, "SELECT symbol, b AS block, count(*) AS n FROM numbered, (SELECT unnest(range(0, (SELECT CAST((max(k) + 9) // 100 + 1 AS BIGINT) FROM numbered))) AS b) WHERE k - 1 >= b * 100 - 10 AND k - 1 < b * 100 + 100 GROUP BY 1, 2", "block n", "", "symbol"))
 def n7(spark, d):
     b = overlapping(_numbered(spark, d), "k", 100, 10).groupBy("symbol", "block").agg(F.count("*").alias("n"), F.count_if(~F.col("warmup")).alias("own"))
     m = _numbered(spark, d).groupBy("symbol").agg(F.max("k").alias("m"))
@@ -235,7 +235,7 @@ def h1_eleven(spark, d):
     t = b.join(t, ["symbol", "uid"]).withColumns({"stdev": F.col("sigma"), "span": F.col("emsc") - F.col("smsc")})
     w = Window.partitionBy("symbol").orderBy("uid")
     t = t.withColumns({"dspan": F.col("span") - F.lag("span").over(w), "dnticks": F.col("nticks") - F.lag("nticks").over(w)})
-    v = features.event_vectors(t, _labels(spark, d).withColumn("sltp", F.lit(2.0)), features.BAR_FEATURES, 4, ["side", "sltp", "vertbar"], 24)
+    v = features.event_vectors(t, _labels(spark, d, b).withColumn("sltp", F.lit(2.0)), features.BAR_FEATURES, 4, ["side", "sltp", "vertbar"], 24)
     return shape(v.withColumns({"size": F.size("x"), "first": F.get("x", 0), "second": F.get("x", 1), "last": F.element_at("x", -1)}), "twhen vertbar size inf_start inf_end", "first second last", "symbol")
 
 
