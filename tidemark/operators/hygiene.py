@@ -17,7 +17,7 @@ def fill_quotes(ticks: DataFrame, cols=("bid", "ask", "last"), day: bool = False
     if day:
         w = Window.partitionBy(*SERIES, F.to_date("time")).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
         return ticks.withColumns({c: F.coalesce(F.last(v, ignorenulls=True).over(w), F.lit(0.0)) for c, v in known.items()})
-    return last_known(ticks, known, SERIES, ORDER, F.to_date("time")).na.fill(0.0, list(cols))
+    return last_known(ticks, known, SERIES, ORDER, F.floor(F.col(ORDER[0]) / 50_000)).na.fill(0.0, list(cols))
 
 
 def aggressor(ticks: DataFrame) -> DataFrame:

@@ -165,11 +165,15 @@ def f17(spark, d):
 HIST = DEALS_SQL + ", hist AS (SELECT b AS bin, count(last) AS n, coalesce(sum(volume), 0) AS v FROM (SELECT unnest(range(0, CAST(floor(max(last) / 10) AS BIGINT) + 1)) AS b FROM deals) r LEFT JOIN deals ON floor(last / 10) = b GROUP BY 1)"
 
 
+def _histogram(t: DataFrame, sums: dict | None = None) -> DataFrame:
+    """Bins of ten up to the largest price."""
+    bins = int((t.agg(F.max("last")).first()[0] or 0) // 10) + 1
+    return signals.histogram(t, "last", 0.0, 10.0, bins, sums)
+
+
 @query("f18_histogram_peaks", sql(HIST, "SELECT bin, n, s FROM (SELECT *, quantile_cont(s, 0.5) OVER () AS cut, greatest(coalesce(max(s) OVER (ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), -1), coalesce(max(s) OVER (ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), -1)) AS sides FROM (SELECT *, avg(n) OVER (ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM hist)) WHERE s >= cut AND s >= sides", "bin n", "s"))
 def f18(spark, d):
-    t = market.deals(spark, d)
-    bins = int((t.agg(F.max("last")).first()[0] or 0) // 10) + 1
-    return shape(signals.peaks(signals.histogram(t, "last", 0.0, 10.0, bins), 3, 0.5, 2), "bin n", "s")
+    return shape(signals.peaks(_histogram(market.deals(spark, d)), 3, 0.5, 2), "bin n", "s")
 
 
 LADDER = DAILY_SQL + """, levels AS (SELECT day, unnest([2 * p - low, p + r, 2 * p - high, p - r, close - r * 1.1 / 4, close - r * 1.1 / 2, p, close + r * 1.1 / 4, close + r * 1.1 / 2]) AS price FROM (SELECT *, (high + low + close) / 3 AS p, high - low AS r FROM daily)),
@@ -408,7 +412,7 @@ def j4(spark, d):
 
 @query("j5_histogram", sql(HIST, "SELECT * FROM hist", "bin n v"))
 def j5(spark, d):
-    return shape(signals.histogram(market.deals(spark, d), "last", 0.0, 10.0, 50, {"v": F.sum("volume")}), "bin n v")
+    return shape(_histogram(market.deals(spark, d), {"v": F.sum("volume")}), "bin n v")
 
 
 @query("j6_distinct", sql(DEALS_SQL, "SELECT symbol, count(DISTINCT volume) AS n FROM deals GROUP BY 1", "n", "", "symbol"))
