@@ -31,6 +31,7 @@ K = 64
 LEAST = 34  #: of K retained values, shared by any similar pair (see above)
 SMALL = 12  #: lists of up to so many members are compared by a join, longer ones in blocks of numpy
 BLOCK = 256
+_CHUNK = 1 << 20  #: bytes of text whose shingles are made at once
 
 
 def sketches(docs: DataFrame, words: int = 5, k: int = K) -> DataFrame:
@@ -43,7 +44,7 @@ def sketches(docs: DataFrame, words: int = 5, k: int = K) -> DataFrame:
     def sketch(batches):
         for batch in slices(batches):
             ids = batch.column("doc_id")
-            for at, texts in chunks(encoded(batch.column("text").to_pylist())):
+            for at, texts in chunks(encoded(batch.column("text").to_pylist()), _CHUNK):
                 rows = [(*_fingerprint(s), s[:k].view(np.int64)) for s in shingle_sets(texts, words)]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, len(texts)), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
@@ -65,7 +66,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def whole(batches):
         for batch in slices(batches):
-            for _, texts in chunks(encoded(batch.column("text").to_pylist())):
+            for _, texts in chunks(encoded(batch.column("text").to_pylist()), _CHUNK):
                 rows = [(*_fingerprint(s), s.view(np.int64)) for s in shingle_sets(texts, words)]
                 yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["n_shingles", "fp1", "fp2", "grams"])
 

@@ -18,6 +18,7 @@ PASSAGE = 40  #: words
 PAIRS = 120  #: hashed byte pairs
 SHAPES = 8
 SAMPLE = 4_000  #: labelled documents that the model is fitted on, at most
+_CHUNK = 1 << 20  #: bytes of text whose features are made at once
 _KIND = np.zeros(256, dtype=np.int64)  # 1: punctuation, 2: digits, 3: capitals, 4: beyond ASCII
 _KIND[33:127] = 1
 _KIND[ord("0") : ord("9") + 1] = 2
@@ -138,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def encode(batches):
         for batch in slices(batches):
-            for at, texts in chunks(encoded(batch.column("text").to_pylist())):
+            for at, texts in chunks(encoded(batch.column("text").to_pylist()), _CHUNK):
                 x, bags = features(texts)
                 first = np.cumsum(bags) - bags
                 yield pa.RecordBatch.from_arrays(
@@ -163,7 +164,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def apply(batches):
         for batch in slices(batches):
-            parts = [model.score(*features(texts)) for _, texts in chunks(encoded(batch.column("text").to_pylist()))]
+            parts = [model.score(*features(texts)) for _, texts in chunks(encoded(batch.column("text").to_pylist()), _CHUNK)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts).astype(np.float64) if parts else [], pa.float64())], [*names, added])
 
     return docs.mapInArrow(apply, schema)
