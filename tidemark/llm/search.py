@@ -35,7 +35,8 @@ def _unpack(b: bytes, kind) -> np.ndarray:
 def index(docs: DataFrame, apart: np.ndarray = SPACE) -> DataFrame:
     """One row per shard: its documents in ascending doc_id order, and each word's postings (place and count).
 
-    Words are runs of bytes that are not ``apart``, A-Z lower-cased, told apart by 64-bit hashes. Null and empty texts are documents without words (n_filled counts the others); rows with null doc_id are not indexed; repeated rows are documents of
+    Words are runs of bytes that are not ``apart``, A-Z lower-cased, told apart by 64-bit hashes. Null and empty texts are
+    documents without words (n_filled counts the others); rows with null doc_id are not indexed; repeated rows are documents of
     their own.
     """
 
@@ -162,7 +163,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
 
     Weight of a word: log(1 + (N - df + 0.5) / (df + 0.5)) times its count in the query. Scores are compared after rounding
     to nine places, equal ones by smaller doc_id. Documents that share no word with a query are not listed. Null or blank
-    queries have no row. The queries are broadcast, QUERIES at a time.
+    queries have no row. Documents with null doc_id are left out, null and empty texts count as documents without words, rows that
+    repeat a doc_id compete one by one; other columns take no part. The queries are broadcast, QUERIES at a time.
     """
     shards = materialize(index(docs), "index")
     n, words = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
