@@ -106,6 +106,28 @@ def test_sample_is_settled_by_hashes(spark):
     assert rows(spark, "k4_sample", "symbol", "seq") == sorted(d for d in deals if drawn(*d)) and len(deals) > 500
 
 
+def test_random_folds_are_settled_by_hashes(spark):
+    def order(fold):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", fold), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", 1), h)
+        return h - (1 << 64 if h >= 1 << 63 else 0)
+
+    want = []
+    for s, n in market.deals(spark, MORE).groupBy("symbol").count().collect():
+        want += [(s, f, 300, f * 100 + 1) for f in sorted(range((n - 300) // 100 + 1), key=order)[:2]]
+    assert rows(spark, "n2_random_folds", "symbol", "fold", "n", "lo", folder=MORE) == sorted(want) and len(want) == 10
+
+
+def test_intermediate_files_can_be_cleared(spark):
+    from tidemark.plans import scratch
+
+    kept = scratch.stored(spark.range(5), "numbers")
+    path = kept.inputFiles()[0].removeprefix("file://")
+    assert kept.count() == 5 and os.path.exists(path)
+    scratch.clear(spark)
+    assert not os.path.exists(path)
+
+
 def test_event_vectors_of_eleven_features(spark):
     """Few bars have so much history here; where there are vectors they hold eleven features of four bars and the label's three."""
     out = QUERIES["h1_eleven_features"](spark, MORE).collect()

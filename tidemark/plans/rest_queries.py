@@ -45,6 +45,17 @@ def a14(spark, d):
     return shape(_saved(spark, rows, files.SIGNAL, ["time"]), "time quantity", "", "symbol")
 
 
+@query("a8_null_tokens", sql(HOURS, "SELECT epoch_us(time) // 1000000 AS time, close, CASE WHEN volume % 3 <> 0 THEN volume END AS volume FROM hours", "time volume", "close"))
+def a8_nulls(spark, d):
+    """Bars with two tokens for a missing value: volumes of 0 are none."""
+    path = new_path(spark, "bars")
+    b = bars.minute_bars(market.deals(spark, d), 60)
+    files.write_bar_csv(b.withColumn("volume", F.when(F.col("volume") % 3 != 0, F.col("volume")).otherwise(0)), path)
+    r = files.read_bar_csv(spark, path, nulls=("null", "0"))
+    t = F.unix_timestamp(F.to_timestamp(F.concat_ws(" ", F.col("<DATE>"), F.col("<TIME>")), "yyyy.MM.dd HH:mm:ss"))
+    return shape(r.select(t.alias("time"), F.col("<CLOSE>").alias("close"), F.col("<VOLUME>").alias("volume")), "time volume", "close")
+
+
 @query("d3_first_tick_from", sql(TICKS_SQL, "SELECT symbol, min(CASE WHEN seq >= 500 THEN seq END) AS seq FROM ticks GROUP BY 1", "seq", "", "symbol"))
 def d3(spark, d):
     t = market.ticks(spark, d)
@@ -146,6 +157,13 @@ def n6(spark, d):
 TREE_FEATURES = ["r", "volume", "hour"]
 
 
+@query("n2_random_folds")
+def n2_random(spark, d):
+    """Two folds of each symbol, drawn by a hash of their number."""
+    f = folds.chosen(folds.sequential(_numbered(spark, d), "k", 300, 100, ("symbol",)), sample=2, by=("symbol",))
+    return shape(f.groupBy("symbol", "fold").agg(F.count("*").alias("n"), F.min("k").alias("lo")), "fold n lo", "", "symbol")
+
+
 @query("n8_extra_trees")
 def n8_trees(spark, d):
     """Accuracy of extremely randomised trees on what follows each fold's training rows; all symbols and folds grow together."""
