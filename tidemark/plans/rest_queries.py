@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import backtest, bars, features, folds, hygiene, indicators, joins, labels, motifs, trees
+from ..operators import backtest, bars, features, folds, hygiene, indicators, joins, labels, mixtures, motifs, trees
 from ..sources import files, market
 from ..sources.market import DEALS_SQL, TICKS_SQL
 from ..streaming import live
@@ -269,3 +269,11 @@ def i7_motifs(spark, d):
     w = Window.partitionBy("symbol").orderBy("uid").rowsBetween(-7, 0)
     x = b.select("symbol", F.col("uid").alias("id"), F.collect_list("ret").over(w).alias("x")).where("size(x) = 8")
     return shape(motifs.nearest(x, ["symbol"], 3, 4).withColumnRenamed("id", "uid"), "uid rank other", "distance", "symbol")
+
+
+@query("j10_boundaries")
+def j10_boundaries(spark, d):
+    """Where the components of each symbol's mixtures of prices meet, and how well the mixtures fit."""
+    m = stored(mixtures.fit(market.deals(spark, d), ["symbol"], "last", [2, 3], 5.0, 8), "mixtures")
+    b = mixtures.boundaries(m, ["symbol"]).join(m.select("symbol", "k", "aic", "bic"), ["symbol", "k"])
+    return shape(b, "k nth", "boundary aic bic", "symbol")
