@@ -68,8 +68,9 @@ def _outcomes(df: DataFrame, value: Column, target: float, stop: float, keys, or
     out = F.when(~some & (F.col("_run") > 0), F.when(value >= target, 1).when(value <= -stop, -1))
     d = d.withColumn("_hit", out).withColumn("_out", F.first("_hit", ignorenulls=True).over(whole))
     here = F.when(some, F.struct(F.col("signal").alias("signal"), F.col("_out").alias("out")))
-    back, on = day.rowsBetween(Window.unboundedPreceding, -1), day.rowsBetween(1, Window.unboundedFollowing)
-    d = d.withColumns({"_prior": F.last(here, ignorenulls=True).over(back), "_next": F.first(here, ignorenulls=True).over(on)})
+    back = day.rowsBetween(Window.unboundedPreceding, -1)
+    on = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)  # a frame to the end would be run through anew for every row
+    d = d.withColumns({"_prior": F.last(here, ignorenulls=True).over(back), "_next": F.last(here, ignorenulls=True).over(on)})
     return d.withColumns({"_before": F.col("_prior.signal"), "_out_before": F.col("_prior.out"), "_after": F.col("_next.signal")})
 
 
