@@ -161,7 +161,7 @@ def since_start(df: DataFrame, keys: list[str], order: str, col: str, limit: int
     of its session; the first value more than ``limit`` beyond it starts a new one.
 
     Where the next session would start is an as-of join for every row. The starts are those that the first row leads to, found by
-    doubling: each round joins all steps with themselves, so that n sessions take log2(n) rounds and no series is one task."""
+    doubling: each round joins the steps that are left with themselves, so that n sessions take log2(n) rounds and no series is one task."""
     from ..plans.ordered import matched
     from ..plans.scratch import stored
     from .joins import as_of
@@ -169,13 +169,16 @@ def since_start(df: DataFrame, keys: list[str], order: str, col: str, limit: int
     rows = stored(df.select(*keys, F.col(order).cast("long").alias("_k"), F.col(col).cast("long").alias("_x")), "rows")
     due = rows.select(*keys, "_k", (F.col("_x") + limit + 1).alias("_at"))
     there = rows.select(*keys, F.col("_x").alias("_at"), F.col("_k").alias("_to"))
-    steps = stored(as_of(due, there, "_at", ["_to"], keys, forward=True, chunk=F.floor(F.col("_at") / (50 * (limit + 1)))).where("_to IS NOT NULL").select(*keys, "_k", "_to"), "steps")
+    steps = stored(as_of(due, there, "_at", ["_to"], keys, forward=True, chunk=F.floor(F.col("_at") / (limit + 1))).where("_to IS NOT NULL").select(*keys, "_k", "_to"), "steps")
     starts, known = rows.groupBy(*keys).agg(F.min("_k").alias("_k")), 0
     starts = stored(starts, "starts")
     while (found := starts.count()) > known:
         known = found
         more = matched(starts, steps, [*keys, "_k"]).select(*keys, F.col("_to").alias("_k"))
         starts = stored(starts.unionByName(more).distinct(), "starts")
+        # later starts are where a step leads: other rows need no steps, and fewer are left each round
+        led = steps.select(*keys, F.col("_to").alias("_k")).unionByName(starts).distinct()
+        steps = stored(matched(steps, led, [*keys, "_k"], "left_semi"), "led")
         twice = matched(steps.withColumnsRenamed({"_k": "_from", "_to": "_k"}), steps, [*keys, "_k"])
         steps = stored(twice.select(*keys, F.col("_from").alias("_k"), "_to"), "steps")
     begun = matched(rows, starts, [*keys, "_k"], "left_semi").select(*keys, "_k", F.col("_x").alias("_begun"))
