@@ -1,9 +1,17 @@
 """Work that must not grow with the square of a group, and values beyond the finite ones."""
 
+import pytest
+from collections import Counter
+
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import recursive
 from tidemark.operators import backtest, indicators, joins, labels
+from tidemark.plans import market_queries, more_queries, rest_queries  # noqa: F401
+from tidemark.plans.registry import QUERIES, SQL
 
 
 def plan(df):
@@ -36,3 +44,33 @@ def test_session_starts_of_a_long_dense_series(spark):
         want[s, k] = x - begun
     df = spark.createDataFrame(rows, "s long, k long, x long")
     assert {(r["s"], r["k"]): r["since"] for r in indicators.since_start(df, ["s"], "k", "x", 40).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    """Ticks with prices of 0 and beyond 500, several in a millisecond, and moves of just the filter's limits."""
+    c = duckdb.connect()
+    d = tmp_path_factory.mktemp("odd")
+    (d / "events.parquet").mkdir()
+    for part in range(4):  # each file spans all days
+        c.execute(f"""COPY (SELECT n AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(n // 3 * 600_000_000) AS ts, n % 15 AS user_id, CASE WHEN n % 4 < 2 THEN 'view' ELSE 'click' END AS event_type,
+          CASE WHEN n IN (700, 702, 1501, 1503) OR n % 399 = 0 THEN 0.0 WHEN n % 500 = 0 THEN 501.5 ELSE (n * 7919 % 2003) / 10.0 + n % 7 * 0.01 END AS value, '{{"k": ' || (n % 90 + 10) || '}}' AS props FROM range(3000) r(n) WHERE n % 4 = {part}) TO '{d}/events.parquet/{part}.parquet'""")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet' ORDER BY event_id")
+    return str(d), c
+
+
+@pytest.mark.parametrize("name", ["a1_packed_ticks", "b10_replace_matched", "d2_first_bar_from", "e9_fracdiff", "e9_long_fracdiff", "e10_bar_return", "e11_volatility", "e17_cusum", "e18_masked_cusum", "e19_differences", "f7_cusum_events", "f12_terciles", "g5_buy_labels", "g6_sell_labels", "g7_merged_sides", "g8_both_sides", "i3_inner_by_number", "j8_scores", "m1_scalars", "o11_expiry", "p4_late_ticks"])
+def test_odd_prices_against_sql(spark, odd, name, monkeypatch):
+    monkeypatch.setattr(more_queries, "FILE", 400)
+    d, c = odd
+    df = QUERIES[name](spark, d)
+    cols = sorted(df.columns)
+    plain = lambda rows: Counter(tuple(None if v is None else str(v) if isinstance(v, str) else "nan" if v != v else round(float(v), 5) + 0.0 for v in r) for r in rows)
+    want = plain(c.execute(f"SELECT {', '.join(cols)} FROM ({SQL[name]})").fetchall())
+    got = plain(map(tuple, df.select(*cols).collect()))
+    assert got == want, (len(got - want), list((got - want).items())[:3], list((want - got).items())[:3])
+
+
+def test_filter_adds_in_the_order_of_its_sql():
+    """0.1 + 0.3 - 0.1 is more than 0.3, 0.1 + (0.3 - 0.1) is not."""
+    assert recursive.cusum(np.array([0.0, 0.1, 0.3]), 0.3).tolist() == [0, 0, 1]

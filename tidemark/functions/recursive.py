@@ -50,15 +50,15 @@ def cusum_from(x: np.ndarray, h: float, valid: np.ndarray | None, up: float, dow
     sample only serves the first difference. A missing difference emits 0 and resets nothing; a sample outside ``valid``, or after
     one, resets both sums."""
     out = np.zeros(max(0, len(x) - 1), dtype=np.int64)
-    steps = np.diff(x)
-    apart = np.zeros(len(steps), bool) if valid is None else ~(valid[1:] & valid[:-1])
-    for i, (d, reset) in enumerate(zip(steps.tolist(), apart.tolist())):
+    apart = np.zeros(len(out), bool) if valid is None else ~(valid[1:] & valid[:-1])
+    values = x.tolist()
+    for i, (before, value, reset) in enumerate(zip(values, values[1:], apart.tolist())):
         if reset:
             up = down = 0.0
             continue
-        if d != d:
+        if value != value or before != before:
             continue
-        up, down = max(0.0, up + d), min(0.0, down + d)
+        up, down = max(0.0, up + value - before), min(0.0, down + value - before)  # in this order, which settles sums that are about h
         if up > h:
             out[i], up = 1, 0.0
         elif down < -h:
