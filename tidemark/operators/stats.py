@@ -6,6 +6,7 @@ from math import pi, sqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.ieee import divided, floored
 from ..plans.ordered import matched, running_sum
 from ..plans.scratch import stored
 
@@ -72,4 +73,4 @@ def sample(df: DataFrame, share: float, keys: list[str], seed: int) -> DataFrame
 
 def scalars(df: DataFrame, price: str = "last") -> DataFrame:
     x = F.col(price)
-    return df.withColumns({"tick": F.floor(x / 0.05) * 0.05, "side": F.signum(x - 250), "root": F.sqrt(x), "lot": F.floor(F.try_divide(F.lit(10_000.0), x) / 100) * 100, "clipped": F.greatest(F.least(x, F.lit(400.0)), F.lit(50.0))})
+    return df.withColumns({"tick": F.floor(x / 0.05) * 0.05, "side": F.signum(x - 250), "root": F.sqrt(x), "lot": floored(divided(F.lit(10_000.0), x) / 100) * 100, "clipped": F.greatest(F.least(x, F.lit(400.0)), F.lit(50.0))})
