@@ -47,3 +47,19 @@ def test_far_cells_are_not_visited(spark, monkeypatch):
 def test_no_windows(spark):
     df = spark.createDataFrame([], "symbol string, id long, x array<double>")
     assert motifs.nearest(df, ["symbol"], 2, 1).collect() == []
+
+
+def test_infinite_windows_against_a_plain_loop(spark):
+    inf, series = float("inf"), {"a": 40, "b": 6}
+    rows = [(s, i, [float((i * 7 + j * 3) % 11) for j in range(2)]) for s, m in series.items() for i in range(m)]
+    rows = [(s, i, [inf, x[1]] if i in (3, 9, 30) else [x[0], inf] if i == 4 else x) for s, i, x in rows]
+    want = set()
+    for s, i, x in rows:
+        far = []
+        for t, j, y in rows:
+            if s == t and abs(i - j) >= 2:
+                d = sum((p - q) ** 2 for p, q in zip(x, y)) ** 0.5
+                far.append((d != d, 0.0 if d != d else d, j))
+        want |= {(s, i, r, j) for r, (_, _, j) in enumerate(sorted(far)[:3], 1)}
+    df = spark.createDataFrame(rows, "symbol string, id long, x array<double>")
+    assert {(r["symbol"], r["id"], r["rank"], r["other"]) for r in motifs.nearest(df, ["symbol"], 3, 2).collect()} == want

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions import recursive
+from ..functions.ieee import divided
 
 
 def _last(by: WindowSpec, n: int) -> WindowSpec:
@@ -74,7 +75,7 @@ def bar_return(by: WindowSpec) -> Column:
     c1 = F.when(F.col("highfirst") == 1, F.col("high")).otherwise(F.col("low"))
     c2 = F.when(F.col("highfirst") == 1, F.col("low")).otherwise(F.col("high"))
     o = F.col("open")
-    return (0.75 * (F.try_divide(o, p2) - 1) + 0.85 * (F.try_divide(c1, o) - 1) + (F.try_divide(c2, c1) - 1)) / 2.6
+    return (0.75 * (divided(o, p2) - 1) + 0.85 * (divided(c1, o) - 1) + (divided(c2, c1) - 1)) / 2.6
 
 
 def swinging(x: Column, n: int, by: WindowSpec) -> Column:
@@ -140,8 +141,21 @@ def sadf(df: DataFrame, keys: list[str], order: str, col: str, maxw: int, minw:
 
 def long_fracdiff(df: DataFrame, keys: list[str], order: str, col: str, d: float, widths: dict[str, int], chunk: Column | None = None) -> DataFrame:
     """(keys, order, one column for each of ``widths``): fractional differences with hundreds of weights, as convolutions of blocks that
-    overlap by the widest. A window that holds a missing value gives none."""
-    return in_blocks(df, keys, order, [col], dict.fromkeys(widths, "double"), max(widths.values()) - 1, lambda x: {out: recursive.fracdiff(x, d, n) for out, n in widths.items()}, chunk)
+    overlap by the widest. A window that holds a missing value gives none; infinite ones give what they do in a sum, not a number if
+    they are of both signs there."""
+
+    def run(x: np.ndarray) -> dict[str, np.ndarray]:
+        out, missing = {}, np.concatenate([[0], np.cumsum(np.isnan(x))])
+        for name, n in widths.items():
+            with np.errstate(invalid="ignore"):
+                v = recursive.fracdiff(x, d, n)
+            whole = np.zeros(len(x), bool)
+            whole[n - 1 :] = missing[n:] == missing[: max(0, len(x) - n + 1)]
+            out |= {name: v, f"_{name}": np.where(whole & np.isnan(v), 1.0, 0.0)}  # nulls and not-a-numbers are one in pandas
+        return out
+
+    found = in_blocks(df, keys, order, [col], dict.fromkeys([x for n in widths for x in (n, f"_{n}")], "double"), max(widths.values()) - 1, run, chunk)
+    return found.withColumns({n: F.when(F.col(f"_{n}") == 1, F.lit(float("nan"))).otherwise(F.col(n)) for n in widths}).drop(*(f"_{n}" for n in widths))
 
 
 def adf(df: DataFrame, keys: list[str], order: str, col: str, lags: int, trend: bool = True) -> DataFrame:

@@ -41,12 +41,27 @@ def _best(d: np.ndarray, own: np.ndarray, other: np.ndarray, n: int, apart: int)
     return row[keep], other[order.ravel()[keep]], found[keep]
 
 
+def _endless(beyond: DataFrame, rows: DataFrame, keys: list[str], n: int, apart: int) -> DataFrame:
+    """(keys, id, other, distance) of pairs with a window ``beyond`` the finite ``rows``: all finite windows are as far from it, so the
+    first ``few`` of a series, by id, suffice, and it only counts for finite windows of series with fewer."""
+    few = n + 2 * apart
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("_r") <= few)
+    short = first.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") < few).select(*keys)
+    other = lambda t: t.select(*keys, F.col("id").alias("other"), F.col("x").alias("_y"))
+    pairs = matched(beyond, other(first.drop("_r").unionByName(beyond)), keys).unionByName(matched(matched(first.drop("_r"), short, keys, "left_semi"), other(beyond), keys))
+    far = F.sqrt(F.aggregate(F.zip_with("x", "_y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    return pairs.where(F.abs(F.col("id") - F.col("other")) >= apart).select(*keys, "id", "other", far.alias("distance"))
+
+
 def nearest(windows: DataFrame, keys: list[str], n: int, apart: int) -> DataFrame:
     """(keys, id, rank, other, distance): the n nearest windows (keys, id, x) of each window of the same series (``keys``), by Euclidean
     distance, equal ones by smaller id. Windows that are less than ``apart`` ids away do not count, and so never the window itself. x: arrays
-    of one length; windows with a null or missing value in x are left out. A window without another has no row."""
+    of one length; windows with a null or missing value in x are left out. Windows with an infinite value, which should be few, are
+    infinitely far from others, or at no number from those with one at the same place, which comes last. A window without another has no row."""
     spark = windows.sparkSession
     rows = windows.where(F.expr("id IS NOT NULL AND x IS NOT NULL AND NOT exists(x, v -> v IS NULL OR isnan(v))")).select(*keys, F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
+    endless = F.exists("x", lambda v: F.abs(v) == F.lit(float("inf")))
+    beyond, rows = rows.where(endless), rows.where(~endless)
     total = rows.count()
     most = max(1, min(PIVOTS, -(-total // BLOCK)))
     pivots = _matrix(rows.orderBy(F.xxhash64("x"), "id").limit(most).select("x").toArrow()["x"])
@@ -101,5 +116,5 @@ def nearest(windows: DataFrame, keys: list[str], n: int, apart: int) -> DataFram
 
     met = asking.groupBy(*place, "stripe").cogroup(hosts.groupBy(*place, "stripe")).applyInArrow(between, found)
     w = Window.partitionBy(*keys, "id").orderBy("distance", "other")
-    out = near.unionByName(met).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    out = near.unionByName(met).unionByName(_endless(beyond, rows, keys, n, apart)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     return out.select(*keys, "id", "rank", "other", "distance")
