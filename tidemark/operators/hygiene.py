@@ -44,10 +44,16 @@ def without_overlap(old: DataFrame, new: DataFrame, key=("symbol", "time_msc", "
     return new.join(old.select(*key).distinct(), list(key), "left_anti")
 
 
-def replace_matched(simulated: DataFrame, reference: DataFrame, cols=("last", "volume")) -> DataFrame:
-    """Simulated ticks take the values of the reference tick of the same millisecond and place within it."""
-    w = Window.partitionBy("symbol", "time_msc").orderBy("seq")
-    s, r = (d.withColumn("_k", F.row_number().over(w)) for d in (simulated, reference))
+def placed(ticks: DataFrame, out: str = "place") -> DataFrame:
+    """Adds each tick's place, from 1, within its millisecond."""
+    return ticks.withColumn(out, F.row_number().over(Window.partitionBy("symbol", "time_msc").orderBy("seq")))
+
+
+def replace_matched(simulated: DataFrame, reference: DataFrame, cols=("last", "volume"), place: str | None = None) -> DataFrame:
+    """Simulated ticks take the values of the reference tick of the same millisecond and place within it. ``place``: the column of the
+    simulated ticks that has their place, where some of a millisecond's ticks are not among them."""
+    s = simulated.withColumn("_k", F.col(place)) if place else placed(simulated, "_k")
+    r = placed(reference, "_k")
     r = r.select("symbol", "time_msc", "_k", *(F.col(c).alias(f"_{c}") for c in cols))
     out = s.join(r, ["symbol", "time_msc", "_k"])
     return out.withColumns({c: F.col(f"_{c}") for c in cols}).drop("_k", *(f"_{c}" for c in cols))
