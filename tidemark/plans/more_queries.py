@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.ieee import divided
 from ..operators import averages, backtest, bars, features, folds, indicators, labels, signals, stats
 from ..sources import files, market
 from ..sources.market import DAILY_SQL, DEALS_SQL, TICKS_SQL
@@ -134,7 +135,7 @@ def f11(spark, d):
 
 @query("f12_terciles", sql(DEALS_SQL, f"SELECT d.symbol, seq, CASE WHEN r > b THEN 1 WHEN r < a THEN -1 ELSE 0 END AS class FROM (SELECT *, last / lag(last) OVER {WS} - 1 AS r FROM deals) d JOIN (SELECT symbol, quantile_cont(r, 1/3.0) AS a, quantile_cont(r, 2/3.0) AS b FROM (SELECT symbol, last / lag(last) OVER {WS} - 1 AS r FROM deals) GROUP BY 1) q ON d.symbol = q.symbol WHERE r IS NOT NULL", "seq class", "", "symbol"))
 def f12(spark, d):
-    r = rolled(market.deals(spark, d), 1, lambda t, w: t.withColumn("r", F.try_divide(F.col("last"), F.lag("last").over(w)) - 1)).where("r IS NOT NULL")
+    r = rolled(market.deals(spark, d), 1, lambda t, w: t.withColumn("r", divided(F.col("last"), F.lag("last").over(w)) - 1)).where("r IS NOT NULL")
     q = stats.quantiles(r, ["symbol"], "r", {"a": 1 / 3, "b": 2 / 3})
     return shape(r.join(q, "symbol").withColumn("class", F.when(F.col("r") > F.col("b"), 1).when(F.col("r") < F.col("a"), -1).otherwise(0)), "seq class", "", "symbol")
 
@@ -701,19 +702,23 @@ def p4(spark, d):
     return shape(_drained(spark, live.deduplicated(live.tick_stream(spark, f"{d}/events.parquet*"))), "seq", "", "symbol")
 
 
+FILE = 250_000  #: ticks of a file that arrives, about
+
+
 LATE = TICKS_SQL + ", h AS (SELECT max(seq) // 2 AS h FROM ticks), marked AS (SELECT *, seq % 10 = 0 AND seq < h AS held FROM ticks, h)"
 
 
 @query("p4_late_ticks", sql(LATE, "SELECT symbol, count(*) AS n, count(*) FILTER (held AND time_msc < (SELECT max(time_msc) FROM marked o WHERE o.symbol = m.symbol AND NOT o.held)) AS late FROM marked m GROUP BY 1", "n late", "", "symbol"))
 def p4_late(spark, d):
-    """All ticks as a stream of three files; every tenth of the first half comes last, and late."""
+    """All ticks as a stream of three batches, each of as many files; every tenth of the first half comes last, and late."""
     path = new_path(spark, "arriving")
     e = market.table(spark, d, "events")
     half = e.agg((F.floor(F.max("event_id") / 2)).alias("h"))  # one row
+    count = e.count() // FILE + 1
     e = e.join(F.broadcast(half)).withColumn("held", (F.col("event_id") % 10 == 0) & (F.col("event_id") < F.col("h")))
     for part in ("NOT held AND event_id < h", "NOT held AND event_id >= h", "held"):
-        e.where(part).drop("h", "held").write.mode("append").parquet(path)
-    out = _drained(spark, live.late_ticks(live.tick_stream(spark, path)))
+        e.where(part).drop("h", "held").repartition(count).write.mode("append").parquet(path)
+    out = _drained(spark, live.late_ticks(live.tick_stream(spark, path, count)))
     return shape(out.groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("late").alias("late")), "n late", "", "symbol")
 
 
@@ -734,8 +739,8 @@ def _saved(spark: SparkSession, rows: DataFrame, kind, order: list[str]) -> Data
 @query("a1_packed_ticks", sql(DEALS_SQL, "SELECT symbol, time_msc, last, volume, CAST(time AS DATE) AS day, row_number() OVER (PARTITION BY symbol, CAST(time AS DATE) ORDER BY time_msc) - 1 AS nth FROM deals", "time_msc volume nth", "last", "symbol"))
 def a1(spark, d):
     """Ticks written to packed files, one for each symbol and day, and read back with their place in the file."""
-    t = _by_day(market.deals(spark, d)).select("name", F.unix_timestamp("time").alias("time"), F.col("last").alias("bid"), F.col("last").alias("ask"), "last", "volume", "time_msc", F.lit(0).alias("flags"), F.lit(0.0).alias("volume_real"))
-    return shape(_saved(spark, t, files.TICK, ["time_msc"]).withColumnRenamed("seq", "nth"), "time_msc volume nth", "last", "symbol")
+    t = _by_day(market.deals(spark, d)).select("name", F.unix_timestamp("time").alias("time"), F.col("last").alias("bid"), F.col("last").alias("ask"), "last", "volume", "time_msc", "seq", F.lit(0).alias("flags"), F.lit(0.0).alias("volume_real"))
+    return shape(_saved(spark, t, files.TICK, ["time_msc", "seq"]).withColumnRenamed("seq", "nth"), "time_msc volume nth", "last", "symbol")
 
 
 @query("a10_value_bar_files", sql(VBARS, "SELECT symbol, emsc AS msc, wprice FROM vbars", "msc", "wprice", "symbol"))
