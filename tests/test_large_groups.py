@@ -74,3 +74,17 @@ def test_odd_prices_against_sql(spark, odd, name, monkeypatch):
 def test_filter_adds_in_the_order_of_its_sql():
     """0.1 + 0.3 - 0.1 is more than 0.3, 0.1 + (0.3 - 0.1) is not."""
     assert recursive.cusum(np.array([0.0, 0.1, 0.3]), 0.3).tolist() == [0, 0, 1]
+
+
+def test_simulators_go_on_where_a_batch_ends(spark):
+    """Batches of seven rows, a null symbol, and no group that a task holds whole."""
+    t = spark.createDataFrame([(s, k, float((k * 37 + ord((s or "z")[0])) % 101)) for s in ("a", "b", None) for k in range(60)], "symbol string, seq long, last double")
+    grid = spark.createDataFrame([(i, f, 9, 0, 2**40) for i, f in enumerate((3, 5))], "scenario long, fast int, slow int, lo long, hi long")
+    found = []
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        one, all_ = backtest.simulate(t, backtest.cross_strategy(3, 9), 1000.0, 0.2, 1.0), backtest.sweep(t, grid, 1000.0, 0.2, 1.0)
+        assert "flatmapgroups" not in plan(one) + plan(all_)
+        found.append((sorted(map(str, one.collect())), sorted(map(str, all_.collect()))))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] and len(found[0][0]) == 180 and len(found[0][1]) == 6

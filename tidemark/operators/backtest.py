@@ -5,7 +5,7 @@ A simulator is one group per (scenario, symbol): sweeps run side by side.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -89,20 +89,31 @@ class Account:
         return self.money + (price - self.entry) * self.position * self.tick_value - (2 * self.cost if self.position else 0)
 
 
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """(key, rows) of batches whose rows are sorted by key; a key's rows may come in several parts, one after the other."""
+    for batch in batches:
+        for key, part in batch.groupby(keys, sort=False, dropna=False):
+            yield tuple(None if pd.isna(k) else k for k in key), part
+
+
 def simulate(ticks: DataFrame, strategy: Callable[[Account, float, dict], None], money: float, tick_value: float, cost: float, keys=("symbol",), order: str = "seq", price: str = "last") -> DataFrame:
-    """Equity, position and deals after every tick. ``strategy(account, price, memory)`` is called once a tick, after fills."""
+    """Equity, position and deals after every tick. ``strategy(account, price, memory)`` is called once a tick, after fills. A series is one
+    task, which holds one batch of its rows at a time."""
     schema = ", ".join([*(f"`{k}` {ticks.schema[k].dataType.simpleString()}" for k in [*keys, order]), "equity double, position double, deals int"])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        account, memory, out = Account(money, tick_value, cost), {}, []
-        for p in rows[price].tolist():
-            account.step(p)
-            out.append((account.equity(p), account.position, account.deals))
-            strategy(account, p, memory)
-        return rows[[*keys, order]].assign(equity=[o[0] for o in out], position=[o[1] for o in out], deals=[o[2] for o in out])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = account = memory = None
+        for key, rows in _runs(batches, list(keys)):
+            if account is None or key != at:
+                at, account, memory = key, Account(money, tick_value, cost), {}
+            out = []
+            for p in rows[price].tolist():
+                account.step(p)
+                out.append((account.equity(p), account.position, account.deals))
+                strategy(account, p, memory)
+            yield rows[[*keys, order]].assign(equity=[o[0] for o in out], position=[o[1] for o in out], deals=[o[2] for o in out])
 
-    return ticks.select(*keys, order, price).groupBy(*keys).applyInPandas(run, schema)
+    return ticks.select(*keys, order, price).repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
 
 
 def cross_strategy(fast: int, slow: int, volume: float = 1.0) -> Callable:
@@ -121,7 +132,8 @@ def cross_strategy(fast: int, slow: int, volume: float = 1.0) -> Callable:
 
 
 def sweep(ticks: DataFrame, scenarios: DataFrame, money: float, tick_value: float, cost: float) -> DataFrame:
-    """Final equity of each scenario (scenario, fast, slow, lo, hi) over its range of seq: one group per scenario and symbol.
+    """Final equity of each scenario (scenario, fast, slow, lo, hi) over its range of seq: one run per scenario and symbol, of which a task
+    holds one batch of rows at a time.
 
     Ticks meet scenarios by buckets of seq, so that scenarios may be many."""
     ends = ticks.agg(F.min("seq").alias("_from"), F.max("seq").alias("_to"))
@@ -130,16 +142,23 @@ def sweep(ticks: DataFrame, scenarios: DataFrame, money: float, tick_value: floa
     parts = scenarios.join(F.broadcast(ends)).where(first <= last).withColumn("_bucket", F.explode(F.sequence(bucket(first), bucket(last)))).drop("_from", "_to")
     rows = ticks.withColumn("_bucket", bucket(F.col("seq"))).join(parts, "_bucket").where("seq >= lo AND seq < hi")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        account, memory = Account(money, tick_value, cost), {}
-        act = cross_strategy(int(part["fast"].iloc[0]), int(part["slow"].iloc[0]))
-        for p in part["last"].tolist():
-            account.step(p)
-            act(account, p, memory)
-        return pd.DataFrame({"scenario": [part["scenario"].iloc[0]], "symbol": [part["symbol"].iloc[0]], "equity": [account.equity(p)], "deals": [account.deals]})
-
-    return rows.select("scenario", "symbol", "seq", "last", "fast", "slow").groupBy("scenario", "symbol").applyInPandas(run, "scenario long, symbol string, equity double, deals int")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, account, p = None, None, 0.0
+        ended = lambda: pd.DataFrame({"scenario": [at[0]], "symbol": [at[1]], "equity": [account.equity(p)], "deals": [account.deals]})
+        for key, part in _runs(batches, ["scenario", "symbol"]):
+            if account is None or key != at:
+                if account is not None:
+                    yield ended()
+                at, account, memory = key, Account(money, tick_value, cost), {}
+                act = cross_strategy(int(part["fast"].iloc[0]), int(part["slow"].iloc[0]))
+            for p in part["last"].tolist():
+                account.step(p)
+                act(account, p, memory)
+        if account is not None:
+            yield ended()
+
+    rows = rows.select("scenario", "symbol", "seq", "last", "fast", "slow").repartition("scenario", "symbol")
+    return rows.sortWithinPartitions("scenario", "symbol", "seq").mapInPandas(run, "scenario long, symbol string, equity double, deals int")
 
 
 def minute_simulate(bars: DataFrame, guesses: DataFrame, target: float, stop: float, expire: int, per_day: int) -> DataFrame:
