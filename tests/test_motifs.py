@@ -63,3 +63,21 @@ def test_infinite_windows_against_a_plain_loop(spark):
         want |= {(s, i, r, j) for r, (_, _, j) in enumerate(sorted(far)[:3], 1)}
     df = spark.createDataFrame(rows, "symbol string, id long, x array<double>")
     assert {(r["symbol"], r["id"], r["rank"], r["other"]) for r in motifs.nearest(df, ["symbol"], 3, 2).collect()} == want
+
+
+def test_work_for_a_window_grows_slower_than_the_series(monkeypatch):
+    """Leaves that the bounds rule out are not compared: four times the windows take well under sixteen times the pairs."""
+    pairs = []
+    compare = motifs._Nearest._compare
+    monkeypatch.setattr(motifs._Nearest, "_compare", lambda self, rows, hosts, ids: pairs.append(len(rows) * len(hosts)) or compare(self, rows, hosts, ids))
+    r, counts = np.random.default_rng(4), []
+    for n in (4_000, 16_000):
+        x = r.normal(size=(n, 3))
+        near = motifs._Nearest(x, np.arange(n), np.full(n, np.inf), 3, 4)
+        pairs.clear()
+        near.meet(x, np.arange(n), True)
+        counts.append(sum(pairs))
+        far = ((x[:50, None] - x[None]) ** 2).sum(2)
+        far[np.abs(np.arange(50)[:, None] - np.arange(n)) < 4] = np.inf
+        assert (near.id[:50] == np.argsort(far, axis=1, kind="stable")[:, :3]).all()
+    assert counts[1] < 8 * counts[0]
