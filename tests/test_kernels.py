@@ -264,3 +264,29 @@ def test_triple_barrier_by_hand(spark):
     ev = spark.createDataFrame([("a", 0), ("a", 3)], "symbol string, twhen long")
     got = sorted((r["twhen"], r["vertbar"], r["side"], r["tdone"]) for r in labels.triple_barrier(ev, bars, 1.0, 1, 1, 4).collect())
     assert got == [(0, 1, 1, 1), (0, 2, 1, 2), (0, 3, 1, 3), (3, 1, -1, 4)]
+
+
+def test_mama_in_parts_is_that_of_the_whole():
+    x = np.random.default_rng(2).normal(100, 5, 300)
+    whole, parts = r.mama(x, 0.5, 0.05), r.Mama(0.5, 0.05)
+    found = [parts.run(p) for p in np.split(x, [1, 2, 5, 31, 40, 40, 217])]
+    for k in range(2):
+        assert np.array_equal(np.concatenate([f[k] for f in found]), whole[k], equal_nan=True)
+
+
+def test_mama_holds_a_batch_of_a_series(spark):
+    from tidemark.operators import averages
+
+    x = np.random.default_rng(3).normal(100, 5, 90)
+    rows = [(s, i, float(v)) for s, n in (("a", 90), (None, 50), ("b", 3)) for i, v in enumerate(x[:n])]
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, 7)
+    try:
+        df = averages.mama(spark.createDataFrame(rows, "symbol string, seq long, last double"), ["symbol"], "seq", "last")
+        assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+        got = {(v["symbol"], v["seq"]): (v["mama"], v["fama"]) for v in df.collect()}
+    finally:
+        spark.conf.set(limit, before)
+    m, f = r.mama(x, 0.5, 0.05)
+    assert got == {(s, i): (m[i], f[i]) if i >= 32 else (None, None) for s, i, _ in rows}

@@ -5,44 +5,57 @@ from __future__ import annotations
 import numpy as np
 
 
-def mama(x: np.ndarray, fast: float, slow: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ehlers' adaptive average and the one that follows it; NaN for the first 32 values, in which the cycle settles.
+class Mama:
+    """Ehlers' adaptive average and the one that follows it, of a series that comes in parts; NaN for its first 32 values, in which the
+    cycle settles.
 
     Prices are smoothed, detrended and turned into an in-phase and a quadrature part by Hilbert transforms whose gain follows the
     last period; the share of a new value is ``fast`` over the phase's change, in degrees, and ``slow`` at least."""
-    n = len(x)
-    out, following = np.full(n, np.nan), np.full(n, np.nan)
-    smooth, flat, i1, q1 = (np.zeros(n + 7) for _ in range(4))  # seven places on, so that what was before counts as 0
-    period = re = im = phase = 0.0
-    i2 = q2 = m = f = 0.0
-    taps = ((0.0962, 0), (0.5769, 2), (-0.5769, 4), (-0.0962, 6))
-    m = f = x[0] if n else 0.0
-    for t in range(n):
-        if t < 3:
-            m = f = x[t]
-            continue
-        k = t + 7
-        smooth[k] = (4 * x[t] + 3 * x[t - 1] + 2 * x[t - 2] + x[t - 3]) / 10
-        gain = 0.075 * period + 0.54
-        flat[k] = gain * sum(c * smooth[k - d] for c, d in taps)
-        q1[k] = gain * sum(c * flat[k - d] for c, d in taps)
-        i1[k] = flat[k - 3]
-        ji, jq = (gain * sum(c * v[k - d] for c, d in taps) for v in (i1, q1))
-        a, b = 0.2 * (i1[k] - jq) + 0.8 * i2, 0.2 * (q1[k] + ji) + 0.8 * q2
-        re, im = 0.2 * (a * i2 + b * q2) + 0.8 * re, 0.2 * (a * q2 - b * i2) + 0.8 * im
-        i2, q2, last = a, b, period
-        if im and re:
-            angle = np.degrees(np.arctan(im / re))
-            period = 360 / angle if angle else period
-        period = min(max(min(max(period, 0.67 * last), 1.5 * last), 6.0), 50.0)
-        period = 0.2 * period + 0.8 * last
-        before, phase = phase, np.degrees(np.arctan(q1[k] / i1[k])) if i1[k] else 0.0
-        share = max(fast / max(before - phase, 1.0), slow)
-        m += share * (x[t] - m)
-        f += 0.5 * share * (m - f)
-        if t >= 32:
-            out[t], following[t] = m, f
-    return out, following
+
+    def __init__(self, fast: float, slow: float):
+        self.fast, self.slow, self.seen = fast, slow, 0
+        self.before = [[0.0] * 7 for _ in range(5)]  # the last values, smooth, flat, i1 and q1; what was before the first counts as 0
+        self.state = (0.0,) * 8  # period, re, im, phase, i2, q2, m, f
+
+    def run(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both averages of the next part."""
+        n = len(part)
+        out, following = np.full(n, np.nan), np.full(n, np.nan)
+        x, smooth, flat, i1, q1 = (v + more for v, more in zip(self.before, [part.tolist(), *([0.0] * n for _ in range(4))]))
+        period, re, im, phase, i2, q2, m, f = self.state
+        turned = lambda v, k: 0.0962 * v[k] + 0.5769 * v[k - 2] + -0.5769 * v[k - 4] + -0.0962 * v[k - 6]
+        for k in range(7, n + 7):
+            t = self.seen + k - 7
+            if t < 3:
+                m = f = x[k]
+                continue
+            smooth[k] = (4 * x[k] + 3 * x[k - 1] + 2 * x[k - 2] + x[k - 3]) / 10
+            gain = 0.075 * period + 0.54
+            flat[k] = gain * turned(smooth, k)
+            q1[k] = gain * turned(flat, k)
+            i1[k] = flat[k - 3]
+            ji, jq = gain * turned(i1, k), gain * turned(q1, k)
+            a, b = 0.2 * (i1[k] - jq) + 0.8 * i2, 0.2 * (q1[k] + ji) + 0.8 * q2
+            re, im = 0.2 * (a * i2 + b * q2) + 0.8 * re, 0.2 * (a * q2 - b * i2) + 0.8 * im
+            i2, q2, last = a, b, period
+            if im and re:
+                angle = float(np.degrees(np.arctan(im / re)))
+                period = 360 / angle if angle else period
+            period = min(max(min(max(period, 0.67 * last), 1.5 * last), 6.0), 50.0)
+            period = 0.2 * period + 0.8 * last
+            before, phase = phase, float(np.degrees(np.arctan(q1[k] / i1[k]))) if i1[k] else 0.0
+            share = max(self.fast / max(before - phase, 1.0), self.slow)
+            m += share * (x[k] - m)
+            f += 0.5 * share * (m - f)
+            if t >= 32:
+                out[k - 7], following[k - 7] = m, f
+        self.state, self.seen, self.before = (period, re, im, phase, i2, q2, m, f), self.seen + n, [v[-7:] for v in (x, smooth, flat, i1, q1)]
+        return out, following
+
+
+def mama(x: np.ndarray, fast: float, slow: float) -> tuple[np.ndarray, np.ndarray]:
+    """As Mama, for a whole series."""
+    return Mama(fast, slow).run(np.asarray(x, dtype=float))
 
 
 def cusum_from(x: np.ndarray, h: float, valid: np.ndarray | None, up: float, down: float) -> tuple[np.ndarray, float, float]:

@@ -7,6 +7,7 @@ the averages over, and every block runs once more from what stood before it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -202,7 +203,17 @@ def crosses(df: DataFrame, keys: list[str], order: str, col: str, span: int, chu
 
 def mama(df: DataFrame, keys: list[str], order: str, col: str, fast: float = 0.5, slow: float = 0.05) -> DataFrame:
     """(keys, order, mama, fama): Ehlers' adaptive averages, whose share of a new value follows the phase of the dominant cycle.
-    Its phase feeds back into itself, so that a series is one task."""
-    from .indicators import series
+    Its phase feeds back into itself, so that a series is one task, which holds one batch of its rows at a time."""
+    from .backtest import _runs
 
-    return series(df, keys, order, [col], {"mama": "double", "fama": "double"}, lambda x: dict(zip(("mama", "fama"), recursive.mama(x, fast, slow))))
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keys, order]), "mama double, fama double"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = average = None
+        for key, rows in _runs(batches, keys):
+            if average is None or key != at:
+                at, average = key, recursive.Mama(fast, slow)
+            found = average.run(rows[col].to_numpy(dtype=float, na_value=np.nan))
+            yield rows[[*keys, order]].assign(**{name: pd.Series(v, index=rows.index).astype(object).where(~np.isnan(v), None) for name, v in zip(("mama", "fama"), found)})
+
+    return df.select(*keys, order, col).repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last(order)).mapInPandas(run, schema)
