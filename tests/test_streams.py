@@ -113,3 +113,13 @@ def test_idle_symbols_are_forgotten(spark, tmp_path):
     in_files(spark, path, [100, 400, 700, 1000], f"event_type <> '{kind}'")
     out = labelled(spark, tmp_path, path, idle="1 hour").where("kind = 'idle'").collect()
     assert kind in {r["symbol"] for r in out}
+
+
+def test_a_batch_does_not_grow_with_the_ticks(spark):
+    """Files of so many ticks each, whole and in order, however many ticks there are."""
+    from tidemark.plans import more_queries
+
+    path = more_queries._arriving(spark, DIR, 100)
+    files = spark.read.parquet(path).groupBy(F.input_file_name().alias("f"), F.col("_metadata.file_modification_time").alias("t")).agg(F.count("*").alias("n"), F.min("event_id").alias("a"), F.max("event_id").alias("b")).orderBy("a").collect()
+    assert sum(f["n"] for f in files) == 1000 and len(files) >= 8 and max(f["n"] for f in files) <= 200
+    assert all(x["b"] < y["a"] and x["t"] < y["t"] for x, y in zip(files, files[1:]))

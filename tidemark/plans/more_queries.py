@@ -652,26 +652,32 @@ def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+LIVE = 500_000  #: ticks of a batch whose rows Python holds, about
+
+
+def _arriving(spark, d, size: int | None = None) -> str:
+    """The ticks in files of about ``size`` (LIVE, if not given), three at least, one after the other by event_id: a stream takes one at
+    a time, so that a batch stays as large as it is, however many ticks there are."""
+    parts, path = new_path(spark, "parts"), new_path(spark, "arriving")
+    e = market.table(spark, d, "events")
+    count = max(3, -(-e.count() // (size or LIVE)))
+    e.repartitionByRange(count, "event_id").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(parts)
+    for k in range(count):  # streams take files by their time
+        e = spark.read.schema(live.EVENTS + ", part int").parquet(parts).where(F.col("part") == k).drop("part")
+        e.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 @query("p1_stream_value_bars", sql(VBARS, "SELECT * FROM vbars", "uid nticks", "high low", "symbol"))
 def p1(spark, d):
-    out = _drained(spark, live.value_bar_stream(live.tick_stream(spark, f"{d}/events.parquet*"), 2_000_000))
+    out = _drained(spark, live.value_bar_stream(live.tick_stream(spark, _arriving(spark, d)), 2_000_000))
     b = out.withColumn("real", F.col("nticks"))
     return shape(b, "uid nticks", "high low", "symbol")
 
 
 @query("p2_stream_cusum", "WITH RECURSIVE " + CUSUM + " SELECT r.symbol, CAST(n.seq AS BIGINT) AS seq, CAST(event AS BIGINT) AS event FROM r JOIN numbered n ON n.symbol = r.symbol AND n.k = r.k WHERE event <> 0")
 def p2(spark, d):
-    return shape(_drained(spark, live.cusum_stream(live.tick_stream(spark, f"{d}/events.parquet*"), 200.0)), "seq event", "", "symbol")
-
-
-def _arriving(spark, d) -> str:
-    """The ticks in three files, one after the other."""
-    path = new_path(spark, "arriving")
-    e = market.table(spark, d, "events")
-    top = e.agg(F.max("event_id")).first()[0] or 0
-    for k in range(3):
-        e.where((F.col("event_id") * 3 >= top * k) & ((F.col("event_id") * 3 < top * (k + 1)) | F.lit(k == 2))).coalesce(1).write.mode("append").parquet(path)
-    return path
+    return shape(_drained(spark, live.cusum_stream(live.tick_stream(spark, _arriving(spark, d)), 200.0)), "seq event", "", "symbol")
 
 
 def _chained(spark, d, h=None):
