@@ -61,3 +61,19 @@ def test_no_rows(spark):
     df = spark.createDataFrame([], "symbol string, x double, y int")
     assert trees.fit(df, ["x"], "y", ["symbol"], trees=2, depth=2).collect() == []
     assert trees.predict(df, trees.fit(df, ["x"], "y", ["symbol"], trees=2, depth=2), ["x"], ["symbol"], 2).where(F.col("p").isNotNull()).collect() == []
+
+
+def test_rows_of_a_fold_meet_its_trees_once_and_are_summed_where_they_are(spark, monkeypatch):
+    """No shuffle of rows once for each tree: between the join and the nodes' sums there is none, also with null keys."""
+    plans = []
+    kept = trees.stored
+    monkeypatch.setattr(trees, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or kept(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(None if i % 2 else "a", float(i % 13), i % 3 % 2) for i in range(60)], "symbol string, x double, y int")
+        trees.fit(df, ["x"], "y", ["symbol"], trees=2, depth=1).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    nodes = [p for name, p in plans if name == "nodes"]
+    assert nodes and all(p.split("SortMergeJoin")[0].count("Exchange") == 0 for p in nodes)
