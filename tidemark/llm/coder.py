@@ -1,14 +1,14 @@
 """Token ids as files of independently reset, checksummed blocks, by an adaptive context-mixing range coder.
 
-Within a block ids are known by the order in which they first appeared. What last followed the two ids before (order 2) and
-what most often followed the one before (order 1) are candidates for the next id. How likely a candidate is, is predicted
-three times: from the counts of order 2, of order 1, and of order 0 (all ids of the block). A logistic mixture of the three,
-whose weights learn from each outcome, drives the coder. An id that is neither candidate is coded by its count in the
-block (order 0), or as new: by how many blocks of the frame it occurs in, which the frame's head lists where that pays.
+A frame's head lists its ids and their shares (order 0). Within a block, what last followed the two ids before (order 2) or else
+what most often followed the one before (order 1) is the candidate for the next id. How likely it is, is predicted three
+times: from how often order 2 and order 1 were right, and from the id's share. A logistic mixture of the three, whose
+weights learn from each outcome, drives the coder. An id that is not the candidate is coded by its share.
 Blocks start from nothing, so each can be decoded alone with its frame's head.
 
 A file's rows are frames: whole documents in ascending doc_id order, cut into blocks of BLOCK ids. All blocks of a frame
-are coded in lockstep, one numpy lane per block; all arithmetic is of whole numbers, so that frames decode alike everywhere.
+are coded in lockstep, one numpy lane per block; numpy's price of a step hardly depends on the lanes, so that frames are large.
+All arithmetic is of whole numbers (one division is of doubles, whose floor is exact), so that frames decode alike everywhere.
 Files are written and read by Spark, as Parquet.
 """
 
@@ -24,186 +24,149 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .store import slices, spread
 from .tokens import PieceEncoder
 
-MAGIC = b"TMK2"
+MAGIC = b"TMK3"
 BLOCK = 1024  #: ids
-FRAME = 1 << 20  #: ids
-_SIDE = 32  #: BLOCK is _SIDE * _SIDE, so that frequencies add up in two steps
+FRAME = 1 << 23  #: ids
+_SLOTS = 1024  #: contexts of each order that a block remembers
 _FRAME = "part int, before long, n_ids long, doc_id array<long>, sizes array<long>, head binary, payload binary"
-_ONE = 4096  #: probabilities are of so many parts
+_ONE = 1 << 16  #: probabilities are of so many parts
 
-#: the logistic function of x / 256 for x from -2047 to 2047, and its inverse, in parts of _ONE
-_SQUASH = np.clip(np.rint(_ONE / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, _ONE - 1).astype(np.int64)
-_STRETCH = np.clip(np.rint(256 * np.log(np.arange(1, _ONE) / (_ONE - np.arange(1, _ONE)))), -2047, 2047).astype(np.int64)
-_STRETCH = np.concatenate([_STRETCH[:1], _STRETCH])
+#: the logistic function of x / 128 for x from -1023 to 1023, in parts of _ONE
+_SQUASH = np.clip(np.rint(_ONE / (1 + np.exp(-np.arange(-1023, 1024) / 128))), 64, _ONE - 1024).astype(np.int64)
 
 
 class _Range:
-    """A carryless 32-bit range coder per lane."""
-
-    def __init__(self, lanes: int, data: np.ndarray | None = None):
-        self.low = np.zeros(lanes, dtype=np.int64)
-        self.range = np.full(lanes, 0xFFFFFFFF, dtype=np.int64)
-        self.at = np.zeros(lanes, dtype=np.int64)
-        self.data = np.zeros((lanes, 4 * BLOCK + 64), dtype=np.uint8) if data is None else data
-        self.decoding = data is not None
-        self.code = np.zeros(lanes, dtype=np.int64)
+    """A range coder per lane: a range below 2**48 is kept at 2**32 at least by words of 16 bits; carries are added at the end."""
+
+    def __init__(self, lanes: int, blocks: list[bytes] | None = None):
+        self.range = np.full(lanes, (1 << 48) - 1, dtype=np.int64)
+        self.low = np.zeros(lanes, dtype=np.int64)  # decoding: how far the code is above it
+        self.decoding = blocks is not None
         if self.decoding:
-            for k in range(4):
-                self.code = self.code << 8 | self.data[:, k]
-            self.at += 4
-
-    def want(self, lanes, total) -> np.ndarray:
-        """Decoding: the frequency that the code points at."""
-        self.range[lanes] //= total
-        return np.minimum(((self.code[lanes] - self.low[lanes]) & 0xFFFFFFFF) // self.range[lanes], total - 1)
-
-    def put(self, lanes, start, size, total) -> None:
-        """Narrow to [start, start + size) of total; after want() when decoding."""
-        r = self.range[lanes] if self.decoding else self.range[lanes] // total
-        self.low[lanes] = (self.low[lanes] + start * r) & 0xFFFFFFFF
-        self.range[lanes] = r * size
-        while len(lanes):
-            low, r = self.low[lanes], self.range[lanes]
-            top = (low ^ (low + r)) < (1 << 24)
-            small = ~top & (r < (1 << 16))
-            go = top | small
-            if not go.any():
-                return
-            lanes, low, r = lanes[go], low[go], np.where(small, -low & 0xFFFF, r)[go]
-            at = self.at[lanes]
+            # two words of zeros behind each block, as far as it is read
+            self.words = np.frombuffer(b"".join(b + bytes(4) for b in blocks) + bytes(8), dtype="<u2").astype(np.int64)
+            n = np.array([len(b) // 2 + 2 for b in blocks], dtype=np.int64)
+            self.at = np.cumsum(n) - n
+            for _ in range(3):
+                self.low = self.low << 16 | self.words.take(self.at, mode="clip")
+                self.at += 1
+        else:
+            self.width = 2 * BLOCK + 8
+            self.words = np.zeros(lanes * self.width, dtype=np.int32)
+            self.at = np.arange(lanes, dtype=np.int64) * self.width
+
+    def shift(self, low: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Write or read words of the lanes whose range is small, until none is."""
+        small = size < (1 << 32)
+        while True:
+            by = small.astype(np.int64)
             if self.decoding:
-                self.code[lanes] = (self.code[lanes] << 8 | self.data[lanes, at]) & 0xFFFFFFFF
+                word = self.words.take(at, mode="clip")
+                word *= by
+                at += by
+                by <<= 4
+                low = low << by
+                low |= word
             else:
-                self.data[lanes, at] = low >> 24
-            self.at[lanes] = at + 1
-            self.low[lanes] = low << 8 & 0xFFFFFFFF
-            self.range[lanes] = r << 8
+                self.words[at] = low >> 32  # written anew where the lane stays
+                at += by
+                by <<= 4
+                low = np.where(small, low & 0xFFFFFFFF, low) << by
+            size = size << by
+            small = size < (1 << 32)
+            if not small.any():
+                return low, size
 
     def finish(self) -> list[bytes]:
-        lanes = np.arange(len(self.low))
-        for _ in range(4):
-            self.data[lanes, self.at] = self.low >> 24
-            self.low = self.low << 8 & 0xFFFFFFFF
-            self.at += 1
-        return [row[:n].tobytes() for row, n in zip(self.data, self.at)]
-
-
-def _share(hits: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Stretched estimate of a probability from counts; 0 where there are none."""
-    return np.where(of > 0, _STRETCH[np.clip((2 * hits + 1) * _ONE // (2 * of + 2), 1, _ONE - 1)], 0)
-
-
-class _Model:
-    """The adaptive state of all lanes, the same for coding and decoding."""
-
-    def __init__(self, lanes: int, first: np.ndarray, often: np.ndarray):
-        """first, often: the ids that may be new, and in how many parts of all they are."""
-        self.first, self.part, self.upto = first, often, np.concatenate([[0], np.cumsum(often)])
-        self.symbol = np.zeros((lanes, BLOCK), dtype=np.int32)  # ids by first appearance
-        self.often = np.zeros((lanes, _SIDE, _SIDE), dtype=np.int16)
-        self.sums = np.zeros((lanes, _SIDE), dtype=np.int16)
-        self.known = np.zeros(lanes, dtype=np.int64)
-        self.next = [np.full((lanes, BLOCK), -1, dtype=np.int16) for _ in range(2)]  # candidates of order 2 and 1
-        self.hits, self.seen = ([np.zeros((lanes, BLOCK), dtype=np.int16) for _ in range(2)] for _ in range(2))
-        self.weights = np.tile(np.array([[24_000, 12_000, 8_000], [8_000, 32_000, 8_000]], dtype=np.int64), (lanes, 1, 1))
-        self.fresh = np.full((lanes, 16), _ONE // 2, dtype=np.int64)  # of being new
-        self.r1 = self.r2 = np.zeros(lanes, dtype=np.int64)
-        self.last = np.zeros(lanes, dtype=np.int64)  # what the last two ids were: new or not
-
-    def run(self, coder: _Range, length: np.ndarray, ranks: np.ndarray | None, ids: np.ndarray) -> None:
-        """Code ids (lanes x BLOCK; ranks by first appearance are given) or fill them in. Lanes are sorted, longest first."""
-        for t in range(int(length.max(initial=0))):
-            m = int(np.searchsorted(-length, -t, side="left"))
-            self._step(coder, np.arange(m), t, None if ranks is None else ranks[:m, t].astype(np.int64), ids)
-
-    def _bit(self, coder: _Range, lanes: np.ndarray, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """Code whether something that has p of _ONE parts is so, or find out."""
-        if bit is None:
-            bit = coder.want(lanes, _ONE) < p
-        coder.put(lanes, np.where(bit, 0, p), np.where(bit, p, _ONE - p), _ONE)
-        return bit
-
-    def _candidate(self, coder: _Range, k: int, lanes: np.ndarray, at: list, t: int, rank: np.ndarray | None) -> np.ndarray:
-        """Whether the candidate of order 2 - k comes, by the mixture of all orders."""
-        c = self.next[k][lanes, at[k][lanes]].astype(np.int64)
-        x = np.empty((len(lanes), 3), dtype=np.int64)
-        for j in range(2):
-            slot = at[j][lanes]
-            x[:, j] = _share(np.where(self.next[j][lanes, slot] == c, self.hits[j][lanes, slot], 0).astype(np.int64), self.seen[j][lanes, slot].astype(np.int64))
-        b, i = np.divmod(c, _SIDE)
-        x[:, 2] = _STRETCH[np.clip(self.often[lanes, b, i].astype(np.int64) * _ONE // (t + 1), 1, _ONE - 1)]
-        w = self.weights[lanes, k]
-        p = _SQUASH[np.clip((w * x).sum(1) >> 16, -2047, 2047) + 2047]
-        bit = self._bit(coder, lanes, p, None if rank is None else rank[lanes] == c)
-        error = bit * _ONE - p
-        self.weights[lanes, k] = w + (x * error[:, None] >> 9)
-        return bit
-
-    def _step(self, coder: _Range, lanes: np.ndarray, t: int, rank, ids: np.ndarray) -> None:
-        m = len(lanes)
-        r1, known = self.r1[:m], self.known[:m]
-        at = [(self.r2[:m] * 2654435761 + r1 * 40503 >> 5) & (BLOCK - 1), r1]
-        c2, c1 = (self.next[k][lanes, at[k]].astype(np.int64) for k in range(2))
-        got = np.full(m, -1, dtype=np.int64)
-        for k, c in enumerate((c2, c1)):
-            some = np.flatnonzero((got < 0) & (c >= 0) & ((c != c2) if k else True))
-            if len(some):
-                hit = some[self._candidate(coder, k, some, at, t, rank)]
-                got[hit] = c[hit]
-        # neither: new, or seen in the block
-        some = np.flatnonzero(got < 0)
-        new = some[:0]
-        if len(some):
-            kind = self.last[some] * 4 + (c2[some] >= 0) * 2 + (c1[some] >= 0)
-            p = np.where(known[some] > 0, self.fresh[some, kind], _ONE - 1)
-            bit = self._bit(coder, some, p, None if rank is None else rank[some] >= known[some])
-            p = self.fresh[some, kind]
-            self.fresh[some, kind] = np.clip(p + ((bit * _ONE - p) >> 4), 32, _ONE - 32)
-            seen, new = some[~bit], some[bit]
-            if len(seen):
-                sums = self.sums[seen]
-                above = np.cumsum(sums, axis=1)
-                if rank is None:
-                    v = coder.want(seen, above[:, -1])
-                    b = (above <= v[:, None]).sum(1)
-                    inner = np.cumsum(self.often[seen, b], axis=1)
-                    base = above[np.arange(len(seen)), b] - sums[np.arange(len(seen)), b]
-                    got[seen] = b * _SIDE + (inner <= (v - base)[:, None]).sum(1)
-                else:
-                    got[seen] = rank[seen]
-                b, i = np.divmod(got[seen], _SIDE)
-                place = np.arange(len(seen))
-                row = self.often[seen, b]
-                inner = np.cumsum(row, axis=1)
-                coder.put(seen, above[place, b] - sums[place, b] + inner[place, i] - row[place, i], row[place, i].astype(np.int64), above[:, -1])
-            if len(new):
-                total = int(self.upto[-1])
-                if rank is None:
-                    n = np.searchsorted(self.upto, coder.want(new, total), side="right") - 1
-                    ids[new, t] = self.first[n]
-                else:
-                    n = np.searchsorted(self.first, ids[new, t])
-                coder.put(new, self.upto[n], self.part[n], total)
-                got[new] = known[new]
-                self.symbol[new, known[new]] = ids[new, t]
-        if rank is None:
-            ids[:m, t] = self.symbol[lanes, got]
-        self.known[new] += 1
-        b, i = np.divmod(got, _SIDE)
-        self.often[lanes, b, i] += 1
-        self.sums[lanes, b] += 1
-        for k, c in enumerate((c2, c1)):
-            hits, seen = self.hits[k][lanes, at[k]], self.seen[k][lanes, at[k]]
-            right = c == got
-            # order 2 follows the last id, order 1 changes once another id has worn its candidate down
-            keep = right | ((hits > 1) if k else False)
-            self.next[k][lanes, at[k]] = np.where(keep, c, got)
-            self.hits[k][lanes, at[k]] = np.where(right, hits + 1, np.where(keep, hits - 1, 1))
-            self.seen[k][lanes, at[k]] = np.where(keep | (k == 1), seen + 1, 1)
-        is_new = np.zeros(m, dtype=np.int64)
-        is_new[new] = 1
-        self.last[:m] = (self.last[:m] & 1) * 2 + is_new
-        self.r2, self.r1 = np.concatenate([r1, self.r2[m:]]), np.concatenate([got, self.r1[m:]])
+        self.words[self.at] = (self.low + 0xFFFFFFFF) >> 32
+        self.at += 1
+        over = np.flatnonzero(self.words > 0xFFFF)
+        while len(over):
+            self.words[over] &= 0xFFFF
+            over = over - 1
+            self.words[over] += 1
+            over = over[self.words[over] > 0xFFFF]
+        return [self.words[i * self.width : at].astype("<u2").tobytes() for i, at in enumerate(self.at.tolist())]
+
+
+def _run(coder: _Range, last: int, parts: np.ndarray, table: np.ndarray) -> None:
+    """Code table (BLOCK x lanes: places in the list of ids) or fill it in. last: ids of the last lane; the others have BLOCK.
+    parts: of each listed id, a power of two in all."""
+    lanes, total = table.shape[1], int(parts.sum())
+    bits, listed = total.bit_length() - 1, len(parts)
+    # behind the list: nothing more to say
+    size, start = np.append(parts, total), np.append(np.cumsum(parts) - parts, 0)
+    of = np.repeat(np.arange(listed), parts) if coder.decoding else None
+    share = np.rint(256 * np.log(parts / np.maximum(1, total - parts))).astype(np.int32)
+    # for each order and context: the candidate, and in three bits how far it is trusted (0: none)
+    next1, next2 = (np.zeros(lanes * _SLOTS, dtype=np.int32) for _ in range(2))
+    base = np.arange(lanes, dtype=np.int64) * _SLOTS
+    w2, w1, w0 = (np.full(lanes, w, dtype=np.int32) for w in (24_000, 16_000, 8_000))
+    r1 = r2 = np.zeros(lanes, dtype=np.int64)
+    low, span, at = coder.low, coder.range, coder.at
+    for t in range(BLOCK if lanes > 1 else last):
+        if t == last:
+            coder.low = low
+            m = lanes - 1
+            base, w2, w1, w0, r1, r2, low, span, at = (x[:m] for x in (base, w2, w1, w0, r1, r2, low, span, at))
+        a1 = (r1 & (_SLOTS - 1)) + base
+        a2 = r2 * 361
+        a2 += r1
+        a2 &= _SLOTS - 1
+        a2 += base
+        e1, e2 = next1.take(a1), next2.take(a2)
+        q1, q2, c1, c2 = e1 & 7, e2 & 7, e1 >> 3, e2 >> 3
+        some = (q1 | q2) > 0
+        c = np.where(q2, c2, c1)
+        x2, x1 = q2 * 150, q1 * 80
+        np.negative(x1, out=x1, where=c1 != c)
+        c = c.astype(np.int64)
+        x0 = share.take(c)
+        z = w2 * x2
+        z += w1 * x1
+        z += w0 * x0
+        z >>= 17
+        z += 1023
+        p = _SQUASH.take(z, mode="clip")
+        p *= some
+        # whether the candidate comes; then which id else
+        bound = span >> 16
+        bound *= p
+        if coder.decoding:
+            hit = low < bound
+            low = np.where(hit, low, low - bound)
+            span = np.where(hit, bound, span - bound)
+            r = span >> bits
+            s = np.where(hit, c, of.take((low / r).astype(np.int64), mode="clip"))
+            table[t, : len(s)] = s
+            k = np.where(hit, listed, s)
+            low -= start.take(k) * r
+        else:
+            s = table[t, : len(c)].astype(np.int64)
+            hit = (s == c) & some
+            span = np.where(hit, bound, span - bound)
+            r = span >> bits
+            k = np.where(hit, listed, s)
+            bound += start.take(k) * r
+            low = low + np.where(hit, 0, bound)
+        low, span = coder.shift(low, size.take(k) * r, at)
+        error = (hit * _ONE - p).astype(np.int32)
+        error *= some
+        for w, x in ((w2, x2), (w1, x1), (w0, x0)):
+            x *= error
+            x >>= 14
+            w += x
+        # order 2 follows the last id, order 1 changes once others have worn its candidate down
+        got = s.astype(np.int32)
+        new = got << 3
+        new |= 1
+        next2[a2] = np.where(c2 == got, e2 + (q2 < 7), new)
+        next1[a1] = np.where(c1 == got, e1 + (q1 < 7), np.where(q1 > 2, e1 - 2, new))
+        r2, r1 = r1, s
+    if len(low) < lanes:
+        coder.low[: len(low)] = low
+    else:
+        coder.low = low
 
 
 def _lanes(n: int) -> np.ndarray:
@@ -211,74 +174,83 @@ def _lanes(n: int) -> np.ndarray:
     return np.minimum(BLOCK, n - np.arange(count) * BLOCK)
 
 
-def _prior(ids: np.ndarray, often: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """(ids that may be new, their parts, the two packed): a power of two near each one's share where listing the ids pays, else all
-    of the vocabulary alike and no bytes. ids: ascending; often: the blocks that have them."""
-    every = np.arange(size), np.ones(size, dtype=np.int64), b""
-    room = 60_000 - len(ids)
-    if room < 1000 or not len(ids):
+def _parts(often: np.ndarray) -> np.ndarray:
+    """Shares in whole parts, one at least, a power of two in all."""
+    total = 1 << max(16, len(often).bit_length() + 2)
+    parts = 1 + often * (total - len(often)) // max(1, int(often.sum()))
+    parts[np.argmax(parts)] += total - parts.sum()
+    return parts
+
+
+def _prior(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(the listed ids, their parts, the two packed) where listing them pays, else all of the vocabulary alike and no bytes."""
+    often = np.bincount(ids, minlength=size)
+    listed = np.flatnonzero(often)
+    often = often[listed]
+    every = np.arange(size), _parts(np.ones(size, dtype=np.int64)), b""
+    if not len(listed):
         return every
-    power = np.log2(np.maximum(1, often * room // often.sum())).astype(np.int64)
-    packed = zlib.compress(np.diff(ids, prepend=0).astype("<u2").tobytes() if size <= 1 << 16 else np.diff(ids, prepend=0).astype("<u4").tobytes(), 9)
-    packed = np.array([len(ids), len(packed)], dtype="<u4").tobytes() + packed + zlib.compress(power.astype(np.uint8).tobytes(), 9)
-    part = 1 << power
-    spared = (often * (np.log2(size) - np.log2(part.sum()) + power)).sum()
-    return (ids, part, packed) if spared > 8 * len(packed) else every
+    parts = _parts(often)
+    packed = zlib.compress(np.diff(listed, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 9)
+    packed = np.array([len(listed), len(packed)], dtype="<u4").tobytes() + packed + zlib.compress(parts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 9)
+    spared = (often * (np.log2(size) + np.log2(parts / parts.sum()))).sum()
+    return (listed, parts, packed) if spared > 8 * len(packed) else every
 
 
 def _unprior(packed: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
     if not packed:
-        return np.arange(size), np.ones(size, dtype=np.int64)
+        return np.arange(size), _parts(np.ones(size, dtype=np.int64))
     n, first = np.frombuffer(packed[:8], dtype="<u4").tolist()
-    ids = np.cumsum(np.frombuffer(zlib.decompress(packed[8 : 8 + first]), dtype="<u2" if size <= 1 << 16 else "<u4").astype(np.int64))
-    return ids, 1 << np.frombuffer(zlib.decompress(packed[8 + first :]), dtype=np.uint8).astype(np.int64)
+    steps, parts = (np.frombuffer(zlib.decompress(x), dtype=np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64) for x in (packed[8 : 8 + first], packed[8 + first :]))
+    return np.cumsum(steps), parts
 
 
 def encode(ids: np.ndarray, size: int) -> tuple[bytes, bytes]:
-    """(head, payload) of a frame. The head: magic, vocabulary size, number of blocks, bytes of the list of new ids and its CRC-32, that
-    list, and for each block its ids, its bytes, and the CRC-32 of both."""
+    """(head, payload) of a frame. The head: magic, vocabulary size, number of blocks, bytes of the list of ids, CRC-32 of these numbers
+    and of what follows: that list, and for each block its ids, its bytes, and the CRC-32 of both."""
+    ids = ids.astype("<u4")
     length = _lanes(len(ids))
-    padded = np.zeros(len(length) * BLOCK, dtype=np.int64)
-    padded[: len(ids)] = ids
-    table = padded.reshape(-1, BLOCK)
-    lane = np.repeat(np.arange(len(length)), length)
-    pair, first, inverse = np.unique(lane * size + padded[: len(ids)], return_index=True, return_inverse=True)
-    order = np.argsort(first, kind="stable")  # by lane, and in it by first appearance
-    rank = np.empty(len(first), dtype=np.int64)
-    owner = lane[first[order]]
-    rank[order] = np.arange(len(first)) - np.searchsorted(owner, owner)
-    ranks = np.zeros_like(padded)
-    ranks[: len(ids)] = rank[inverse]
-    known, part, packed = _prior(*np.unique(pair % size, return_counts=True), size)
-    coder = _Range(len(length))
-    _Model(len(length), known, part).run(coder, length, ranks.reshape(-1, BLOCK), table)
-    blocks = coder.finish()
-    head = np.array([[n, len(b), zlib.crc32(b), zlib.crc32(table[i, :n].astype("<u4").tobytes())] for i, (n, b) in enumerate(zip(length.tolist(), blocks))], dtype="<u4")
-    return MAGIC + np.array([size, len(blocks), len(packed), zlib.crc32(packed)], dtype="<u4").tobytes() + packed + head.tobytes(), b"".join(blocks)
+    listed, parts, packed = _prior(ids, size)
+    place = np.zeros(size, dtype=np.int32)
+    place[listed] = np.arange(len(listed))
+    table = np.zeros(len(length) * BLOCK, dtype=np.int32)
+    table[: len(ids)] = place[ids]
+    table = np.ascontiguousarray(table.reshape(-1, BLOCK).T)
+    blocks = []
+    if len(ids):
+        coder = _Range(len(length))
+        _run(coder, int(length[-1]), parts, table)
+        blocks = coder.finish()
+    rows = np.array([[n, len(b), zlib.crc32(b), zlib.crc32(ids[i * BLOCK : i * BLOCK + n])] for i, (n, b) in enumerate(zip(length.tolist(), blocks))], dtype="<u4")
+    numbers = np.array([size, len(blocks), len(packed)], dtype="<u4").tobytes()
+    rest = packed + rows.tobytes()
+    return MAGIC + numbers + np.array([zlib.crc32(numbers + rest)], dtype="<u4").tobytes() + rest, b"".join(blocks)
 
 
 def decode(head: bytes, payload: bytes) -> np.ndarray:
     """The ids of a frame; ValueError if anything of it has changed."""
     if head[:4] != MAGIC:
         raise ValueError("not a frame of token ids")
-    size, count, listed, check = np.frombuffer(head[4:20], dtype="<u4").tolist()
-    packed = head[20 : 20 + listed]
-    if zlib.crc32(packed) != check:
-        raise ValueError("the list of ids is damaged")
-    rows = np.frombuffer(head[20 + listed :], dtype="<u4").reshape(count, 4).astype(np.int64)
-    length, ends = rows[:, 0], np.cumsum(rows[:, 1])
-    data = np.zeros((count, int(rows[:, 1].max(initial=0)) + 8), dtype=np.uint8)
-    for i, (a, b) in enumerate(zip(ends - rows[:, 1], ends)):
-        block = payload[a:b]
-        if zlib.crc32(block) != rows[i, 2]:
+    size, count, packed, check = np.frombuffer(head[4:20], dtype="<u4").tolist()
+    if zlib.crc32(head[4:16] + head[20:]) != check:
+        raise ValueError("the frame's head is damaged")
+    rows = np.frombuffer(head[20 + packed :], dtype="<u4").reshape(count, 4).tolist()
+    blocks, at = [], 0
+    for i, (_, n, crc, _) in enumerate(rows):
+        blocks.append(payload[at : at + n])
+        at += n
+        if zlib.crc32(blocks[-1]) != crc:
             raise ValueError(f"block {i} is damaged")
-        data[i, : len(block)] = np.frombuffer(block, dtype=np.uint8)
-    out = np.zeros((count, BLOCK), dtype=np.int64)
-    _Model(count, *_unprior(packed, size)).run(_Range(count, data), length, None, out)
-    for i, n in enumerate(length):
-        if zlib.crc32(out[i, :n].astype("<u4").tobytes()) != rows[i, 3]:
+    if not count:
+        return np.zeros(0, dtype=np.uint32)
+    listed, parts = _unprior(head[20 : 20 + packed], size)
+    table = np.zeros((BLOCK, count), dtype=np.int32)
+    _run(_Range(count, blocks), rows[-1][0], parts, table)
+    out = listed.astype("<u4")[table.T.ravel()][: (count - 1) * BLOCK + rows[-1][0]]
+    for i, (n, _, _, crc) in enumerate(rows):
+        if zlib.crc32(out[i * BLOCK : i * BLOCK + n]) != crc:
             raise ValueError(f"block {i} does not decode to its ids")
-    return out.ravel()[: int(length.sum())].astype(np.uint32)
+    return out
 
 
 def write(docs: DataFrame, vocabulary: str, end_id: int, path: str, size: int | None = None) -> None:
@@ -300,7 +272,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, path: str, size: int |
             before += n
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in _FRAME.split(", ")])
 
-        for batch in slices(batches):
+        for batch in slices(batches, 2000):
             ids, count = encoder.ids([t or "" for t in batch.column("text").to_pylist()])
             stop = np.cumsum(count)
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), stop - count, stop):
