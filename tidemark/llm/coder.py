@@ -260,7 +260,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, path: str, size: int |
     """
 
     def code(batches):
-        encoder = PieceEncoder.of(vocabulary)
+        encoder = PieceEncoder.of(vocabulary, memory=1_000_000)
         vocab = size or max(encoder.tokenizer.get_vocab_size(), end_id + 1)
         part, before, held, docs_, sizes, n = TaskContext.get().partitionId(), 0, [], [], [], 0
 
