@@ -20,8 +20,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more of five-word shingles, the smallest doc_id stays, with all
     rows that have it. Rows with null doc_id and texts without a word stay."""
-    gone = near.classes(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = store.materialize(near.classes(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct(), "gone")
+    may = store.free("may", docs.columns)
+    rows = store.marked(docs, "doc_id", gone, may)  # whole texts are shuffled only where the row may go
+    left = rows.where(F.col(may)).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return rows.where(~F.col(may)).select(*docs.columns).unionByName(left)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

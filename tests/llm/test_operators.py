@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import coder, ctw, decontaminate, language, near, packing, quality, queries, search, sharding, substring
+from tidemark.llm import coder, ctw, decontaminate, language, near, packing, quality, queries, search, sharding, store, substring
 from tidemark.llm.tokens import PieceEncoder
 from tidemark.llm.words import Words, shingle_sets
 
@@ -346,6 +347,22 @@ def test_near_long_lists(spark, monkeypatch):
     assert got == want and len({v[1] for v in want.values()}) > 2
 
 
+def test_marked(spark):
+    """Rows whose key the table has are marked, of others hardly any, and none for an empty table; other columns stay."""
+    rows = spark.range(200_000).selectExpr("IF(id = 7, NULL, id) AS k", "CAST(id AS string) AS page", "id AS bits")
+    out = store.marked(rows, "k", spark.range(0, 400_000, 20), "may")
+    assert out.columns == ["k", "page", "bits", "may"] and out.where("bits % 20 = 0 AND NOT may").count() == 0
+    assert out.count() == 200_000 and out.where("may").count() < 11_000 and out.where("k IS NULL AND page = '7'").count() == 1
+    assert store.marked(rows, "k", spark.range(0), "may").where("may").count() == 0
+
+
+def test_other_steps_drop_tokenizers():
+    """What packing leaves in a worker is gone when a task of another step begins there."""
+    PieceEncoder.of(queries._vocabulary("byte_bpe_50k.json"))
+    list(store.slices(iter([pa.record_batch({"text": ["a"]})])))
+    assert not PieceEncoder._known
+
+
 def test_near_nulls_and_empty(spark, empty):
     assert near.classes(empty).collect() == []
     d = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None)], "doc_id long, text string")

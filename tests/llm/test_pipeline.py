@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import near, substring
+from tidemark.llm import near, store, substring
 
 WORDS = [f"w{i}" for i in range(300)]
 
@@ -43,6 +43,16 @@ def test_near_dedup(spark, docs, folder):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()} == want and not want & {90, 91}
 
 
+def test_near_dedup_shuffles_few_texts(spark, docs, folder, monkeypatch):
+    """Whole texts are told apart before a shuffle: only those that may go, or whose sets are compared, are moved."""
+    seen, marked = [], store.marked
+    for module in (store, near):
+        monkeypatch.setattr(module, "marked", lambda *a: seen.append(marked(*a)) or seen[-1])
+    assert corpus_pipeline.near_dedup(spark, docs, folder).count() == docs.count() - 2
+    moved = [d.where("may").count() for d in seen if "text" in d.columns]
+    assert len(moved) == 4 and max(moved) < 10
+
+
 def test_substring_dedup(spark, docs, folder):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = {d: v[0] - v[1] for d, v in substring.brute_force(rows).items()}

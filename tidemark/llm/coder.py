@@ -272,7 +272,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, path: str, size: int |
             before += n
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in _FRAME.split(", ")])
 
-        for batch in slices(batches, 2000):
+        for batch in slices(batches, 2000, tokenizes=True):
             ids, count = encoder.ids([t or "" for t in batch.column("text").to_pylist()])
             stop = np.cumsum(count)
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), stop - count, stop):

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .store import join_counted, materialize, slices
+from .store import join_counted, marked, materialize, slices
 from .words import chunks, encoded, shingle_sets
 
 K = 64
 LEAST = 34  #: of K retained values, shared by any similar pair (see above)
 SMALL = 12  #: lists of up to so many members are compared by a join, longer ones in blocks of numpy
 BLOCK = 256
-_CHUNK = 1 << 20  #: bytes of text whose shingles are made at once
+_CHUNK = 1 << 18  #: bytes of text whose shingles are made at once
 
 
 def sketches(docs: DataFrame, words: int = 5, k: int = K) -> DataFrame:
@@ -70,14 +70,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 rows = [(*_fingerprint(s), s.view(np.int64)) for s in shingle_sets(texts, words)]
                 yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["n_shingles", "fp1", "fp2", "grams"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = materialize(wanted.select("id", "doc_id", "n_shingles", "fp1", "fp2"), "wanted")
+    texts = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted.select("doc_id"), "may")
+    some = texts.where("may").select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = some.mapInArrow(whole, "n_shingles long, fp1 long, fp2 long, grams array<long>")
-    return sets.join(wanted.select("id", "n_shingles", "fp1", "fp2"), ["n_shingles", "fp1", "fp2"]).select("id", "grams").dropDuplicates(["id"])
+    return sets.join(wanted.drop("doc_id"), ["n_shingles", "fp1", "fp2"]).select("id", "grams").dropDuplicates(["id"])
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, k: int, percent: int) -> DataFrame:
     """Of the (a, b) pairs those with 100 * intersection >= percent * union, after the estimate of the union sketch."""
-    side = reps.select("id", "n_shingles", "sketch")
+    pairs = materialize(pairs, "pairs")
+    side = marked(reps.select("id", "n_shingles", "sketch"), "id", pairs.select(F.explode(F.array("a", "b"))), "may").where("may")
     both = pairs.join(side.selectExpr("id AS a", "n_shingles AS na", "sketch AS sa"), "a").join(side.selectExpr("id AS b", "n_shingles AS nb", "sketch AS sb"), "b")
     both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     both = both.withColumn("u", F.expr(f"slice(array_sort(array_union(sa, sb)), 1, {k})"))
@@ -111,13 +114,13 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 85, k: int = K) -> D
     twice = twice.join(twice.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a < id").selectExpr("a", "id AS b")
 
     # rarest retained values
-    listed = reps.select("id", "n_shingles", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
+    listed = reps.select("id", "n_shingles", F.explode("sketch").alias("value"))
     often = listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     listed = listed.join(often, "value")
     whole = int(k * percent / 100)
-    prefix = F.expr(f"kept - CASE WHEN n_shingles <= {whole} THEN ceil(n_shingles * {percent} / 100) ELSE {LEAST * k // K} END + 1")
-    ranked = listed.groupBy("id", "n_shingles", "kept").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
-    ranked = ranked.withColumn("room", (prefix - (F.col("kept") - F.size("shared"))).cast("int")).where("room > 0")
+    prefix = F.expr(f"least(n_shingles, {k}) - CASE WHEN n_shingles <= {whole} THEN ceil(n_shingles * {percent} / 100) ELSE {LEAST * k // K} END + 1")
+    ranked = listed.groupBy("id", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    ranked = ranked.withColumn("room", (prefix - (F.least("n_shingles", F.lit(k)) - F.size("shared"))).cast("int")).where("room > 0")
     lists = materialize(ranked.select("id", "n_shingles", F.explode(F.expr("slice(shared, 1, room)")).alias("s")).selectExpr("s.value AS value", "id", "n_shingles"), "lists")
 
     # round 1: each list's smallest member with all others

@@ -24,7 +24,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024,
 
     def encode(batches):
         encoder = PieceEncoder.of(vocabulary)
-        for batch in slices(batches):
+        for batch in slices(batches, tokenizes=True):
             ids, n = encoder.ids([t or "" for t in batch.column("text").to_pylist()])
             n = n + 1
             stop = np.cumsum(n)
